@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from postlark.functions.lookups import any_of
 
@@ -44,7 +45,7 @@ def squeeze(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U){SPACE}+", " ")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _decode_entities(s: pd.Series) -> pd.Series:
     return s.map(_html.unescape, na_action="ignore")
 

@@ -71,25 +71,23 @@ def _is_text(df: DataFrame, column: str) -> bool:
     return df.schema[column].dataType.typeName() == "string"
 
 
-def numbered(rows: DataFrame, order_by: list[str | Column], name: str = "seq") -> DataFrame:
-    """Add a dense 0-based number in global order, without moving everything to one task.
+def sequenced(rows: DataFrame, order_by: list[str | Column], name: str = "seq") -> DataFrame:
+    """Add a unique whole number that grows in the given global order, and cut the lineage.
 
-    Range partitions are written once with their partition number; then only the per-partition counts (one row
-    each) are summed up in order, and rows are numbered inside their own partition.
+    Rows are range-partitioned and sorted inside partitions, so partition number plus position is the order. The
+    numbers are written with the rows, hence stable; they have gaps between partitions.
     """
-    part = f"_{name}_part"
-    ranged = rows.repartitionByRange(*order_by).withColumn(part, F.spark_partition_id())
-    ranged = cut(ranged)
-    sizes = ranged.groupBy(part).agg(F.count("*").alias("_size"))
-    before = F.sum("_size").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select(part, F.coalesce(before, F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order_by))
-    out = ranged.withColumn("_inside", inside).join(F.broadcast(starts), part)
-    return out.withColumn(name, (F.col("_start") + F.col("_inside") - 1).cast("bigint")).select(*rows.columns, name)
+    ordered = rows.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    return cut(ordered.withColumn(name, F.monotonically_increasing_id()))
+
+
+def numbered(rows: DataFrame, order_by: list[str | Column], name: str = "rank") -> DataFrame:
+    """Add a dense 1-based number in global order, without moving everything to one task."""
+    return dense_rank_of(sequenced(rows, order_by, "_seq"), "_seq", name).drop("_seq")
 
 
 def dense_rank_of(rows: DataFrame, seq: str, name: str) -> DataFrame:
-    """Add a dense 1-based rank over a unique whole-number column that is already roughly dense.
+    """Add a dense 1-based rank over a unique whole-number column, as ``sequenced`` makes it.
 
     Blocks of the number line hold at most NUMBER_BLOCK rows each, so no task gets more than that.
     """

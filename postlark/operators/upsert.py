@@ -113,9 +113,9 @@ def resolve(stored: DataFrame, batch: DataFrame) -> Upserted:
 
     fresh = rows.where(F.col("key_id").isNull() & ~(F.col("long") & F.col("content_id").isNotNull()))
     chosen, rounds = membership(fresh.select("seq", "dedup_key", "content_key", "long"))
-    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    new = dense_rank_of(chosen, "seq", "_rank").join(F.broadcast(top))
-    new = cut(new.select("seq", "dedup_key", "content_key", (F.col("_top") + F.col("_rank")).alias("new_id")))
+    top = stored.agg(F.max("id")).first()[0] or 0
+    new = dense_rank_of(chosen, "seq", "_rank")
+    new = cut(new.select("seq", "dedup_key", "content_key", (F.col("_rank") + top).alias("new_id")))
 
     new_key = new.select("dedup_key", F.col("seq").alias("new_key_seq"), F.col("new_id").alias("new_key_id"))
     new_content = new.where(F.col("content_key").isNotNull()).groupBy("content_key")

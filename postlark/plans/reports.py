@@ -153,11 +153,11 @@ def alert_batch(df: DataFrame, channel: str, profile: str = "default") -> DataFr
     The rank follows score and id and is numbered by range, so a batch of any size is never sorted in one task.
     """
     rows = df.select("id", "score", message_line(channel).alias("message_line"))
-    ranked = numbered(rows, [F.desc("score"), F.asc("id")], "_at")
+    ranked = numbered(rows, [F.desc("score"), F.asc("id")])
     return ranked.select(
         F.lit(profile).alias("profile"),
         F.lit(channel).alias("channel"),
-        (F.col("_at") + 1).alias("rank"),
+        "rank",
         F.col("id").alias("posting_id"),
         "message_line",
     )
