@@ -13,6 +13,8 @@ from postlark.schemas import BREAKDOWN
 
 AS_OF = "2024-01-31 00:00:00"
 AS_OF_DAY = "2024-01-31"
+# Clock of the scrape-time windows: documents take their scrape time from the first events.
+SCRAPE_NOW = "2024-01-03 00:00:00"
 
 # Raw place by n_chars % 12: (city, state, country); a None country is the posting's nation name.
 PLACES = [
@@ -167,3 +169,213 @@ def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def empty_breakdown():
     return F.lit(None).cast(BREAKDOWN)
+
+
+# --- landed payloads derived from documents ---
+
+PAGE_ROWS, RUN_ROWS = 10, 40
+
+
+def _markup(c) -> F.Column:
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(char), F.lit(entity))
+    return c
+
+
+def _item_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw postings with their page. Every tenth posting repeats the previous one's site id."""
+    doc = F.col("id")
+    listed = F.when(doc % PAGE_ROWS == PAGE_ROWS - 1, doc - 1).otherwise(doc).cast("string")
+    return raw_postings(spark, sf_dir).withColumns(
+        {
+            "run_id": F.floor(doc / RUN_ROWS).cast("bigint"),
+            "page_no": (F.floor(doc / PAGE_ROWS) % (RUN_ROWS // PAGE_ROWS) + 1).cast("int"),
+            "listed": listed,
+            "clean_title": F.regexp_replace(F.trim(F.col("title")), r"\s+", " "),
+        }
+    )
+
+
+def _indeed_item() -> F.Column:
+    return F.to_json(
+        F.struct(
+            F.struct(
+                F.col("listed").alias("key"),
+                F.col("clean_title").alias("title"),
+                F.struct(F.concat(F.lit("<p>"), _markup(F.col("description")), F.lit("</p>")).alias("html")).alias("description"),
+                F.struct(F.col("city").alias("city"), F.col("state").alias("admin1Code"), F.col("country").alias("countryCode")).alias("location"),
+                F.struct(
+                    F.struct(
+                        F.when(F.col("id") % 3 == 0, "HOUR").when(F.col("id") % 3 == 1, "year").otherwise("SHIFT").alias("unitOfWork"),
+                        F.struct((F.col("comp_min") + 0.5).alias("min"), F.col("comp_max").alias("max")).alias("range"),
+                    ).alias("baseSalary")
+                ).alias("compensation"),
+                F.array(F.struct(F.lit("Full-time").alias("label")), F.struct(F.col("search_term").alias("label"))).alias("attributes"),
+                F.struct(F.when(F.col("id") % 4 != 0, F.col("company")).alias("name")).alias("employer"),
+                (F.unix_date("date_posted").cast("bigint") * 86400000 + 3600000).alias("datePublished"),
+            ).alias("job")
+        )
+    )
+
+
+def _glassdoor_item() -> F.Column:
+    return F.to_json(
+        F.struct(
+            F.struct(
+                F.struct(
+                    F.when(F.col("id") % 2 == 0, F.concat(F.lit("/job/"), F.col("listed"))).alias("jobLink"),
+                    F.col("clean_title").alias("jobTitleText"),
+                    F.when(F.col("id") % 4 != 0, F.col("company")).alias("employerNameFromSearch"),
+                    F.datediff(F.lit(AS_OF_DAY).cast("date"), "date_posted").alias("ageInDays"),
+                    F.col("comp_min").alias("payPercentile10"),
+                    F.col("comp_max").alias("payPercentile90"),
+                    F.when(F.col("id") % 3 == 0, "HOURLY").when(F.col("id") % 3 == 1, "ANNUAL").alias("payPeriod"),
+                ).alias("header"),
+                F.struct(F.col("listed").alias("listingId"), _markup(F.col("description")).alias("description")).alias("job"),
+                F.struct(F.concat(F.lit("Alt "), F.col("company")).alias("name")).alias("overview"),
+                F.concat_ws(", ", "city", "state").alias("locationName"),
+                F.when(F.col("id") % 5 == 0, F.array(F.lit("WORK_FROM_HOME"))).alias("remoteWorkTypes"),
+            ).alias("jobview")
+        )
+    )
+
+
+def _zip_item() -> F.Column:
+    days = F.datediff(F.lit(AS_OF_DAY).cast("date"), "date_posted").cast("string")
+    return F.to_json(
+        F.struct(
+            F.col("listed").alias("id"),
+            F.col("clean_title").alias("name"),
+            F.col("url").alias("url"),
+            F.struct(F.when(F.col("id") % 4 != 0, F.col("company")).alias("name")).alias("hiring_company"),
+            F.col("city").alias("job_city"),
+            F.col("state").alias("job_state"),
+            F.col("country").alias("job_country"),
+            F.concat(F.lit("<b>"), _markup(F.col("description")), F.lit("</b>")).alias("snippet"),
+            F.when(F.col("id") % 2 == 0, F.concat(F.date_format("date_posted", "yyyy-MM-dd"), F.lit("T10:00:00Z"))).alias("posted_time"),
+            F.concat(days, F.lit(" days ago")).alias("posted_time_friendly"),
+            F.when(F.col("id") % 3 == 0, F.col("comp_min")).alias("salary_min_annual"),
+            F.col("comp_min").alias("salary_min"),
+            F.col("comp_max").alias("salary_max"),
+            F.when(F.col("id") % 5 == 0, "Per Hour").alias("salary_source"),
+        )
+    )
+
+
+def _linkedin_item() -> F.Column:
+    parts = [
+        F.lit('<div class="base-search-card"><a class="base-card__full-link" href="https://x.example/jobs/view/a-b-'),
+        F.col("listed"),
+        F.lit('?ref=1">go</a><span class="sr-only"> '),
+        _markup(F.col("clean_title")),
+        F.lit(' </span><h4 class="base-search-card__subtitle"><a>'),
+        _markup(F.col("company")),
+        F.lit('</a></h4><div class="base-search-card__metadata"><span class="job-search-card__location">'),
+        F.concat_ws(", ", "city", "state"),
+        F.lit('</span><time class="job-search-card__listdate" datetime="'),
+        F.coalesce(F.date_format("date_posted", "yyyy-MM-dd"), F.lit("soon")),
+        F.lit('"></time></div><span class="job-search-card__salary-info">$'),
+        F.col("comp_min").cast("bigint").cast("string"),
+        F.lit(".00 - $"),
+        F.coalesce(F.col("comp_max").cast("bigint").cast("string"), F.lit("more")),
+        F.lit("</span></div>"),
+    ]
+    return F.concat(*parts)
+
+
+def _bayt_item() -> F.Column:
+    days = F.datediff(F.lit(AS_OF_DAY).cast("date"), "date_posted").cast("string")
+    parts = [
+        F.lit('<li data-js-job="" data-job-id="'),
+        F.col("listed"),
+        F.lit('"><h2><a href="/en/job-'),
+        F.col("listed"),
+        F.lit('">'),
+        _markup(F.col("clean_title")),
+        F.lit('</a></h2><b class="company-name">'),
+        _markup(F.col("company")),
+        F.lit('</b><span class="location-text">'),
+        F.concat_ws(", ", "city", "country"),
+        F.lit('</span><span class="date-posted">'),
+        F.coalesce(F.concat(days, F.when(F.col("id") % 2 == 0, " days ago").otherwise(" hours ago")), F.lit("today")),
+        F.lit("</span></li>"),
+    ]
+    return F.concat(*parts)
+
+
+def _google_item() -> F.Column:
+    """A positional array ending in a nested array, as JSON text."""
+
+    def text(c) -> F.Column:
+        # A one-field object's value is the JSON form of a string.
+        return F.regexp_extract(F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("x"))), r'(?s)\A\{"x":(.*)\}\z', 1)
+
+    days = F.datediff(F.lit(AS_OF_DAY).cast("date"), "date_posted").cast("string")
+    slots = {
+        0: text(F.col("clean_title")),
+        1: text(F.col("company")),
+        2: text(F.concat_ws(", ", "city", "state")),
+        3: F.concat(F.lit('[["https://x.example/'), F.col("listed"), F.lit('"]]')),
+        12: text(F.concat(days, F.lit(" days ago"))),
+        19: text(F.col("description")),
+        28: F.when(F.col("id") % 2 == 0, F.col("listed")).otherwise(F.lit("null")),
+        29: F.lit('[["end"]]'),
+    }
+    return F.concat(F.lit("["), F.concat_ws(",", *[slots.get(i, F.lit("null")) for i in range(30)]), F.lit("]"))
+
+
+_ITEMS = {
+    "indeed": _indeed_item,
+    "glassdoor": _glassdoor_item,
+    "ziprecruiter": _zip_item,
+    "linkedin": _linkedin_item,
+    "bayt": _bayt_item,
+    "google": _google_item,
+}
+
+
+def _body(site: str) -> F.Column:
+    items = F.transform(F.array_sort(F.collect_list(F.struct("id", "item"))), lambda x: x["item"])
+    joined = F.array_join(items, ",")
+    more = F.when(F.col("run_id") % 6 != 5, F.lit('"next"')).otherwise(F.lit("null"))
+    if site == "indeed":
+        head = F.concat(F.lit('{"data":{"jobSearch":{"pageInfo":{"nextCursor":'), more, F.lit('},"results":['))
+        return F.concat(head, joined, F.lit("]}}}"))
+    if site == "glassdoor":
+        return F.concat(F.lit('[{"data":{"jobListings":{"jobListings":['), joined, F.lit("]}}}]"))
+    if site == "ziprecruiter":
+        return F.concat(F.lit('{"jobs":['), joined, F.lit('],"continue_from":'), more, F.lit("}"))
+    if site == "google":
+        cursor = F.when(F.col("run_id") % 6 != 5, '<div data-async-fc="next"></div>').otherwise("")
+        first = F.array_join(F.transform(items, lambda x: F.concat(F.lit('"520084652":'), x, F.lit("}]]]]]"))), " ")
+        inner = F.transform(items, lambda x: F.concat(F.lit('[[[{"520084652":'), x, F.lit("}]]]")))
+        quoted = F.transform(inner, lambda x: F.concat(F.lit('["k",'), _quoted(x), F.lit("]")))
+        later = F.concat(F.lit(")]}'[["), F.array_join(quoted, ","), F.lit("]]"))
+        return F.concat(cursor, F.when(F.col("page_no") == 1, first).otherwise(later))
+    return F.concat(F.lit("<html><body><ul>"), F.array_join(items, ""), F.lit("</ul></body></html>"))
+
+
+def _quoted(c) -> F.Column:
+    escaped = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.concat(F.lit('"'), escaped, F.lit('"'))
+
+
+def site_payloads(spark: SparkSession, sf_dir: str, site: str) -> DataFrame:
+    """Every document as a posting in a landed page of the site: ten a page, four pages a run. The second page of
+    every seventh run failed, and cursors are missing in every sixth."""
+    items = _item_columns(spark, sf_dir).withColumn("item", _ITEMS[site]())
+    pages = items.groupBy("run_id", "page_no").agg(
+        F.min("search_term").alias("search_term"), F.max("date_scraped").alias("fetched_at"), _body(site).alias("body")
+    )
+    failed = (F.col("run_id") % 7 == 6) & (F.col("page_no") == 2)
+    return pages.select(
+        "run_id",
+        F.lit(site).alias("site"),
+        "search_term",
+        F.lit("anywhere").alias("location"),
+        "page_no",
+        "fetched_at",
+        F.when(failed, 500).otherwise(200).alias("status_code"),
+        F.lit("https://x.example/search").alias("url"),
+        "body",
+    )
