@@ -226,38 +226,38 @@ LISTED = ["id", "score", "status", "company", "date_posted"]
 
 def list_filtered(spark, sf):
     rows = filters.list_postings(
-        views.scored(spark, sf), status="new", min_score=20, company="R#00000000", source="src1", since="2024-01-01 12:00:00"
+        views.stored(spark, sf), status="new", min_score=20, company="R#00000000", source="src1", since="2024-01-01 12:00:00"
     )
     return rows.select(LISTED)
 
 
 def list_page(spark, sf):
-    return filters.list_postings(views.scored(spark, sf), status="all", limit=50, offset=100).select(LISTED)
+    return filters.list_postings(views.stored(spark, sf), status="all", limit=50, offset=100).select(LISTED)
 
 
 def list_view(spark, sf):
     floor = filters.list_threshold("filtered", None, P0.min_display_score)
-    return reports.list_view(views.scored(spark, sf), AS_OF, status="filtered", min_score=floor, limit=30)
+    return reports.list_view(views.stored(spark, sf), AS_OF, status="filtered", min_score=floor, limit=30)
 
 
 def posted_range(spark, sf):
-    return filters.posted_range(views.scored(spark, sf), AS_OF, since="2024-01-10", until="2024-01-20").select(LISTED)
+    return filters.posted_range(views.stored(spark, sf), AS_OF, since="2024-01-10", until="2024-01-20").select(LISTED)
 
 
 def fresh_postings(spark, sf):
-    return filters.fresh(views.scored(spark, sf), AS_OF, 72).select(LISTED)
+    return filters.fresh(views.stored(spark, sf), AS_OF, 72).select(LISTED)
 
 
 def alert_state_filter(spark, sf):
-    return filters.alert_states_filter(views.scored(spark, sf), P1.alert_states).select("id", "state", "is_remote")
+    return filters.alert_states_filter(views.stored(spark, sf), P1.alert_states).select("id", "state", "is_remote")
 
 
 def recent_context(spark, sf):
-    return filters.recent_context(views.scored(spark, sf), SCRAPE_NOW, days=1).select(LISTED)
+    return filters.recent_context(views.stored(spark, sf), SCRAPE_NOW, days=1).select(LISTED)
 
 
 def context_lines(spark, sf):
-    rows = filters.recent_context(views.scored(spark, sf), SCRAPE_NOW, days=1)
+    rows = filters.recent_context(views.stored(spark, sf), SCRAPE_NOW, days=1)
     return rows.select("id", reports.context_line().alias("line"))
 
 
@@ -265,17 +265,17 @@ def existing_keys(spark, sf):
     events = views.table(spark, sf, "events").where("event_type = 'error'").select(F.col("event_id").alias("doc_id"))
     docs = views.table(spark, sf, "documents").select("doc_id", "source")
     keys = events.join(docs, "doc_id").select(dedup_key(F.col("source"), F.col("doc_id").cast("string")).alias("dedup_key"))
-    return filters.existing(views.postings(spark, sf), keys).select("id", "dedup_key")
+    return filters.existing(views.stored(spark, sf), keys).select("id", "dedup_key")
 
 
 def export_rows(spark, sf):
-    return reports.export_rows(views.scored(spark, sf).drop("score_breakdown"))
+    return reports.export_rows(views.stored(spark, sf).drop("score_breakdown"))
 
 
 def export_files(spark, sf):
     """The CSV export, read back."""
     path = f"{shared_folder(spark).rstrip('/')}/export-{uuid.uuid4().hex}.csv"
-    reports.export_postings(views.scored(spark, sf), path, AS_OF)
+    reports.export_postings(views.stored(spark, sf), path, AS_OF)
     layout = ", ".join(f"{c} string" for c in reports.EXPORT_FIELDS).replace("id string", "id bigint", 1)
     layout = layout.replace("score string", "score int")
     read = spark.read.schema(layout).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
@@ -287,7 +287,7 @@ def export_files(spark, sf):
 
 
 def on_scored(fn) -> Query:
-    return lambda spark, sf: fn(views.scored(spark, sf))
+    return lambda spark, sf: fn(views.stored(spark, sf))
 
 
 def on_runs(fn) -> Query:
@@ -298,8 +298,7 @@ def on_runs(fn) -> Query:
 
 
 def narrow(spark, sf) -> DataFrame:
-    """Written once: dedup reads its input more than once, and only these columns."""
-    return cut(views.scored(spark, sf).select("id", "content_key", "status", "score", "date_scraped"))
+    return views.stored(spark, sf).select("id", "content_key", "status", "score", "date_scraped")
 
 
 def dup_members(spark, sf):
@@ -315,17 +314,17 @@ def backfill_keys(spark, sf):
 
 
 def rescore_summary(spark, sf):
-    out = maintenance.rescore_summary(views.scored(spark, sf), P0_EDITED, AS_OF)
+    out = maintenance.rescore_summary(views.stored(spark, sf), P0_EDITED, AS_OF)
     return out
 
 
 def rescore_state(spark, sf):
-    state, _ = maintenance.rescore(views.scored(spark, sf), P0_EDITED, AS_OF, source="src3")
+    state, _ = maintenance.rescore(views.stored(spark, sf), P0_EDITED, AS_OF, source="src3")
     return state.select("id", "score", "status", F.col("score_breakdown.keyword").alias("keyword"))
 
 
 def with_workflow(spark, sf) -> DataFrame:
-    return views.scored(spark, sf).withColumns({"notes": F.lit(""), "applied_date": F.lit(None).cast("date")})
+    return views.stored(spark, sf).withColumns({"notes": F.lit(""), "applied_date": F.lit(None).cast("date")})
 
 
 def status_fold(spark, sf):
@@ -373,13 +372,13 @@ def _batch(rows: DataFrame, order: list[str]) -> DataFrame:
 
 def first_batch(spark, sf) -> DataFrame:
     keep = ["id", "source", "source_id", "content_key", "description", "score", "score_breakdown", "status"]
-    return _batch(views.scored(spark, sf).select(keep).withColumnRenamed("id", "doc"), ["doc"])
+    return _batch(views.stored(spark, sf).select(keep).withColumnRenamed("id", "doc"), ["doc"])
 
 
 def second_batch(spark, sf) -> DataFrame:
     """Every seventh posting again under its own key, and every fifth under a new one, with other scores."""
     keep = ["id", "source", "source_id", "content_key", "description", "score", "score_breakdown", "status"]
-    rows = views.scored(spark, sf).select(keep).withColumnRenamed("id", "doc")
+    rows = views.stored(spark, sf).select(keep).withColumnRenamed("id", "doc")
     copies = F.array_compact(F.array(F.when(F.col("doc") % 7 == 0, F.lit(0)), F.when(F.col("doc") % 5 == 0, F.lit(1))))
     rows = rows.withColumn("k", F.explode(copies)).withColumns(
         {
@@ -419,9 +418,9 @@ def upsert_outcomes(spark, sf):
 
 def alerts(spark, sf):
     """New postings of one batch that deserve a message, as Telegram lines."""
-    rows = views.scored(spark, sf).drop("content_key", "dedup_key").withColumnRenamed("id", "doc")
+    rows = views.stored(spark, sf).drop("content_key", "dedup_key").withColumnRenamed("id", "doc")
     rows = rows.withColumn("id", F.col("doc"))
-    keyed = views.scored(spark, sf).withColumn("long", matches_by_content(F.col("description"))).withColumnRenamed("id", "doc")
+    keyed = views.stored(spark, sf).withColumn("long", matches_by_content(F.col("description"))).withColumnRenamed("id", "doc")
     batch = sequenced(keyed.drop("description"), ["doc"])
     done = resolve(spark.createDataFrame([], EMPTY_STATE), batch)
     profile = scoring.Profile("p0", min_alert_score=30, alert_states=P1.alert_states)
@@ -537,25 +536,25 @@ def enrich_descriptions(spark, sf):
 
 
 def digest_top10(spark, sf):
-    rows = reports.digest_rows(views.scored(spark, sf), SCRAPE_NOW, P0.min_alert_score, [])
+    rows = reports.digest_rows(views.stored(spark, sf), SCRAPE_NOW, P0.min_alert_score, [])
     return rows.select("rank", "id", "score", "matches")
 
 
 def digest_text(spark, sf):
-    return reports.digest_text(views.scored(spark, sf), SCRAPE_NOW, "slack", 10, [], "p0")
+    return reports.digest_text(views.stored(spark, sf), SCRAPE_NOW, "slack", 10, [], "p0")
 
 
 def alert_messages(spark, sf):
     lines = F.array(*[F.struct(F.lit(c).alias("channel"), reports.message_line(c).alias("message_line")) for c in reports.CHANNELS])
-    return views.scored(spark, sf).select("id", F.explode(lines).alias("m")).select("id", "m.channel", "m.message_line")
+    return views.stored(spark, sf).select("id", F.explode(lines).alias("m")).select("id", "m.channel", "m.message_line")
 
 
 def report(part: str, alert_score: int) -> Query:
-    return lambda spark, sf: reports.report_tables(views.scored(spark, sf), SCRAPE_NOW, alert_score)[part]
+    return lambda spark, sf: reports.report_tables(views.stored(spark, sf), SCRAPE_NOW, alert_score)[part]
 
 
 def report_text(spark, sf):
-    tables = reports.report_tables(views.scored(spark, sf), SCRAPE_NOW, 30)
+    tables = reports.report_tables(views.stored(spark, sf), SCRAPE_NOW, 30)
     return reports.report_text(tables, 30, SCRAPE_NOW, "p0")
 
 
@@ -587,6 +586,7 @@ def stream_status(spark, sf):
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {
         "flagship_top_matches": flagship_top_matches,
+        "stored_postings": lambda s, d: views.stored(s, d).select("id", "score", "status", "dedup_key", "content_key"),
         "score_breakdown": score_breakdown,
         "dealbreaker_rows": dealbreaker_rows,
         "keyword_hits_by_tier": keyword_hits_by_tier,

@@ -39,7 +39,8 @@ def content_key(
         F.coalesce(F.date_format(date_posted, "yyyy-MM-dd"), F.lit("")),
         text(F.substring(description, 1, CONTENT_PREFIX)),
     ]
-    return _short_hash(F.concat_ws("|", *fields))
+    # Never null; saying so lets the optimiser drop null checks on fresh keys.
+    return F.coalesce(_short_hash(F.concat_ws("|", *fields)), F.lit(""))
 
 
 def matches_by_content(description: Column) -> Column:

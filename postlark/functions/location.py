@@ -13,13 +13,11 @@ METRO_SUFFIX = r"(?U)[\s\x1c-\x1f]*( metropolitan area| metro area)\z"
 
 def state_code(c: Column) -> Column:
     """Two-letter code for a state name or code, null when it is neither."""
-    return F.coalesce(lookup(STATE_CODES, F.lower(c)), F.when(one_of(STATE_CODES.values(), F.upper(c)), F.upper(c)))
+    return F.coalesce(lookup(STATE_CODES, F.lower(c)), one_of(STATE_CODES.values(), F.upper(c)))
 
 
 def country_code(c: Column) -> Column:
-    return F.coalesce(
-        lookup(COUNTRY_CODES, F.lower(c)), F.when(one_of(COUNTRY_CODES.values(), F.upper(c)), F.upper(c))
-    )
+    return F.coalesce(lookup(COUNTRY_CODES, F.lower(c)), one_of(COUNTRY_CODES.values(), F.upper(c)))
 
 
 def normalise_location(
@@ -27,52 +25,45 @@ def normalise_location(
 ) -> DataFrame:
     """Replace the three location columns by their normalised values.
 
-    Every step is a ``when`` over literal maps, so the whole clean-up is one projection and needs no join.
+    Every step is a ``when`` over literal maps, so the whole clean-up is a few projections and needs no join. The
+    steps are plain columns: each is computed once and later steps refer to it.
     """
-    c, s, n = F.col("_loc.c"), F.col("_loc.s"), F.col("_loc.n")
+    c, s, n = F.col("_c"), F.col("_s"), F.col("_n")
     remote_c = F.coalesce(F.col(remote), F.lit(False))
-    step = df.withColumn(
-        "_loc",
-        F.struct(
-            blank_to_null(F.col(city)).alias("c"),
-            blank_to_null(F.col(state)).alias("s"),
-            blank_to_null(F.col(country)).alias("n"),
-        ),
-    )
+    step = df.withColumns({"_c": blank_to_null(F.col(city)), "_s": blank_to_null(F.col(state)), "_n": blank_to_null(F.col(country))})
     # A city that only says 'remote' carries nothing once the flag is set.
-    kept = F.when(~((F.lower(c) == "remote") & remote_c) | c.isNull(), c)
-    step = step.withColumn("_loc", F.struct(kept.alias("c"), s.alias("s"), n.alias("n")))
+    step = step.withColumn("_c", F.when(~(remote_c & (F.lower(c) == "remote")) | c.isNull(), c))
     # What each raw field would mean if it held another field's value.
-    step = step.withColumn(
-        "_as",
-        F.struct(
-            lookup(STATE_CODES, F.lower(c)).alias("city_state"),
-            lookup(COUNTRY_CODES, F.lower(c)).alias("city_country"),
-            lookup(COUNTRY_CODES, F.lower(s)).alias("state_country"),
-            lookup(STATE_CODES, F.lower(s)).alias("state_state"),
-        ),
+    step = step.withColumns({"_lc": F.lower(c), "_ls": F.lower(s)}).withColumns(
+        {
+            "_c_state": lookup(STATE_CODES, F.col("_lc")),
+            "_c_country": lookup(COUNTRY_CODES, F.col("_lc")),
+            "_s_state": lookup(STATE_CODES, F.col("_ls")),
+            "_s_country": lookup(COUNTRY_CODES, F.col("_ls")),
+        }
     )
-    city_state, city_country = F.col("_as.city_state"), F.col("_as.city_country")
-    state_country, state_state = F.col("_as.state_country"), F.col("_as.state_state")
-    shifted = city_state.isNotNull() & state_country.isNotNull()
-    country_in_city = ~shifted & s.isNull() & city_country.isNotNull()
-    country_in_state = ~shifted & state_country.isNotNull() & state_state.isNull()
-    step = step.withColumn(
-        "_loc",
-        F.struct(
-            F.when(~(shifted | country_in_city), c).alias("c"),
-            F.when(shifted, city_state).when(~country_in_state, s).alias("s"),
-            F.when(shifted | country_in_state, state_country)
-            .when(country_in_city, city_country)
-            .otherwise(n)
-            .alias("n"),
-        ),
+    shifted = F.col("_c_state").isNotNull() & F.col("_s_country").isNotNull()
+    how = (
+        F.when(shifted, "shifted")
+        .when(s.isNull() & F.col("_c_country").isNotNull(), "country in city")
+        .when(F.col("_s_country").isNotNull() & F.col("_s_state").isNull(), "country in state")
+        .otherwise("")
     )
-    bare = strip(F.regexp_replace(F.lower(s), METRO_SUFFIX, ""))
-    code = F.coalesce(
-        lookup(STATE_CODES, bare), F.when(one_of(STATE_CODES.values(), F.upper(s)), F.upper(s)), s
+    step = step.withColumn("_how", how)
+    moved = F.col("_how")
+    step = step.withColumns(
+        {
+            "_c": F.when(~moved.isin("shifted", "country in city"), c),
+            "_s": F.when(moved == "shifted", F.col("_c_state")).when(moved != "country in state", s),
+            "_n": F.when(moved == "country in city", F.col("_c_country"))
+            .when(moved != "", F.col("_s_country"))
+            .otherwise(n),
+        }
     )
-    return step.withColumns({city: c, state: code, country: F.coalesce(country_code(n), n)}).drop("_loc", "_as")
+    bare = strip(F.regexp_replace(F.lower(s), METRO_SUFFIX, ""))
+    code = F.coalesce(lookup(STATE_CODES, bare), one_of(STATE_CODES.values(), F.upper(s)), s)
+    out = step.withColumns({city: c, state: code, country: F.coalesce(country_code(n), n)})
+    return out.drop("_c", "_s", "_n", "_lc", "_ls", "_c_state", "_c_country", "_s_state", "_s_country", "_how")
 
 
 def location_display(city: Column, state: Column, remote: Column) -> Column:

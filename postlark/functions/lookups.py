@@ -35,13 +35,13 @@ COUNTRY_CODES = {
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:
-    """Value for ``key`` in a literal map, null when absent. Constant-folded, so no join and no shuffle."""
-    entries = [F.lit(x) for pair in table.items() for x in pair]
-    return F.try_element_at(F.create_map(*entries), key)
+    """Value for ``key`` in a literal map, null when absent. Folded to one literal, so no join and no shuffle."""
+    return F.try_element_at(F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in table.items()))), key)
 
 
 def one_of(values, c: Column) -> Column:
-    return F.coalesce(c.isin(sorted(set(values))), F.lit(False))
+    """``c`` itself when it is among the values, else null."""
+    return lookup({v: v for v in sorted(set(values))}, c)
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -9,6 +9,7 @@ from postlark.functions.keys import content_key
 from postlark.functions.location import normalise_location
 from postlark.operators.filters import apply_filters
 from postlark.operators.scoring import score
+from postlark.operators.spread import settled
 from postlark.profiles import Profile
 from postlark.schemas import ACTIVE_STATUSES, UPDATE_STATUSES
 
@@ -188,7 +189,7 @@ def location_fixes(df: DataFrame) -> DataFrame:
         .when(had_country & ~new_country.eqNullSafe(country), "country_normalized")
         .otherwise("other")
     )
-    return out.withColumn("changed", changed).withColumn("reason", F.when(changed, reason))
+    return settled(out.withColumn("reason", reason), {"changed": changed, "reason": F.when(changed, F.col("reason"))})
 
 
 def fix_locations(df: DataFrame, as_of: Column | None = None) -> tuple[DataFrame, DataFrame]:

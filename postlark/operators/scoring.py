@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlark.functions.lookups import any_of
+from postlark.operators.spread import settled
 from postlark.profiles import Profile
 from postlark.schemas import BREAKDOWN
 
@@ -96,18 +97,23 @@ def as_date(as_of) -> Column:
     return F.lit(text).cast("date")
 
 
-def _breakdown(profile: Profile, as_of: Column) -> Column:
-    hits = keyword_hits(profile, F.col("_text"))
-    scored = F.struct(
-        keyword_points(**hits).alias("keyword"),
-        company_points(profile, F.col("_company")).alias("company"),
-        title_points(profile, F.col("_title")).alias("title"),
-        recency_points(F.col("date_posted"), as_of).alias("recency"),
-        F.lit(None).cast("boolean").alias("dealbreaker"),
-    ).cast(BREAKDOWN)
-    nothing = [F.lit(None).cast("int").alias(n) for n in ("keyword", "company", "title", "recency")]
-    broken = F.struct(*nothing, F.lit(True).alias("dealbreaker")).cast(BREAKDOWN)
-    return F.when(dealbreaker(profile), broken).otherwise(scored)
+def _with_hits(df: DataFrame, profile: Profile, tag: str) -> DataFrame:
+    """Add the dealbreaker flag and the keyword hits as columns, so that each text search runs once."""
+    hits = {f"{tag}_{t}": c for t, c in keyword_hits(profile, F.col("_text")).items()}
+    return df.withColumns({f"{tag}_broken": dealbreaker(profile), **hits})
+
+
+def _breakdown(profile: Profile, as_of: Column, tag: str) -> Column:
+    """Score parts from the columns of ``_with_hits``; nothing but the flag for a dealbreaker."""
+    parts = {
+        "keyword": keyword_points(*[F.col(f"{tag}_{t}") for t in ("critical", "strong", "moderate", "weak")]),
+        "company": company_points(profile, F.col("_company")),
+        "title": title_points(profile, F.col("_title")),
+        "recency": recency_points(F.col("date_posted"), as_of),
+    }
+    broken = F.col(f"{tag}_broken")
+    fields = [F.when(~broken, c).alias(n) for n, c in parts.items()]
+    return F.struct(*fields, F.when(broken, F.lit(True)).alias("dealbreaker")).cast(BREAKDOWN)
 
 
 def total(breakdown: str) -> Column:
@@ -117,8 +123,11 @@ def total(breakdown: str) -> Column:
 
 def score(df: DataFrame, profile: Profile, as_of) -> DataFrame:
     """Add ``score`` and ``score_breakdown``. A dealbreaker scores 0 and its breakdown holds only that flag."""
-    out = prepared(df).withColumn("score_breakdown", _breakdown(profile, as_date(as_of)))
-    return out.withColumn("score", total("score_breakdown")).drop("_text", "_title", "_company")
+    columns = [c for c in df.columns if c not in ("score", "score_breakdown")]
+    rows = _with_hits(prepared(df.select(columns)), profile, "_p").withColumn("_b", _breakdown(profile, as_date(as_of), "_p"))
+    return settled(rows, {"score": total("_b"), "score_breakdown": F.col("_b")}).select(
+        *columns, "score_breakdown", "score"
+    )
 
 
 def score_profiles(df: DataFrame, profiles: list[Profile], as_of) -> DataFrame:
@@ -127,14 +136,12 @@ def score_profiles(df: DataFrame, profiles: list[Profile], as_of) -> DataFrame:
     day = as_date(as_of)
     out = None
     for i in range(0, len(profiles), PROFILES_PER_SELECT):
-        chunk = profiles[i : i + PROFILES_PER_SELECT]
-        rows = F.array(
-            *[F.struct(F.lit(p.name).alias("profile"), _breakdown(p, day).alias("breakdown")) for p in chunk]
-        )
-        part = prepared(df).select(*df.columns, F.explode(rows).alias("_p"))
-        part = part.select(
-            F.col("_p.profile").alias("profile"), *df.columns, F.col("_p.breakdown").alias("score_breakdown")
-        ).withColumn("score", total("score_breakdown"))
+        rows, parts = prepared(df), []
+        for j, p in enumerate(profiles[i : i + PROFILES_PER_SELECT]):
+            rows = _with_hits(rows, p, f"_p{j}")
+            parts.append(F.struct(F.lit(p.name).alias("profile"), _breakdown(p, day, f"_p{j}").alias("score_breakdown")))
+        part = rows.select(*df.columns, F.inline(F.array(*parts))).withColumn("score", total("score_breakdown"))
+        part = part.select("profile", *df.columns, "score_breakdown", "score")
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no profiles given")

@@ -8,9 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# A key outside the HEAVY_KEYS heaviest owns at most 1/HEAVY_KEYS of the rows, and at most HEAVY_KEYS are broadcast.
+# Keys below HEAVY_ROWS rows fit any task. Of the others, a key outside the HEAVY_KEYS heaviest owns at most one
+# HEAVY_KEYS-th of all rows; so treating just those apart bounds every task and every broadcast.
+HEAVY_ROWS = 10_000
 HEAVY_KEYS = 1_000
-SPREAD = 64
 NUMBER_BLOCK = 1 << 20
 
 
@@ -36,39 +37,49 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def heavy_keys(rows: DataFrame, key: str) -> DataFrame:
-    """The heaviest keys of ``rows``: a bounded table, found with partial counts and a top-k."""
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    A filter on a plain computed column is pushed below its projection and computes it a second time; for scores over
+    long texts that doubles the work. As the output of a one-row generator the values are read instead.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def heavy_keys(rows: DataFrame, key: str) -> list:
+    """The keys that own more than HEAVY_ROWS rows, heaviest first and at most HEAVY_KEYS of them.
+
+    Counts are combined inside tasks, and only this bounded list reaches the driver.
+    """
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    return counts.where("_n > 1").orderBy(F.desc("_n"), key).limit(HEAVY_KEYS).select(key)
+    top = counts.where(F.col("_n") > HEAVY_ROWS).orderBy(F.desc("_n"), key).limit(HEAVY_KEYS)
+    return [r[0] for r in top.collect()]
 
 
-def attach(rows: DataFrame, table: DataFrame, key: str, spread_by: str) -> DataFrame:
+def attach(rows: DataFrame, table: DataFrame, key: str, spread_by: str, heavy: list | None = None) -> DataFrame:
     """Left join of ``rows`` to a table with one row per key, safe for hot keys.
 
-    The table rows of the heaviest keys are broadcast (never more than HEAVY_KEYS). Rows holding such a key, or no
-    key, are dealt over all partitions of the remaining shuffle join, where they match nothing.
+    The table rows of heavy keys are broadcast (never more than HEAVY_KEYS of them). In the shuffle join for all other
+    keys, rows with a heavy key or none are dealt over all partitions by ``spread_by`` and match nothing there.
+    ``heavy`` may be given by a caller that knows a superset of these rows.
     """
+    if heavy is None:
+        heavy = heavy_keys(rows, key)
     values = [c for c in table.columns if c != key]
-    heavy = heavy_keys(rows, key)
-    hot = heavy.join(table, key, "left").select(
-        F.col(key).alias("_hk"), *[F.col(v).alias(f"_h_{v}") for v in values]
-    )
-    marked = rows.join(F.broadcast(hot), rows[key] == hot["_hk"], "left")
-    alone = F.col("_hk").isNotNull() | F.col(key).isNull()
-    marked = marked.withColumn("_salt", F.when(alone, 1 + F.pmod(F.hash(spread_by), F.lit(SPREAD))).otherwise(0))
-    marked = marked.withColumn("_jk", F.coalesce(key, F.lit("") if _is_text(rows, key) else F.lit(0)))
+    alone = F.col(key).isNull() | (F.col(key).isin(heavy) if heavy else F.lit(False))
+    dealt = F.concat(F.lit("~"), F.col(spread_by).cast("string"))
+    marked = rows.withColumn("_jk", F.when(alone, dealt).otherwise(F.col(key).cast("string")))
     cold = table.where(F.col(key).isNotNull()).select(
-        F.col(key).alias("_jk"), F.lit(0).alias("_salt"), *[F.col(v).alias(f"_c_{v}") for v in values]
-    )
-    joined = marked.join(cold, ["_jk", "_salt"], "left")
-    return joined.select(
-        *rows.columns,
-        *[F.when(F.col("_hk").isNotNull(), F.col(f"_h_{v}")).otherwise(F.col(f"_c_{v}")).alias(v) for v in values],
+        F.col(key).cast("string").alias("_jk"), *[F.col(v).alias(f"_c_{v}") for v in values]
     )
-
-
-def _is_text(df: DataFrame, column: str) -> bool:
-    return df.schema[column].dataType.typeName() == "string"
+    joined = marked.join(cold, "_jk", "left")
+    if not heavy:
+        return joined.select(*rows.columns, *[F.col(f"_c_{v}").alias(v) for v in values])
+    hot = table.where(F.col(key).isin(heavy)).select(F.col(key), *[F.col(v).alias(f"_h_{v}") for v in values])
+    both = joined.join(F.broadcast(hot), key, "left")
+    picked = [F.when(F.col(key).isin(heavy), F.col(f"_h_{v}")).otherwise(F.col(f"_c_{v}")).alias(v) for v in values]
+    return both.select(*rows.columns, *picked)
 
 
 def sequenced(rows: DataFrame, order_by: list[str | Column], name: str = "seq") -> DataFrame:

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlark.operators.spread import attach, cut, dense_rank_of
+from postlark.operators.spread import attach, cut, dense_rank_of, heavy_keys
 
 EVENT = ["seq", "dedup_key", "content_key", "long", "score", "score_breakdown", "status"]
 
@@ -43,25 +43,26 @@ def _least(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias(value))
 
 
-def membership(fresh: DataFrame) -> tuple[DataFrame, int]:
-    """Sequence numbers to insert among rows (seq, dedup_key, content_key, long) that match nothing stored."""
+def membership(fresh: DataFrame, heavy: dict[str, list] | None = None) -> tuple[DataFrame, int]:
+    """Rows to insert among rows (seq, dedup_key, content_key, long) that match nothing stored, and the rounds taken."""
+    heavy = heavy or {k: heavy_keys(fresh, k) for k in ("dedup_key", "content_key")}
     # Later copies of the same key, content and length class share the fate of the first one.
     undecided = cut(fresh.groupBy("dedup_key", "content_key", "long").agg(F.min("seq").alias("seq")))
     inserted, rounds = None, 0
     while not undecided.isEmpty():
         rounds += 1
-        first_key = _least(undecided, "dedup_key", "seq").select("seq")
-        first_content = _least(undecided, "content_key", "seq").select("seq", F.lit(True).alias("_first"))
-        sure = undecided.join(first_key, "seq", "left_semi").join(first_content, "seq", "left")
-        sure = cut(
-            sure.where(~F.col("long") | F.col("content_key").isNull() | F.col("_first").isNotNull()).drop("_first")
-        )
+        first_key = _least(undecided, "dedup_key", "seq").select("seq", F.lit(True).alias("_first_key"))
+        first_content = _least(undecided, "content_key", "seq").select("seq", F.lit(True).alias("_first_content"))
+        marked = undecided.join(first_key, "seq", "left").join(first_content, "seq", "left")
+        unopposed = ~F.col("long") | F.col("content_key").isNull() | F.col("_first_content").isNotNull()
+        marked = marked.withColumn("sure", F.col("_first_key").isNotNull() & unopposed)
+        marked = cut(marked.select(*undecided.columns, "sure"))
+        sure = marked.where("sure").drop("sure")
         inserted = sure if inserted is None else inserted.unionByName(sure)
-        rest = undecided.join(sure.select("seq"), "seq", "left_anti")
         by_key = sure.select("dedup_key", F.col("seq").alias("_key_at"))
         by_content = _least(sure, "content_key", "seq").withColumnRenamed("seq", "_content_at")
-        rest = attach(rest, by_key, "dedup_key", "seq")
-        rest = attach(rest, by_content, "content_key", "seq")
+        rest = attach(marked.where("not sure"), by_key, "dedup_key", "seq", heavy["dedup_key"])
+        rest = attach(rest, by_content, "content_key", "seq", heavy["content_key"])
         blocked = F.coalesce(F.col("_key_at") < F.col("seq"), F.lit(False)) | (
             F.col("long") & F.coalesce(F.col("_content_at") < F.col("seq"), F.lit(False))
         )
@@ -69,69 +70,62 @@ def membership(fresh: DataFrame) -> tuple[DataFrame, int]:
     return (fresh.limit(0) if inserted is None else inserted).select("seq", "dedup_key", "content_key"), rounds
 
 
-def _fold(events: DataFrame) -> DataFrame:
+def _fold(events: DataFrame, heavy: list) -> DataFrame:
     """Final score, breakdown and status per target from its events (seq, kind, score, score_breakdown, status).
 
     The last event by source key (or the insert) sets the score outright; later copies only raise it. The status
-    follows events by source key until it leaves new and filtered.
+    follows events by source key until it leaves new and filtered. ``began`` is the first event: -1 for stored targets.
     """
-    base = events.where("kind <> 'content'")
     sticky = ~F.col("status").isin("new", "filtered")
-    latest = base.groupBy("target_id").agg(
+    base = events.where("kind <> 'content'").groupBy("target_id").agg(
+        F.min("seq").alias("began"),
         F.max("seq").alias("_from"),
         F.min(F.when(sticky, F.struct("seq", "status"))).alias("_sticky"),
         F.max(F.struct("seq", "status")).alias("_last"),
     )
-    status = F.coalesce(F.col("_sticky.status"), F.col("_last.status")).alias("status")
-    latest = cut(latest.select("target_id", "_from", status))
-    seen = attach(events, latest.select("target_id", "_from"), "target_id", "seq")
-    counted = seen.where((F.col("seq") == F.col("_from")) | ((F.col("kind") == "content") & (F.col("seq") > F.col("_from"))))
-    best = F.max(F.struct("score", (-F.col("seq")).alias("early"), "score_breakdown")).alias("_best")
-    scores = counted.groupBy("target_id").agg(best)
-    return scores.join(latest, "target_id").select(
-        "target_id",
-        F.col("_best.score").alias("score"),
-        F.col("_best.score_breakdown").alias("score_breakdown"),
-        "status",
-    )
+    settled = F.coalesce(F.col("_sticky.status"), F.col("_last.status"))
+    base = base.select("target_id", "began", "_from", settled.alias("_settled"))
+    seen = attach(events, base, "target_id", "seq", heavy)
+    later_copy = (F.col("kind") == "content") & (F.col("seq") > F.col("_from"))
+    best = F.max(F.struct("score", (-F.col("seq")).alias("early"), "score_breakdown"))
+    scores = seen.where((F.col("seq") == F.col("_from")) | later_copy).groupBy("target_id")
+    return scores.agg(
+        best.alias("_best"), F.min("began").alias("began"), F.max("_settled").alias("status")
+    ).select("target_id", "began", "_best.score", "_best.score_breakdown", "status")
 
 
 def resolve(stored: DataFrame, batch: DataFrame) -> Upserted:
     """Work out inserts and updates.
 
-    ``stored`` needs id, dedup_key, content_key, score, score_breakdown and status. ``batch`` needs a unique ``seq``
-    (arrival order, 0 or more), ``long``, and the same columns without id. Wide columns take no part.
+    ``stored`` needs id, dedup_key, content_key, score, score_breakdown and status. ``batch`` is a written table, as
+    ``sequenced`` leaves it, with a unique ``seq`` (arrival order, 0 or more), ``long``, and the same columns without
+    id. Wide columns take no part.
     """
     stored = stored.select("id", "dedup_key", "content_key", "score", "score_breakdown", "status")
-    rows = cut(batch.select(*EVENT))
+    rows = batch.select(*EVENT)
+    heavy = {k: heavy_keys(rows, k) for k in ("dedup_key", "content_key")}
     by_key = stored.join(rows.select("dedup_key").distinct(), "dedup_key", "left_semi")
     by_key = by_key.select("dedup_key", F.col("id").alias("key_id"))
     by_content = stored.join(rows.where("long").select("content_key").distinct(), "content_key", "left_semi")
     by_content = _least(by_content, "content_key", "id").withColumnRenamed("id", "content_id")
-    rows = attach(rows, by_key, "dedup_key", "seq")
-    rows = cut(attach(rows, by_content, "content_key", "seq"))
+    rows = attach(rows, by_key, "dedup_key", "seq", heavy["dedup_key"])
+    rows = cut(attach(rows, by_content, "content_key", "seq", heavy["content_key"]))
 
     fresh = rows.where(F.col("key_id").isNull() & ~(F.col("long") & F.col("content_id").isNotNull()))
-    chosen, rounds = membership(fresh.select("seq", "dedup_key", "content_key", "long"))
+    chosen, rounds = membership(fresh.select("seq", "dedup_key", "content_key", "long"), heavy)
     top = stored.agg(F.max("id")).first()[0] or 0
     new = dense_rank_of(chosen, "seq", "_rank")
     new = cut(new.select("seq", "dedup_key", "content_key", (F.col("_rank") + top).alias("new_id")))
 
     new_key = new.select("dedup_key", F.col("seq").alias("new_key_seq"), F.col("new_id").alias("new_key_id"))
-    new_content = new.where(F.col("content_key").isNotNull()).groupBy("content_key")
-    new_content = new_content.agg(F.min("new_id").alias("new_content_id"))
-    rows = attach(rows, new_key, "dedup_key", "seq")
-    rows = attach(rows, new_content, "content_key", "seq")
-    earlier = F.col("new_key_seq") < F.col("seq")
-    kind = (
-        F.when(F.col("key_id").isNotNull(), "key")
-        .when(F.col("new_key_seq") == F.col("seq"), "insert")
-        .when(earlier, "key")
-        .otherwise("content")
-    )
+    new_content = _least(new, "content_key", "new_id").withColumnRenamed("new_id", "new_content_id")
+    rows = attach(rows, new_key, "dedup_key", "seq", heavy["dedup_key"])
+    rows = attach(rows, new_content, "content_key", "seq", heavy["content_key"])
+    known, here, earlier = F.col("key_id").isNotNull(), F.col("new_key_seq") == F.col("seq"), F.col("new_key_seq") < F.col("seq")
+    kind = F.when(known | earlier, "key").when(here, "insert").otherwise("content")
     target = (
-        F.when(F.col("key_id").isNotNull(), F.col("key_id"))
-        .when(F.col("new_key_seq") <= F.col("seq"), F.col("new_key_id"))
+        F.when(known, F.col("key_id"))
+        .when(here | earlier, F.col("new_key_id"))
         .otherwise(F.coalesce("content_id", "new_content_id"))
     )
     events = cut(
@@ -146,13 +140,14 @@ def resolve(stored: DataFrame, batch: DataFrame) -> Upserted:
         "score_breakdown",
         "status",
     )
-    final = _fold(events.unionByName(before))
-    inserted = final.join(new.select("seq", F.col("new_id").alias("target_id")), "target_id")
-    updated = final.join(before.select("target_id"), "target_id", "left_semi")
+    # A target collects rows of one source key and one content key, so without heavy keys none is heavy.
+    heavy_targets = heavy_keys(events, "target_id") if any(heavy.values()) else []
+    final = cut(_fold(events.unionByName(before), heavy_targets))
+    values = [F.col("target_id").alias("id"), "score", "score_breakdown", "status"]
     return Upserted(
         events.select("seq", "target_id", "kind"),
-        inserted.select("seq", F.col("target_id").alias("id"), "score", "score_breakdown", "status"),
-        updated.select(F.col("target_id").alias("id"), "score", "score_breakdown", "status"),
+        final.where("began >= 0").select(F.col("began").alias("seq"), *values),
+        final.where("began < 0").select(*values),
         rounds,
     )
 

@@ -411,6 +411,7 @@ d AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS rank, count(*) OVER () A
     out = {
         # scoring
         "flagship_top_matches": f"{J} SELECT id, score, title, company, {PLACE} AS location, date_posted, status FROM j WHERE score >= 20 ORDER BY {ORDER} LIMIT 30",
+        "stored_postings": f"{J} SELECT id, score, status, dedup_key, content_key FROM j",
         "score_breakdown": f"{J} SELECT id, score, {breakdown}, broken AS dealbreaker FROM j",
         "dealbreaker_rows": f"{J} SELECT id, company, status FROM j WHERE broken",
         "keyword_hits_by_tier": f"{J} SELECT id, critical_hits, strong_hits, moderate_hits, weak_hits, kw AS keyword FROM j",
@@ -553,9 +554,9 @@ d AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS rank, count(*) OVER () A
         "seen_first": """SELECT event_id, run_id, seen_key FROM (SELECT event_id, user_id % 20 AS run_id, CAST(floor(value) AS BIGINT) AS seen_key, event_id // 100 AS page_no, event_id % 100 AS pos
           FROM events) QUALIFY row_number() OVER (PARTITION BY run_id, seen_key ORDER BY page_no, pos) = 1""",
         "task_cap": """SELECT event_id, run_id FROM (SELECT event_id, user_id AS run_id FROM events) QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY event_id // 100, event_id % 100) <= 25""",
-        "page_prefix": """WITH p AS (SELECT o_custkey AS run_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS page_no, o_orderpriority <> '5-LOW' AS full,
+        "page_prefix": """WITH p AS (SELECT o_custkey AS run_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS page_no, o_orderpriority <> '5-LOW' AS gives,
             o_orderstatus <> 'F' AS more FROM orders),
-          w AS (SELECT *, min(CAST(full AS INTEGER)) OVER (PARTITION BY run_id ORDER BY page_no) AS ok,
+          w AS (SELECT *, min(CAST(gives AS INTEGER)) OVER (PARTITION BY run_id ORDER BY page_no) AS ok,
             coalesce(min(CAST(more AS INTEGER)) OVER (PARTITION BY run_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS cur FROM p)
           SELECT run_id, page_no FROM w WHERE ok = 1 AND cur = 1 AND page_no <= 3""",
         "task_fanout": """WITH s AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i FROM (SELECT DISTINCT source FROM documents)),

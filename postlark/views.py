@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlark.functions.keys import content_key, dedup_key
 from postlark.functions.location import normalise_location
 from postlark.operators.scoring import score
+from postlark.operators.spread import shared_folder
 from postlark.profiles import Profile
 from postlark.schemas import BREAKDOWN
 
@@ -63,6 +66,14 @@ P0_EDITED = Profile(
 )
 
 
+STORED = (
+    "id bigint, source string, source_id string, url string, title string, company string, city string, state string, "
+    "country string, is_remote boolean, description string, comp_min double, comp_max double, comp_interval string, "
+    "date_posted date, date_scraped timestamp_ntz, search_term string, status string, dedup_key string, "
+    f"content_key string, score_breakdown {BREAKDOWN}, score int"
+)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -132,6 +143,22 @@ def scored(spark: SparkSession, sf_dir: str, profile: Profile = P0) -> DataFrame
     return df.withColumn("status", status)
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored postings as a stored table, written to the shared folder once per application.
+
+    Queries on stored postings read it like any table: filters reach the scan and unused columns are not read.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = f"{shared_folder(spark).rstrip('/')}/postings-{uuid.uuid4().hex}"
+        scored(spark, sf_dir).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.schema(STORED).parquet(_STORED[key])
+
+
 def ingest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"),
@@ -167,10 +194,6 @@ def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def empty_breakdown():
-    return F.lit(None).cast(BREAKDOWN)
-
-
 # --- landed payloads derived from documents ---
 
 PAGE_ROWS, RUN_ROWS = 10, 40

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from postlark.operators import spread
 from postlark.operators.spread import attach, cut, numbered, sequenced, shared_folder
 from postlark.operators.upsert import apply_changes, membership, resolve
 from postlark.schemas import BREAKDOWN
@@ -102,7 +103,13 @@ def test_chain_needs_rounds(spark):
     assert check(spark, [], short_first) > 1
 
 
-def test_one_hot_key(spark):
+@pytest.fixture()
+def few_rows_are_heavy(monkeypatch):
+    monkeypatch.setattr(spread, "HEAVY_ROWS", 20)
+    monkeypatch.setattr(spread, "HEAVY_KEYS", 3)
+
+
+def test_one_hot_key(spark, few_rows_are_heavy):
     hot = [(i, "same", "c", True, i % 7, breakdown(i), "new") for i in range(300)]
     copies = [(300 + i, f"k{i}", "c", True, i % 9, breakdown(300 + i), "new") for i in range(300)]
     short = [(600 + i, f"s{i}", "c", False, 1, breakdown(600 + i), "new") for i in range(100)]
@@ -122,12 +129,13 @@ def test_membership_marks_sure_rows(spark):
     assert sorted(r.seq for r in got.collect()) == [0, 2] and rounds == 1
 
 
-def test_attach_keeps_every_row(spark):
+def test_attach_keeps_every_row(spark, few_rows_are_heavy):
     rows = spark.range(1000).selectExpr("id", "case when id % 3 = 0 then 'hot' when id % 100 = 1 then null else concat('k', id % 50) end k")
     table = spark.createDataFrame([("hot", 1), ("k1", 2), ("zz", 3)], "k string, v int")
     got = attach(rows, table, "k", "id")
     want = rows.join(table, "k", "left").select("id", "k", "v")
     assert sorted(got.collect(), key=lambda r: r.id) == sorted(want.collect(), key=lambda r: r.id)
+    assert spread.heavy_keys(rows, "k") == ["hot"]
 
 
 def test_numbers(spark):
