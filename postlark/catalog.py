@@ -554,8 +554,8 @@ def report(part: str, alert_score: int) -> Query:
 
 
 def report_text(spark, sf):
-    tables = reports.report_tables(views.stored(spark, sf), SCRAPE_NOW, 30)
-    return reports.report_text(tables, 30, SCRAPE_NOW, "p0")
+    tables = reports.report_tables(views.stored(spark, sf), SCRAPE_NOW, 50)
+    return reports.report_text(tables, 50, SCRAPE_NOW, "p0")
 
 
 # --- streaming ---
@@ -569,7 +569,9 @@ def stream_ingest(spark, sf):
     store = Store(spark, f"{folder}/store")
     query = start_ingest(spark, f"{folder}/landing", store, P0, f"{folder}/checkpoint")
     query.awaitTermination()
-    return store.state().select("id", "source_id", "dedup_key", "content_key", "status", "title", "city", "state")
+    return store.state().select(
+        "id", "source_id", "dedup_key", "content_key", "status", "title", "city", "state"
+    )
 
 
 def stream_status(spark, sf):

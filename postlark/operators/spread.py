@@ -47,14 +47,19 @@ def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def heavy_keys(rows: DataFrame, key: str) -> list:
-    """The keys that own more than HEAVY_ROWS rows, heaviest first and at most HEAVY_KEYS of them.
+def heavy_keys(rows: DataFrame, *keys: str) -> dict[str, list]:
+    """Per key column, the keys that own more than HEAVY_ROWS rows: the heaviest, at most HEAVY_KEYS in all.
 
     Counts are combined inside tasks, and only this bounded list reaches the driver.
     """
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    top = counts.where(F.col("_n") > HEAVY_ROWS).orderBy(F.desc("_n"), key).limit(HEAVY_KEYS)
-    return [r[0] for r in top.collect()]
+    kind = {k: rows.schema[k].dataType.typeName() for k in keys}
+    pairs = F.array(*[F.struct(F.lit(k).alias("_of"), F.col(k).cast("string").alias("_key")) for k in keys])
+    counts = rows.select(F.inline(pairs)).where("_key is not null").groupBy("_of", "_key").agg(F.count("*").alias("_n"))
+    top = counts.where(F.col("_n") > HEAVY_ROWS).orderBy(F.desc("_n"), "_of", "_key").limit(HEAVY_KEYS)
+    out: dict[str, list] = {k: [] for k in keys}
+    for r in top.collect():
+        out[r["_of"]].append(r["_key"] if kind[r["_of"]] == "string" else int(r["_key"]))
+    return out
 
 
 def attach(rows: DataFrame, table: DataFrame, key: str, spread_by: str, heavy: list | None = None) -> DataFrame:
@@ -65,7 +70,7 @@ def attach(rows: DataFrame, table: DataFrame, key: str, spread_by: str, heavy: l
     ``heavy`` may be given by a caller that knows a superset of these rows.
     """
     if heavy is None:
-        heavy = heavy_keys(rows, key)
+        heavy = heavy_keys(rows, key)[key]
     values = [c for c in table.columns if c != key]
     alone = F.col(key).isNull() | (F.col(key).isin(heavy) if heavy else F.lit(False))
     dealt = F.concat(F.lit("~"), F.col(spread_by).cast("string"))

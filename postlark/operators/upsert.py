@@ -45,7 +45,7 @@ def _least(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 def membership(fresh: DataFrame, heavy: dict[str, list] | None = None) -> tuple[DataFrame, int]:
     """Rows to insert among rows (seq, dedup_key, content_key, long) that match nothing stored, and the rounds taken."""
-    heavy = heavy or {k: heavy_keys(fresh, k) for k in ("dedup_key", "content_key")}
+    heavy = heavy or heavy_keys(fresh, "dedup_key", "content_key")
     # Later copies of the same key, content and length class share the fate of the first one.
     undecided = cut(fresh.groupBy("dedup_key", "content_key", "long").agg(F.min("seq").alias("seq")))
     inserted, rounds = None, 0
@@ -103,7 +103,7 @@ def resolve(stored: DataFrame, batch: DataFrame) -> Upserted:
     """
     stored = stored.select("id", "dedup_key", "content_key", "score", "score_breakdown", "status")
     rows = batch.select(*EVENT)
-    heavy = {k: heavy_keys(rows, k) for k in ("dedup_key", "content_key")}
+    heavy = heavy_keys(rows, "dedup_key", "content_key")
     by_key = stored.join(rows.select("dedup_key").distinct(), "dedup_key", "left_semi")
     by_key = by_key.select("dedup_key", F.col("id").alias("key_id"))
     by_content = stored.join(rows.where("long").select("content_key").distinct(), "content_key", "left_semi")
@@ -141,7 +141,7 @@ def resolve(stored: DataFrame, batch: DataFrame) -> Upserted:
         "status",
     )
     # A target collects rows of one source key and one content key, so without heavy keys none is heavy.
-    heavy_targets = heavy_keys(events, "target_id") if any(heavy.values()) else []
+    heavy_targets = heavy_keys(events, "target_id")["target_id"] if any(heavy.values()) else []
     final = cut(_fold(events.unionByName(before), heavy_targets))
     values = [F.col("target_id").alias("id"), "score", "score_breakdown", "status"]
     return Upserted(

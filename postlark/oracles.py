@@ -579,6 +579,25 @@ d AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS rank, count(*) OVER () A
         "report_high": report_list("score >= 40"),
         "report_medium": report_list("score >= 40 AND score < 55"),
     }
+    out["export_files"] = out["export_rows"]
+    out["stream_status"] = out["status_fold"]
+    out["stream_ingest"] = out["ingest_postings"].replace("s.score, s.status", "s.status")
+    listing = f"string_agg('| ' || score || ' | ' || title || ' | ' || company || ' | ' || {PLACE} || ' | ' || {CONCISE} || ' | [apply](' || url || ') |', chr(10) ORDER BY {ORDER})"
+    table = "|| chr(10) || chr(10) || '| Score | Title | Company | Location | Comp | Link |' || chr(10) || '|---|---|---|---|---|---|' || chr(10) ||"
+    out["report_text"] = f"""{matches(40)},
+      high AS (SELECT '## High match (score >= 50)' {table} {listing} AS t FROM (SELECT * FROM m WHERE score >= 50 ORDER BY {ORDER} LIMIT 20)),
+      med AS (SELECT '## Worth review (40-49)' {table} {listing} AS t FROM (SELECT * FROM m WHERE score < 50 ORDER BY {ORDER} LIMIT 20)),
+      more AS (SELECT CASE WHEN count(*) > 20 THEN '*(showing top 20 of ' || count(*) || ')*' END AS t FROM m WHERE score < 50),
+      st AS (SELECT count(*) FILTER (status = 'new') AS n, count(*) FILTER (r) AS s, count(*) FILTER (r AND score >= 50) AS h,
+        count(*) FILTER (r AND score >= 40 AND score < 50) AS w FROM (SELECT *, date_scraped >= {SCRAPED} - INTERVAL 24 HOUR AS r FROM j)),
+      days AS (SELECT CAST(date_scraped AS DATE) AS day, count(*) AS n, count(*) FILTER (score >= 50) AS h, count(*) FILTER (score >= 40 AND score < 50) AS w
+        FROM j WHERE CAST(date_scraped AS DATE) >= CAST({SCRAPED} AS DATE) - 7 GROUP BY 1),
+      trend AS (SELECT '## 7-Day Trend' || chr(10) || chr(10) || '| Date | Total | High (>=50) | Medium (40-49) |' || chr(10) || '|---|---|---|---|' || chr(10)
+        || string_agg('| ' || day || ' | ' || n || ' | ' || h || ' | ' || w || ' |', chr(10) ORDER BY day DESC) AS t FROM days)
+      SELECT concat_ws(chr(10) || chr(10), '# Daily report (p0) — 2024-01-03', '## Summary' || chr(10) || chr(10) || '| Metric | Count |' || chr(10)
+        || '|---|---|' || chr(10) || '| Scraped (24h) | ' || s || ' |' || chr(10) || '| High match (>=50) | ' || h || ' |' || chr(10)
+        || '| Worth review (40-49) | ' || w || ' |' || chr(10) || '| Total unreviewed | ' || n || ' |', high.t, med.t, more.t, trend.t) AS text
+      FROM st, high, med, more, trend"""
     for site in ("indeed", "glassdoor", "ziprecruiter", "linkedin", "bayt", "google"):
         out[f"extract_{site}"] = extraction(site)
     return out

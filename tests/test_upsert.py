@@ -135,7 +135,7 @@ def test_attach_keeps_every_row(spark, few_rows_are_heavy):
     got = attach(rows, table, "k", "id")
     want = rows.join(table, "k", "left").select("id", "k", "v")
     assert sorted(got.collect(), key=lambda r: r.id) == sorted(want.collect(), key=lambda r: r.id)
-    assert spread.heavy_keys(rows, "k") == ["hot"]
+    assert spread.heavy_keys(rows, "k", "id") == {"k": ["hot"], "id": []}
 
 
 def test_numbers(spark):
