@@ -283,6 +283,14 @@ def export_files(spark, sf):
     return read.withColumns({c: F.coalesce(c, F.lit("")) for c in texts})
 
 
+def rehydrated(spark, sf):
+    doc = F.col("id")
+    rows = views.raw_postings(spark, sf).withColumns(
+        {"comp_min": F.when(doc % 4 != 0, F.col("comp_min")), "notes": F.when(doc % 3 == 0, "n")}
+    )
+    return filters.rehydrated(rows).select("id", "city", "state", "country", "comp_min", "comp_max", "notes")
+
+
 # --- statistics ---
 
 
@@ -418,8 +426,6 @@ def upsert_outcomes(spark, sf):
 
 def alerts(spark, sf):
     """New postings of one batch that deserve a message, as Telegram lines."""
-    rows = views.stored(spark, sf).drop("content_key", "dedup_key").withColumnRenamed("id", "doc")
-    rows = rows.withColumn("id", F.col("doc"))
     keyed = views.stored(spark, sf).withColumn("long", matches_by_content(F.col("description"))).withColumnRenamed("id", "doc")
     batch = sequenced(keyed.drop("description"), ["doc"])
     done = resolve(spark.createDataFrame([], EMPTY_STATE), batch)
@@ -622,6 +628,7 @@ def queries() -> dict[str, Query]:
         "recent_context": recent_context,
         "context_lines": context_lines,
         "existing_keys": existing_keys,
+        "rehydrated": rehydrated,
         "export_rows": export_rows,
         "export_files": export_files,
         "by_status": on_scored(stats.by_status),

@@ -29,7 +29,7 @@ def content_key(
     """
 
     def text(c: Column) -> Column:
-        return squeeze(strip(F.lower(F.coalesce(c, F.lit("")))))
+        return squeeze(F.lower(F.coalesce(c, F.lit(""))))
 
     fields = [
         text(title),

@@ -14,6 +14,7 @@ from postlark.functions.lookups import any_of
 
 # Unicode white space; the four separators 0x1c-0x1f count as space too.
 SPACE = r"[\s\x1c-\x1f]"
+SPACE_CHARS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 EMAIL_PATTERN = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 DESCRIPTION_CAP = 50_000
 
@@ -33,7 +34,7 @@ RARE_ENTITY = r"&(?!(?:lt|gt|quot|apos|nbsp|middot|copy|ndash|mdash|amp|#39);)(?
 
 def strip(c: Column) -> Column:
     """Remove leading and trailing Unicode white space (Spark's ``trim`` removes blanks only)."""
-    return F.regexp_replace(c, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -41,8 +42,8 @@ def blank_to_null(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    """Collapse every white-space run to one blank."""
-    return F.regexp_replace(c, rf"(?U){SPACE}+", " ")
+    """Collapse every white-space run to one blank and strip."""
+    return F.trim(F.regexp_replace(c, rf"(?U){SPACE}+", " "))
 
 
 @pandas_udf(StringType())
@@ -63,7 +64,7 @@ def html_to_text(c: Column, rare_entities: bool = True) -> Column:
     if rare_entities:
         rare = _decode_entities(F.when(bare.rlike(RARE_ENTITY), bare))
         decoded = F.coalesce(rare, decoded)
-    return strip(squeeze(decoded))
+    return squeeze(decoded)
 
 
 def extract_emails(c: Column) -> Column:

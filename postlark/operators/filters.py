@@ -7,7 +7,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlark.functions.location import state_code
+from postlark.functions.location import normalise_location, state_code
 from postlark.functions.text import strip
 from postlark.operators.scoring import as_date
 from postlark.schemas import ACTIVE_STATUSES
@@ -124,6 +124,15 @@ def recent_context(df: DataFrame, as_of, days: int = 14, limit: int | None = 50)
     return out if limit is None else out.limit(limit)
 
 
+def rehydrated(df: DataFrame) -> DataFrame:
+    """Stored postings as readers see them: places normalised again, no upper pay without a lower one, no null notes."""
+    out = normalise_location(df)
+    no_pay = F.col("comp_min").isNull()
+    fields = {"comp_max": "double", "comp_currency": "string", "comp_interval": "string"}
+    cleared = {c: F.when(~no_pay, F.col(c)).cast(t) for c, t in fields.items() if c in df.columns}
+    return out.withColumns({**cleared, "notes": F.coalesce("notes", F.lit(""))}).select(*df.columns)
+
+
 def by_id(df: DataFrame, posting_id: int) -> DataFrame:
     return df.where(F.col("id") == posting_id)
 

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from postlark.operators.spread import attach, cut, dense_rank_of, heavy_keys
 
+# A batch of at most this many rows may broadcast its content keys (16 characters each).
+BROADCAST_ROWS = 500_000
 EVENT = ["seq", "dedup_key", "content_key", "long", "score", "score_breakdown", "status"]
 
 
@@ -70,6 +72,15 @@ def membership(fresh: DataFrame, heavy: dict[str, list] | None = None) -> tuple[
     return (fresh.limit(0) if inserted is None else inserted).select("seq", "dedup_key", "content_key"), rounds
 
 
+def _oldest_with_content(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    """Smallest stored id per content key of the batch. Stored rows of one key may be very many, so they are never
+    brought together: a batch of checked size filters them in place, a larger one meets their per-key minimum."""
+    wanted = rows.where("long").select("content_key").distinct()
+    if rows.count() <= BROADCAST_ROWS:
+        return _least(stored.join(F.broadcast(wanted), "content_key", "left_semi"), "content_key", "id")
+    return _least(stored, "content_key", "id").join(wanted, "content_key", "left_semi")
+
+
 def _fold(events: DataFrame, heavy: list) -> DataFrame:
     """Final score, breakdown and status per target from its events (seq, kind, score, score_breakdown, status).
 
@@ -106,8 +117,7 @@ def resolve(stored: DataFrame, batch: DataFrame) -> Upserted:
     heavy = heavy_keys(rows, "dedup_key", "content_key")
     by_key = stored.join(rows.select("dedup_key").distinct(), "dedup_key", "left_semi")
     by_key = by_key.select("dedup_key", F.col("id").alias("key_id"))
-    by_content = stored.join(rows.where("long").select("content_key").distinct(), "content_key", "left_semi")
-    by_content = _least(by_content, "content_key", "id").withColumnRenamed("id", "content_id")
+    by_content = _oldest_with_content(stored, rows).withColumnRenamed("id", "content_id")
     rows = attach(rows, by_key, "dedup_key", "seq", heavy["dedup_key"])
     rows = cut(attach(rows, by_content, "content_key", "seq", heavy["content_key"]))
 

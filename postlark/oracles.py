@@ -488,6 +488,8 @@ d AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS rank, count(*) OVER () A
         "context_lines": f"""{J} SELECT id, '#' || id || ' | ' || company || ' | ' || title || ' | ' || {PLACE} || ' | score:' || score || ' | status:' || status AS line
           FROM j WHERE date_scraped >= TIMESTAMP '2024-01-02 00:00:00' OR status IN ('applied', 'interview', 'offer') ORDER BY {ORDER} LIMIT 50""",
         "existing_keys": f"{J} SELECT id, dedup_key FROM j WHERE dedup_key IN (SELECT substr(sha256(source || ':' || event_id), 1, 16) FROM events JOIN documents ON doc_id = event_id WHERE event_type = 'error')",
+        "rehydrated": f"""WITH {POSTINGS} SELECT id, city, state, country, CASE WHEN id % 4 <> 0 THEN comp_min END AS comp_min,
+          CASE WHEN id % 4 <> 0 THEN comp_max END AS comp_max, CASE WHEN id % 3 = 0 THEN 'n' ELSE '' END AS notes FROM postings""",
         "export_rows": f"""{J} SELECT id, score, company, title, {PLACE} AS location, {PAY} AS salary, coalesce(strftime(date_posted, '%Y-%m-%d'), '') AS date_posted,
           source, status, url FROM j""",
         # statistics
@@ -539,7 +541,7 @@ d AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS rank, count(*) OVER () A
         "upsert_snapshot": f"{UPSERT} SELECT s.id, e.source_id, e.dk AS dedup_key, s.score, s.status FROM settled s JOIN events_of e ON e.target = s.id AND e.kind = 'insert'",
         "upsert_outcomes": f"{UPSERT} SELECT CAST(batch AS INTEGER) AS batch, kind, count(*) AS cnt FROM events_of GROUP BY 1, 2",
         "alerts": f"""{J}, arr AS (SELECT row_number() OVER (ORDER BY id) - 1 AS seq, *, dedup_key AS dk, content_key AS ck, length(description) > 100 AS long FROM j),{FOLD}
-          SELECT 'p0' AS profile, 'telegram' AS channel, row_number() OVER (ORDER BY score DESC, target) AS rank, target AS posting_id, line AS message_line
+          SELECT 'p0' AS profile, 'telegram' AS channel, CAST(0 AS BIGINT) AS batch_id, row_number() OVER (ORDER BY score DESC, target) AS rank, target AS posting_id, line AS message_line
           FROM (SELECT * EXCLUDE (id), target AS id, target FROM events_of) z, LATERAL (SELECT {message("telegram")} AS line) l
           WHERE kind = 'insert' AND NOT broken AND score >= 30 AND ({states})""",
         "ingest_postings": f"""{ingested("indeed")} SELECT s.id, e.source_id, e.dk AS dedup_key, e.ck AS content_key, s.score, s.status, e.title, e.city, e.state

@@ -147,8 +147,8 @@ def message_line(channel: str) -> Column:
     raise ValueError(f"unknown channel: {channel}")
 
 
-def alert_batch(df: DataFrame, channel: str, profile: str = "default") -> DataFrame:
-    """Alerts as rows, best first, none left out: (profile, channel, rank, posting_id, message_line).
+def alert_batch(df: DataFrame, channel: str, profile: str = "default", batch_id: int = 0) -> DataFrame:
+    """Alerts as rows, best first, none left out: (profile, channel, batch_id, rank, posting_id, message_line).
 
     The rank follows score and id and is numbered by range, so a batch of any size is never sorted in one task.
     """
@@ -157,6 +157,7 @@ def alert_batch(df: DataFrame, channel: str, profile: str = "default") -> DataFr
     return ranked.select(
         F.lit(profile).alias("profile"),
         F.lit(channel).alias("channel"),
+        F.lit(batch_id).cast("bigint").alias("batch_id"),
         "rank",
         F.col("id").alias("posting_id"),
         "message_line",

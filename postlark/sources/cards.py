@@ -15,6 +15,7 @@ from postlark.functions.dates import first_number_age, iso_date
 from postlark.functions.location import location_display, normalise_location, split_location
 from postlark.functions.pay import salary_range
 from postlark.functions.text import is_remote
+from postlark.operators.spread import attach
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HIDDEN = {"script", "style", "template"}
@@ -232,7 +233,8 @@ def enrich_descriptions(postings: DataFrame, details: DataFrame) -> DataFrame:
     ok = (F.col("status_code") == 200) & ~F.contains(F.coalesce("url", F.lit("")), F.lit("linkedin.com/signup"))
     pages = details.where(ok).groupBy("source_id").agg(F.max("body").alias("body"))
     texts = pages.select("source_id", detail_text("body").alias("_detail"))
-    joined = postings.join(texts, "source_id", "left")
+    spread = F.concat_ws("-", "run_id", "page_no", "pos")
+    joined = attach(postings.withColumn("_spread", spread), texts, "source_id", "_spread")
     text = F.coalesce("_detail", "description")
     shown = location_display(F.col("city"), F.col("state"), F.lit(False))
     flag = F.col("is_remote") | is_remote(F.col("title"), text, shown)

@@ -135,11 +135,11 @@ def page_prefix(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
 def cap_per_task(df: DataFrame, n: int = RESULTS_WANTED) -> DataFrame:
     """First ``n`` rows per run in page order; rows flagged ``uncapped`` always stay."""
     w = Window.partitionBy("run_id").orderBy("page_no", "pos")
-    if "uncapped" not in df.columns:
-        return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
-    free = df.where("uncapped")
-    capped = df.where("not uncapped").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
-    return capped.unionByName(free)
+    ranked = df.withColumn("_n", F.row_number().over(w))
+    if "uncapped" in df.columns:
+        # Runs are down to a few pages here, so their rows are bounded and need no early limit.
+        return ranked.where(F.col("uncapped") | (F.col("_n") <= n)).drop("_n")
+    return ranked.where(F.col("_n") <= n).drop("_n")
 
 
 def run_rows(extracted: DataFrame, max_pages: int = MAX_PAGES, wanted: int = RESULTS_WANTED) -> DataFrame:

@@ -109,7 +109,7 @@ def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source",
         doc.cast("string").alias("source_id"),
         F.concat(F.lit("https://jobs.example.com/"), doc.cast("string")).alias("url"),
-        F.split_part("text", F.lit("."), F.lit(1)).alias("title"),
+        F.substring_index("text", ".", 1).alias("title"),
         F.col("s_name").alias("company"),
         _pick([p[0] for p in PLACES], spot).alias("city"),
         _pick([p[1] for p in PLACES], spot).alias("state"),
