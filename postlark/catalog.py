@@ -438,7 +438,7 @@ def _empty_postings(spark) -> DataFrame:
 
 
 def _ingest(spark, sf, site="indeed") -> ingesting.Ingested:
-    return ingesting.ingest(views.site_payloads(spark, sf, site), _empty_postings(spark), P0, AS_OF)
+    return ingesting.ingest(views.landed(spark, sf, site), _empty_postings(spark), P0, AS_OF, sites=[site])
 
 
 def ingest_postings(spark, sf):
@@ -456,7 +456,7 @@ def ingest_counters(spark, sf):
 
 
 def ingest_preview(spark, sf):
-    rows = run_rows(extract(views.site_payloads(spark, sf, "indeed"), AS_OF, ["indeed"]))
+    rows = run_rows(extract(views.landed(spark, sf, "indeed"), AS_OF, ["indeed"]))
     found = ingesting.arrivals(rows, P0, AS_OF)
     shown = ingesting.preview(found, P0).select("seq", "dealbreaker")
     return found.join(shown, "seq").select("run_id", "page_no", "pos", "score", "title", "dealbreaker")
@@ -514,7 +514,7 @@ def extracted(site: str) -> Query:
     def run(spark, sf):
         from postlark.functions.location import normalise_location
 
-        rows = run_rows(extract(views.site_payloads(spark, sf, site), AS_OF, [site]))
+        rows = run_rows(extract(views.landed(spark, sf, site), AS_OF, [site]))
         return normalise_location(rows).select(
             "run_id", "page_no", "pos", "source", "source_id", "url", "title", "company", "city", "state", "country",
             "is_remote", F.char_length("description").alias("description_chars"),
@@ -526,7 +526,7 @@ def extracted(site: str) -> Query:
 
 def enrich_descriptions(spark, sf):
     """Card postings with their texts from detail pages; every third page redirects to a sign-up."""
-    rows = run_rows(extract(views.site_payloads(spark, sf, "linkedin"), AS_OF, ["linkedin"]))
+    rows = run_rows(extract(views.landed(spark, sf, "linkedin"), AS_OF, ["linkedin"]))
     doc = views.table(spark, sf, "documents")
     details = doc.select(
         F.col("doc_id").cast("string").alias("source_id"),
@@ -570,10 +570,10 @@ def report_text(spark, sf):
 def stream_ingest(spark, sf):
     """The payload pages as files of a landing folder, ingested by the stream in two rounds of files."""
     folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    pages = views.site_payloads(spark, sf, "indeed")
+    pages = views.landed(spark, sf, "indeed")
     pages.repartitionByRange(2, "run_id").write.json(f"{folder}/landing")
     store = Store(spark, f"{folder}/store")
-    query = start_ingest(spark, f"{folder}/landing", store, P0, f"{folder}/checkpoint")
+    query = start_ingest(spark, f"{folder}/landing", store, P0, f"{folder}/checkpoint", sites=["indeed"])
     query.awaitTermination()
     return store.state().select(
         "id", "source_id", "dedup_key", "content_key", "status", "title", "city", "state"

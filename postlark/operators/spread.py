@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 # HEAVY_KEYS-th of all rows; so treating just those apart bounds every task and every broadcast.
 HEAVY_ROWS = 10_000
 HEAVY_KEYS = 1_000
-NUMBER_BLOCK = 1 << 20
+NUMBER_BLOCK = 1 << 16
 
 
 def shared_folder(spark: SparkSession) -> str:

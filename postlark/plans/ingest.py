@@ -118,11 +118,15 @@ def ingest(
     as_of,
     dry_run: bool = False,
     errors: DataFrame | None = None,
+    sites: list[str] | None = None,
     max_pages: int = MAX_PAGES,
     wanted: int = RESULTS_WANTED,
 ) -> Ingested | DataFrame:
-    """Extract, score, resolve against the stored postings, and describe every write. A dry run only previews."""
-    rows = run_rows(extract(payloads, as_of), max_pages, wanted)
+    """Extract, score, resolve against the stored postings, and describe every write. A dry run only previews.
+
+    Without ``sites`` every registered extractor gets its share of the payloads.
+    """
+    rows = run_rows(extract(payloads, as_of, sites), max_pages, wanted)
     found = arrivals(rows, profile, as_date(as_of))
     if dry_run:
         return preview(found, profile)

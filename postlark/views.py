@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from postlark.operators.scoring import score
 from postlark.operators.spread import shared_folder
 from postlark.profiles import Profile
 from postlark.schemas import BREAKDOWN
+from postlark.sources.payloads import read_payloads
 
 AS_OF = "2024-01-31 00:00:00"
 AS_OF_DAY = "2024-01-31"
@@ -151,12 +153,21 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Queries on stored postings read it like any table: filters reach the scan and unused columns are not read.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED:
-        path = f"{shared_folder(spark).rstrip('/')}/postings-{uuid.uuid4().hex}"
-        scored(spark, sf_dir).write.parquet(path)
-        _STORED[key] = path
-    return spark.read.schema(STORED).parquet(_STORED[key])
+    return _written(spark, sf_dir, lambda path: scored(spark, sf_dir).write.parquet(path), lambda path: spark.read.schema(STORED).parquet(path))
+
+
+def _written(spark: SparkSession, name: str, write, read) -> DataFrame:
+    """Read a table written earlier by this application, or write it first; a cleared folder is written again."""
+    key = (spark.sparkContext.applicationId, name)
+    if key in _STORED:
+        try:
+            return read(_STORED[key])
+        except AnalysisException:
+            del _STORED[key]
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    write(path)
+    _STORED[key] = path
+    return read(path)
 
 
 def ingest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,3 +413,13 @@ def site_payloads(spark: SparkSession, sf_dir: str, site: str) -> DataFrame:
         F.lit("https://x.example/search").alias("url"),
         "body",
     )
+
+
+def landed(spark: SparkSession, sf_dir: str, site: str) -> DataFrame:
+    """The site's payloads as a landing folder partitioned by site, written once per application."""
+    return _written(
+        spark,
+        f"{sf_dir}#{site}",
+        lambda path: site_payloads(spark, sf_dir, site).write.partitionBy("site").parquet(path),
+        lambda path: read_payloads(spark, path, "parquet"),
+    )

@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,6 +16,7 @@ def spark(tmp_path_factory):
         .config("spark.driver.memory", "6g")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.default.parallelism", "2")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint")))
         .getOrCreate()
@@ -34,8 +36,7 @@ def one(spark):
     """Evaluate a column over one row of named values."""
 
     def run(column, **values):
-        schema = ", ".join(f"{k} {t}" for k, (t, _) in values.items()) or "x int"
-        row = tuple(v for _, v in values.values()) or (1,)
-        return spark.createDataFrame([row], schema).select(column.alias("r")).first().r
+        inputs = [F.lit(v).cast(t).alias(k) for k, (t, v) in values.items()]
+        return spark.range(1).select("id", *inputs).select(column.alias("r")).first().r
 
     return run

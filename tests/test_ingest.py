@@ -1,16 +1,23 @@
 import json
 from datetime import datetime, timedelta
+from functools import partial
 
-import pytest
 from pyspark.sql import functions as F
 
 from postlark.operators.upsert import apply_changes
-from postlark.plans.ingest import ingest, ingest_counters
+from postlark.plans import ingest as ingesting
+from postlark.plans.ingest import ingest_counters
 from postlark.profiles import Profile
 from postlark.schemas import PAYLOADS, POSTINGS
-from postlark.streaming.jobs import continuous_trend, ingest_batch, merged_messages, start_ingest, start_status, status_batch
+from postlark.streaming import jobs
+from postlark.streaming.jobs import continuous_trend, merged_messages, start_status, status_batch
 from postlark.streaming.store import Store
 
+# All pages here are of one site, so the other extractors are left out.
+ingest = partial(ingesting.ingest, sites=["indeed"])
+start_ingest = partial(jobs.start_ingest, sites=["indeed"])
+ingest_batch = partial(jobs.ingest_batch, sites=["indeed"])
+
 NOW = datetime(2026, 1, 31, 12)
 PROFILE = Profile("me", {"critical": ["python"]}, {}, {"title": ["(?i)intern"]}, min_alert_score=8, min_display_score=8)
 LONG = "python " + "words " * 40

@@ -26,9 +26,9 @@ def payload(site, body, run_id=1, page_no=1, status=200):
     return (run_id, site, "term", "place", page_no, NOW, status, "http://x", text)
 
 
-def rows_of(spark, *payloads, wanted=None):
+def rows_of(spark, *payloads):
     df = spark.createDataFrame(list(payloads), PAYLOADS)
-    out = extract(df, NOW).where("seen_key is not null")
+    out = extract(df, NOW, sorted({p[1] for p in payloads})).where("seen_key is not null")
     return sorted(out.collect(), key=lambda r: (r.run_id, r.page_no, r.pos))
 
 
