@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +34,10 @@ class Store:
 
     def commits(self) -> DataFrame:
         try:
-            return self.spark.read.schema(COMMIT).json(f"{self.root}/commits/*")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
+            reader = self.spark.read.schema(COMMIT).option("recursiveFileLookup", True)
+            return reader.json(f"{self.root}/commits")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], COMMIT)
 
