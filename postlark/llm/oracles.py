@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
+WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
 OP1 = f"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS words FROM documents),
