@@ -278,8 +278,8 @@ def distinct_anchors(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, n
 
 
 def covered(marks: np.ndarray, width: int, total: int) -> np.ndarray:
-    """Places covered by the windows of ``width`` that start at the marks."""
+    """Places covered by the windows of ``width`` that start at the (distinct) marks."""
     step = np.zeros(total + 1, np.int32)
     step[marks] += 1
-    np.subtract.at(step, np.minimum(marks + width, total), 1)
+    step[marks + width] -= 1
     return np.cumsum(step[:-1]) > 0

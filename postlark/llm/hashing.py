@@ -25,9 +25,9 @@ def constants(seed: int, n: int) -> np.ndarray:
 _BYTES = constants(1000, 256)
 
 
-def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs without ASCII white space) in an array of bytes."""
-    word = np.concatenate(([False], ~_SPACE[data], [False]))
+def spans(data: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in an array of bytes: runs without ASCII white space, or without other ``breaks``."""
+    word = np.concatenate(([False], ~breaks[data], [False]))
     edges = np.flatnonzero(word[1:] != word[:-1])
     return edges[0::2], edges[1::2]
 

@@ -29,5 +29,42 @@ FROM w LEFT JOIN done USING (r)
 """
 
 
+OP4 = """
+WITH parts AS (
+    SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+),
+p AS (
+    SELECT row_number() OVER () AS r, page_id, h AS host, regexp_extract(substr(rest, length(h0) + 1), '^[^?#]*') AS path
+    FROM (SELECT *, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h
+          FROM (SELECT *, regexp_extract(rest, '^[^/?#]*') AS h0 FROM parts))
+),
+rules(rh, rp, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+                            ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+best AS (
+    SELECT r, arg_max(rh || rp, length(rh) + length(rp)) AS rule, arg_max(v, length(rh) + length(rp)) AS v
+    FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY r
+)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN best USING (r)
+"""
+
+OP8 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT *, length(h) // 2 AS n FROM d),
+win AS (SELECT r, doc_id, i, substr(h, 2 * i - 1, 100) AS k FROM (SELECT *, unnest(generate_series(1, n - 49)) AS i FROM n WHERE n >= 50)),
+least AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+marks AS (SELECT r, i, i - coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -99) AS gap FROM win JOIN least USING (k) WHERE doc_id > m),
+runs AS (SELECT r, min(i) AS a, max(i) + 49 AS b FROM (SELECT r, i, sum((gap > 50)::INT) OVER (PARTITION BY r ORDER BY i) AS g FROM marks) GROUP BY r, g),
+gaps AS (
+    SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) + 1 AS f, a - 1 AS t FROM runs
+    UNION ALL SELECT r, max(b) + 1, 1000000000 FROM runs GROUP BY r
+),
+kept AS (SELECT r, string_agg(substr(h, 2 * f - 1, 2 * (least(t, n) - f + 1)), '' ORDER BY f) AS k FROM gaps JOIN n USING (r) WHERE f <= least(t, n) GROUP BY r),
+sums AS (SELECT r, count(*) AS n_spans, sum(b - a + 1) AS n_removed FROM runs GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE coalesce(k, '') END)) AS kept_sha256
+FROM n LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 def queries() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1}
+    return {"op1_substring_dedup": OP1, "op4_url_filters": OP4, "op8_run_length_index": OP8}

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlark.llm import decontamination, language, packing, quality, simhash, toxicity, urls
+from postlark.llm.run_index import dedup_byte_runs
 from postlark.llm.substring import dedup_substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,5 +29,71 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return done.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Predicted languages, learned from three quarters of the ids."""
+    docs = _table(spark, sf, "documents")
+    model = language.train(docs, ~_remainder("doc_id", 4, 2))
+    done = language.identify(docs, model)
+    return done.select(F.col("id").alias("doc_id"), _remainder("id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Power-of-two pieces of every document."""
+    pieces = packing.pack(_documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return pieces.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+URL_RULES = """
+VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+       ('com', '/fr/', 'allow'), ('com', '/de/', 'block') AS rules(host, path, verdict)
+"""
+
+
+def op4_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """The rule and verdict of every page."""
+    return urls.filter_urls(_table(spark, sf, "pages").select("page_id", "url"), spark.sql(URL_RULES)).drop("url")
+
+
+def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and the benchmark items they leak."""
+    return decontamination.leaks(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity scores, learned from four fifths of the ids."""
+    docs = _table(spark, sf, "documents")
+    model = toxicity.train(docs, _table(spark, sf, "labels"), ~_remainder("doc_id", 5, 0))
+    done = toxicity.score_toxicity(docs, model)
+    return done.select(F.col("id").alias("doc_id"), _remainder("id", 5, 0).alias("held_out"), "score", "predicted")
+
+
+def op8_run_length_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of repeated 50-byte strings removed."""
+    done = dedup_byte_runs(_documents(spark, sf))
+    return done.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    done = quality.judge_quality(_documents(spark, sf), _table(spark, sf, "labels"))
+    columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return done.select("doc_id", *columns, "n_lines", "n_upper", "rejected_by")
+
+
+def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    done = simhash.simhash_groups(_documents(spark, sf))
+    return done.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _remainder(id_col: str, modulus: int, value: int) -> Column:
+    """Whether the crc32 of the id as text has this remainder; a null id has none."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == value, F.lit(False))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup,)}
+    listed = (
+        op1_substring_dedup, op2_language_id, op3_packing, op4_url_filters, op5_decontamination, op6_toxicity,
+        op8_run_length_index, op9_quality_rules, op10_simhash,
+    )
+    return {f.__name__: f for f in listed}
