@@ -1,14 +1,15 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, one of toxic and one of ordinary text, share their lowest order: bigrams back off to the class's
-continuation counts, and these to continuation counts of both classes together, so that a word rare in one class isn't
-taken for evidence. A text's score compares the two log-likelihoods divided by its number of words; a logistic
-calibration, fitted by two-fold cross-fitting on the same sample, turns the difference into a probability.
+Two models, one of toxic and one of ordinary text, spell words byte by byte from the ``ORDER`` - 1 bytes before, so they
+know inflected and rare expressions by their parts. Long contexts back off to continuation counts of the class, and the
+shortest to counts shared by both classes: an expression that is merely rare isn't taken for evidence. A text's score
+compares the two log-likelihoods divided by its number of words; a logistic calibration, fitted by two-fold cross-fitting
+on the same sample, turns the difference into a probability.
 
 The models are fitted on a bounded sample: of each class the ``SAMPLE`` labelled documents with the least hash of their
 id, among texts of at most ``SAMPLE_CHARS`` characters. So the model, a few sorted arrays, is bounded too; it is broadcast.
-Scoring reads whole texts in one pass without a shuffle. Words are runs of ASCII letters (in lower case) and bytes beyond
-ASCII. Only the text is used.
+Scoring reads whole texts in one pass without a shuffle; each distinct word of a batch is spelled once. Words are runs of
+ASCII letters (in lower case) and bytes beyond ASCII. Only the text is used.
 
 Cases: null and empty texts, and texts without a word, get the calibrated prior; labels with a null id or label are
 ignored, of several labels of one id the highest counts; without both classes every score is 0; repeated rows give
@@ -18,7 +19,7 @@ repeated results; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,13 @@ from postlark.shipping import ship
 
 SAMPLE = 4000
 SAMPLE_CHARS = 50_000
-SLAB = 1 << 20
+ORDER = 5
+SHARED = 2
+SLAB = 1 << 22
+REMEMBERED = 500_000
 RESULT = "id long, score double, predicted int"
 
+_MARK = 0x0A
 _BREAKS = np.ones(256, bool)
 _BREAKS[0x80:] = False
 _BREAKS[ord("a") : ord("z") + 1] = False
@@ -40,43 +45,81 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of some texts, and the text of each word."""
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words of some texts, their letters and lengths; the distinct word and the text of each word."""
     data = _LOWER[np.frombuffer(b"\n".join(texts), np.uint8)]
     starts, ends = H.spans(data, _BREAKS)
     borders = np.cumsum([len(t) + 1 for t in texts])
-    return H.word_hashes(data, starts, ends), np.searchsorted(borders, starts, side="right")
+    hashes, first, number = np.unique(H.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    lengths = (ends - starts)[first]
+    places = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return hashes, data[places + np.repeat(starts[first], lengths)], lengths, number, np.searchsorted(borders, starts, side="right")
 
 
-def _pairs(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Places of the second words of bigrams."""
-    return np.flatnonzero(owner[1:] == owner[:-1]) + 1
+class _Spelled:
+    """Words with ``ORDER`` - 1 marks before and one behind; a prediction is made at every byte and at the last mark."""
+
+    def __init__(self, letters: np.ndarray, lengths: np.ndarray):
+        blocks = lengths + ORDER
+        begins = np.cumsum(blocks) - blocks
+        self.data = np.full(int(blocks.sum()), _MARK, np.uint8)
+        own = np.arange(len(letters)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.data[own + np.repeat(begins + ORDER - 1, lengths)] = letters
+        made = lengths + 1
+        self.word = np.repeat(np.arange(len(lengths)), made)
+        self.at = np.arange(int(made.sum())) - np.repeat(np.cumsum(made) - made, made) + np.repeat(begins + ORDER - 1, made)
+
+    def grams(self, n: int) -> np.ndarray:
+        """Hash of the n bytes that end at each prediction."""
+        return H.byte_windows(self.data, n)[self.at - n + 1]
+
+    def contexts(self, n: int) -> np.ndarray:
+        """Hash of the n - 1 bytes before each prediction."""
+        return H.byte_windows(self.data, n - 1)[self.at - n + 1]
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(wanted)), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    found = keys[at] == wanted
+    return np.where(found, values[at], 0.0), found
 
 
 @dataclass
 class Model:
-    """Log-likelihood differences (toxic minus ordinary): of the words, by backing off, and of the bigrams seen."""
+    """Log-likelihood differences (toxic minus ordinary) by order: of the strings seen, and of leaving a context."""
 
-    vocabulary: np.ndarray  # sorted word hashes
-    word: np.ndarray  # difference of the unigram log-probabilities; last: an unknown word
-    leave: np.ndarray  # difference of the log backoff weights of a context; last: an unknown context
-    bigrams: np.ndarray  # sorted context * size + word
-    bigram: np.ndarray  # difference of the bigram log-probabilities
+    grams: dict[int, tuple[np.ndarray, np.ndarray]]
+    contexts: dict[int, tuple[np.ndarray, np.ndarray]]
     weights: tuple[float, float, float] = (0.0, 0.0, 0.0)
-
-    def differences(self, hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sum of differences and number of words of each text."""
-        size = len(self.vocabulary)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), size - 1)
-        number = np.where(self.vocabulary[at] == hashes, at, size)
-        value = self.word[number]
-        second = _pairs(hashes, owner)
-        v, w = number[second - 1], number[second]
-        key = v * (size + 1) + w
-        place = np.minimum(np.searchsorted(self.bigrams, key), len(self.bigrams) - 1)
-        seen = self.bigrams[place] == key
-        value[second] = np.where(seen, self.bigram[place], value[second] + self.leave[v])
-        return np.bincount(owner, value, n), np.bincount(owner, minlength=n)
+    remembered: tuple = field(default=(np.empty(0, np.uint64), np.empty(0)), repr=False)
+
+    def differences(self, hashes: np.ndarray, letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The difference of each distinct word (hashes ascending); words met before in this worker are remembered."""
+        keys, values = self.remembered
+        value, known = _looked_up(keys, values, hashes)
+        if not known.all():
+            new = np.repeat(~known, lengths)
+            value[~known] = self.spelled(letters[new], lengths[~known])
+            if len(keys) > REMEMBERED:
+                keys, values = keys[:0], values[:0]
+            at = np.searchsorted(keys, hashes[~known])
+            self.remembered = np.insert(keys, at, hashes[~known]), np.insert(values, at, value[~known])
+        return value
+
+    def spelled(self, letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The difference of each word."""
+        words = _Spelled(letters, lengths)
+        value = np.zeros(len(words.at))
+        open_ = np.arange(len(words.at))
+        for n in range(ORDER, SHARED, -1):
+            got, found = _looked_up(*self.grams[n], words.grams(n)[open_])
+            value[open_] += got
+            open_ = open_[~found]
+            left, _ = _looked_up(*self.contexts[n], words.contexts(n)[open_])
+            value[open_] += left
+        return np.bincount(words.word, value, len(lengths))
 
     def inputs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Length-normalised difference and length; texts are added up in slabs cut at blanks."""
@@ -85,11 +128,11 @@ class Model:
 
         def add():
             if pieces:
-                hashes, owner = words(pieces)
-                if len(hashes):
-                    t, c = self.differences(hashes, owner, len(pieces))
-                    np.add.at(total, owners, t)
-                    np.add.at(count, owners, c)
+                hashes, letters, lengths, number, owner = words(pieces)
+                if len(number):
+                    value = self.differences(hashes, letters, lengths)[number]
+                    np.add.at(total, owners, np.bincount(owner, value, len(pieces)))
+                    np.add.at(count, owners, np.bincount(owner, minlength=len(pieces)))
             pieces.clear(), owners.clear()
 
         for k, text in enumerate(texts):
@@ -108,7 +151,7 @@ class Model:
         return total / np.maximum(count, 1), count
 
     def score(self, texts: list[str]) -> np.ndarray:
-        if not len(self.vocabulary):
+        if not self.grams:
             return np.zeros(len(texts))
         mean, count = self.inputs(texts)
         a, b, c = self.weights
@@ -121,38 +164,46 @@ def _discount(counts: np.ndarray) -> float:
 
 
 def fit_models(toxic: list[str], ordinary: list[str]) -> Model:
-    """Two Kneser-Ney models over one vocabulary with a shared lowest order."""
-    parts = [words([t.encode() for t in texts]) for texts in (toxic, ordinary)]
-    vocabulary = np.unique(np.concatenate([h for h, _ in parts]))
-    size = len(vocabulary)
-    if not size:
-        return Model(vocabulary, np.zeros(1), np.zeros(1), np.zeros(0, np.int64), np.zeros(0))
-    numbered = [(np.searchsorted(vocabulary, h), o) for h, o in parts]
-    keys = []
-    for number, owner in numbered:
-        second = _pairs(number, owner)
-        keys.append(np.unique(number[second - 1] * (size + 1) + number[second], return_counts=True))
-    bigrams = np.unique(np.concatenate([k for k, _ in keys]))
-    pooled = np.bincount(bigrams % (size + 1), minlength=size).astype(float)
-    shared = np.append((pooled + 1) / (pooled.sum() + size + 1), 1 / (pooled.sum() + size + 1))
-    logs = []
-    for (number, _), (own, counts) in zip(numbered, keys):
-        kinds = np.bincount(own % (size + 1), minlength=size + 1).astype(float)
-        if not kinds.sum():  # no bigram at all: words alone
-            kinds = np.bincount(number, minlength=size + 1).astype(float)
-        d = _discount(kinds[kinds > 0])
-        unigram = np.maximum(kinds - d, 0) / kinds.sum() + d * (kinds > 0).sum() / kinds.sum() * shared
-        d2 = _discount(counts)
-        context = np.bincount(own // (size + 1), counts, size + 1)
-        followers = np.bincount(own // (size + 1), minlength=size + 1)
-        leave = np.where(context > 0, d2 * followers / np.maximum(context, 1), 1.0)
-        full = np.zeros(len(bigrams))
-        full[np.searchsorted(bigrams, own)] = np.maximum(counts - d2, 0)
-        v, w = bigrams // (size + 1), bigrams % (size + 1)
-        full = full / np.maximum(context[v], 1) + leave[v] * unigram[w]
-        logs.append((np.log(unigram), np.log(leave), np.log(full)))
-    word, leave, bigram = (a - b for a, b in zip(*logs))
-    return Model(vocabulary, word, leave, bigrams, bigram)
+    """Two Kneser-Ney models over the strings of both classes."""
+    n_toxic = len(toxic)
+    _, letters, lengths, number, owner = words([t.encode() for t in (*toxic, *ordinary)])
+    if not len(lengths):
+        return Model({}, {})
+    spelled = _Spelled(letters, lengths)
+    uses = [np.bincount(number[owner < n_toxic], minlength=len(lengths)), np.bincount(number[owner >= n_toxic], minlength=len(lengths))]
+    kinds = {n: np.unique(spelled.grams(n), return_index=True, return_inverse=True) for n in range(1, ORDER + 1)}
+    before = {n: np.unique(spelled.contexts(n), return_inverse=True) for n in range(2, ORDER + 1)}
+    counts: list[dict[int, np.ndarray]] = []
+    for use in uses:
+        own = {ORDER: np.bincount(kinds[ORDER][2], use[spelled.word], len(kinds[ORDER][0]))}
+        for n in range(ORDER - 1, 0, -1):
+            _, first, _ = kinds[n + 1]
+            own[n] = np.bincount(kinds[n][2][first], own[n + 1] > 0, len(kinds[n][0]))
+        counts.append(own)
+    for n in range(1, SHARED + 1):
+        counts[0][n] = counts[1][n] = counts[0][n] + counts[1][n]
+    grams, contexts = {}, {}
+    lower = []
+    for own in counts:
+        lower.append((own[1] + 1) / (own[1].sum() + 256))
+    for n in range(2, ORDER + 1):
+        keys, first, inverse = kinds[n]
+        context = before[n][1][first]
+        suffix = kinds[n - 1][2][first]
+        size = len(before[n][0])
+        out, leaves = [], []
+        for own, low in zip(counts, lower):
+            c = own[n]
+            d = _discount(c[c > 0])
+            total = np.bincount(context, c, size)
+            leave = np.where(total > 0, d * np.bincount(context, c > 0, size) / np.maximum(total, 1), 1.0)
+            out.append(np.maximum(c - d, 0) / np.maximum(total, 1)[context] + leave[context] * low[suffix])
+            leaves.append(leave)
+        lower = out
+        if n > SHARED:
+            grams[n] = keys, np.log(out[0]) - np.log(out[1])
+            contexts[n] = before[n][0], np.log(leaves[0]) - np.log(leaves[1])
+    return Model(grams, contexts)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
@@ -173,7 +224,7 @@ def fit(texts: list[str], toxic: list[int], prior: float) -> Model:
     """Models of the whole sample, calibrated on scores each half got from the other half's models."""
     y = np.array(toxic, bool)
     if y.all() or not y.any():
-        return Model(np.empty(0, np.uint64), np.zeros(1), np.zeros(1), np.zeros(0, np.int64), np.zeros(0))
+        return Model({}, {})
     fold = np.zeros(len(y), int)
     for label in (False, True):
         fold[np.flatnonzero(y == label)[::2]] = 1
