@@ -120,15 +120,18 @@ class Chunks:
             told = told.unionByName(more)
         return self.rows.select("chunk", "body").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(both, schema)
 
-    def ask(self, kind: str, messages: DataFrame, answer: Callable[[list[tuple[int, bytes]]], list[bytes | None]]) -> DataFrame:
-        """Gather messages by bucket, answer every sender, and write the answers down."""
+    def ask(self, kind: str, messages: DataFrame, answer: Callable[[list[tuple[int, bytes]]], list[bytes]]) -> DataFrame:
+        """Gather messages by bucket, answer every sender, and write the answers down.
+
+        An answer beyond the last sender's is a summary of the bucket, filed under chunk -1.
+        """
 
         def reply(key, table):
             senders = table.column("chunk").to_pylist()
             order = np.argsort(senders, kind="stable")
             bodies = table.column("body").to_pylist()
             told = answer([(senders[i], bodies[i]) for i in order])
-            kept = [(senders[i], b) for i, b in zip(order, told) if b is not None]
+            kept = list(zip([senders[i] for i in order] + [-1], told))
             bucket = key[0].as_py()
             return pa.table(
                 {

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlark.llm import decontamination, language, packing, quality, simhash, toxicity, urls
+from postlark.llm import decontamination, language, lm_scores, packing, quality, simhash, toxicity, urls
 from postlark.llm.run_index import dedup_byte_runs
 from postlark.llm.substring import dedup_substrings
 
@@ -67,6 +67,13 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return done.select(F.col("id").alias("doc_id"), _remainder("id", 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op7_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Language-model scores, learned from six sevenths of the ids."""
+    done = lm_scores.lm_scores(_documents(spark, sf), ~_remainder("doc_id", 7, 2))
+    columns = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    return done.select(F.col("id").alias("doc_id"), _remainder("id", 7, 2).alias("held_out"), *columns)
+
+
 def op8_run_length_index(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes of repeated 50-byte strings removed."""
     done = dedup_byte_runs(_documents(spark, sf))
@@ -94,6 +101,6 @@ def _remainder(id_col: str, modulus: int, value: int) -> Column:
 def queries() -> dict[str, Query]:
     listed = (
         op1_substring_dedup, op2_language_id, op3_packing, op4_url_filters, op5_decontamination, op6_toxicity,
-        op8_run_length_index, op9_quality_rules, op10_simhash,
+        op7_lm_scores, op8_run_length_index, op9_quality_rules, op10_simhash,
     )
     return {f.__name__: f for f in listed}
