@@ -32,9 +32,9 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
     """Predicted languages, learned from three quarters of the ids."""
     docs = _table(spark, sf, "documents")
-    model = language.train(docs, ~_remainder("doc_id", 4, 2))
+    model = language.train(docs, ~remainder("doc_id", 4, 2))
     done = language.identify(docs, model)
-    return done.select(F.col("id").alias("doc_id"), _remainder("id", 4, 2).alias("held_out"), "lang_pred", "score")
+    return done.select(F.col("id").alias("doc_id"), remainder("id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,16 +62,16 @@ def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Toxicity scores, learned from four fifths of the ids."""
     docs = _table(spark, sf, "documents")
-    model = toxicity.train(docs, _table(spark, sf, "labels"), ~_remainder("doc_id", 5, 0))
+    model = toxicity.train(docs, _table(spark, sf, "labels"), ~remainder("doc_id", 5, 0))
     done = toxicity.score_toxicity(docs, model)
-    return done.select(F.col("id").alias("doc_id"), _remainder("id", 5, 0).alias("held_out"), "score", "predicted")
+    return done.select(F.col("id").alias("doc_id"), remainder("id", 5, 0).alias("held_out"), "score", "predicted")
 
 
 def op7_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Language-model scores, learned from six sevenths of the ids."""
-    done = lm_scores.lm_scores(_documents(spark, sf), ~_remainder("doc_id", 7, 2))
+    done = lm_scores.lm_scores(_documents(spark, sf), ~remainder("doc_id", 7, 2))
     columns = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    return done.select(F.col("id").alias("doc_id"), _remainder("id", 7, 2).alias("held_out"), *columns)
+    return done.select(F.col("id").alias("doc_id"), remainder("id", 7, 2).alias("held_out"), *columns)
 
 
 def op8_run_length_index(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,7 +93,7 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return done.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _remainder(id_col: str, modulus: int, value: int) -> Column:
+def remainder(id_col: str, modulus: int, value: int) -> Column:
     """Whether the crc32 of the id as text has this remainder; a null id has none."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == value, F.lit(False))
 

@@ -112,8 +112,13 @@ def _windows(words: _Words, at: np.ndarray):
     return C.entries_of(hashes, checks, words.id[at])
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
-    """Remove from each document the words of 13-word windows that a document with a smaller id also holds."""
+def dedup_substrings(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = (), keep_untouched: bool = False
+) -> DataFrame:
+    """Remove from each document the words of 13-word windows that a document with a smaller id also holds.
+
+    ``kept_text`` has the kept words joined by one blank; with ``keep_untouched`` a text that loses nothing stays as it is.
+    """
     held = C.Chunks(docs, id_col, text_col, carry)
     buckets = held.buckets
 
@@ -161,6 +166,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         removed = total[words.first + words.counts] - total[words.first]
         texts = []
         for text, a, n, r in zip(docs.column("text").to_pylist(), words.first.tolist(), words.counts.tolist(), removed.tolist()):
+            if keep_untouched and not r:
+                texts.append(text)
+                continue
             parts = (text or "").encode().split()
             if r:
                 keep = ~gone[a : a + n]
