@@ -173,7 +173,7 @@ def ids_of(docs: pa.Table) -> np.ndarray:
 
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sort order of keys, start of each run of equal keys in that order, and each row's run number."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ordered = keys[order]
     new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(keys) else np.empty(0, bool)
     run = np.empty(len(keys), np.int64)
@@ -235,13 +235,13 @@ def sent(chunk: int, entries: np.ndarray, hashes: np.ndarray, buckets: int) -> d
     }
 
 
-def bits_back(hashes: np.ndarray, buckets: int, bodies: dict[int, bytes]) -> np.ndarray:
-    """The answers' bits in the order of the entries sent."""
-    out = np.zeros(len(hashes), bool)
+def bits_back(hashes: np.ndarray, buckets: int, bodies: dict[int, bytes], facts: int = 1) -> np.ndarray:
+    """The answers' bits in the order of the entries sent; one row of bits per fact, or the only one."""
+    out = np.zeros((facts, len(hashes)), bool)
     for b, s in split_by_bucket(hashes, buckets):
         n = s.stop - s.start
-        out[s] = np.unpackbits(np.frombuffer(bodies[b], np.uint8), count=n).astype(bool)
-    return out
+        out[:, s] = np.unpackbits(np.frombuffer(bodies[b], np.uint8), count=facts * n).astype(bool).reshape(facts, n)
+    return out[0] if facts == 1 else out
 
 
 def repeated_blocks(digests: tuple[np.ndarray, np.ndarray], ids: np.ndarray, buckets: int, bodies: dict[int, bytes]) -> np.ndarray:
@@ -256,18 +256,19 @@ def six_bytes(hashes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :6]
 
 
-def held_twice(received: list[tuple[int, bytes]]) -> list[bytes]:
-    """Entries of six bytes, distinct in each chunk. Answer: a bit for each, set if two chunks or more sent it."""
+def held_twice(received: list[tuple[int, bytes]], many: int | None = None) -> list[bytes]:
+    """Entries of six bytes, distinct in each chunk. Answer: a bit for each, set if two chunks or more sent it.
+
+    With ``many``, a second bit for each tells whether more than so many chunks did.
+    """
     parts = [np.frombuffer(b, np.uint8).reshape(-1, 6) for _, b in received]
     wide = np.zeros((sum(map(len, parts)), 8), np.uint8)
     wide[:, :6] = np.concatenate(parts)
-    values = wide.view(np.uint64).ravel()
-    order = np.argsort(values, kind="stable")
-    v = values[order]
-    same = np.concatenate(([False], v[1:] == v[:-1], [False]))
-    bit = np.empty(len(values), bool)
-    bit[order] = same[1:] | same[:-1]
-    return [np.packbits(x).tobytes() for x in np.split(bit, np.cumsum([len(p) for p in parts])[:-1])]
+    order, starts, run = grouped(wide.view(np.uint64).ravel())
+    senders = np.diff(np.append(starts, len(order)))[run]
+    cuts = np.cumsum([len(p) for p in parts])[:-1]
+    facts = [senders > limit for limit in ((1,) if many is None else (1, many))]
+    return [np.packbits(np.concatenate(x)).tobytes() for x in zip(*(np.split(f, cuts) for f in facts))]
 
 
 def distinct_anchors(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
