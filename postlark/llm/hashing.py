@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 U64 = np.uint64
+SLAB = 1 << 14
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -56,10 +57,18 @@ def window_hashes(values: np.ndarray, size: int, seed: int, at: np.ndarray | Non
 
 
 def byte_windows(data: np.ndarray, size: int) -> np.ndarray:
-    """Hash of ``size`` consecutive bytes from each place, built from halves of halves."""
+    """Hash of ``size`` consecutive bytes from each place, built from halves of halves, in slabs that fit a cache."""
     n = len(data) - size + 1
     if n <= 0:
         return np.empty(0, dtype=U64)
+    out = np.empty(n, U64)
+    for at in range(0, n, SLAB):
+        out[at : at + SLAB] = _byte_windows(data[at : at + SLAB + size - 1], size)
+    return out
+
+
+def _byte_windows(data: np.ndarray, size: int) -> np.ndarray:
+    n = len(data) - size + 1
     base = int(constants(3000, 1)[0])
     power = lambda k: U64(pow(base, k, 1 << 64))
     whole, done, part, length = None, 0, _BYTES[data], 1
