@@ -131,7 +131,7 @@ def dedup_substrings(
 
     def anchor_messages(chunk: int, docs: pa.Table, got: dict) -> Iterator[dict]:
         words = _Words(docs)
-        _, stays = words.staying(buckets, got["blocks"])
+        _, stays = words.staying(buckets, got.get("blocks", {}))
         at = words.anchors(stays)
         hashes, _, _ = C.distinct_anchors(H.window_hashes(words.hash, ANCHOR, 4000, at), words.id[at])
         yield C.sent(chunk, C.six_bytes(hashes), hashes, buckets)
