@@ -32,7 +32,7 @@ from postlark.shipping import ship
 
 LONGEST = 2048
 END = 1
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 PIECES = "id long, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 # The tokenizer's own split for letters below U+0180 (fixed values of its file).
 _LETTER = "a-zªµºß-öø-ſ"
