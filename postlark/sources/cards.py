@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -21,143 +23,157 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 HIDDEN = {"script", "style", "template"}
 
 
-class Node:
-    """An element with its children; texts are plain strings among them."""
+@dataclass(slots=True)
+class Element:
+    """An element of a page: what it encloses are the elements and text pieces up to its ends."""
 
-    def __init__(self, tag: str = "", attrs=()):
-        self.tag, self.attrs, self.children = tag, dict(attrs), []
+    tag: str
+    attrs: dict
+    start: int
+    text_start: int
+    end: int = 0
+    text_end: int = 0
 
     @property
     def classes(self) -> list[str]:
         return (self.attrs.get("class") or "").split()
 
-    def walk(self):
-        for child in self.children:
-            if isinstance(child, Node):
-                yield child
-                yield from child.walk()
-
-    def first(self, tag: str, css: str | None = None, pattern: str | None = None, having: str | None = None):
-        for n in self.walk():
-            if n.tag == tag and n.fits(css, pattern, having):
-                return n
-        return None
-
-    def fits(self, css, pattern, having) -> bool:
-        if css is not None and css not in self.classes:
-            return False
-        if pattern is not None and not any(re.search(pattern, c) for c in self.classes):
-            return False
-        return having is None or having in self.attrs
-
-    def texts(self):
-        for child in self.children:
-            if isinstance(child, str):
-                yield child
-            elif child.tag not in HIDDEN:
-                yield from child.texts()
-
-    def joined(self) -> str:
-        return "".join(t.strip() for t in self.texts())
-
-
-class _Builder(HTMLParser):
-    def __init__(self):
+
+class Page(HTMLParser):
+    """A page as flat lists of elements and visible text pieces, in document order; nesting of any depth is fine."""
+
+    def __init__(self, body: str | None):
         super().__init__()
-        self.root = Node()
-        self.stack = [self.root]
+        self.elements: list[Element] = []
+        self.pieces: list[str] = []
+        self._open: list[Element] = []
+        self._opened: Counter = Counter()
+        self.feed(body or "")
+        self.close()
+        self._close_from(0)
+
+    def _close_from(self, depth: int) -> None:
+        for element in self._open[depth:]:
+            element.end, element.text_end = len(self.elements), len(self.pieces)
+            self._opened[element.tag] -= 1
+        del self._open[depth:]
 
     def handle_starttag(self, tag, attrs):
-        node = Node(tag, attrs)
-        self.stack[-1].children.append(node)
-        if tag not in VOID:
-            self.stack.append(node)
+        element = Element(tag, dict(attrs), len(self.elements) + 1, len(self.pieces))
+        self.elements.append(element)
+        if tag in VOID:
+            element.end, element.text_end = element.start, element.text_start
+        else:
+            self._open.append(element)
+            self._opened[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
-        self.stack[-1].children.append(Node(tag, attrs))
+        self.elements.append(Element(tag, dict(attrs), len(self.elements) + 1, len(self.pieces), len(self.elements) + 1, len(self.pieces)))
 
     def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                return
+        if self._opened[tag]:
+            self._close_from(max(i for i, e in enumerate(self._open) if e.tag == tag))
 
     def handle_data(self, data):
-        self.stack[-1].children.append(data)
-
-
-def parse(body: str | None) -> Node:
-    builder = _Builder()
-    builder.feed(body or "")
-    builder.close()
-    return builder.root
-
-
-def _text(node: Node | None) -> str | None:
-    return None if node is None else node.joined()
-
-
-def linkedin_card(card: Node) -> dict:
-    link = card.first("a", css="base-card__full-link")
-    subtitle = card.first("h4", css="base-search-card__subtitle")
-    meta = card.first("div", css="base-search-card__metadata") or Node()
-    place = meta.first("span", css="job-search-card__location")
-    day = meta.first("time", css="job-search-card__listdate") or meta.first("time", css="job-search-card__listdate--new")
-    pay = card.first("span", css="job-search-card__salary-info")
-    return {
-        "card_id": None,
-        "href": link.attrs.get("href") if link else None,
-        "title": _text(card.first("span", css="sr-only")),
-        "company": _text(subtitle.first("a")) if subtitle else None,
-        "place": "".join(place.texts()).strip() if place else None,
-        "day": day.attrs.get("datetime") if day else None,
-        "pay": " ".join(pay.texts()).strip() if pay else None,
-    }
-
-
-def bayt_card(card: Node) -> dict:
-    link = card.first("a", having="href")
-    title = card.first("h2") or card.first("a", pattern="jb-title|job-title")
-    company = card.first("b", pattern="company|employer") or card.first("span", pattern="company|employer")
-    place = card.first("span", pattern="location|loc") or card.first("div", pattern="location")
-    card_id = card.attrs.get("data-job-id") or card.attrs.get("data-js-job")
-    if not card_id:
-        hrefs = [n.attrs.get("href") or "" for n in card.walk() if n.tag == "a"]
-        found = next((h for h in hrefs if re.search(r"/en/.*job-\d+", h)), "")
-        number = re.search(r"job-(\d+)", found)
-        card_id = number.group(1) if number else None
-    return {
-        "card_id": card_id,
-        "href": link.attrs.get("href") if link else "",
-        "title": _text(title),
-        "company": _text(company or card.first("div", pattern="company")),
-        "place": _text(place) or "",
-        "day": _text(card.first("span", pattern="date|time|posted")),
-        "pay": None,
-    }
-
+        if not any(self._opened[tag] for tag in HIDDEN):
+            self.pieces.append(data)
+
+    def all(self, step: tuple, within: Element | None = None):
+        """Elements that fit a step, in document order."""
+        inside = self.elements if within is None else self.elements[within.start : within.end]
+        return (e for e in inside if _fits(e, *step))
+
+    def one(self, path: list[tuple], within: Element | None = None) -> Element | None:
+        """Follow a path: the first element that fits each step, inside the one before."""
+        for step in path:
+            within = next(self.all(step, within), None)
+            if within is None:
+                return None
+        return within
+
+    def text(self, element: Element, join: str = "", strip: bool = False) -> str:
+        found = self.pieces[element.text_start : element.text_end]
+        return join.join(t.strip() for t in found) if strip else join.join(found).strip()
+
+
+def _fits(element: Element, tag: str, how: str = "", what: str = "") -> bool:
+    if element.tag != tag:
+        return False
+    if how == "class":
+        return what in element.classes
+    if how == "like":
+        return any(re.search(what, c) for c in element.classes)
+    return what in element.attrs if how == "with" else True
+
+
+# Where the cards of each site keep their fields. A field names the ways to it, tried in order (each a path
+# of steps: tag, then a class, a class pattern or an attribute), and how to read what is found: an attribute (@name) or
+# the text, its pieces stripped, whole, or spaced. The value for an absent element comes last.
+_META = ("div", "class", "base-search-card__metadata")
+LINKEDIN = {
+    "cards": [("div", "class", "base-search-card")],
+    "href": ([[("a", "class", "base-card__full-link")]], "@href", None),
+    "title": ([[("span", "class", "sr-only")]], "stripped", None),
+    "company": ([[("h4", "class", "base-search-card__subtitle"), ("a",)]], "stripped", None),
+    "place": ([[_META, ("span", "class", "job-search-card__location")]], "whole", None),
+    "day": (
+        [[_META, ("time", "class", "job-search-card__listdate")], [_META, ("time", "class", "job-search-card__listdate--new")]],
+        "@datetime", None,
+    ),
+    "pay": ([[("span", "class", "job-search-card__salary-info")]], "spaced", None),
+}
+BAYT = {
+    "cards": [("li", "with", "data-js-job"), ("div", "like", "job-item|has-pointer-d")],
+    "href": ([[("a", "with", "href")]], "@href", ""),
+    "title": ([[("h2",)], [("a", "like", "jb-title|job-title")]], "stripped", None),
+    "company": (
+        [[("b", "like", "company|employer")], [("span", "like", "company|employer")], [("div", "like", "company")]], "stripped", None,
+    ),
+    "place": ([[("span", "like", "location|loc")], [("div", "like", "location")]], "stripped", ""),
+    "day": ([[("span", "like", "date|time|posted")]], "stripped", None),
+}
+BAYT_IDS, BAYT_LINK = ("data-job-id", "data-js-job"), r"/en/.*job-(\d+)"
+DETAIL = ("div", "like", "show-more-less-html__markup")
 
 CARD_FIELDS = ["card_id", "href", "title", "company", "place", "day", "pay"]
 CARD = ArrayType(StructType([StructField(name, StringType()) for name in CARD_FIELDS]))
 
 
+def _read(page: Page, element: Element, how: str) -> str | None:
+    if how.startswith("@"):
+        return element.attrs.get(how[1:])
+    return page.text(element, " " if how == "spaced" else "", how == "stripped")
+
+
+def _cards(body: str | None, layout: dict) -> list[tuple[Page, Element, dict]]:
+    """The cards of a page with the fields of the layout. The first kind of card that occurs counts."""
+    page = Page(body)
+    found = next((cards for step in layout["cards"] if (cards := list(page.all(step)))), [])
+    out = []
+    for card in found:
+        fields = dict.fromkeys(CARD_FIELDS)
+        for name, (ways, how, absent) in ((n, f) for n, f in layout.items() if n != "cards"):
+            at = next((e for way in ways if (e := page.one(way, card)) is not None), None)
+            fields[name] = absent if at is None else _read(page, at, how)
+        out.append((page, card, fields))
+    return out
+
+
+def _bayt_id(page: Page, card: Element) -> str | None:
+    """The id a card carries, or the number in its first link to a posting."""
+    carried = next((v for name in BAYT_IDS if (v := card.attrs.get(name))), None)
+    links = (re.search(BAYT_LINK, e.attrs.get("href") or "") for e in page.all(("a",), card))
+    return carried or next((m.group(1) for m in links if m), None)
+
+
 @pandas_udf(CARD)
 def linkedin_cards(bodies: pd.Series) -> pd.Series:
-    return bodies.map(
-        lambda b: [linkedin_card(n) for n in parse(b).walk() if n.tag == "div" and "base-search-card" in n.classes]
-    )
+    return bodies.map(lambda body: [fields for _, _, fields in _cards(body, LINKEDIN)])
 
 
 @pandas_udf(CARD)
 def bayt_cards(bodies: pd.Series) -> pd.Series:
-    def one(body: str) -> list[dict]:
-        root = parse(body)
-        cards = [n for n in root.walk() if n.tag == "li" and "data-js-job" in n.attrs]
-        if not cards:
-            cards = [n for n in root.walk() if n.tag == "div" and n.fits(None, "job-item|has-pointer-d", None)]
-        return [bayt_card(c) for c in cards]
-
-    return bodies.map(one)
+    return bodies.map(lambda body: [fields | {"card_id": _bayt_id(page, card)} for page, card, fields in _cards(body, BAYT)])
 
 
 @pandas_udf(StringType())
@@ -165,9 +181,9 @@ def detail_text(bodies: pd.Series) -> pd.Series:
     """Description on a detail page: the visible text of its mark-up block, '' when there is none."""
 
     def one(body: str | None) -> str:
-        blocks = (n for n in parse(body).walk() if n.tag == "div" and n.fits(None, "show-more-less-html__markup", None))
-        block = next(blocks, None)
-        return "" if block is None else re.sub(r"\s+", " ", " ".join(block.texts())).strip()
+        page = Page(body)
+        block = page.one([DETAIL])
+        return "" if block is None else re.sub(r"\s+", " ", page.text(block, " ")).strip()
 
     return bodies.map(one)
 
@@ -228,11 +244,13 @@ def bayt(payloads: DataFrame, as_of: Column) -> DataFrame:
 
 
 def enrich_descriptions(postings: DataFrame, details: DataFrame) -> DataFrame:
-    """Fill descriptions from detail pages (source_id, status_code, url, body); missing ones and sign-up redirects
-    give ''. The remote flag is taken again, now with the description."""
+    """Fill descriptions from detail pages (source_id, status_code, url, body, perhaps fetched_at); missing ones and
+    sign-up redirects give ''. The remote flag is taken again, now with the description."""
     ok = (F.col("status_code") == 200) & ~F.contains(F.coalesce("url", F.lit("")), F.lit("linkedin.com/signup"))
-    pages = details.where(ok).groupBy("source_id").agg(F.max("body").alias("body"))
-    texts = pages.select("source_id", detail_text("body").alias("_detail"))
+    # Texts are parsed where the pages lie; of repeated pages the latest with a time counts, ties by text.
+    at = F.col("fetched_at") if "fetched_at" in details.columns else F.lit(None).cast("timestamp_ntz")
+    read = details.where(ok).select("source_id", F.struct(at.alias("at"), detail_text("body").alias("text")).alias("_page"))
+    texts = read.groupBy("source_id").agg(F.max("_page").alias("_page")).select("source_id", F.col("_page.text").alias("_detail"))
     spread = F.concat_ws("-", "run_id", "page_no", "pos")
     joined = attach(postings.withColumn("_spread", spread), texts, "source_id", "_spread")
     text = F.coalesce("_detail", "description")
