@@ -240,6 +240,12 @@ def list_view(spark, sf):
     return reports.list_view(views.stored(spark, sf), AS_OF, status="filtered", min_score=floor, limit=30)
 
 
+def list_view_cut(spark, sf):
+    floor = filters.list_threshold("filtered", None, P0.min_display_score)
+    widths = reports.LIST_WIDTHS
+    return reports.list_view(views.stored(spark, sf), AS_OF, widths, status="filtered", min_score=floor, limit=30)
+
+
 def posted_range(spark, sf):
     return filters.posted_range(views.stored(spark, sf), AS_OF, since="2024-01-10", until="2024-01-20").select(LISTED)
 
@@ -358,12 +364,12 @@ def valid_updates(spark, sf):
     return rows.select("event_id", "u.job_id", "u.status", "u.notes")
 
 
-def route_messages(spark, sf):
+def route_messages(spark, sf, chars=None):
     said = views.table(spark, sf, "conversations").where("role = 'user'").select(F.col("conv_id").alias("chat_id"), "turn", "text")
     routes = views.table(spark, sf, "customer").where("c_mktsegment <> 'BUILDING'").select(
         F.col("c_custkey").alias("chat_id"), F.concat(F.lit("p"), (F.col("c_custkey") % 2).cast("string")).alias("profile")
     )
-    return maintenance.route_messages(said, routes).select("chat_id", "turn", "profile", "text")
+    return maintenance.route_messages(said, routes, chars).select("chat_id", "turn", "profile", "text")
 
 
 # --- upsert and ingest ---
@@ -446,6 +452,12 @@ def ingest_postings(spark, sf):
     return done.inserted.select("id", "source_id", "dedup_key", "content_key", "score", "status", "title", "city", "state")
 
 
+def ingest_limited(spark, sf):
+    """An ingest within the limits of a collector."""
+    done = ingesting.ingest(views.landed(spark, sf, "indeed"), _empty_postings(spark), P0, AS_OF, sites=["indeed"], limits=ingesting.COLLECTOR)
+    return done.inserted.select("id", "source_id", "content_key", "score", "status", F.md5("description").alias("description_md5"))
+
+
 def ingest_run_log(spark, sf):
     return _ingest(spark, sf).runs.select("id", "site", "search_term", "jobs_found", "jobs_new", "error")
 
@@ -456,10 +468,9 @@ def ingest_counters(spark, sf):
 
 
 def ingest_preview(spark, sf):
-    rows = run_rows(extract(views.landed(spark, sf, "indeed"), AS_OF, ["indeed"]))
-    found = ingesting.arrivals(rows, P0, AS_OF)
-    shown = ingesting.preview(found, P0).select("seq", "dealbreaker")
-    return found.join(shown, "seq").select("run_id", "page_no", "pos", "score", "title", "dealbreaker")
+    landed = views.landed(spark, sf, "indeed")
+    shown = ingesting.ingest(landed, _empty_postings(spark), P0, AS_OF, dry_run=True, sites=["indeed"])
+    return shown.select("run_id", "page_no", "pos", "score", "title", "dealbreaker")
 
 
 def event_pages(spark, sf) -> DataFrame:
@@ -510,14 +521,14 @@ def task_fanout(spark, sf):
     return ingest_tasks(sites, terms, places).select("position", "site", "term", "location")
 
 
-def extracted(site: str) -> Query:
+def extracted(site: str, **limits: int) -> Query:
     def run(spark, sf):
         from postlark.functions.location import normalise_location
 
-        rows = run_rows(extract(views.landed(spark, sf, site), AS_OF, [site]))
+        rows = run_rows(extract(views.landed(spark, sf, site), AS_OF, [site]), **limits)
         return normalise_location(rows).select(
             "run_id", "page_no", "pos", "source", "source_id", "url", "title", "company", "city", "state", "country",
-            "is_remote", F.char_length("description").alias("description_chars"),
+            "is_remote", F.char_length("description").alias("description_chars"), F.md5("description").alias("description_md5"),
             F.array_join("job_type", ",").alias("job_types"), "comp_min", "comp_max", "comp_interval", "date_posted",
         )
 
@@ -535,7 +546,7 @@ def enrich_descriptions(spark, sf):
         F.concat(F.lit('<div class="show-more-less-html__markup">'), views._markup(F.col("text")), F.lit("</div>")).alias("body"),
     )
     out = cards.enrich_descriptions(rows, details)
-    return out.select("source_id", F.char_length("description").alias("description_chars"), "is_remote")
+    return out.select("source_id", F.md5("description").alias("description_md5"), "is_remote")
 
 
 # --- digests and reports ---
@@ -567,20 +578,62 @@ def report_text(spark, sf):
 # --- streaming ---
 
 
-def stream_ingest(spark, sf):
-    """The payload pages as files of a landing folder, ingested by the stream in two rounds of files."""
+def _streamed(spark, sf) -> Store:
+    """The payload pages as files of a landing folder, ingested by the stream one file at a time.
+
+    Files are cut between pages, not runs, so that the run at the border lands in two batches.
+    """
     folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     pages = views.landed(spark, sf, "indeed")
-    pages.repartitionByRange(2, "run_id").write.json(f"{folder}/landing")
+    runs = pages.agg(F.max("run_id")).first()[0] or 0
+    first = (F.col("run_id") < runs // 2) | ((F.col("run_id") == runs // 2) & (F.col("page_no") <= 2))
     store = Store(spark, f"{folder}/store")
-    query = start_ingest(spark, f"{folder}/landing", store, P0, f"{folder}/checkpoint", sites=["indeed"])
-    query.awaitTermination()
-    return store.state().select(
-        "id", "source_id", "dedup_key", "content_key", "status", "title", "city", "state"
-    )
+    for part in (first, ~first):
+        pages.where(part).coalesce(1).write.mode("append").json(f"{folder}/landing")
+        query = start_ingest(spark, f"{folder}/landing", store, P0, f"{folder}/checkpoint", 1, as_of=AS_OF, sites=["indeed"])
+        query.awaitTermination()
+    return store
 
 
-def stream_status(spark, sf):
+def stream_ingest(spark, sf):
+    state = _streamed(spark, sf).state()
+    return state.select("id", "source_id", "dedup_key", "content_key", "score", "status", "title", "city", "state")
+
+
+def stream_alerts(spark, sf):
+    """Alerts kept by the stream: one for each new posting that deserves it."""
+    return _streamed(spark, sf).alerts().select("id", "score", "title")
+
+
+def stream_runs(spark, sf):
+    """The run log of the stream; a run that landed in two batches is one row."""
+    return _streamed(spark, sf).runs().select("id", "site", "search_term", "jobs_found", "jobs_new", "error")
+
+
+def stream_misses(spark, sf):
+    """Ids that status events name and no posting has."""
+    store, _ = _status_streamed(spark, sf)
+    return store.read("misses").select("posting_id").distinct()
+
+
+def reissued_ids(spark, sf):
+    """A store that loses its newest postings and then takes new ones: old ids stay taken, also in a compacted copy."""
+    folder = f"{shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    store = Store(spark, f"{folder}/first")
+    rows = conform(with_workflow(spark, sf), POSTINGS)
+    store.commit("load", 0, inserted=rows)
+    top = store.last_id()
+    store.commit("remove", 0, removed=rows.where(F.col("id") > top - 10).select("id"))
+    store = store.compacted(f"{folder}/second")
+    again = rows.where(F.col("id") > top - 5).withColumn("dedup_key", F.concat(F.lit("again"), "dedup_key"))
+    batch = sequenced(again.drop("id", "description").withColumn("long", F.lit(False)), ["source_id"])
+    done = resolve(store.state(), batch, store.last_id())
+    new = batch.drop("score", "score_breakdown", "status").join(done.inserted, "seq")
+    store.commit("again", 0, inserted=new)
+    return store.state().select("id", "dedup_key", "source_id")
+
+
+def _status_streamed(spark, sf) -> tuple[Store, str]:
     """Status events through the stream, onto postings committed before."""
     folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     store = Store(spark, f"{folder}/store")
@@ -588,6 +641,11 @@ def stream_status(spark, sf):
     store.commit("load", 0, inserted=conform(rows, POSTINGS))
     views.status_events(spark, sf).write.json(f"{folder}/events")
     start_status(spark, f"{folder}/events", store, f"{folder}/checkpoint").awaitTermination()
+    return store, folder
+
+
+def stream_status(spark, sf):
+    store, _ = _status_streamed(spark, sf)
     return store.state().select("id", "status", "notes", "applied_date")
 
 
@@ -605,6 +663,7 @@ def queries() -> dict[str, Query]:
         "multi_profile_top": multi_profile_top,
         "max_achievable": max_achievable,
         "dedup_key": lambda s, d: views.postings(s, d).select("id", "dedup_key"),
+        "content_key_prefix": lambda s, d: views.postings(s, d, 500).select("id", "content_key"),
         "content_key": lambda s, d: views.postings(s, d).select("id", "content_key"),
         "location_normalised": location_normalised,
         "location_fix_counts": location_fix_counts,
@@ -622,6 +681,7 @@ def queries() -> dict[str, Query]:
         "list_filtered": list_filtered,
         "list_page": list_page,
         "list_view": list_view,
+        "list_view_cut": list_view_cut,
         "posted_range": posted_range,
         "fresh_postings": fresh_postings,
         "alert_state_filter": alert_state_filter,
@@ -650,16 +710,21 @@ def queries() -> dict[str, Query]:
         "backfill_keys": backfill_keys,
         "rescore_changes": on_scored(lambda df: maintenance.rescore_changes(df, P0_EDITED, AS_OF)),
         "rescore_top": on_scored(lambda df: maintenance.rescore_top(maintenance.rescore_changes(df, P0_EDITED, AS_OF))),
+        "rescore_top_cut": on_scored(
+            lambda df: maintenance.rescore_top(maintenance.rescore_changes(df, P0_EDITED, AS_OF), widths=reports.CHANGE_WIDTHS)
+        ),
         "rescore_summary": rescore_summary,
         "rescore_state": rescore_state,
         "status_fold": status_fold,
         "status_not_found": status_not_found,
         "valid_updates": valid_updates,
         "route_messages": route_messages,
+        "route_messages_cut": lambda s, d: route_messages(s, d, 500),
         "upsert_snapshot": upsert_snapshot,
         "upsert_outcomes": upsert_outcomes,
         "alerts": alerts,
         "ingest_postings": ingest_postings,
+        "ingest_limited": ingest_limited,
         "ingest_run_log": ingest_run_log,
         "ingest_counters": ingest_counters,
         "ingest_preview": ingest_preview,
@@ -676,7 +741,12 @@ def queries() -> dict[str, Query]:
         "report_text": report_text,
         "stream_ingest": stream_ingest,
         "stream_status": stream_status,
+        "stream_alerts": stream_alerts,
+        "stream_runs": stream_runs,
+        "stream_misses": stream_misses,
+        "reissued_ids": reissued_ids,
     }
     for site in ("indeed", "glassdoor", "ziprecruiter", "linkedin", "bayt", "google"):
         out[f"extract_{site}"] = extracted(site)
+    out["extract_indeed_limited"] = extracted("indeed", max_pages=3, wanted=25)
     return out

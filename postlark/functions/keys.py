@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from postlark.functions.text import squeeze, strip
 
-CONTENT_PREFIX = 500
-CONTENT_MIN_CHARS = 100
-
 
 def _short_hash(c: Column) -> Column:
     return F.substring(F.sha2(c, 256), 1, 16)
@@ -20,12 +17,18 @@ def dedup_key(source: Column, source_id: Column) -> Column:
 
 
 def content_key(
-    title: Column, company: Column, city: Column, state: Column, date_posted: Column, description: Column
+    title: Column,
+    company: Column,
+    city: Column,
+    state: Column,
+    date_posted: Column,
+    description: Column,
+    prefix: int | None = None,
 ) -> Column:
     """Fingerprint of what a posting says. Takes normalised locations; source and country do not take part.
 
-    The description counts with its first 500 characters as they arrive, before clean-up. The state is only
-    lower-cased and stripped.
+    The whole description counts, or with ``prefix`` its first characters as they arrive, before clean-up. The state
+    is only lower-cased and stripped.
     """
 
     def text(c: Column) -> Column:
@@ -37,12 +40,12 @@ def content_key(
         text(city),
         strip(F.lower(F.coalesce(state, F.lit("")))),
         F.coalesce(F.date_format(date_posted, "yyyy-MM-dd"), F.lit("")),
-        text(F.substring(description, 1, CONTENT_PREFIX)),
+        text(description if prefix is None else F.substring(description, 1, prefix)),
     ]
     # Never null; saying so lets the optimiser drop null checks on fresh keys.
     return F.coalesce(_short_hash(F.concat_ws("|", *fields)), F.lit(""))
 
 
-def matches_by_content(description: Column) -> Column:
-    """Only postings longer than 100 characters may be matched by content."""
-    return F.coalesce(F.char_length(description) > CONTENT_MIN_CHARS, F.lit(False))
+def matches_by_content(description: Column, min_chars: int | None = None) -> Column:
+    """Whether a posting may be matched by content: any may, or with ``min_chars`` only those with a longer text."""
+    return F.lit(True) if min_chars is None else F.coalesce(F.char_length(description) > min_chars, F.lit(False))

@@ -5,18 +5,18 @@ from __future__ import annotations
 import html as _html
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from postlark.functions.lookups import any_of
+from postlark.shipping import ship
 
 # Unicode white space; the four separators 0x1c-0x1f count as space too.
 SPACE = r"[\s\x1c-\x1f]"
 SPACE_CHARS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 EMAIL_PATTERN = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
-DESCRIPTION_CAP = 50_000
 
 # Blocks whose content is not text. One alternation, so whichever block opens first wins.
 HIDDEN_BLOCKS = (
@@ -62,6 +62,8 @@ def html_to_text(c: Column, rare_entities: bool = True) -> Column:
     for entity, char in COMMON_ENTITIES:
         decoded = F.replace(decoded, F.lit(entity), F.lit(char))
     if rare_entities:
+        if (session := SparkSession.getActiveSession()) is not None:
+            ship(session)
         rare = _decode_entities(F.when(bare.rlike(RARE_ENTITY), bare))
         decoded = F.coalesce(rare, decoded)
     return squeeze(decoded)
@@ -112,12 +114,14 @@ def is_remote(title: Column, description: Column, place: Column | None = None) -
     return any_of([F.contains(text, F.lit(k)) for k in ("remote", "work from home", "wfh")])
 
 
-def cap_description(c: Column) -> Column:
-    return F.substring(F.coalesce(c, F.lit("")), 1, DESCRIPTION_CAP)
+def cap_description(c: Column, chars: int | None = None) -> Column:
+    """The whole text, or its first characters if a limit is asked for; never null."""
+    whole = F.coalesce(c, F.lit(""))
+    return whole if chars is None else F.substring(whole, 1, chars)
 
 
-def cut_to(c: Column, width: int) -> Column:
-    return F.substring(c, 1, width)
+def cut_to(c: Column, width: int | None) -> Column:
+    return c if width is None else F.substring(c, 1, width)
 
 
 def profile_name(c: Column) -> Column:

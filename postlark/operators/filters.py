@@ -97,7 +97,13 @@ def posted_range(df: DataFrame, as_of, *, days: int | None = None, since=None, u
 
 def fresh(df: DataFrame, as_of, hours_old: int) -> DataFrame:
     """Drop postings older than the look-back, counted in whole days and at least one."""
-    return posted_range(df, as_of, days=max(1, hours_old // 24))
+    return df.where(posted_within(F.col("date_posted"), as_of, hours_old))
+
+
+def posted_within(posted: Column, as_of, hours_old: int) -> Column:
+    """Whether a date lies in the look-back; a posting without a date does."""
+    first = F.lit((parse_moment(as_of) - timedelta(days=max(1, hours_old // 24))).date())
+    return posted.isNull() | (posted >= first)
 
 
 def alert_state_condition(states: Column) -> Column:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from postlark.functions.keys import content_key
 from postlark.functions.location import normalise_location
+from postlark.functions.text import cut_to
 from postlark.operators.filters import apply_filters
 from postlark.operators.scoring import score
-from postlark.operators.spread import settled
+from postlark.operators.spread import cut, settled
 from postlark.profiles import Profile
 from postlark.schemas import ACTIVE_STATUSES, UPDATE_STATUSES
 
@@ -74,10 +75,11 @@ def valid_updates(reply: Column) -> Column:
     )
 
 
-def route_messages(messages: DataFrame, routes: DataFrame) -> DataFrame:
-    """Messages with the profile their chat belongs to; unknown chats are dropped, texts are capped at 500."""
+def route_messages(messages: DataFrame, routes: DataFrame, chars: int | None = None) -> DataFrame:
+    """Messages with the profile their chat belongs to; unknown chats are dropped. Texts stay whole, or with ``chars``
+    keep their first characters."""
     routed = messages.join(routes.select("chat_id", "profile"), "chat_id")
-    return routed.withColumn("text", F.substring("text", 1, 500))
+    return routed if chars is None else routed.withColumn("text", F.substring("text", 1, chars))
 
 
 def rescored(df: DataFrame, profile: Profile, as_of) -> DataFrame:
@@ -100,26 +102,29 @@ def rescore(
 
     The filters choose which postings are looked at; all others pass through. A dry run ignores the state.
     """
-    everything = rescored(df, profile, as_of)
     chosen = F.lit(True)
     if status and status != "all":
         chosen = chosen & F.coalesce(F.col("status") == status, F.lit(False))
     if source:
         chosen = chosen & F.coalesce(F.col("source") == source, F.lit(False))
-    hit = chosen & F.col("score_changed")
+    # Chosen postings are scored once, for the state and the change log; the others are never scored.
+    looked = cut(rescored(df.where(chosen), profile, as_of))
     replaced = {
-        "score": F.when(hit, F.col("score")).otherwise(F.col("old_score")),
-        "score_breakdown": F.when(hit, F.col("score_breakdown")).otherwise(F.col("old_breakdown")),
-        "status": F.when(chosen, F.col("new_status")).otherwise(F.col("status")),
+        "score": F.when(F.col("score_changed"), F.col("score")).otherwise(F.col("old_score")),
+        "score_breakdown": F.when(F.col("score_changed"), F.col("score_breakdown")).otherwise(F.col("old_breakdown")),
+        "status": F.col("new_status"),
     }
-    state = everything.select(*[replaced[c].alias(c) if c in replaced else F.col(c) for c in df.columns])
-    return state, rescore_changes(apply_filters(df, status=status, source=source), profile, as_of)
+    state = looked.select(*[replaced[c].alias(c) if c in replaced else F.col(c) for c in df.columns])
+    return state.unionByName(df.where(~chosen)), _change_log(looked)
 
 
 def rescore_changes(df: DataFrame, profile: Profile, as_of) -> DataFrame:
     """Change log: postings whose total moved."""
-    out = rescored(df, profile, as_of).where("score_changed")
-    return out.select(
+    return _change_log(rescored(df, profile, as_of))
+
+
+def _change_log(looked: DataFrame) -> DataFrame:
+    return looked.where("score_changed").select(
         "id",
         F.col("old_score").alias("old"),
         F.col("score").alias("new"),
@@ -130,12 +135,11 @@ def rescore_changes(df: DataFrame, profile: Profile, as_of) -> DataFrame:
     )
 
 
-def rescore_top(changes: DataFrame, k: int = 25) -> DataFrame:
-    """Largest moves first, with display widths."""
+def rescore_top(changes: DataFrame, k: int = 25, widths: dict[str, int] | None = None) -> DataFrame:
+    """Largest moves first; texts are whole, or cut to the display widths given by column."""
     top = changes.orderBy(F.desc(F.abs("delta")), "id").limit(k)
-    return top.select(
-        "id", "old", "new", F.substring("company", 1, 16).alias("company"), F.substring("title", 1, 36).alias("title")
-    )
+    shown = [cut_to(F.col(c), (widths or {}).get(c)).alias(c) for c in ("company", "title")]
+    return top.select("id", "old", "new", *shown)
 
 
 def rescore_summary(df: DataFrame, profile: Profile, as_of) -> DataFrame:

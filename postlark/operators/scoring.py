@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -9,11 +10,12 @@ from pyspark.sql import functions as F
 
 from postlark.functions.lookups import any_of
 from postlark.operators.spread import settled
-from postlark.profiles import Profile
+from postlark.profiles import BREAKER_FIELDS, COMPANY_TIERS, KEYWORD_TIERS, Profile, check_patterns
 from postlark.schemas import BREAKDOWN
 
 LONG_LIST = 150
-PROFILES_PER_SELECT = 8
+# User patterns see letters of all scripts, and only \n ends a line.
+FLAGS = "(?Ud)"
 
 
 def prepared(df: DataFrame) -> DataFrame:
@@ -31,8 +33,9 @@ def prepared(df: DataFrame) -> DataFrame:
 
 def dealbreaker(profile: Profile) -> Column:
     """True when any pattern is found; cheap short fields are tried before the description."""
+    check_patterns(profile.dealbreakers)
     found = [
-        F.coalesce(F.col(name), F.lit("")).rlike("(?U)" + pattern)
+        F.coalesce(F.col(name), F.lit("")).rlike(FLAGS + pattern)
         for name in ("title", "company", "description")
         for pattern in profile.dealbreakers.get(name, [])
     ]
@@ -130,19 +133,65 @@ def score(df: DataFrame, profile: Profile, as_of) -> DataFrame:
     )
 
 
+def _profile_data(profiles: list[Profile]) -> tuple[Column, dict[str, list]]:
+    """All profiles as one array of numbers into lists of distinct keywords, companies, title signals and dealbreakers."""
+    lists: dict[str, dict] = {"keywords": {}, "companies": {}, "signals": {}, "breakers": {}}
+    number = lambda kind, entry: lists[kind].setdefault(entry, len(lists[kind]))
+    data = [
+        {
+            "profile": p.name,
+            "tiers": [[number("keywords", w.lower()) for w in p.keywords.get(t, [])] for t in KEYWORD_TIERS],
+            "companies": [[number("companies", n.lower()) for n in p.companies.get(t, [])] for t in COMPANY_TIERS],
+            "signals": [{"i": number("signals", s.lower()), "points": points} for s, points in p.title_signals if points > 0],
+            "breakers": [number("breakers", (f, x)) for f in BREAKER_FIELDS for x in p.dealbreakers.get(f, [])],
+        }
+        for p in profiles
+    ]
+    layout = (
+        "array<struct<profile:string,tiers:array<array<int>>,companies:array<array<int>>,"
+        "signals:array<struct<i:int,points:int>>,breakers:array<int>>>"
+    )
+    return F.from_json(F.lit(json.dumps(data)), layout), {k: list(v) for k, v in lists.items()}
+
+
+def _found(text: Column, words: list[str]) -> Column:
+    """For each word whether the text contains it."""
+    listed = F.array(*[F.lit(w) for w in words]).cast("array<string>")
+    return F.transform(listed, lambda w: F.contains(text, w))
+
+
 def score_profiles(df: DataFrame, profiles: list[Profile], as_of) -> DataFrame:
-    """One row per (profile, posting). The scores of a few profiles ride in one array per posting and are exploded,
-    so there is no join, and postings with no keyword hit keep their row."""
-    day = as_date(as_of)
-    out = None
-    for i in range(0, len(profiles), PROFILES_PER_SELECT):
-        rows, parts = prepared(df), []
-        for j, p in enumerate(profiles[i : i + PROFILES_PER_SELECT]):
-            rows = _with_hits(rows, p, f"_p{j}")
-            parts.append(F.struct(F.lit(p.name).alias("profile"), _breakdown(p, day, f"_p{j}").alias("score_breakdown")))
-        part = rows.select(*df.columns, F.inline(F.array(*parts))).withColumn("score", total("score_breakdown"))
-        part = part.select("profile", *df.columns, "score_breakdown", "score")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    """One row per (profile, posting), postings with no keyword hit too.
+
+    The distinct keywords, names and patterns of all profiles are searched once per posting. Profiles are data: an array
+    of numbers into these findings, added up per profile and exploded. So any number of profiles is one pass, no join.
+    """
+    if not profiles:
         raise ValueError("no profiles given")
-    return out
+    for p in profiles:
+        check_patterns(p.dealbreakers)
+    data, lists = _profile_data(profiles)
+    broken = [F.coalesce(F.col(f), F.lit("")).rlike(FLAGS + x) for f, x in lists["breakers"]]
+    findings = {
+        "_kw": _found(F.col("_text"), lists["keywords"]),
+        "_co": _found(F.col("_company"), lists["companies"]),
+        "_ti": _found(F.col("_title"), lists["signals"]),
+        "_db": F.array(*broken).cast("array<boolean>"),
+    }
+    rows = settled(prepared(df), findings)
+    hit = lambda name: lambda i: F.get(F.col(name), i)
+    best = lambda points: F.coalesce(F.array_max(points), F.lit(0))
+
+    def one(p: Column) -> Column:
+        hits = [F.size(F.filter(F.get(p["tiers"], F.lit(k)), hit("_kw"))) for k in range(len(KEYWORD_TIERS))]
+        tiers = [F.exists(F.get(p["companies"], F.lit(k)), hit("_co")) for k in range(len(COMPANY_TIERS))]
+        company = F.when(tiers[0], 15).when(tiers[1], 10).when(tiers[2], 6).otherwise(0)
+        signals = F.transform(F.filter(p["signals"], lambda s: F.get(F.col("_ti"), s["i"])), lambda s: s["points"])
+        stopped = F.exists(p["breakers"], hit("_db"))
+        parts = [keyword_points(*hits), company, F.least(F.lit(20), best(signals)), recency_points(F.col("date_posted"), as_date(as_of))]
+        fields = [F.when(~stopped, c.cast("int")).alias(n) for n, c in zip(("keyword", "company", "title", "recency"), parts)]
+        breakdown = F.struct(*fields, F.when(stopped, F.lit(True)).alias("dealbreaker")).cast(BREAKDOWN)
+        return F.struct(p["profile"].alias("profile"), breakdown.alias("score_breakdown"))
+
+    out = rows.select(*df.columns, F.inline(F.transform(data, one))).withColumn("score", total("score_breakdown"))
+    return out.select("profile", *df.columns, "score_breakdown", "score")

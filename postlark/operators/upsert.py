@@ -105,8 +105,8 @@ def _fold(events: DataFrame, heavy: list) -> DataFrame:
     ).select("target_id", "began", "_best.score", "_best.score_breakdown", "status")
 
 
-def resolve(stored: DataFrame, batch: DataFrame) -> Upserted:
-    """Work out inserts and updates.
+def resolve(stored: DataFrame, batch: DataFrame, last_id: int = 0) -> Upserted:
+    """Work out inserts and updates. New ids are above all stored ones and above ``last_id``, the highest ever issued.
 
     ``stored`` needs id, dedup_key, content_key, score, score_breakdown and status. ``batch`` is a written table, as
     ``sequenced`` leaves it, with a unique ``seq`` (arrival order, 0 or more), ``long``, and the same columns without
@@ -123,7 +123,7 @@ def resolve(stored: DataFrame, batch: DataFrame) -> Upserted:
 
     fresh = rows.where(F.col("key_id").isNull() & ~(F.col("long") & F.col("content_id").isNotNull()))
     chosen, rounds = membership(fresh.select("seq", "dedup_key", "content_key", "long"), heavy)
-    top = stored.agg(F.max("id")).first()[0] or 0
+    top = max(stored.agg(F.max("id")).first()[0] or 0, last_id)
     new = dense_rank_of(chosen, "seq", "_rank")
     new = cut(new.select("seq", "dedup_key", "content_key", (F.col("_rank") + top).alias("new_id")))
 

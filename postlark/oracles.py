@@ -43,8 +43,8 @@ raw AS (
     e.ts AS date_scraped, e.event_type AS search_term, d.n_chars AS n_chars,
     CASE WHEN d.doc_id % 13 = 0 THEN 'applied' WHEN d.doc_id % 17 = 0 THEN 'rejected'
       WHEN d.doc_id % 29 = 0 THEN 'interview' WHEN d.doc_id % 31 = 0 THEN 'offer' ELSE 'new' END AS raw_status
-  FROM documents d JOIN events e ON e.event_id = d.doc_id
-  JOIN supplier s ON s.s_suppkey = d.n_chars % 10 JOIN nation n ON n.n_nationkey = d.n_chars % 25)"""
+  FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id
+  JOIN supplier s ON s.s_suppkey = d.n_chars % (SELECT count(*) FROM supplier) JOIN nation n ON n.n_nationkey = d.n_chars % 25)"""
 
 
 def located(src: str, out: str) -> str:
@@ -74,9 +74,14 @@ def located(src: str, out: str) -> str:
   FROM {out}_5)"""
 
 
-CONTENT_KEY = f"""substr(sha256(concat_ws('|', {squeezed("lower(coalesce(title, ''))")}, {squeezed("lower(company)")},
+def content_key(prefix: int | None = None) -> str:
+    said = "description" if prefix is None else f"substr(description, 1, {prefix})"
+    return f"""substr(sha256(concat_ws('|', {squeezed("lower(coalesce(title, ''))")}, {squeezed("lower(company)")},
   {squeezed("lower(coalesce(city, ''))")}, trim(lower(coalesce(state, ''))),
-  coalesce(strftime(date_posted, '%Y-%m-%d'), ''), {squeezed("lower(substr(description, 1, 500))")})), 1, 16)"""
+  coalesce(strftime(date_posted, '%Y-%m-%d'), ''), {squeezed(f"lower({said})")})), 1, 16)"""
+
+
+CONTENT_KEY = content_key()
 
 POSTINGS = (
     RAW
@@ -224,7 +229,7 @@ again AS (
   SELECT 2, 1, id, source, source_id || 'b', content_key, description, score + id % 3 - 1, status FROM j WHERE id % 5 = 0),
 arr AS (
   SELECT row_number() OVER (ORDER BY batch, id, k) - 1 AS seq, batch, id AS doc, source_id,
-    substr(sha256(source || ':' || source_id), 1, 16) AS dk, content_key AS ck, length(description) > 100 AS long,
+    substr(sha256(source || ':' || source_id), 1, 16) AS dk, content_key AS ck, TRUE AS long,
     CAST(score AS INTEGER) AS score, status
   FROM again)"""
 
@@ -255,26 +260,29 @@ UPSERT = J + "," + ARRIVALS + "," + FOLD
 # --- payload pages ---
 
 
-def listed_items(site: str) -> str:
-    """Rows the site's runs return, in order, with their page and position."""
+def listed_items(site: str, limited: bool = False) -> str:
+    """Rows the site's runs return, in order, with their page and position: all that landed, or a collector's share."""
     last = {"linkedin": "4", "glassdoor": "3", "bayt": "3"}.get(site, "CASE WHEN run_id % 6 = 5 THEN 1 ELSE 3 END")
+    counts = "NOT (run_id % 7 = 6 AND page_no = 2)"
+    if limited:
+        counts = f"""page_no <= {last} AND (run_id % 7 <> 6 OR page_no < 2)
+  QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY page_no, pos) <= 25"""
     return f"""
 items AS (
   SELECT *, id // 40 AS run_id, CAST(id // 10 % 4 + 1 AS INTEGER) AS page_no, CAST(id % 10 AS INTEGER) AS pos,
     CAST(CASE WHEN id % 10 = 9 THEN id - 1 ELSE id END AS VARCHAR) AS listed,
     regexp_replace(trim(title), '\\s+', ' ', 'g') AS clean_title, {DAY} - date_posted AS days FROM raw),
 kept AS (
-  SELECT * FROM items WHERE pos < 9 AND page_no <= {last} AND (run_id % 7 <> 6 OR page_no < 2)
-  QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY page_no, pos) <= 25)"""
+  SELECT * FROM items WHERE pos < 9 AND {counts})"""
 
 
 REMOTE = "(contains(lower({0}), 'remote') OR contains(lower({0}), 'work from home') OR contains(lower({0}), 'wfh'))"
 BODY_TEXT = squeezed("description")
 
 
-def site_rows(site: str) -> str:
+def site_rows(site: str, limited: bool = False) -> str:
     """CTEs ending in ``ext``: what the extractor should give, places still as read."""
-    head = "WITH RECURSIVE " + RAW + "," + listed_items(site)
+    head = "WITH RECURSIVE " + RAW + "," + listed_items(site, limited)
     place = "concat_ws(', ', raw_city, raw_state)"
     parts = f"string_split({place}, ',')"
     two = f"len({parts}) >= 2"
@@ -348,18 +356,19 @@ ext AS (
     {interval} AS comp_interval, search_term, date_scraped FROM kept)"""
 
 
-def extraction(site: str) -> str:
-    return f"""{site_rows(site)},{located("ext", "clean")}
+def extraction(site: str, limited: bool = False) -> str:
+    return f"""{site_rows(site, limited)},{located("ext", "clean")}
 SELECT run_id, page_no, pos, source, source_id, url, title, company, city, state, country, is_remote,
-  CAST(length(description) AS INTEGER) AS description_chars, job_types, comp_min, comp_max, comp_interval, date_posted FROM clean"""
+  CAST(length(description) AS INTEGER) AS description_chars, md5(description) AS description_md5, job_types, comp_min, comp_max, comp_interval, date_posted FROM clean"""
 
 
-def ingested(site: str) -> str:
+def ingested(site: str, limited: bool = False) -> str:
     """A whole ingest of the site's payloads into an empty store."""
-    return f"""{site_rows(site)},{located("ext", "clean")},{scored(P0, "clean", "sc")},
+    key, long = (content_key(500), "length(description) > 100") if limited else (CONTENT_KEY, "TRUE")
+    return f"""{site_rows(site, limited)},{located("ext", "clean")},{scored(P0, "clean", "sc")},
 arr AS (
   SELECT row_number() OVER (ORDER BY run_id, page_no, pos) - 1 AS seq, *,
-    substr(sha256(source || ':' || source_id), 1, 16) AS dk, {CONTENT_KEY} AS ck, length(description) > 100 AS long,
+    substr(sha256(source || ':' || source_id), 1, 16) AS dk, {key} AS ck, {long} AS long,
     CASE WHEN broken THEN 'filtered' ELSE 'new' END AS status
   FROM sc),{FOLD}"""
 
@@ -478,7 +487,10 @@ d AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS rank, count(*) OVER () A
         # filters and lists
         "list_filtered": list_sql("WHERE status = 'new' AND score >= 20 AND company ILIKE '%r#00000000%' AND source = 'src1' AND date_scraped >= TIMESTAMP '2024-01-01 12:00:00'", "LIMIT 50"),
         "list_page": list_sql("", "LIMIT 50 OFFSET 100"),
-        "list_view": f"""{J} SELECT id, score, substr(company, 1, 14) AS company, substr(title, 1, 32) AS title, substr({PLACE}, 1, 16) AS location,
+        "list_view": f"""{J} SELECT id, score, company, title, {PLACE} AS location,
+          CASE WHEN date_posted IS NULL THEN '?' WHEN {DAY} - date_posted > 0 THEN ({DAY} - date_posted) || 'd' ELSE 'today' END AS posted,
+          source AS src FROM j WHERE status = 'filtered' ORDER BY {ORDER} LIMIT 30""",
+        "list_view_cut": f"""{J} SELECT id, score, substr(company, 1, 14) AS company, substr(title, 1, 32) AS title, substr({PLACE}, 1, 16) AS location,
           CASE WHEN date_posted IS NULL THEN '?' WHEN {DAY} - date_posted > 0 THEN ({DAY} - date_posted) || 'd' ELSE 'today' END AS posted,
           substr(source, 1, 4) AS src FROM j WHERE status = 'filtered' ORDER BY {ORDER} LIMIT 30""",
         "posted_range": list_sql("WHERE date_posted IS NULL OR (date_posted >= DATE '2024-01-10' AND date_posted <= DATE '2024-01-20')"),
@@ -519,7 +531,9 @@ d AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS rank, count(*) OVER () A
         "rescore_changes": f"""{RESCORED} SELECT id, old_score AS old, score AS new, score - old_score AS delta, company, title,
           CASE WHEN broken THEN '{{"dealbreaker":true}}' ELSE '{{"keyword":' || kw || ',"company":' || co || ',"title":' || ti || ',"recency":' || re || '}}' END AS breakdown
           FROM rs WHERE score <> old_score""",
-        "rescore_top": f"""{RESCORED} SELECT id, old_score AS old, score AS new, substr(company, 1, 16) AS company, substr(title, 1, 36) AS title FROM rs
+        "rescore_top": f"""{RESCORED} SELECT id, old_score AS old, score AS new, company, title FROM rs
+          WHERE score <> old_score ORDER BY abs(score - old_score) DESC, id LIMIT 25""",
+        "rescore_top_cut": f"""{RESCORED} SELECT id, old_score AS old, score AS new, substr(company, 1, 16) AS company, substr(title, 1, 36) AS title FROM rs
           WHERE score <> old_score ORDER BY abs(score - old_score) DESC, id LIMIT 25""",
         "rescore_summary": f"""{RESCORED} SELECT count(*) AS total, count(*) FILTER (score <> old_score) AS changed,
           avg(score - old_score) FILTER (score <> old_score) AS avg_delta, min(score - old_score) FILTER (score <> old_score) AS min_delta,
@@ -535,17 +549,21 @@ d AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS rank, count(*) OVER () A
         "valid_updates": """WITH t AS (SELECT event_id, user_id, event_type, value FROM events)
           SELECT event_id, CAST(user_id AS BIGINT) AS job_id, CASE event_type WHEN 'signup' THEN 'applied' WHEN 'purchase' THEN 'offer' END AS status,
             CASE WHEN event_id % 3 = 0 THEN event_type ELSE '' END AS notes FROM t WHERE event_type IN ('signup', 'purchase') AND event_id % 5 <> 0""",
-        "route_messages": """SELECT conv_id AS chat_id, turn, 'p' || (c_custkey % 2) AS profile, substr(text, 1, 500) AS text
+        "route_messages": """SELECT conv_id AS chat_id, turn, 'p' || (c_custkey % 2) AS profile, text
+          FROM conversations JOIN customer ON c_custkey = conv_id WHERE role = 'user' AND c_mktsegment <> 'BUILDING'""",
+        "route_messages_cut": """SELECT conv_id AS chat_id, turn, 'p' || (c_custkey % 2) AS profile, substr(text, 1, 500) AS text
           FROM conversations JOIN customer ON c_custkey = conv_id WHERE role = 'user' AND c_mktsegment <> 'BUILDING'""",
         # upsert and ingest
         "upsert_snapshot": f"{UPSERT} SELECT s.id, e.source_id, e.dk AS dedup_key, s.score, s.status FROM settled s JOIN events_of e ON e.target = s.id AND e.kind = 'insert'",
         "upsert_outcomes": f"{UPSERT} SELECT CAST(batch AS INTEGER) AS batch, kind, count(*) AS cnt FROM events_of GROUP BY 1, 2",
-        "alerts": f"""{J}, arr AS (SELECT row_number() OVER (ORDER BY id) - 1 AS seq, *, dedup_key AS dk, content_key AS ck, length(description) > 100 AS long FROM j),{FOLD}
+        "alerts": f"""{J}, arr AS (SELECT row_number() OVER (ORDER BY id) - 1 AS seq, *, dedup_key AS dk, content_key AS ck, TRUE AS long FROM j),{FOLD}
           SELECT 'p0' AS profile, 'telegram' AS channel, CAST(0 AS BIGINT) AS batch_id, row_number() OVER (ORDER BY score DESC, target) AS rank, target AS posting_id, line AS message_line
           FROM (SELECT * EXCLUDE (id), target AS id, target FROM events_of) z, LATERAL (SELECT {message("telegram")} AS line) l
           WHERE kind = 'insert' AND NOT broken AND score >= 30 AND ({states})""",
         "ingest_postings": f"""{ingested("indeed")} SELECT s.id, e.source_id, e.dk AS dedup_key, e.ck AS content_key, s.score, s.status, e.title, e.city, e.state
           FROM settled s JOIN events_of e ON e.target = s.id AND e.kind = 'insert'""",
+        "ingest_limited": f"""{ingested("indeed", True)} SELECT s.id, e.source_id, e.ck AS content_key, s.score, s.status, md5(substr(e.description, 1, 50000)) AS description_md5
+          FROM settled s JOIN events_of e ON e.target = s.id AND e.kind = 'insert'""",
         "ingest_run_log": f"""{ingested("indeed")}, c AS (SELECT run_id, count(*) AS f, count(*) FILTER (kind = 'insert' AND NOT broken) AS n FROM events_of GROUP BY 1),
           allruns AS (SELECT run_id AS id, min(search_term) AS search_term FROM (SELECT run_id, page_no, min(search_term) AS search_term FROM items GROUP BY 1, 2) GROUP BY 1)
           SELECT r.id, 'indeed' AS site, r.search_term, CAST(coalesce(f, 0) AS INTEGER) AS jobs_found, CAST(coalesce(n, 0) AS INTEGER) AS jobs_new,
@@ -567,7 +585,7 @@ d AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS rank, count(*) OVER () A
           SELECT CAST((i * (SELECT count(*) FROM t) + j) * (SELECT count(*) FROM l) + k AS BIGINT) AS position, source AS site, event_type AS term, r_name AS location
           FROM s CROSS JOIN t CROSS JOIN l""",
         "enrich_descriptions": f"""{site_rows("linkedin")}, d AS (SELECT page_id, min(url) AS u FROM pages GROUP BY 1)
-          SELECT e.source_id, CAST(length(CASE WHEN x.doc_id % 3 <> 0 THEN {squeezed("x.text")} ELSE '' END) AS INTEGER) AS description_chars,
+          SELECT e.source_id, md5(CASE WHEN x.doc_id % 3 <> 0 THEN {squeezed("x.text")} ELSE '' END) AS description_md5,
             coalesce(e.is_remote OR {REMOTE.format(f"(CASE WHEN x.doc_id % 3 <> 0 THEN {squeezed('x.text')} ELSE '' END)")}, FALSE) AS is_remote
           FROM ext e JOIN documents x ON CAST(x.doc_id AS VARCHAR) = e.source_id""",
         # digests and reports
@@ -582,8 +600,16 @@ d AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS rank, count(*) OVER () A
         "report_medium": report_list("score >= 40 AND score < 55"),
     }
     out["export_files"] = out["export_rows"]
+    out["content_key_prefix"] = f"WITH {POSTINGS} SELECT id, {content_key(500)} AS content_key FROM postings"
+    out["extract_indeed_limited"] = extraction("indeed", True)
     out["stream_status"] = out["status_fold"]
-    out["stream_ingest"] = out["ingest_postings"].replace("s.score, s.status", "s.status")
+    out["stream_ingest"] = out["ingest_postings"]
+    out["stream_runs"] = out["ingest_run_log"]
+    out["stream_misses"] = out["status_not_found"]
+    out["stream_alerts"] = f"{ingested('indeed')} SELECT target AS id, score, title FROM events_of WHERE kind = 'insert' AND NOT broken AND score >= {P0.min_alert_score}"
+    out["reissued_ids"] = f"""{J}, t AS (SELECT max(id) AS top FROM j)
+      SELECT id, dedup_key, source_id FROM j, t WHERE id <= top - 10 UNION ALL
+      SELECT top + row_number() OVER (ORDER BY source_id), 'again' || dedup_key, source_id FROM j, t WHERE id > top - 5"""
     listing = f"string_agg('| ' || score || ' | ' || title || ' | ' || company || ' | ' || {PLACE} || ' | ' || {CONCISE} || ' | [apply](' || url || ') |', chr(10) ORDER BY {ORDER})"
     table = "|| chr(10) || chr(10) || '| Score | Title | Company | Location | Comp | Link |' || chr(10) || '|---|---|---|---|---|---|' || chr(10) ||"
     out["report_text"] = f"""{matches(40)},

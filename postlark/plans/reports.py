@@ -89,18 +89,18 @@ def export_postings(
     raise ValueError(f"unknown export format: {kind}")
 
 
-def list_view(df: DataFrame, as_of, **filters) -> DataFrame:
-    """The list as shown to a reader: shortened columns and an age label."""
+# Column widths of a terminal.
+LIST_WIDTHS = {"company": 14, "title": 32, "location": 16, "src": 4}
+CHANGE_WIDTHS = {"company": 16, "title": 36}
+
+
+def list_view(df: DataFrame, as_of, widths: dict[str, int] | None = None, **filters) -> DataFrame:
+    """The list as shown to a reader with an age label; texts are whole, or cut to the widths given by column."""
     rows = list_postings(df, **filters)
-    return rows.select(
-        "id",
-        "score",
-        cut_to(F.col("company"), 14).alias("company"),
-        cut_to(F.col("title"), 32).alias("title"),
-        cut_to(place(), 16).alias("location"),
-        age_label(F.col("date_posted"), as_date(as_of)).alias("posted"),
-        cut_to(F.col("source"), 4).alias("src"),
-    )
+    shown = {"company": F.col("company"), "title": F.col("title"), "location": place(), "src": F.col("source")}
+    cut = {name: cut_to(c, (widths or {}).get(name)).alias(name) for name, c in shown.items()}
+    age = age_label(F.col("date_posted"), as_date(as_of)).alias("posted")
+    return rows.select("id", "score", cut["company"], cut["title"], cut["location"], age, cut["src"])
 
 
 def context_line() -> Column:

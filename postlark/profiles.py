@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_DIMENSION_ROWS = 100_000
+# Profiles become literals of a plan, so tables beyond this bound are refused, never cut; callers may raise it.
+DIMENSION_ROWS = 100_000
 
 KEYWORD_TIERS = ("critical", "strong", "moderate", "weak")
 COMPANY_TIERS = ("tier1", "tier2", "tier3")
@@ -27,12 +30,21 @@ class Profile:
     alert_states: list[str] = field(default_factory=list)
 
     def __post_init__(self):
-        for where, patterns in self.dealbreakers.items():
-            for pattern in patterns:
-                try:
-                    re.compile(pattern)
-                except re.error as e:
-                    raise ValueError(f"invalid pattern in dealbreakers.{where}: {pattern} ({e})") from e
+        check_patterns(self.dealbreakers)
+
+
+def check_patterns(dealbreakers: dict[str, list[str]]) -> None:
+    """Refuse patterns that the engine which runs them can't compile. Before a session starts there is none to ask;
+    scoring asks again."""
+    context = SparkContext._active_spark_context
+    if context is None:
+        return
+    for where, patterns in dealbreakers.items():
+        for pattern in patterns:
+            try:
+                context._jvm.java.util.regex.Pattern.compile(pattern)
+            except (IllegalArgumentException, Py4JJavaError) as e:
+                raise ValueError(f"invalid pattern in dealbreakers.{where}: {pattern} ({e})") from e
 
 
 def dimension_tables(spark: SparkSession, profiles: list[Profile]) -> dict[str, DataFrame]:
@@ -70,13 +82,13 @@ def dimension_tables(spark: SparkSession, profiles: list[Profile]) -> dict[str,
     }
 
 
-def profiles_from_tables(dims: dict[str, DataFrame]) -> list[Profile]:
+def profiles_from_tables(dims: dict[str, DataFrame], max_rows: int = DIMENSION_ROWS) -> list[Profile]:
     """Read profile tables back. They are user settings, so their size is checked before they reach the driver."""
 
     def rows(name: str):
-        found = dims[name].limit(MAX_DIMENSION_ROWS + 1).collect()
-        if len(found) > MAX_DIMENSION_ROWS:
-            raise ValueError(f"profile table {name} has more than {MAX_DIMENSION_ROWS} rows")
+        found = dims[name].limit(max_rows + 1).collect()
+        if len(found) > max_rows:
+            raise ValueError(f"profile table {name} has more than {max_rows} rows")
         return found
 
     out: dict[str, Profile] = {}

@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 from postlark.operators.scoring import as_date
 from postlark.operators.spread import cut
+from postlark.shipping import ship
 from postlark.schemas import EXTRACTED, PAYLOADS, column_names, conform
 from postlark.sources import cards, json_sites, positional
 
 Extractor = Callable[[DataFrame, Column], DataFrame]
 
-MAX_PAGES = 3
-RESULTS_WANTED = 25
 OFFSET_STEP = 25
 # Sites that page by a cursor, by a card offset, and sites that accept any 2xx answer.
 CURSOR_SITES = ["indeed", "google", "ziprecruiter"]
@@ -31,6 +30,7 @@ _EXTRACTORS: dict[str, Extractor] = {
     "bayt": cards.bayt,
 }
 PAGE_COLUMNS = ["raw_count", "has_cursor", "seen_key"]
+PAGE_ORDER = ["page_no", "pos"]
 
 
 def register_extractor(site: str, fn: Extractor) -> None:
@@ -88,6 +88,7 @@ def extract(payloads: DataFrame, as_of, sites: Iterable[str] | None = None) -> D
 
     A failed answer keeps its page row, because it ends the run's pages.
     """
+    ship(payloads.sparkSession)
     names = list(_EXTRACTORS) if sites is None else list(sites)
     day, out = as_date(as_of), None
     columns = column_names(EXTRACTED)
@@ -111,7 +112,7 @@ def seen_first(df: DataFrame, key: str = "seen_key") -> DataFrame:
     return df.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def page_prefix(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+def page_prefix(pages: DataFrame, max_pages: int) -> DataFrame:
     """Pages that count, from (run_id, source, page_no, raw_count, kept_rows, has_cursor).
 
     Pages count from 1 up to the first one that is missing or gives nothing new, within the page cap, and no further
@@ -132,28 +133,52 @@ def page_prefix(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     return counted.where("_ok").drop("_full", "_ok")
 
 
-def cap_per_task(df: DataFrame, n: int = RESULTS_WANTED) -> DataFrame:
-    """First ``n`` rows per run in page order; rows flagged ``uncapped`` always stay."""
+def cap_per_task(df: DataFrame, n: int) -> DataFrame:
+    """First ``n`` rows per run in page order; rows flagged ``uncapped`` always stay. Every task keeps ``n`` rows of a
+    run before the shuffle."""
     w = Window.partitionBy("run_id").orderBy("page_no", "pos")
-    ranked = df.withColumn("_n", F.row_number().over(w))
-    if "uncapped" in df.columns:
-        # Runs are down to a few pages here, so their rows are bounded and need no early limit.
-        return ranked.where(F.col("uncapped") | (F.col("_n") <= n)).drop("_n")
-    return ranked.where(F.col("_n") <= n).drop("_n")
+    free = F.coalesce(F.col("uncapped"), F.lit(False)) if "uncapped" in df.columns else F.lit(False)
+    capped = df.where(~free).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+    return capped.unionByName(df.where(free)) if "uncapped" in df.columns else capped
 
 
-def run_rows(extracted: DataFrame, max_pages: int = MAX_PAGES, wanted: int = RESULTS_WANTED) -> DataFrame:
-    """The postings each run would have returned: first sightings, on pages that count, up to the cap."""
-    rows = cut(extracted)
-    kept = seen_first(rows)
+def run_rows(
+    extracted: DataFrame, max_pages: int | None = None, wanted: int | None = None, seen: DataFrame | None = None,
+    columns: list[str] | None = None,
+) -> DataFrame:
+    """The postings of each run: every landed one at its first sighting.
+
+    ``seen`` (run_id, seen_key) are sightings of earlier batches. With ``max_pages`` only pages count that a collector
+    with that limit would have fetched; with ``wanted`` only so many postings of a run. Give rows without their texts,
+    as an ingest does, where texts shouldn't move.
+    """
+    out = columns or column_names(EXTRACTED)
+    if max_pages is None and wanted is None:
+        return _fresh(seen_first(extracted), seen).select(*out)
+    return _limited(cut(extracted), max_pages, wanted, seen).select(*out)
+
+
+def _fresh(rows: DataFrame, seen: DataFrame | None) -> DataFrame:
+    return rows if seen is None else rows.join(seen.select("run_id", "seen_key").distinct(), ["run_id", "seen_key"], "left_anti")
+
+
+def _limited(rows: DataFrame, max_pages: int | None, wanted: int | None, seen: DataFrame | None) -> DataFrame:
+    """Rows within a collector's limits."""
+    kept = _fresh(seen_first(rows), seen)
+    if max_pages is not None:
+        kept = _on_counted_pages(rows, kept, max_pages)
+    if wanted is None:
+        return kept
+    # A first page without a cursor is returned whole by the one site that reads it before the cap applies.
+    lone = (F.col("source") == "google") & (F.col("page_no") == 1) & ~F.col("has_cursor")
+    return cap_per_task(kept.withColumn("uncapped", lone), wanted)
+
+
+def _on_counted_pages(rows: DataFrame, kept: DataFrame, max_pages: int) -> DataFrame:
     kept_counts = kept.groupBy("run_id", "page_no").agg(F.count("*").alias("kept_rows"))
     pages = rows.groupBy("run_id", "source", "page_no").agg(
         F.max("raw_count").alias("raw_count"), F.max("has_cursor").alias("has_cursor")
     )
     pages = pages.join(kept_counts, ["run_id", "page_no"], "left").fillna(0, ["kept_rows"])
     counted = page_prefix(pages, max_pages).select("run_id", "page_no")
-    chosen = kept.join(counted, ["run_id", "page_no"], "left_semi")
-    # A first page without a cursor is returned whole by the one site that reads it before the cap applies.
-    lone = (F.col("source") == "google") & (F.col("page_no") == 1) & ~F.col("has_cursor")
-    capped = cap_per_task(chosen.withColumn("uncapped", lone), wanted)
-    return capped.select(*column_names(EXTRACTED))
+    return kept.join(counted, ["run_id", "page_no"], "left_semi")

@@ -1,6 +1,7 @@
 """Streaming jobs: the same batch functions, one micro-batch at a time.
 
-Each batch takes its clock from its own data, so a replay computes the same rows; a batch already committed is skipped.
+A batch takes its clock from its own data unless one is given, and reads the store as it was before, so a replay writes
+the same rows to the same partitions. Sightings of earlier batches count, so a run may land in any number of batches.
 """
 
 from __future__ import annotations
@@ -21,33 +22,33 @@ from postlark.streaming.store import Store
 STATUS_EVENTS = "seq bigint, posting_id bigint, status string, notes string, event_date date"
 
 
-def ingest_batch(store: Store, profile: Profile, **options):
+def ingest_batch(store: Store, profile: Profile, as_of=None, **options):
     def run(payloads: DataFrame, batch_id: int) -> None:
-        if store.committed("ingest", batch_id):
-            return
-        now = payloads.agg(F.max("fetched_at")).first()[0]
+        own = ("ingest", batch_id)
+        now = as_of or payloads.agg(F.max("fetched_at")).first()[0]
         if now is None:
             return
-        done = ingest(payloads, store.state(), profile, now, **options)
+        runs = payloads.select("run_id").distinct()
+        seen = store.read("seen", own).join(runs, "run_id", "left_semi")
+        done = ingest(payloads, store.state(own), profile, now, last_id=store.last_id(own), seen=seen, **options)
         changed = done.updated.withColumn("updated_at", moment(now))
-        store.commit(
-            "ingest", batch_id, inserted=done.inserted, changed=changed, runs=done.runs, alerts=done.alerts
-        )
+        sighted = done.arrivals.select("run_id", "seen_key")
+        store.commit(*own, inserted=done.inserted, changed=changed, runs=done.runs, alerts=done.alerts, seen=sighted)
 
     return run
 
 
 def status_batch(store: Store):
     def run(events: DataFrame, batch_id: int) -> None:
-        if store.committed("status", batch_id):
-            return
+        own = ("status", batch_id)
         now = events.agg(F.max("event_date")).first()[0]
         if now is None:
             return
         touched = events.select(F.col("posting_id").alias("id")).distinct()
-        rows = store.state().join(touched, "id", "left_semi")
-        state, _ = apply_status_events(rows, events, moment(now))
-        store.commit("status", batch_id, changed=state.select("id", "status", "notes", "applied_date", "updated_at"))
+        rows = store.state(own).join(touched, "id", "left_semi")
+        state, missed = apply_status_events(rows, events, moment(now))
+        changed = state.select("id", "status", "notes", "applied_date", "updated_at")
+        store.commit(*own, changed=changed, misses=missed)
 
     return run
 

@@ -1,9 +1,8 @@
-"""Postings kept as append-only Parquet folders.
+"""Postings kept as plain Parquet folders, one partition per job and batch.
 
-A commit adds whole rows of new postings, the new values of touched postings, and ids of removed ones. Nothing is
-rewritten and no folder being read is overwritten, so a batch writes no more than it changes. A commit counts once its
-record exists, which is written last; a half-written commit is invisible and is overwritten by the next attempt. The
-record names the job and batch, so a replayed batch is recognised. One job writes to a store at a time.
+A batch adds whole rows of new postings, new values of touched ones, ids of removed ones, its runs, alerts, sightings
+and misses. Writing a batch again overwrites its own partitions, and its input is read without them, so a replay after
+a failure changes nothing else. Nothing already written is rewritten. One job writes to a store at a time.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from postlark.operators.upsert import apply_changes
 from postlark.schemas import POSTINGS, RUNS, column_names, conform
@@ -21,7 +21,22 @@ MUTABLE = [
     "city", "state", "country", "score", "score_breakdown", "status", "notes", "applied_date", "content_key",
     "updated_at",
 ]
-COMMIT = "v bigint, job string, batch_id bigint, base boolean"
+_PLAIN = {
+    "inserted": POSTINGS,
+    "removed": "id bigint",
+    "runs": RUNS,
+    "alerts": POSTINGS,
+    "seen": "run_id bigint, seen_key string",
+    "misses": "posting_id bigint",
+    "issued": "last_id bigint",
+}
+
+
+def layout_of(kind: str) -> str:
+    if kind != "changed":
+        return _PLAIN[kind]
+    kinds = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(POSTINGS).fields}
+    return ", ".join(["id bigint", "version bigint", *[f"{c} {kinds[c]}" for c in MUTABLE]])
 
 
 @dataclass
@@ -29,97 +44,69 @@ class Store:
     spark: SparkSession
     root: str
 
-    def _path(self, kind: str, v: int) -> str:
-        return f"{self.root}/{kind}/v={v}"
-
-    def commits(self) -> DataFrame:
+    def read(self, kind: str, without: tuple[str, int] | None = None) -> DataFrame:
+        """All rows of a kind with their job and batch; ``without`` leaves one batch out."""
+        layout = f"{layout_of(kind)}, job string, batch_id bigint"
         try:
-            reader = self.spark.read.schema(COMMIT).option("recursiveFileLookup", True)
-            return reader.json(f"{self.root}/commits")
+            rows = self.spark.read.schema(layout).parquet(f"{self.root}/{kind}")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], COMMIT)
-
-    def versions(self) -> list[int]:
-        """Committed versions since the last compaction, oldest first."""
-        log = self.commits()
-        base = log.where("base").agg(F.max("v")).first()[0] or 0
-        return sorted(r.v for r in log.where(F.col("v") >= base).select("v").collect())
-
-    def committed(self, job: str, batch_id: int) -> bool:
-        return not self.commits().where((F.col("job") == job) & (F.col("batch_id") == batch_id)).isEmpty()
-
-    def _read(self, kind: str, versions: list[int], layout: str) -> DataFrame:
-        """Rows of the given versions with their version number; folders a commit did not need are empty."""
-        parts = [self._path(kind, v) for v in versions]
-        if not parts:
-            return self.spark.createDataFrame([], f"{layout}, v bigint")
-        reader = self.spark.read.schema(f"{layout}, v bigint").option("basePath", f"{self.root}/{kind}")
-        return reader.parquet(*parts)
-
-    def state(self) -> DataFrame:
-        """All postings as of the last commit."""
-        versions = self.versions()
-        changes = self._read("changed", versions, _changed_layout())
-        rows = self._read("inserted", versions, POSTINGS).drop("v")
+            return self.spark.createDataFrame([], layout)
+        return rows if without is None else rows.where((F.col("job") != without[0]) | (F.col("batch_id") != without[1]))
+
+    def state(self, without: tuple[str, int] | None = None) -> DataFrame:
+        """All postings as they stand now."""
+        changes = self.read("changed", without)
+        rows = self.read("inserted", without).drop("job", "batch_id")
         # Latest image per posting, combined inside tasks; only narrow columns take part.
-        last = changes.groupBy("id").agg(F.max_by(F.struct(*MUTABLE), "v").alias("_n")).select("id", "_n.*")
-        gone = self._read("removed", versions, "id bigint").select("id")
+        last = changes.groupBy("id").agg(F.max_by(F.struct(*MUTABLE), "version").alias("_n")).select("id", "_n.*")
+        gone = self.read("removed", without).select("id")
         return apply_changes(rows, last).join(gone, "id", "left_anti").select(*column_names(POSTINGS))
 
+    def last_id(self, without: tuple[str, int] | None = None) -> int:
+        """The highest id ever issued; ids of removed postings stay taken."""
+        given = self.read("inserted", without).agg(F.max("id")).first()[0] or 0
+        return max(given, self.read("issued").agg(F.max("last_id")).first()[0] or 0)
+
     def runs(self) -> DataFrame:
-        versions = [r.v for r in self.commits().select("v").collect()]
-        return self._read("runs", versions, RUNS).drop("v")
+        """The run log; a run that landed in several batches is one row."""
+        parts = self.read("runs")
+        return conform(
+            parts.groupBy("id").agg(
+                F.min("started_at").alias("started_at"),
+                F.max("finished_at").alias("finished_at"),
+                *[F.min(c).alias(c) for c in ("site", "search_term", "location")],
+                F.sum("jobs_found").alias("jobs_found"),
+                F.sum("jobs_new").alias("jobs_new"),
+                F.min("error").alias("error"),
+            ),
+            RUNS,
+        )
 
     def alerts(self) -> DataFrame:
-        versions = [r.v for r in self.commits().select("v").collect()]
-        return self._read("alerts", versions, f"batch_id bigint, {POSTINGS}")
-
-    def commit(
-        self,
-        job: str,
-        batch_id: int,
-        *,
-        inserted: DataFrame | None = None,
-        changed: DataFrame | None = None,
-        removed: DataFrame | None = None,
-        runs: DataFrame | None = None,
-        alerts: DataFrame | None = None,
-        base: bool = False,
-    ) -> int | None:
-        """Write one version. ``changed`` holds ids and any of the mutable columns; the others keep their values."""
-        if self.committed(job, batch_id):
-            return None
-        v = (self.commits().agg(F.max("v")).first()[0] or 0) + 1
-
-        def write(kind: str, df: DataFrame | None, layout: str):
-            rows = self.spark.createDataFrame([], layout) if df is None else conform(df, layout)
-            rows.write.mode("overwrite").parquet(self._path(kind, v))
+        return self.read("alerts")
 
+    def commit(self, job: str, batch_id: int, **kinds: DataFrame | None) -> None:
+        """Write one batch: frames by kind. ``changed`` holds ids and any of the mutable columns; others keep their
+        values."""
+        own = (job, batch_id)
+        changed = kinds.get("changed")
         if changed is not None:
             kept = [c for c in MUTABLE if c not in changed.columns]
             if kept:
-                changed = changed.join(self.state().select("id", *kept), "id")
-        write("inserted", inserted, POSTINGS)
-        write("changed", changed, _changed_layout())
-        write("removed", removed, "id bigint")
-        write("runs", runs, RUNS)
-        write("alerts", None if alerts is None else alerts.withColumn("batch_id", F.lit(batch_id)), f"batch_id bigint, {POSTINGS}")
-        record = self.spark.range(1).select(
-            F.lit(v).alias("v"), F.lit(job).alias("job"), F.lit(batch_id).alias("batch_id"), F.lit(base).alias("base")
-        )
-        record.write.mode("error").json(self._path("commits", v))
-        return v
-
-    def compact(self) -> int | None:
-        """Fold everything into one version; older ones are no longer read."""
-        v = self.commits().agg(F.max("v")).first()[0] or 0
-        return self.commit("compact", v, inserted=self.state(), base=True)
-
-
-def _changed_layout() -> str:
-    from pyspark.sql.types import StructType
-
-    kinds = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(POSTINGS).fields}
-    return ", ".join(["id bigint"] + [f"{c} {kinds[c]}" for c in MUTABLE])
+                changed = changed.join(self.state(own).select("id", *kept), "id")
+            version = (self.read("changed", own).agg(F.max("version")).first()[0] or 0) + 1
+            kinds["changed"] = changed.withColumn("version", F.lit(version).cast("long"))
+        for kind, rows in kinds.items():
+            if rows is not None:
+                path = f"{self.root}/{kind}/job={job}/batch_id={batch_id}"
+                conform(rows, layout_of(kind)).write.mode("overwrite").parquet(path)
+
+    def compacted(self, root: str) -> Store:
+        """A new store with the present postings, log, alerts, sightings and the highest id, each as one batch."""
+        new = Store(self.spark, root)
+        highest = self.spark.range(1).select(F.lit(self.last_id()).alias("last_id"))
+        copied = {k: self.read(k) for k in ("alerts", "seen", "misses")}
+        new.commit("compact", 0, inserted=self.state(), runs=self.runs(), issued=highest, **copied)
+        return new

@@ -96,13 +96,13 @@ def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as postings, places still as the site wrote them."""
     d = table(spark, sf_dir, "documents")
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts", "event_type", "value")
-    # n_chars % 10 and n_chars % 25 reach 10 suppliers and 25 nations at any scale, so both sides are bounded.
-    s = table(spark, sf_dir, "supplier").where("s_suppkey < 10").select("s_suppkey", "s_name")
-    n = table(spark, sf_dir, "nation").where("n_nationkey < 25").select("n_nationkey", "n_name")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    # Spark broadcasts either side if it is small; documents without an event stay.
     joined = (
-        d.join(e, "doc_id")
-        .join(F.broadcast(s), F.col("n_chars") % 10 == F.col("s_suppkey"))
-        .join(F.broadcast(n), F.col("n_chars") % 25 == F.col("n_nationkey"))
+        d.join(e, "doc_id", "left")
+        .join(s, F.col("n_chars") % s.count() == F.col("s_suppkey"))
+        .join(n, F.col("n_chars") % 25 == F.col("n_nationkey"))
     )
     spot = (F.col("n_chars") % 12 + 1).cast("int")
     doc = F.col("doc_id")
@@ -138,10 +138,10 @@ def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def postings(spark: SparkSession, sf_dir: str, prefix: int | None = None) -> DataFrame:
     """Normalised places and both identity keys."""
     df = normalise_location(raw_postings(spark, sf_dir))
-    key = content_key(*[F.col(c) for c in ("title", "company", "city", "state", "date_posted", "description")])
+    key = content_key(*[F.col(c) for c in ("title", "company", "city", "state", "date_posted", "description")], prefix=prefix)
     return df.withColumns({"dedup_key": dedup_key(F.col("source"), F.col("source_id")), "content_key": key})
 
 

@@ -14,9 +14,10 @@ from postlark.streaming.jobs import continuous_trend, merged_messages, start_sta
 from postlark.streaming.store import Store
 
 # All pages here are of one site, so the other extractors are left out.
-ingest = partial(ingesting.ingest, sites=["indeed"])
-start_ingest = partial(jobs.start_ingest, sites=["indeed"])
-ingest_batch = partial(jobs.ingest_batch, sites=["indeed"])
+SHORT = ingesting.Limits(content_min_chars=100)
+ingest = partial(ingesting.ingest, sites=["indeed"], limits=SHORT)
+start_ingest = partial(jobs.start_ingest, sites=["indeed"], limits=SHORT)
+ingest_batch = partial(jobs.ingest_batch, sites=["indeed"], limits=SHORT)
 
 NOW = datetime(2026, 1, 31, 12)
 PROFILE = Profile("me", {"critical": ["python"]}, {}, {"title": ["(?i)intern"]}, min_alert_score=8, min_display_score=8)
@@ -84,50 +85,93 @@ def snapshot(store):
 
 def test_stream_equals_batch(spark, tmp_path):
     files = tmp_path / "landing"
-    for i, p in enumerate(PAGES):
+    # The first run lands in two batches, its second page repeating a posting of the first.
+    pages = [PAGES[0], page(1, ("a", "Dev", LONG, "X"), ("g", "New", LONG + "g", "G"), page_no=2), *PAGES[1:]]
+    for i, p in enumerate(pages):
         landed(spark, p).coalesce(1).write.json(str(files / f"f{i}"))
-    store = Store(spark, str(tmp_path / "store"))
-    start_ingest(spark, str(files / "*"), store, PROFILE, str(tmp_path / "cp"), max_files=1).awaitTermination()
-    assert len(store.versions()) >= 2
+        if i == 0:
+            store = Store(spark, str(tmp_path / "store"))
+        start_ingest(spark, str(files / "*"), store, PROFILE, str(tmp_path / "cp"), max_files=1).awaitTermination()
     got = snapshot(store)
-    batch = ingest(landed(spark, *PAGES), spark.createDataFrame([], POSTINGS), PROFILE, NOW)
-    # Files land in any order, so ids may differ; the postings do not.
+    batch = ingest(landed(spark, *pages), spark.createDataFrame([], POSTINGS), PROFILE, NOW)
     assert sorted(v[0] for v in got.values()) == sorted(r.source_id for r in batch.inserted.collect())
-    assert store.runs().count() == 3 and store.alerts().count() == 2
-    # Nothing new: a second run and a replayed batch change nothing.
+    runs = lambda df: {r.id: (r.jobs_found, r.jobs_new) for r in df.collect()}
+    assert runs(store.runs()) == runs(batch.runs) and store.alerts().count() == batch.alerts.count()
+    # Nothing new: a second run changes nothing, and a replayed batch writes what it wrote.
     start_ingest(spark, str(files / "*"), store, PROFILE, str(tmp_path / "cp"), max_files=1).awaitTermination()
-    ingest_batch(store, PROFILE)(landed(spark, PAGES[0]), 0)
-    assert snapshot(store) == got
+    ingest_batch(store, PROFILE)(landed(spark, pages[-1]), len(pages) - 1)
+    assert snapshot(store) == got and runs(store.runs()) == runs(batch.runs)
 
 
 def test_store(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
-    assert store.state().count() == 0 and store.versions() == []
+    assert store.state().count() == 0 and store.last_id() == 0
     first = ingest(landed(spark, PAGES[0]), store.state(), PROFILE, NOW)
-    assert store.commit("ingest", 0, inserted=first.inserted, runs=first.runs) == 1
-    assert store.commit("ingest", 0, inserted=first.inserted) is None
+    for _ in range(2):  # a replay overwrites its own partitions
+        store.commit("ingest", 0, inserted=first.inserted, runs=first.runs)
+    assert store.state().count() == 3
     events = spark.createDataFrame(
         [(1, 1, "applied", "sent", NOW.date()), (2, 77, "offer", "", NOW.date())],
         "seq bigint, posting_id bigint, status string, notes string, event_date date",
     )
     status_batch(store)(events, 0)
-    status_batch(store)(events.withColumn("status", F.lit("rejected")), 0)
+    status_batch(store)(events, 0)
+    assert [r.posting_id for r in store.read("misses").collect()] == [77]
     later = NOW + timedelta(days=1)
     second = ingest(landed(spark, page(9, ("a", "Dev", LONG, "X"), ("n", "New", LONG + "n", "N"), at=later)), store.state(), PROFILE, later)
     store.commit("ingest", 1, inserted=second.inserted, changed=second.updated)
     before = snapshot(store)
     assert before[1][3:] == ("applied", "sent", NOW.date()) and before[4][1] == "New" and len(before) == 4
-    # A commit that never finished leaves folders but no record.
-    first.inserted.write.parquet(f"{store.root}/inserted/v=9")
-    assert snapshot(store) == before
     store.commit("dedup", 0, removed=spark.createDataFrame([(2,)], "id bigint"))
-    store.compact()
-    assert len(store.versions()) == 1
-    after = snapshot(store)
-    assert after == {k: v for k, v in before.items() if k != 2}
+    assert snapshot(store) == {k: v for k, v in before.items() if k != 2}
     store.commit("fix", 1, changed=spark.createDataFrame([(1, "there")], "id bigint, city string"))
-    assert store.state().where("id = 1").first().city == "there"
-    assert snapshot(store) == after
+    assert store.state().where("id = 1").first().city == "there" and snapshot(store)[1] == before[1]
+
+
+def test_removed_ids_are_never_issued_again(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "one"))
+    store.commit("ingest", 0, inserted=ingest(landed(spark, PAGES[0]), store.state(), PROFILE, NOW).inserted)
+    store.commit("dedup", 0, removed=spark.createDataFrame([(3,)], "id bigint"))
+    for number, kept in enumerate((store, store.compacted(str(tmp_path / "two")))):
+        fresh = landed(spark, page(8, ("n", "New", LONG + "n", "N")))
+        done = ingest(fresh, kept.state(), PROFILE, NOW, last_id=kept.last_id())
+        kept.commit("ingest", 5, inserted=done.inserted)
+        assert sorted(snapshot(kept)) == [1, 2, 4] and snapshot(kept)[4][0] == "n"
+
+
+def test_whole_texts_and_runs_unless_limited(spark):
+    many = [(f"k{i}", f"Job {i}", ("words " * 12_000) + str(i), "X") for i in range(40)]
+    done = ingesting.ingest(landed(spark, page(1, *many[:20]), page(1, *many[20:], page_no=5)), spark.createDataFrame([], POSTINGS), PROFILE, NOW, sites=["indeed"])
+    rows = done.inserted.collect()
+    assert len(rows) == 40 and all(len(r.description) > 70_000 for r in rows)
+    cut = ingesting.ingest(landed(spark, page(1, *many)), spark.createDataFrame([], POSTINGS), PROFILE, NOW, sites=["indeed"], limits=ingesting.COLLECTOR)
+    rows = cut.inserted.collect()
+    assert len(rows) == 25 and all(len(r.description) == 50_000 for r in rows)
+
+
+def test_texts_move_once(spark):
+    """One exchange of an ingest's result carries descriptions."""
+    done = ingest(landed(spark, *PAGES), spark.createDataFrame([], POSTINGS), PROFILE, NOW)
+    plan = done.inserted._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Relation" in line and "description" in line]
+    assert len(joins) == 1
+    assert "description" not in done.arrivals.columns
+
+
+def test_enrichment_and_freshness(spark):
+    card = """<div class="base-search-card"><a class="base-card__full-link" href="/v/x-{0}"></a><span class="sr-only">T{0}</span>
+      <div class="base-search-card__metadata"><time class="job-search-card__listdate" datetime="{1}"></time></div></div>"""
+    body = card.format(1, "2026-01-30") + card.format(2, "2026-01-30") + card.format(3, "2026-01-02")
+    payloads = landed(spark, (1, "linkedin", "t", "l", 1, NOW, 200, "u", body))
+    block = "<div class='show-more-less-html__markup'>{}</div>"
+    details = spark.createDataFrame(
+        [("1", 200, "u", block.format("old words"), NOW), ("1", 200, "u", block.format("python words"), NOW + timedelta(hours=1)), ("3", 200, "u", block.format("python"), NOW)],
+        "source_id string, status_code int, url string, body string, fetched_at timestamp_ntz",
+    )
+    done = ingesting.ingest(payloads, spark.createDataFrame([], POSTINGS), PROFILE, NOW, sites=["linkedin"], details=details, hours_old=72)
+    rows = {r.source_id: r for r in done.inserted.collect()}
+    assert set(rows) == {"1", "2"} and (rows["1"].description, rows["2"].description) == ("python words", "")
+    assert rows["1"].score > rows["2"].score and rows["1"].content_key != rows["2"].content_key
 
 
 def test_status_stream(spark, tmp_path):
