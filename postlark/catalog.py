@@ -19,12 +19,14 @@ from postlark.operators.spread import cut, sequenced, shared_folder
 from postlark.operators.upsert import Upserted, apply_changes, resolve
 from postlark.functions.keys import dedup_key, matches_by_content
 from postlark.plans import ingest as ingesting
-from postlark.plans import reports
+from postlark.plans import reports, upkeep
 from postlark.profiles import profile_diagnostics
 from postlark.schemas import BREAKDOWN, POSTINGS, conform
 from postlark.sources import cards
-from postlark.sources.payloads import cap_per_task, extract, ingest_tasks, page_prefix, run_rows, seen_first
-from postlark.streaming.jobs import start_ingest, start_status
+from postlark.sources.payloads import (
+    cap_per_task, extract, extractor, ingest_tasks, page_prefix, register_extractor, run_rows, seen_first,
+)
+from postlark.streaming.jobs import continuous_trend, merged_messages, start_ingest, start_status
 from postlark.streaming.store import Store
 from postlark.views import AS_OF, P0, P0_EDITED, P1, SCRAPE_NOW
 
@@ -505,7 +507,7 @@ def page_prefixes(spark, sf):
         F.when(F.col("o_orderpriority") == "5-LOW", 0).otherwise(1).cast("bigint").alias("kept_rows"),
         (F.col("o_orderstatus") != "F").alias("has_cursor"),
     )
-    return page_prefix(pages).select("run_id", "page_no")
+    return page_prefix(pages, 3).select("run_id", "page_no")
 
 
 def task_fanout(spark, sf):
@@ -649,6 +651,93 @@ def stream_status(spark, sf):
     return store.state().select("id", "status", "notes", "applied_date")
 
 
+# --- shapes, sinks and jobs that need a table of their own ---
+
+
+def schema_upgrade(spark, sf):
+    """A table written before some columns existed, in today's layout."""
+    return conform(views.stored(spark, sf), POSTINGS).select("id", "score", "notes", "created_at")
+
+
+def export_json(spark, sf):
+    """The JSON export, read back; the format is told by the name."""
+    path = f"{shared_folder(spark).rstrip('/')}/export-{uuid.uuid4().hex}.json"
+    reports.export_postings(views.stored(spark, sf), path, AS_OF)
+    return spark.read.schema("id bigint, score int, company string, title string, url string, status string").json(path)
+
+
+def digest_texts(spark, sf):
+    """The digest on every channel."""
+    parts = [
+        reports.digest_text(views.stored(spark, sf), SCRAPE_NOW, c, 10, [], "p0").withColumn("channel", F.lit(c)) for c in reports.CHANNELS
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def desktop_note(spark, sf):
+    return reports.macos_summary(reports.new_matches(views.stored(spark, sf), SCRAPE_NOW, 10, []), "p0")
+
+
+def fixed_locations(spark, sf):
+    state, _ = maintenance.fix_locations(views.raw_postings(spark, sf).drop("description"))
+    return state.select("id", "city", "state", "country")
+
+
+def plugged_extractor(spark, sf):
+    """Payloads of a site whose extractor was added by the user."""
+    register_extractor("plug", extractor("indeed"))
+    rows = run_rows(extract(views.landed(spark, sf, "indeed").withColumn("site", F.lit("plug")), AS_OF, ["plug"]))
+    return rows.select("run_id", "page_no", "pos", "source", "source_id", F.md5("description").alias("description_md5"))
+
+
+def upkept_store(spark, sf):
+    """A store after rescoring one source and removing duplicates, both as committed jobs."""
+    store = Store(spark, f"{shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+    store.commit("load", 0, inserted=conform(with_workflow(spark, sf), POSTINGS))
+    upkeep.rescore_store(store, 0, P0_EDITED, AS_OF, source="src3")
+    upkeep.backfill_store(store, 0)
+    upkeep.fix_store_locations(store, 0, AS_OF)
+    upkeep.deduplicate_store(store, 0)
+    return store.state().select("id", "score", "status")
+
+
+def _drained(spark, stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Run a stream over all that landed; each batch is written to its own partition, a complete result to one."""
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/batch_id={batch_id}")
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def stream_trend(spark, sf):
+    """Scores per day over a stream of scored postings."""
+    folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    views.stored(spark, sf).select("date_scraped", "score").write.parquet(f"{folder}/landing")
+    rows = spark.readStream.schema("date_scraped timestamp_ntz, score int").option("maxFilesPerTrigger", 1).parquet(f"{folder}/landing")
+    return _drained(spark, continuous_trend(rows, 55), "complete", folder)
+
+
+def stream_messages(spark, sf):
+    """Messages of two sources as one stream, each with the profile of its chat."""
+    folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    said = views.table(spark, sf, "conversations").where("role = 'user'").select(F.col("conv_id").alias("chat_id"), "turn", "text")
+    layout = said.schema
+    for k in (0, 1):
+        said.where(F.col("turn") % 4 == 2 * k).write.parquet(f"{folder}/source{k}")
+    said.where("turn % 4 not in (0, 2)").write.mode("append").parquet(f"{folder}/source1")
+    routes = views.table(spark, sf, "customer").where("c_mktsegment <> 'BUILDING'").select(
+        F.col("c_custkey").alias("chat_id"), F.concat(F.lit("p"), (F.col("c_custkey") % 2).cast("string")).alias("profile")
+    )
+    streams = [spark.readStream.schema(layout).parquet(f"{folder}/source{k}") for k in (0, 1)]
+    return _drained(spark, merged_messages(streams, routes), "append", folder).select("chat_id", "turn", "profile", "text")
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {
         "flagship_top_matches": flagship_top_matches,
@@ -741,6 +830,16 @@ def queries() -> dict[str, Query]:
         "report_text": report_text,
         "stream_ingest": stream_ingest,
         "stream_status": stream_status,
+        "stream_trend": stream_trend,
+        "stream_messages": stream_messages,
+        "schema_upgrade": schema_upgrade,
+        "export_json": export_json,
+        "point_lookup": lambda s, d: filters.by_id(views.stored(s, d), 7).select(LISTED),
+        "digest_texts": digest_texts,
+        "desktop_note": desktop_note,
+        "fixed_locations": fixed_locations,
+        "plugged_extractor": plugged_extractor,
+        "upkept_store": upkept_store,
         "stream_alerts": stream_alerts,
         "stream_runs": stream_runs,
         "stream_misses": stream_misses,

@@ -115,15 +115,16 @@ def rescore(
         "status": F.col("new_status"),
     }
     state = looked.select(*[replaced[c].alias(c) if c in replaced else F.col(c) for c in df.columns])
-    return state.unionByName(df.where(~chosen)), _change_log(looked)
+    return state.unionByName(df.where(~chosen)), change_log(looked)
 
 
 def rescore_changes(df: DataFrame, profile: Profile, as_of) -> DataFrame:
     """Change log: postings whose total moved."""
-    return _change_log(rescored(df, profile, as_of))
+    return change_log(rescored(df, profile, as_of))
 
 
-def _change_log(looked: DataFrame) -> DataFrame:
+def change_log(looked: DataFrame) -> DataFrame:
+    """What ``rescored`` moved."""
     return looked.where("score_changed").select(
         "id",
         F.col("old_score").alias("old"),

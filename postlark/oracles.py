@@ -604,6 +604,36 @@ d AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS rank, count(*) OVER () A
     out["extract_indeed_limited"] = extraction("indeed", True)
     out["stream_status"] = out["status_fold"]
     out["stream_ingest"] = out["ingest_postings"]
+    out["stream_messages"] = out["route_messages"]
+    out["stream_trend"] = f"""{J} SELECT CAST(date_scraped AS DATE) AS day, count(*) AS total, count(*) FILTER (score >= 55) AS high,
+      count(*) FILTER (score >= 40 AND score < 55) AS medium FROM j GROUP BY 1"""
+    out["schema_upgrade"] = f"{J} SELECT id, score, CAST(NULL AS VARCHAR) AS notes, CAST(NULL AS TIMESTAMP) AS created_at FROM j"
+    out["export_json"] = f"{J} SELECT id, score, company, title, url, status FROM j"
+    out["point_lookup"] = list_sql("WHERE id = 7")
+    out["fixed_locations"] = f"WITH {RAW},{located('raw', 'placed')} SELECT id, city, state, country FROM placed"
+    out["plugged_extractor"] = f"{site_rows('indeed')} SELECT run_id, page_no, pos, 'plug' AS source, source_id, md5(description) AS description_md5 FROM ext"
+    out["upkept_store"] = f"""{RESCORED},
+      st AS (SELECT id, content_key, date_scraped, CASE WHEN source = 'src3' THEN score ELSE old_score END AS score,
+        CASE WHEN source = 'src3' THEN new_status ELSE status END AS status FROM rs)
+      SELECT id, score, status FROM st QUALIFY row_number() OVER (PARTITION BY content_key ORDER BY CASE status WHEN 'offer' THEN 0 WHEN 'interview' THEN 1
+        WHEN 'applied' THEN 2 WHEN 'new' THEN 3 WHEN 'filtered' THEN 4 WHEN 'rejected' THEN 5 ELSE 99 END, score DESC, date_scraped, id) = 1"""
+    heads = {"email": "postlark (p0) digest", "telegram": r"*postlark \(p0\) digest*", "slack": "*postlark (p0) digest*",
+             "discord": "**postlark (p0) digest**", "macos": "postlark (p0) digest"}
+    digests = []
+    for c, head in heads.items():
+        many, bar = (r"match\(es\)", r"\|") if c == "telegram" else ("match(es)", "|")
+        window = " in the last 24h" if c == "email" else ""
+        digests.append(f"""SELECT '{c}' AS channel, '{head} — ' || any_value(matches) || ' {many}{window}' || chr(10) || chr(10)
+          || string_agg({message(c)}, chr(10) ORDER BY rank) || chr(10) || chr(10) || '\U0001f4ca ' || any_value(n) || ' unreviewed {bar} '
+          || any_value(s) || ' scraped today' AS text FROM d, st WHERE rank <= 10 HAVING count(*) > 0""")
+    out["digest_texts"] = f"""{matches(10)}, d AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS rank, count(*) OVER () AS matches FROM m),
+      st AS (SELECT count(*) FILTER (status = 'new') AS n, count(*) FILTER (date_scraped >= {SCRAPED} - INTERVAL 24 HOUR) AS s FROM j)
+      {" UNION ALL ".join(digests)}"""
+    note = """CASE WHEN any_value(n) = 1 THEN any_value(title) || ' (Score: ' || any_value(score) || ')'
+      ELSE string_agg(line, '\\n' ORDER BY score DESC, id) || CASE WHEN any_value(n) > 3 THEN '\\n... and ' || (any_value(n) - 3) || ' more' ELSE '' END END"""
+    out["desktop_note"] = f"""{matches(10)}, t AS (SELECT id, score, company, title, {message("macos")} AS line, count(*) OVER () AS n FROM m ORDER BY score DESC, id LIMIT 3),
+      u AS (SELECT 'postlark (p0): ' || CASE WHEN any_value(n) = 1 THEN any_value(company) ELSE any_value(n) || ' new matches' END AS title, {note} AS body FROM t HAVING count(*) > 0)
+      SELECT {escaped("title", "macos")} AS title, {escaped("body", "macos")} AS body FROM u"""
     out["stream_runs"] = out["ingest_run_log"]
     out["stream_misses"] = out["status_not_found"]
     out["stream_alerts"] = f"{ingested('indeed')} SELECT target AS id, score, title FROM events_of WHERE kind = 'insert' AND NOT broken AND score >= {P0.min_alert_score}"
