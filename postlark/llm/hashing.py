@@ -6,6 +6,7 @@ import numpy as np
 
 U64 = np.uint64
 SLAB = 1 << 14
+WORD_SLAB = 1 << 16
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -34,15 +35,20 @@ def spans(data: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: sums of byte constants times place constants, then mixed."""
+    """A 64-bit hash of each word: sums of byte constants times place constants, then mixed; in slabs of bounded size."""
     if not len(starts):
         return np.empty(0, dtype=U64)
     lengths = ends - starts
-    first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    at = place + np.repeat(starts, lengths)
-    sums = np.add.reduceat(_BYTES[data[at]] * constants(2000, int(lengths.max()))[place], first)
-    return mixed(sums + lengths.astype(U64))
+    before = np.cumsum(lengths) - lengths
+    place_constants = constants(2000, int(lengths.max()))
+    out = np.empty(len(starts), U64)
+    cuts = np.searchsorted(before, np.arange(0, before[-1] + 1, WORD_SLAB))
+    for a, b in zip(cuts, [*cuts[1:], len(starts)]):
+        if a < b:
+            part, first = lengths[a:b], before[a:b] - before[a]
+            place = np.arange(int(part.sum())) - np.repeat(first, part)
+            out[a:b] = np.add.reduceat(_BYTES[data[place + np.repeat(starts[a:b], part)]] * place_constants[place], first)
+    return mixed(out + lengths.astype(U64))
 
 
 def window_hashes(values: np.ndarray, size: int, seed: int, at: np.ndarray | None = None) -> np.ndarray:

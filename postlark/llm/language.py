@@ -5,8 +5,9 @@ value is its share of the text's n-grams times its inverse document frequency. W
 follow-the-regularised-leader (per-coordinate FTRL-proximal) with L1 and L2 penalties, which leaves most at zero. A
 temperature, fitted on sampled documents that the weights haven't seen, calibrates the probabilities.
 
-The classifier is fitted on a bounded sample: per language the ``PER_LANGUAGE`` documents with the least hash of their id,
-among texts of at most ``SAMPLE_CHARS`` characters, and at most ``SAMPLE_ROWS`` in all. Weights are a table of fixed size.
+The classifier is fitted on a bounded sample: of each language about ``PER_LANGUAGE`` documents, chosen by a hash of their
+id among texts of at most ``SAMPLE_CHARS`` characters; the ``LANGUAGES`` most frequent languages, and at most
+``SAMPLE_ROWS`` documents in all. Weights are a table of fixed size.
 Prediction reads whole texts in one pass without a shuffle, in slabs of bounded size; only the text is used.
 
 Cases: null texts, and texts without a letter, get ``und`` with score 0; without any training row all do; training rows
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlark.llm.hashing import constants, mixed
@@ -30,6 +31,7 @@ from postlark.shipping import ship
 
 PER_LANGUAGE = 600
 SAMPLE_ROWS = 6000
+LANGUAGES = 200
 SAMPLE_CHARS = 50_000
 ORDERS = (1, 2, 3)
 PLACES = 18
@@ -175,13 +177,13 @@ def fit(texts: list[str], labels: list[str]) -> Model:
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on the bounded sample of the usable rows."""
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS))
-    chosen = F.row_number().over(Window.partitionBy("lang").orderBy("order", "id"))
-    ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("order")).withColumn("n", chosen)
-    ids = ids.where(F.col("n") <= PER_LANGUAGE).orderBy("n", "order", "id").limit(SAMPLE_ROWS)
-    sample = rows.join(F.broadcast(ids.select("id").distinct()), F.col(id_col) == F.col("id"), "left_semi").select(
-        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("order")
-    )
-    got = sample.orderBy("order", "lang", "text").limit(2 * SAMPLE_ROWS).collect()
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return fit([], [])
+    part = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, PER_LANGUAGE / r["count"]))])
+    sample = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("order"))
+    sample = sample.where(F.pmod(F.col("order"), F.lit(1 << 30)) < part[F.col("lang")] * (1 << 30))
+    got = sample.orderBy("order", "lang", "text").limit(SAMPLE_ROWS).collect()
     return fit([r.text for r in got], [r.lang for r in got])
 
 

@@ -6,8 +6,8 @@ shortest to counts shared by both classes: an expression that is merely rare isn
 compares the two log-likelihoods divided by its number of words; a logistic calibration, fitted by two-fold cross-fitting
 on the same sample, turns the difference into a probability.
 
-The models are fitted on a bounded sample: of each class the ``SAMPLE`` labelled documents with the least hash of their
-id, among texts of at most ``SAMPLE_CHARS`` characters. So the model, a few sorted arrays, is bounded too; it is broadcast.
+The models are fitted on a bounded sample: of each class about ``SAMPLE`` labelled documents, chosen by a hash of their id,
+of which texts of at most ``SAMPLE_CHARS`` characters are read. So the model, a few sorted arrays, is bounded too; it is broadcast.
 Scoring reads whole texts in one pass without a shuffle; each distinct word of a batch is spelled once. Words are runs of
 ASCII letters (in lower case) and bytes beyond ASCII. Only the text is used.
 
@@ -23,13 +23,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlark.llm import hashing as H
 from postlark.shipping import ship
 
-SAMPLE = 4000
+SAMPLE = 2500
 SAMPLE_CHARS = 50_000
 ORDER = 5
 SHARED = 2
@@ -251,9 +251,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).withColumn("order", F.xxhash64("id"))
     counts = {r["toxic"]: r["count"] for r in known.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
     prior = counts.get(1, 0) / max(sum(counts.values()), 1)
-    chosen = known.where("toxic in (0, 1)").withColumn("n", F.row_number().over(Window.partitionBy("toxic").orderBy("order", "id"))).where(F.col("n") <= SAMPLE)
+    part = F.when(F.col("toxic") == 1, min(1.0, SAMPLE / max(counts.get(1, 0), 1))).otherwise(min(1.0, SAMPLE / max(counts.get(0, 0), 1)))
+    chosen = known.where("toxic in (0, 1)").where(F.pmod(F.col("order"), F.lit(1 << 30)) < part * (1 << 30)).orderBy("order", "id").limit(3 * SAMPLE)
     rows = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = rows.join(F.broadcast(chosen.select("id", "toxic", "order")), "id").orderBy("order", "id", "text").limit(4 * SAMPLE)
+    sample = rows.join(F.broadcast(chosen.select("id", "toxic", "order")), "id").orderBy("order", "id", "text").limit(3 * SAMPLE)
     got = sample.select("text", "toxic").collect()
     return fit([r.text for r in got], [r.toxic for r in got], min(max(prior, 1e-4), 1 - 1e-4))
 
