@@ -86,7 +86,14 @@ class Chunks:
         )
         self.carried = [(f"c{i}", c, docs.schema[c].dataType) for i, c in enumerate(carry)]
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.rows = rows.mapInArrow(_pack, CHUNK).repartition(parts, "chunk").checkpoint()
+        # A plan that adapts forgets how its result is dealt; a fixed one keeps it through the checkpoint, so that later
+        # passes need no exchange of texts.
+        adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            self.rows = rows.mapInArrow(_pack, CHUNK).repartition(parts, "chunk").checkpoint()
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
         total = self.rows.agg(F.sum("size")).first()[0] or 0
         self.total_bytes = int(total)
         self.buckets = max(MIN_BUCKETS, int(total // BUCKET_BYTES))

@@ -38,7 +38,7 @@ WINDOW = 13
 COVER_MODULUS = 7
 COVER = (0, 1, 3)
 ANCHOR = WINDOW - COVER_MODULUS + 1
-BLOCK_WORDS = 64
+BLOCK_WORDS = 64  # a power of two
 
 
 class _Words:
@@ -65,7 +65,7 @@ class _Words:
 
     def blocks(self):
         """Start of each block, its digest, and its document's id. A block opens at a document's first window and wherever the hash says."""
-        opens = self.valid & ((self.place == 0) | (self.hash % np.uint64(BLOCK_WORDS) == 0))
+        opens = self.valid & ((self.place == 0) | (self.hash & np.uint64(BLOCK_WORDS - 1) == 0))
         starts = np.flatnonzero(opens)
         last_window = self.first + np.maximum(self.counts - WINDOW, 0)
         next_start = np.append(starts[1:], len(self.hash))
