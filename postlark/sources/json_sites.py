@@ -9,6 +9,7 @@ from postlark.functions.dates import days_before, epoch_millis_date, timestamp_o
 from postlark.functions.location import split_location
 from postlark.functions.pay import annual_or_plain_pay, percentile_pay, unit_pay
 from postlark.functions.text import html_to_text, is_remote, label_job_types
+from postlark.operators.spread import settled
 
 INDEED_PAGE = "data struct<jobSearch:struct<pageInfo:struct<nextCursor:string>,results:array<string>>>"
 INDEED_JOB = (
@@ -42,6 +43,15 @@ def _items(payloads: DataFrame, items: Column, cursor: Column) -> DataFrame:
     return pages.select("*", F.posexplode_outer("_items").alias("pos", "item")).drop("_items")
 
 
+def _parsed(item: Column, wrapper: str, layout: str) -> Column:
+    """The fields of an item text, from under its wrapper if that is there. Each item is parsed on its own, so an odd one
+    spoils no other."""
+    names = [f.split(" ", 1)[0] for f in layout.split(", ")]
+    nested = ",".join(f.replace(" ", ":", 1) for f in layout.split(", "))
+    both = F.from_json(item, f"{wrapper} struct<{nested}>, {layout}")
+    return F.coalesce(both[wrapper], F.struct(*[both[n].alias(n) for n in names]))
+
+
 def _with_pay(rows: DataFrame, pay: Column) -> DataFrame:
     return rows.withColumn("_pay", pay).withColumns(
         {
@@ -68,8 +78,7 @@ def indeed(payloads: DataFrame, as_of: Column) -> DataFrame:
     search = F.col("_p.data.jobSearch")
     results = F.when(search["pageInfo"].isNotNull(), search["results"])
     rows = _items(pages, results, search["pageInfo"]["nextCursor"]).drop("_p")
-    job = F.from_json(F.coalesce(F.get_json_object("item", "$.job"), F.col("item")), INDEED_JOB)
-    rows = rows.withColumn("j", job)
+    rows = settled(rows, {"j": _parsed(F.col("item"), "job", INDEED_JOB)})
     rows = rows.withColumn("_loc", F.from_json("j.location", INDEED_PLACE))
     rows = rows.withColumn("description", html_to_text(F.col("j.description.html")))
     base = F.coalesce("j.compensation.baseSalary", "j.compensation.estimated.baseSalary")
@@ -99,8 +108,7 @@ def glassdoor(payloads: DataFrame, as_of: Column) -> DataFrame:
     first = F.get(F.from_json("body", GLASSDOOR_PAGE), F.lit(0))
     # No cursor here: pages are numbered, so every page allows a next one.
     rows = _items(payloads, first["data"]["jobListings"]["jobListings"], F.lit("page"))
-    view = F.coalesce(F.get_json_object("item", "$.jobview"), F.col("item"))
-    rows = rows.withColumn("v", F.from_json(view, GLASSDOOR_VIEW))
+    rows = settled(rows, {"v": _parsed(F.col("item"), "jobview", GLASSDOOR_VIEW)})
     rows = rows.withColumns(
         {
             "description": html_to_text(F.col("v.job.description")),

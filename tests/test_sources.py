@@ -70,6 +70,16 @@ def test_indeed_edges(spark):
     assert all(x.has_cursor for x in r)
 
 
+def test_one_odd_item_spoils_no_other(spark):
+    odd = [{"key": "x", "title": ["a"], "datePublished": "soon", "compensation": 7, "employer": "E"}, {"key": {"k": 1}, "attributes": "none"}, None, 5, "text"]
+    body = indeed_body(INDEED, wrap=False)
+    body["data"]["jobSearch"]["results"] = [{"job": INDEED}, *odd, {"job": {**INDEED, "key": "last"}}]
+    r = {x.source_id: x for x in rows_of(spark, payload("indeed", body))}
+    for key in ("q81", "last"):
+        assert (r[key].title, r[key].company, r[key].description, r[key].comp_min) == ("Lamp Keeper", "Harbour Ltd", "Mind the lamp", 1000.0)
+    assert r["x"].date_posted is None and r["x"].comp_min is None
+
+
 GLASSDOOR = {
     "header": {
         "jobLink": "/job/88", "jobTitleText": "Map Maker", "employerNameFromSearch": "Atlas Inc", "ageInDays": 2,
