@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from postlark.llm.decontamination import LITERALS, RUN, SHARE, UNITS, WINDOW
+from postlark.llm.quality import ALPHA, BANDS, DELTA, GRID, MIN_WORDS, RATIOS
+
 WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
 OP1 = f"""
@@ -66,5 +69,105 @@ FROM n LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
 """
 
 
+_ENDS = "('.', '!', '?', ':', ';', chr(10))"
+_DIGIT = "substr({0}, 1, 1) BETWEEN '0' AND '9'"
+
+
+def _template_windows(table: str, key: str, out: str) -> str:
+    """Template words of a table's texts with their windows of eight."""
+    units = ", ".join(f"'{u}'" for u in UNITS)
+    return f"""
+{out}_t AS (
+    SELECT r, {key}, p, t, lag(t) OVER (PARTITION BY r ORDER BY p) AS b
+    FROM (SELECT r, {key}, unnest(tokens) AS t, unnest(generate_series(1, len(tokens))) AS p
+          FROM (SELECT row_number() OVER () AS r, {key}, regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{M}}]+|[0-9]+(?:[.,][0-9]+)*|[.!?:;\\n]') AS tokens
+                FROM {table}))
+),
+{out}_k AS (
+    SELECT r, {key}, lower(t) AS v, row_number() OVER (PARTITION BY r ORDER BY p) AS q,
+        CASE WHEN {_DIGIT.format('t')} THEN '1' WHEN t IN ({units}) AND coalesce({_DIGIT.format('b')}, FALSE) THEN '2'
+             WHEN substr(t, 1, 1) <> lower(substr(t, 1, 1)) AND b IS NOT NULL AND b NOT IN {_ENDS} AND right(b, 1) = lower(right(b, 1)) THEN '3'
+             ELSE 'w:' || lower(t) END AS k
+    FROM {out}_t WHERE t NOT IN {_ENDS}
+),
+{out} AS (
+    SELECT * FROM (SELECT r, {key}, q, string_agg(k, ' ') OVER f AS w, count(*) OVER f AS n, sum((length(k) > 1)::INT) OVER f AS plain
+                   FROM {out}_k WINDOW f AS (PARTITION BY r ORDER BY q ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING))
+    WHERE n = {WINDOW}
+)"""
+
+
+OP5 = f"""
+WITH {_template_windows("documents", "doc_id", "d")},
+{_template_windows("(SELECT DISTINCT item_id, text FROM benchmark)", "item_id", "e")},
+b AS (SELECT * FROM e WHERE plain >= {LITERALS}),
+m AS (SELECT d.r AS dr, d.doc_id, d.q AS dq, b.r AS br, b.item_id, b.q AS bq, d.q - b.q AS shift FROM d JOIN b USING (w)),
+slots AS (
+    SELECT DISTINCT m.doc_id, m.item_id, m.shift, bq + o AS at, x.k, x.v, y.v AS b
+    FROM m, (SELECT unnest(generate_series(0, {WINDOW - 1})) AS o), d_k x, e_k y
+    WHERE x.r = m.dr AND x.q = m.dq + o AND y.r = m.br AND y.q = m.bq + o AND x.k IN ('1', '2', '3')
+),
+judged AS (
+    SELECT doc_id, item_id, shift, sum(n) AS n_slots, sum(CASE WHEN b <> least THEN n ELSE 0 END) AS n_changed, max((least <> most)::INT) AS broken
+    FROM (SELECT doc_id, item_id, shift, k, b, min(v) AS least, max(v) AS most, count(*) AS n FROM slots GROUP BY ALL) GROUP BY ALL
+),
+counted AS (SELECT doc_id, item_id, shift, count(DISTINCT bq) AS n_windows FROM m GROUP BY ALL),
+whole AS (SELECT item_id, count(DISTINCT q) AS item_windows FROM b GROUP BY 1)
+SELECT doc_id, item_id, n_windows, item_windows, coalesce(n_slots, 0)::BIGINT AS n_slots, coalesce(n_changed, 0)::BIGINT AS n_changed
+FROM counted LEFT JOIN judged USING (doc_id, item_id, shift) JOIN whole USING (item_id)
+WHERE coalesce(broken, 0) = 0 AND (n_windows >= {SHARE} * item_windows OR n_windows >= {RUN})
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, n_slots DESC, n_changed DESC) = 1
+"""
+
+_GRID = ", ".join(f"{c}::DOUBLE" for c in GRID)
+_RATIO_ROWS = " UNION ALL ".join(f"SELECT doc_id, s, '{name}' AS ratio, ({ratio.replace(' / ', '::DOUBLE / ')}) AS x FROM c" for name, ratio in RATIOS.items())
+_REJECTED = " ".join(
+    f"WHEN ({RATIOS[name].replace(' / ', '::DOUBLE / ')}) > cut_{name} THEN '{name}'" for name in sorted(RATIOS)
+)
+_CUTS = ", ".join(f"max(cut) FILTER (ratio = '{name}') AS cut_{name}" for name in RATIOS)
+OP9 = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {WORDS} AS words FROM documents),
+pos AS (SELECT r, unnest(words) AS w, unnest(generate_series(1, len(words))) AS p FROM t),
+win AS (SELECT r, p, w, count(*) OVER f AS n, string_agg(w, ' ') OVER f AS k FROM pos
+        WINDOW f AS (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+hit AS (SELECT r, p FROM win WHERE n = 8 QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+rep AS (SELECT r, count(DISTINCT p + d) AS n FROM hit, (SELECT unnest(generate_series(0, 7)) AS d) GROUP BY 1),
+lin AS (SELECT r, count(*) AS n, count(DISTINCT l) AS k FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM t)
+        WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+c AS (
+    SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
+        (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')))::BIGINT AS n_upper,
+        coalesce(lin.n, 0)::BIGINT AS n_lines, coalesce(lin.n - lin.k, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+        {" + ".join(f"(len(words) >= {b})::INT" for b in BANDS)} AS s
+    FROM t LEFT JOIN lin USING (r) LEFT JOIN rep USING (r)
+),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1 HAVING min(quality) = 1),
+ratios AS ({_RATIO_ROWS}),
+grid AS (SELECT unnest([{_GRID}]) AS cut, unnest(generate_series(1, {len(GRID)})) AS j),
+tested AS (
+    SELECT s, ratio, j, cut, count(*) AS n, count(*) FILTER (x > cut) AS k
+    FROM ratios JOIN good USING (doc_id) JOIN c USING (doc_id, s), grid WHERE n_words >= {MIN_WORDS} AND 100 * n_repeat_words <= 30 * n_words GROUP BY ALL
+),
+terms AS (SELECT *, unnest(generate_series(0, k)) AS i FROM tested WHERE k <= n * {ALPHA / len(RATIOS)}),
+tails AS (
+    SELECT s, ratio, j, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA / len(RATIOS)}) + (n - i) * ln(1 - {ALPHA / len(RATIOS)}))) AS tail
+    FROM terms GROUP BY ALL
+),
+stops AS (SELECT s, ratio, min(j) FILTER (coalesce(tail, 1) > {DELTA / ((len(BANDS) + 1) * len(RATIOS))}) AS stop FROM tested LEFT JOIN tails USING (s, ratio, j) GROUP BY ALL),
+cuts AS (SELECT s, ratio, min(cut) AS cut FROM tested JOIN stops USING (s, ratio) WHERE j < coalesce(stop, {len(GRID) + 1}) GROUP BY ALL),
+wide AS (SELECT s, {_CUTS} FROM cuts GROUP BY s),
+v AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed, CASE {_REJECTED} END AS rejected_by FROM c LEFT JOIN wide USING (s))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by IS NULL AS kept, n_lines, n_upper, rejected_by
+FROM v
+"""
+
+
 def queries() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op4_url_filters": OP4, "op8_run_length_index": OP8}
+    return {
+        "op1_substring_dedup": OP1,
+        "op4_url_filters": OP4,
+        "op5_decontamination": OP5,
+        "op8_run_length_index": OP8,
+        "op9_quality_rules": OP9,
+    }
