@@ -17,9 +17,9 @@ pieces under their own sequence ids; a null id stays null; an empty table gives
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from postlark.shipping import ship
 
 LONGEST = 2048
 END = 1
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 PIECES = "id long, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 # The tokenizer's own split for letters below U+0180 (fixed values of its file).
 _LETTER = "a-zªµºß-öø-ſ"
@@ -47,34 +47,38 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
-    """Ids of words, remembered."""
+    """Ids of words, remembered as little-endian 32-bit numbers."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.spelled = str.maketrans({chr(b): c for b, c in enumerate(_byte_letters())})
-        self.words: dict[bytes, tuple[int, ...]] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
 
-    def part(self, part: str) -> tuple[int, ...]:
+    def part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
             spelled = part.encode().decode("latin-1").translate(self.spelled)
-            ids = tuple(t.id for t in self.model.tokenize(spelled))
+            ids = _packed([t.id for t in self.model.tokenize(spelled)])
             if len(self.parts) >= REMEMBERED:
                 self.parts.clear()
             self.parts[part] = ids
         return ids
 
-    def word(self, raw: bytes) -> tuple[int, ...]:
+    def word(self, raw: bytes) -> bytes:
         word = raw.decode()
         if _SIMPLE.fullmatch(word) and not ("<|" in word and any(s in word for s in self.special)):
             parts = _PARTS.findall(word.lower())
-            ids = self.part(parts[0]) if len(parts) == 1 else tuple(chain.from_iterable(map(self.part, parts)))
+            ids = self.part(parts[0]) if len(parts) == 1 else b"".join(map(self.part, parts))
         else:
-            ids = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+            ids = _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
         if len(self.words) >= REMEMBERED:
             self.words.clear()
         self.words[raw] = ids
@@ -83,8 +87,7 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         """Ids of a whole text, equal to the tokenizer's own."""
         get, miss = self.words.get, self.word
-        found = [get(w) or miss(w) for w in text.encode().split()]
-        return np.fromiter(chain.from_iterable(found), np.uint32)
+        return np.frombuffer(b"".join([get(w) or miss(w) for w in text.encode().split()]), "<u4")
 
 
 _ENCODERS: dict[str, Encoder] = {}
