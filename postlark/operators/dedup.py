@@ -30,7 +30,7 @@ def duplicate_members(df: DataFrame) -> DataFrame:
     narrow = df.where(F.col("content_key").isNotNull()).select(
         "content_key", "id", "status", "score", "date_scraped"
     )
-    return attach(narrow, duplicate_groups(df), "content_key", "id").where(F.col("cnt").isNotNull())
+    return attach(narrow, duplicate_groups(df), "content_key").where(F.col("cnt").isNotNull())
 
 
 def keepers(df: DataFrame) -> DataFrame:

@@ -4,14 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Keys below HEAVY_ROWS rows fit any task. Of the others, a key outside the HEAVY_KEYS heaviest owns at most one
-# HEAVY_KEYS-th of all rows; so treating just those apart bounds every task and every broadcast.
-HEAVY_ROWS = 10_000
-HEAVY_KEYS = 1_000
 NUMBER_BLOCK = 1 << 16
 
 
@@ -30,11 +27,44 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_CUTS: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor loses nothing.
+
+    The table goes when the ``scratch`` it was cut in ends, else with the application.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder, files = _folder(spark, path)
+    files.deleteOnExit(folder)
+    _CUTS.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder, files = _folder(spark, path)
+    return files.exists(folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Remove the tables cut inside once the block is done: for jobs whose results are written by then."""
+    first = len(_CUTS)
+    try:
+        yield
+    finally:
+        for path in _CUTS[first:]:
+            folder, files = _folder(spark, path)
+            files.delete(folder, True)
+        del _CUTS[first:]
 
 
 def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -47,44 +77,14 @@ def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def heavy_keys(rows: DataFrame, *keys: str) -> dict[str, list]:
-    """Per key column, the keys that own more than HEAVY_ROWS rows: the heaviest, at most HEAVY_KEYS in all.
+def attach(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join of ``rows`` to a table with one row per key.
 
-    Counts are combined inside tasks, and only this bounded list reaches the driver.
-    """
-    kind = {k: rows.schema[k].dataType.typeName() for k in keys}
-    pairs = F.array(*[F.struct(F.lit(k).alias("_of"), F.col(k).cast("string").alias("_key")) for k in keys])
-    counts = rows.select(F.inline(pairs)).where("_key is not null").groupBy("_of", "_key").agg(F.count("*").alias("_n"))
-    top = counts.where(F.col("_n") > HEAVY_ROWS).orderBy(F.desc("_n"), "_of", "_key").limit(HEAVY_KEYS)
-    out: dict[str, list] = {k: [] for k in keys}
-    for r in top.collect():
-        out[r["_of"]].append(r["_key"] if kind[r["_of"]] == "string" else int(r["_key"]))
-    return out
-
-
-def attach(rows: DataFrame, table: DataFrame, key: str, spread_by: str, heavy: list | None = None) -> DataFrame:
-    """Left join of ``rows`` to a table with one row per key, safe for hot keys.
-
-    The table rows of heavy keys are broadcast (never more than HEAVY_KEYS of them). In the shuffle join for all other
-    keys, rows with a heavy key or none are dealt over all partitions by ``spread_by`` and match nothing there.
-    ``heavy`` may be given by a caller that knows a superset of these rows.
+    A key may own a third of the rows: the rows are the outer side of a plain join, which Spark cuts into parts at run
+    time (``spark.sql.adaptive.skewJoin``). Where a grouping by the same key would follow, ``cut`` has to come between,
+    because a grouping keeps the join's partitions together.
     """
-    if heavy is None:
-        heavy = heavy_keys(rows, key)[key]
-    values = [c for c in table.columns if c != key]
-    alone = F.col(key).isNull() | (F.col(key).isin(heavy) if heavy else F.lit(False))
-    dealt = F.concat(F.lit("~"), F.col(spread_by).cast("string"))
-    marked = rows.withColumn("_jk", F.when(alone, dealt).otherwise(F.col(key).cast("string")))
-    cold = table.where(F.col(key).isNotNull()).select(
-        F.col(key).cast("string").alias("_jk"), *[F.col(v).alias(f"_c_{v}") for v in values]
-    )
-    joined = marked.join(cold, "_jk", "left")
-    if not heavy:
-        return joined.select(*rows.columns, *[F.col(f"_c_{v}").alias(v) for v in values])
-    hot = table.where(F.col(key).isin(heavy)).select(F.col(key), *[F.col(v).alias(f"_h_{v}") for v in values])
-    both = joined.join(F.broadcast(hot), key, "left")
-    picked = [F.when(F.col(key).isin(heavy), F.col(f"_h_{v}")).otherwise(F.col(f"_c_{v}")).alias(v) for v in values]
-    return both.select(*rows.columns, *picked)
+    return rows.join(table, key, "left").select(*rows.columns, *[c for c in table.columns if c != key])
 
 
 def sequenced(rows: DataFrame, order_by: list[str | Column], name: str = "seq") -> DataFrame:

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlark.operators.spread import attach, cut, dense_rank_of, heavy_keys
+from postlark.operators.spread import attach, cut, dense_rank_of
 
 # A batch of at most this many rows may broadcast its content keys (16 characters each).
 BROADCAST_ROWS = 500_000
@@ -45,9 +45,8 @@ def _least(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias(value))
 
 
-def membership(fresh: DataFrame, heavy: dict[str, list] | None = None) -> tuple[DataFrame, int]:
+def membership(fresh: DataFrame) -> tuple[DataFrame, int]:
     """Rows to insert among rows (seq, dedup_key, content_key, long) that match nothing stored, and the rounds taken."""
-    heavy = heavy or heavy_keys(fresh, "dedup_key", "content_key")
     # Later copies of the same key, content and length class share the fate of the first one.
     undecided = cut(fresh.groupBy("dedup_key", "content_key", "long").agg(F.min("seq").alias("seq")))
     inserted, rounds = None, 0
@@ -63,8 +62,8 @@ def membership(fresh: DataFrame, heavy: dict[str, list] | None = None) -> tuple[
         inserted = sure if inserted is None else inserted.unionByName(sure)
         by_key = sure.select("dedup_key", F.col("seq").alias("_key_at"))
         by_content = _least(sure, "content_key", "seq").withColumnRenamed("seq", "_content_at")
-        rest = attach(marked.where("not sure"), by_key, "dedup_key", "seq", heavy["dedup_key"])
-        rest = attach(rest, by_content, "content_key", "seq", heavy["content_key"])
+        rest = attach(marked.where("not sure"), by_key, "dedup_key")
+        rest = attach(rest, by_content, "content_key")
         blocked = F.coalesce(F.col("_key_at") < F.col("seq"), F.lit(False)) | (
             F.col("long") & F.coalesce(F.col("_content_at") < F.col("seq"), F.lit(False))
         )
@@ -81,7 +80,7 @@ def _oldest_with_content(stored: DataFrame, rows: DataFrame) -> DataFrame:
     return _least(stored, "content_key", "id").join(wanted, "content_key", "left_semi")
 
 
-def _fold(events: DataFrame, heavy: list) -> DataFrame:
+def _fold(events: DataFrame) -> DataFrame:
     """Final score, breakdown and status per target from its events (seq, kind, score, score_breakdown, status).
 
     The last event by source key (or the insert) sets the score outright; later copies only raise it. The status
@@ -96,7 +95,7 @@ def _fold(events: DataFrame, heavy: list) -> DataFrame:
     )
     settled = F.coalesce(F.col("_sticky.status"), F.col("_last.status"))
     base = base.select("target_id", "began", "_from", settled.alias("_settled"))
-    seen = attach(events, base, "target_id", "seq", heavy)
+    seen = cut(attach(events, base, "target_id"))
     later_copy = (F.col("kind") == "content") & (F.col("seq") > F.col("_from"))
     best = F.max(F.struct("score", (-F.col("seq")).alias("early"), "score_breakdown"))
     scores = seen.where((F.col("seq") == F.col("_from")) | later_copy).groupBy("target_id")
@@ -114,23 +113,22 @@ def resolve(stored: DataFrame, batch: DataFrame, last_id: int = 0) -> Upserted:
     """
     stored = stored.select("id", "dedup_key", "content_key", "score", "score_breakdown", "status")
     rows = batch.select(*EVENT)
-    heavy = heavy_keys(rows, "dedup_key", "content_key")
     by_key = stored.join(rows.select("dedup_key").distinct(), "dedup_key", "left_semi")
     by_key = by_key.select("dedup_key", F.col("id").alias("key_id"))
     by_content = _oldest_with_content(stored, rows).withColumnRenamed("id", "content_id")
-    rows = attach(rows, by_key, "dedup_key", "seq", heavy["dedup_key"])
-    rows = cut(attach(rows, by_content, "content_key", "seq", heavy["content_key"]))
+    rows = attach(rows, by_key, "dedup_key")
+    rows = cut(attach(rows, by_content, "content_key"))
 
     fresh = rows.where(F.col("key_id").isNull() & ~(F.col("long") & F.col("content_id").isNotNull()))
-    chosen, rounds = membership(fresh.select("seq", "dedup_key", "content_key", "long"), heavy)
+    chosen, rounds = membership(fresh.select("seq", "dedup_key", "content_key", "long"))
     top = max(stored.agg(F.max("id")).first()[0] or 0, last_id)
     new = dense_rank_of(chosen, "seq", "_rank")
     new = cut(new.select("seq", "dedup_key", "content_key", (F.col("_rank") + top).alias("new_id")))
 
     new_key = new.select("dedup_key", F.col("seq").alias("new_key_seq"), F.col("new_id").alias("new_key_id"))
     new_content = _least(new, "content_key", "new_id").withColumnRenamed("new_id", "new_content_id")
-    rows = attach(rows, new_key, "dedup_key", "seq", heavy["dedup_key"])
-    rows = attach(rows, new_content, "content_key", "seq", heavy["content_key"])
+    rows = attach(rows, new_key, "dedup_key")
+    rows = attach(rows, new_content, "content_key")
     known, here, earlier = F.col("key_id").isNotNull(), F.col("new_key_seq") == F.col("seq"), F.col("new_key_seq") < F.col("seq")
     kind = F.when(known | earlier, "key").when(here, "insert").otherwise("content")
     target = (
@@ -150,9 +148,7 @@ def resolve(stored: DataFrame, batch: DataFrame, last_id: int = 0) -> Upserted:
         "score_breakdown",
         "status",
     )
-    # A target collects rows of one source key and one content key, so without heavy keys none is heavy.
-    heavy_targets = heavy_keys(events, "target_id")["target_id"] if any(heavy.values()) else []
-    final = cut(_fold(events.unionByName(before), heavy_targets))
+    final = cut(_fold(events.unionByName(before)))
     values = [F.col("target_id").alias("id"), "score", "score_breakdown", "status"]
     return Upserted(
         events.select("seq", "target_id", "kind"),

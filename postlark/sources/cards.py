@@ -251,8 +251,7 @@ def enrich_descriptions(postings: DataFrame, details: DataFrame) -> DataFrame:
     at = F.col("fetched_at") if "fetched_at" in details.columns else F.lit(None).cast("timestamp_ntz")
     read = details.where(ok).select("source_id", F.struct(at.alias("at"), detail_text("body").alias("text")).alias("_page"))
     texts = read.groupBy("source_id").agg(F.max("_page").alias("_page")).select("source_id", F.col("_page.text").alias("_detail"))
-    spread = F.concat_ws("-", "run_id", "page_no", "pos")
-    joined = attach(postings.withColumn("_spread", spread), texts, "source_id", "_spread")
+    joined = attach(postings, texts, "source_id")
     text = F.coalesce("_detail", "description")
     shown = location_display(F.col("city"), F.col("state"), F.lit(False))
     flag = F.col("is_remote") | is_remote(F.col("title"), text, shown)

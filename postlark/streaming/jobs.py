@@ -14,6 +14,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from postlark.operators.filters import moment
 from postlark.operators.maintenance import apply_status_events, route_messages
+from postlark.operators.spread import scratch
 from postlark.plans.ingest import ingest
 from postlark.profiles import Profile
 from postlark.sources.payloads import stream_payloads
@@ -24,10 +25,13 @@ STATUS_EVENTS = "seq bigint, posting_id bigint, status string, notes string, eve
 
 def ingest_batch(store: Store, profile: Profile, as_of=None, **options):
     def run(payloads: DataFrame, batch_id: int) -> None:
-        own = ("ingest", batch_id)
         now = as_of or payloads.agg(F.max("fetched_at")).first()[0]
         if now is None:
             return
+        with scratch(store.spark):
+            apply(payloads, ("ingest", batch_id), now)
+
+    def apply(payloads: DataFrame, own: tuple[str, int], now) -> None:
         runs = payloads.select("run_id").distinct()
         seen = store.read("seen", own).join(runs, "run_id", "left_semi")
         done = ingest(payloads, store.state(own), profile, now, last_id=store.last_id(own), seen=seen, **options)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from postlark.operators.spread import exists
 from postlark.operators.upsert import apply_changes
 from postlark.schemas import POSTINGS, RUNS, column_names, conform
 
@@ -47,16 +48,11 @@ class Store:
         """All rows of a kind with their job and batch; ``without`` leaves one batch out."""
         layout = f"{layout_of(kind)}, job string, batch_id bigint"
         path = f"{self.root}/{kind}"
-        if not self._exists(path):
+        if not exists(self.spark, path):
             return self.spark.createDataFrame([], layout)
         rows = self.spark.read.schema(layout).parquet(path)
         return rows if without is None else rows.where((F.col("job") != without[0]) | (F.col("batch_id") != without[1]))
 
-    def _exists(self, path: str) -> bool:
-        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        return folder.getFileSystem(conf).exists(folder)
-
     def state(self, without: tuple[str, int] | None = None) -> DataFrame:
         """All postings as they stand now."""
         changes = self.read("changed", without)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -12,7 +11,7 @@ from pyspark.sql.types import StructType
 from postlark.functions.keys import content_key, dedup_key
 from postlark.functions.location import normalise_location
 from postlark.operators.scoring import score
-from postlark.operators.spread import shared_folder
+from postlark.operators.spread import exists, shared_folder
 from postlark.profiles import Profile
 from postlark.schemas import BREAKDOWN
 from postlark.sources.payloads import read_payloads
@@ -165,17 +164,12 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _written(spark: SparkSession, name: str, write, read) -> DataFrame:
-    """Read a table written earlier by this application, or write it first; a cleared folder is written again."""
+    """A fixture table that this application wrote earlier, or write it first."""
     key = (spark.sparkContext.applicationId, name)
-    if key in _STORED:
-        try:
-            return read(_STORED[key])
-        except AnalysisException:
-            del _STORED[key]
-    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    write(path)
-    _STORED[key] = path
-    return read(path)
+    if key not in _STORED or not exists(spark, _STORED[key]):
+        _STORED[key] = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+        write(_STORED[key])
+    return read(_STORED[key])
 
 
 def ingest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postlark.functions.keys import content_key
-from postlark.operators import dedup, filters, maintenance, spread, stats
+from postlark.operators import dedup, filters, maintenance, stats
 from postlark.plans import reports
 from postlark.profiles import Profile
 from postlark.schemas import POSTINGS, RUNS, conform
@@ -125,8 +125,7 @@ def test_keepers(spark):
     assert len(dedup.duplicate_members(df).collect()) == 11
 
 
-def test_dedup_with_a_hot_key(spark, monkeypatch):
-    monkeypatch.setattr(spread, "HEAVY_ROWS", 50)
+def test_dedup_with_a_hot_key(spark):
     df = spark.range(900).selectExpr(
         "id", "case when id % 3 = 0 then 'hot' else cast(id as string) end content_key", "'new' status", "cast(id % 50 as int) score", "timestamp_ntz'2026-01-01' date_scraped"
     )

