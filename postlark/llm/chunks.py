@@ -25,7 +25,7 @@ from postlark.shipping import ship
 
 CHUNK_BYTES = 2 << 20
 CHUNK_ROWS = 20_000
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 20
 MIN_BUCKETS = 64
 CHUNK = "chunk long, body binary, size long"
 MESSAGE = "bucket int, chunk long, body binary"
