@@ -7,9 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registered
+from postlark import catalog, oracles
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, SQL = registered.queries(), registered.oracle_sql()
+QUERIES, SQL = catalog.queries(), oracles.queries()
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +35,7 @@ def table(columns, rows):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(registered.queries()) and set(SQL) <= set(registered.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
