@@ -171,15 +171,23 @@ def fit_models(toxic: list[str], ordinary: list[str]) -> Model:
         return Model({}, {})
     spelled = _Spelled(letters, lengths)
     uses = [np.bincount(number[owner < n_toxic], minlength=len(lengths)), np.bincount(number[owner >= n_toxic], minlength=len(lengths))]
-    kinds = {n: np.unique(spelled.grams(n), return_index=True, return_inverse=True) for n in range(1, ORDER + 1)}
-    before = {n: np.unique(spelled.contexts(n), return_inverse=True) for n in range(2, ORDER + 1)}
-    counts: list[dict[int, np.ndarray]] = []
-    for use in uses:
-        own = {ORDER: np.bincount(kinds[ORDER][2], use[spelled.word], len(kinds[ORDER][0]))}
-        for n in range(ORDER - 1, 0, -1):
-            _, first, _ = kinds[n + 1]
-            own[n] = np.bincount(kinds[n][2][first], own[n + 1] > 0, len(kinds[n][0]))
-        counts.append(own)
+    # Of each order: its strings, the number of the string without its first byte, and that of the bytes before the last.
+    keys, suffix, before, context = {}, {}, {}, {}
+    counts: list[dict[int, np.ndarray]] = [{}, {}]
+    first = None
+    for n in range(ORDER, 0, -1):
+        above = first
+        keys[n], first, number_of = np.unique(spelled.grams(n), return_index=True, return_inverse=True)
+        if n > 1:
+            before[n], all_contexts = np.unique(spelled.contexts(n), return_inverse=True)
+            context[n] = all_contexts[first]
+        if above is not None:
+            suffix[n + 1] = number_of[above]
+        for own, use in zip(counts, uses):
+            if above is None:
+                own[n] = np.bincount(number_of, use[spelled.word], len(keys[n]))
+            else:
+                own[n] = np.bincount(suffix[n + 1], own[n + 1] > 0, len(keys[n]))
     for n in range(1, SHARED + 1):
         counts[0][n] = counts[1][n] = counts[0][n] + counts[1][n]
     grams, contexts = {}, {}
@@ -187,22 +195,19 @@ def fit_models(toxic: list[str], ordinary: list[str]) -> Model:
     for own in counts:
         lower.append((own[1] + 1) / (own[1].sum() + 256))
     for n in range(2, ORDER + 1):
-        keys, first, inverse = kinds[n]
-        context = before[n][1][first]
-        suffix = kinds[n - 1][2][first]
-        size = len(before[n][0])
+        size = len(before[n])
         out, leaves = [], []
         for own, low in zip(counts, lower):
             c = own[n]
             d = _discount(c[c > 0])
-            total = np.bincount(context, c, size)
-            leave = np.where(total > 0, d * np.bincount(context, c > 0, size) / np.maximum(total, 1), 1.0)
-            out.append(np.maximum(c - d, 0) / np.maximum(total, 1)[context] + leave[context] * low[suffix])
+            total = np.bincount(context[n], c, size)
+            leave = np.where(total > 0, d * np.bincount(context[n], c > 0, size) / np.maximum(total, 1), 1.0)
+            out.append(np.maximum(c - d, 0) / np.maximum(total, 1)[context[n]] + leave[context[n]] * low[suffix[n]])
             leaves.append(leave)
         lower = out
         if n > SHARED:
-            grams[n] = keys, np.log(out[0]) - np.log(out[1])
-            contexts[n] = before[n][0], np.log(leaves[0]) - np.log(leaves[1])
+            grams[n] = keys[n], np.log(out[0]) - np.log(out[1])
+            contexts[n] = before[n], np.log(leaves[0]) - np.log(leaves[1])
     return Model(grams, contexts)
 
 
