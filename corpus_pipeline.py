@@ -30,11 +30,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    done = substring.dedup_substrings(docs, carry=others, keep_untouched=True)
-    named = done.withColumnsRenamed({"id": "doc_id", "kept_text": "text"})
-    changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return named.withColumn("n_chars", changed).select(docs.columns)
+    # Other columns travel under names that no operator uses.
+    held = {c: f"held{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    done = substring.dedup_substrings(docs.withColumnsRenamed(held), carry=list(held.values()), keep_untouched=True)
+    out = {c: F.col(name) for c, name in held.items()} | {"doc_id": F.col("id"), "text": F.col("kept_text")}
+    if "n_chars" in held:
+        changed = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(out["n_chars"])
+        out["n_chars"] = changed.cast(docs.schema["n_chars"].dataType)
+    return done.select(*[out[c].alias(c) for c in docs.columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -140,5 +140,5 @@ def leaks(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that leak no item."""
-    leaked = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col(id_col).eqNullSafe(F.col("_leaked")), "left_anti")
+    leaked = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("leaked_id")).distinct()
+    return docs.join(leaked, docs[id_col].eqNullSafe(leaked["leaked_id"]), "left_anti")

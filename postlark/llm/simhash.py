@@ -188,5 +188,5 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """The document with the least id of each group; rows without an id stay."""
     groups = simhash_groups(docs, id_col, text_col, shingle, distance)
-    gone = groups.where("id <> component_id").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = groups.where("id <> component_id").select("id").distinct()
+    return docs.join(gone, docs[id_col] == gone["id"], "left_anti")

@@ -58,20 +58,20 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     ).first()
     parsed = with_host_and_path(pages.drop("rule", "verdict"), url_col)
     cut = F.substring(F.col("path"), 1, bounds.chars) if bounds.chars else F.lit("")
-    judged = parsed.select(F.col("host").alias("_host"), cut.alias("_cut")).distinct()
+    judged = parsed.select(F.col("host").alias("_host_cut"), cut.alias("_path_cut")).distinct()
 
-    labels = F.split("_host", r"\.")
+    labels = F.split("_host_cut", r"\.")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.least(F.size(labels), F.lit(bounds.labels))), lambda n: F.array_join(F.slice(labels, -n, n), ".")
     )
-    prefixes = F.transform(F.sequence(F.lit(0), F.length("_cut")), lambda n: F.substring(F.col("_cut"), F.lit(1), n))
+    prefixes = F.transform(F.sequence(F.lit(0), F.length("_path_cut")), lambda n: F.substring(F.col("_path_cut"), F.lit(1), n))
     expressions = (
-        judged.withColumn("host", F.explode(suffixes)).withColumn("path", F.explode(prefixes)).select("_host", "_cut", "host", "path")
+        judged.withColumn("host", F.explode(suffixes)).withColumn("path", F.explode(prefixes)).select("_host_cut", "_path_cut", "host", "path")
     )
     found = (
         _hashed(expressions).alias("u").join(_hashed(known).alias("r"), "short")
         .where("u.digest = r.digest and u.host = r.host and u.path = r.path")
-        .select("_host", "_cut", "r.host", "r.path", "r.verdict")
+        .select("_host_cut", "_path_cut", "r.host", "r.path", "r.verdict")
     )
     order = F.struct(
         (F.length("host") + F.length("path")).alias("size"),
@@ -80,10 +80,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
         F.concat("host", "path").alias("rule"),
         "verdict",
     )
-    verdicts = found.groupBy("_host", "_cut").agg(F.max(order).alias("_best"))
+    verdicts = found.groupBy("_host_cut", "_path_cut").agg(F.max(order).alias("_best"))
     return (
-        parsed.withColumn("_cut", cut)
-        .join(verdicts.withColumnRenamed("_host", "host"), ["host", "_cut"], "left")
+        parsed.withColumn("_path_cut", cut)
+        .join(verdicts.withColumnRenamed("_host_cut", "host"), ["host", "_path_cut"], "left")
         .select(
             *parsed.columns,
             F.col("_best.rule").alias("rule"),
