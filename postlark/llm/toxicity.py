@@ -2,16 +2,21 @@
 
 Two models, one of toxic and one of ordinary text, spell words byte by byte from the ``ORDER`` - 1 bytes before, so they
 know inflected and rare expressions by their parts. Long contexts back off to continuation counts of the class, and the
-shortest to counts shared by both classes: an expression that is merely rare isn't taken for evidence. A text's score
-compares the two log-likelihoods divided by its number of words; a logistic calibration, fitted by two-fold cross-fitting
-on the same sample, turns the difference into a probability.
+shortest to counts shared by both classes: an expression that is merely rare isn't taken for evidence. Beside them stands
+a list of telling strings (``STRINGS`` bytes of a word and its borders): those that more toxic than ordinary documents
+hold, by more than ``DOUBT`` standard errors of the log ratio.
+
+A text is measured by the two log-likelihoods' difference divided by its number of words, by the greatest difference of
+``WINDOWS`` words in a row, and by the mean and the greatest value of its words' telling strings. So a few expressions
+tell in a long text too, in whatever language. A logistic calibration, fitted by two-fold cross-fitting on the same
+sample, turns the measures into a probability.
 
 The models are fitted on a bounded sample: of each class about ``SAMPLE`` labelled documents, chosen by a hash of their id,
 of which texts of at most ``SAMPLE_CHARS`` characters are read. So the model, a few sorted arrays, is bounded too; it is broadcast.
 Scoring reads whole texts in one pass without a shuffle; each distinct word of a batch is spelled once. Words are runs of
 ASCII letters (in lower case) and bytes beyond ASCII. Only the text is used.
 
-Cases: null and empty texts, and texts without a word, get the calibrated prior; labels with a null id or label are
+Cases: null and empty texts, and texts without a word, get the calibrated score of no words; labels with a null id or label are
 ignored, of several labels of one id the highest counts; without both classes every score is 0; repeated rows give
 repeated results; other columns are ignored.
 """
@@ -33,6 +38,12 @@ SAMPLE = 2500
 SAMPLE_CHARS = 50_000
 ORDER = 5
 SHARED = 2
+WINDOWS = (1, 4, 16)
+STRINGS = (4, 6, 8)
+DOUBT = 1.5
+PLAIN = 0.7
+LEAST = 0.01
+DOCUMENTS = 100
 SLAB = 1 << 22
 REMEMBERED = 500_000
 RESULT = "id long, score double, predicted int"
@@ -78,6 +89,18 @@ class _Spelled:
         return H.byte_windows(self.data, n - 1)[self.at - n + 1]
 
 
+def _strings(letters: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-byte strings of each word with a mark before and one behind, and how many each word has."""
+    blocks = lengths + 2
+    begins = np.cumsum(blocks) - blocks
+    data = np.full(int(blocks.sum()), _MARK, np.uint8)
+    own = np.arange(len(letters)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    data[own + np.repeat(begins + 1, lengths)] = letters
+    made = np.maximum(blocks - n + 1, 0)
+    at = np.arange(int(made.sum())) - np.repeat(np.cumsum(made) - made, made) + np.repeat(begins, made)
+    return H.byte_windows(data, n)[at], made
+
+
 def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return np.zeros(len(wanted)), np.zeros(len(wanted), bool)
@@ -92,21 +115,31 @@ class Model:
 
     grams: dict[int, tuple[np.ndarray, np.ndarray]]
     contexts: dict[int, tuple[np.ndarray, np.ndarray]]
-    weights: tuple[float, float, float] = (0.0, 0.0, 0.0)
-    remembered: tuple = field(default=(np.empty(0, np.uint64), np.empty(0)), repr=False)
-
-    def differences(self, hashes: np.ndarray, letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The difference of each distinct word (hashes ascending); words met before in this worker are remembered."""
-        keys, values = self.remembered
-        value, known = _looked_up(keys, values, hashes)
+    strings: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    weights: tuple[float, ...] = ()
+    remembered: tuple = field(default=(np.empty(0, np.uint64), np.empty(0), np.empty(0)), repr=False)
+
+    def values(self, hashes: np.ndarray, letters: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Difference and telling value of each distinct word (hashes ascending); words met before in this worker are remembered."""
+        keys, *old = self.remembered
+        (value, known), (telling, _) = (_looked_up(keys, v, hashes) for v in old)
         if not known.all():
             new = np.repeat(~known, lengths)
             value[~known] = self.spelled(letters[new], lengths[~known])
+            telling[~known] = self.told(letters[new], lengths[~known])
             if len(keys) > REMEMBERED:
-                keys, values = keys[:0], values[:0]
+                keys, old = keys[:0], [v[:0] for v in old]
             at = np.searchsorted(keys, hashes[~known])
-            self.remembered = np.insert(keys, at, hashes[~known]), np.insert(values, at, value[~known])
-        return value
+            self.remembered = np.insert(keys, at, hashes[~known]), *(np.insert(v, at, x[~known]) for v, x in zip(old, (value, telling)))
+        return value, telling
+
+    def told(self, letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The greatest value among the telling strings of each word, or 0."""
+        best = np.zeros(len(lengths))
+        for n, (keys, values) in self.strings.items():
+            hashes, made = _strings(letters, lengths, n)
+            np.maximum.at(best, np.repeat(np.arange(len(lengths)), made), _looked_up(keys, values, hashes)[0])
+        return best
 
     def spelled(self, letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The difference of each word."""
@@ -122,17 +155,42 @@ class Model:
         return np.bincount(words.word, value, len(lengths))
 
     def inputs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Length-normalised difference and length; texts are added up in slabs cut at blanks."""
-        total, count = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        """Length-normalised difference and length."""
+        measures, count = self.measures(texts)
+        return measures[:, 0], count
+
+    def measures(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The calibration's inputs, and the length; texts are added up in slabs cut at blanks."""
+        n = len(texts)
+        total, count, telling, above, most = np.zeros(n), np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n)
+        top = np.full((len(WINDOWS), n), -np.inf)
         pieces, owners, size = [], [], 0
+        tail, tail_owner = np.empty(0), -1  # the last words of a text that may go on in the next slab
 
         def add():
+            nonlocal tail, tail_owner
             if pieces:
-                hashes, letters, lengths, number, owner = words(pieces)
+                hashes, letters, lengths, number, piece = words(pieces)
                 if len(number):
-                    value = self.differences(hashes, letters, lengths)[number]
-                    np.add.at(total, owners, np.bincount(owner, value, len(pieces)))
-                    np.add.at(count, owners, np.bincount(owner, minlength=len(pieces)))
+                    value, told = (v[number] for v in self.values(hashes, letters, lengths))
+                    owner = np.array(owners)[piece]
+                    total[:] += np.bincount(owner, value, n)
+                    count[:] += np.bincount(owner, minlength=n)
+                    telling[:] += np.bincount(owner, told, n)
+                    above[:] += np.bincount(owner, np.maximum(told - PLAIN, 0), n)
+                    np.maximum.at(most, owner, told)
+                    if owner[0] == tail_owner:
+                        value, owner = np.concatenate([tail, value]), np.concatenate([np.full(len(tail), tail_owner), owner])
+                    starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+                    begin = np.repeat(starts, np.diff(np.append(starts, len(owner))))
+                    sums, place = np.concatenate([[0.0], np.cumsum(value)]), np.arange(len(value))
+                    for best, w in zip(top, WINDOWS):
+                        # A text's first windows are shorter than the others; behind a cut they were seen with what is before.
+                        won = (sums[1:] - sums[np.maximum(place - w + 1, begin)]) / w
+                        if owner[0] == tail_owner:
+                            won[: len(tail)] = -np.inf
+                        best[owner[starts]] = np.maximum(best[owner[starts]], np.maximum.reduceat(won, starts))
+                    tail, tail_owner = value[max(starts[-1], len(value) - max(WINDOWS) + 1) :], owner[-1]
             pieces.clear(), owners.clear()
 
         for k, text in enumerate(texts):
@@ -148,14 +206,17 @@ class Model:
                     add()
                     size = 0
         add()
-        return total / np.maximum(count, 1), count
+        long = np.maximum(count, 1)
+        mean, telling, above = total / long, telling / long, above / long
+        top = np.where(count > 0, top, 0.0)
+        columns = [mean, mean * np.sqrt(count), *top, np.log1p(count), telling, most, np.log(LEAST + telling), above, np.log(LEAST + above)]
+        return np.column_stack(columns), count
 
     def score(self, texts: list[str]) -> np.ndarray:
         if not self.grams:
             return np.zeros(len(texts))
-        mean, count = self.inputs(texts)
-        a, b, c = self.weights
-        return 1 / (1 + np.exp(-np.clip(a * mean + b * mean * np.sqrt(count) + c, -40, 40)))
+        logit = self.measures(texts)[0] @ np.array(self.weights[:-1]) + self.weights[-1]
+        return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
 def _discount(counts: np.ndarray) -> float:
@@ -208,19 +269,48 @@ def fit_models(toxic: list[str], ordinary: list[str]) -> Model:
         if n > SHARED:
             grams[n] = keys[n], np.log(out[0]) - np.log(out[1])
             contexts[n] = before[n], np.log(leaves[0]) - np.log(leaves[1])
-    return Model(grams, contexts)
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
-    """Weighted logistic regression with a little ridge, by Newton steps on standardised inputs."""
+    return Model(grams, contexts, telling_strings(toxic, ordinary))
+
+
+def telling_strings(toxic: list[str], ordinary: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of each length the strings that more toxic documents hold: log ratio of the shares, less ``DOUBT`` standard errors."""
+    hashes, letters, lengths, number, owner = words([t.encode() for t in (*toxic, *ordinary)])
+    n_toxic, n_ordinary = len(toxic), len(ordinary)
+    held = np.unique(owner.astype(np.int64) * max(len(hashes), 1) + number)
+    doc, word = held // max(len(hashes), 1), held % max(len(hashes), 1)
+    slabs = np.searchsorted(doc, np.arange(0, n_toxic + n_ordinary + DOCUMENTS, DOCUMENTS))
+    out = {}
+    for n in STRINGS:
+        found, made = _strings(letters, lengths, n)
+        keys, string = np.unique(found, return_inverse=True)
+        first = np.cumsum(made) - made
+        in_toxic, in_all = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for begin, a, b in zip(range(0, n_toxic + n_ordinary, DOCUMENTS), slabs[:-1], slabs[1:]):
+            many = made[word[a:b]]
+            at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[word[a:b]], many)
+            pair = np.unique(string[at].astype(np.int64) * DOCUMENTS + np.repeat(doc[a:b] - begin, many))
+            which, toxic_one = pair // DOCUMENTS, pair % DOCUMENTS + begin < n_toxic
+            in_all += np.bincount(which, minlength=len(keys))
+            in_toxic += np.bincount(which[toxic_one], minlength=len(keys))
+        t, o = in_toxic + 0.5, in_all - in_toxic + 0.5
+        value = np.log(t / (n_toxic + 1)) - np.log(o / (n_ordinary + 1)) - DOUBT * np.sqrt(1 / t + 1 / o)
+        out[n] = keys[value > 0], value[value > 0]
+    return out
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
+    """Weighted logistic regression with a little ridge, by Newton steps on standardised inputs, halved until they gain."""
     mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.column_stack([(x - mean) / sd, np.ones(len(x))])
     w = np.zeros(z.shape[1])
     ridge = np.diag([1e-2] * x.shape[1] + [1e-6]) * len(x) * 1e-2
+    loss = lambda w: weight @ (np.logaddexp(0, z @ w) - y * (z @ w)) + w @ ridge @ w / 2
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         h = z.T @ (z * (weight * p * (1 - p))[:, None]) + ridge
-        w = w + np.linalg.solve(h, z.T @ (weight * (y - p)) - ridge @ w)
+        step, now = np.linalg.solve(h, z.T @ (weight * (y - p)) - ridge @ w), loss(w)
+        part = next((part for part in 0.5 ** np.arange(30) if loss(w + part * step) <= now), 0.0)
+        w = w + part * step
     scaled = w[:-1] / sd
     return (*(float(s) for s in scaled), float(w[-1] - scaled @ mean))
 
@@ -234,19 +324,19 @@ def fit(texts: list[str], toxic: list[int], prior: float) -> Model:
     for label in (False, True):
         fold[np.flatnonzero(y == label)[::2]] = 1
     pick = lambda mask: [t for t, m in zip(texts, mask) if m]
-    x, seen = np.zeros((len(y), 2)), np.zeros(len(y), bool)
+    x, seen = None, np.zeros(len(y), bool)
     for f in (0, 1):
         learn, test = fold != f, fold == f
         if (learn & y).any() and (learn & ~y).any():
-            model = fit_models(pick(learn & y), pick(learn & ~y))
-            mean, count = model.inputs(pick(test))
-            x[test], seen[test] = np.column_stack([mean, mean * np.sqrt(count)]), True
+            measured, _ = fit_models(pick(learn & y), pick(learn & ~y)).measures(pick(test))
+            x = np.zeros((len(y), measured.shape[1])) if x is None else x
+            x[test], seen[test] = measured, True
     model = fit_models(pick(y), pick(~y))
     weight = np.where(y, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9))
     if seen.any() and y[seen].any() and not y[seen].all():
         model.weights = _logistic(x[seen], y[seen].astype(float), weight[seen])
     else:
-        model.weights = (1.0, 0.0, float(np.log(prior / (1 - prior))))
+        model.weights = (1.0, *[0.0] * (len(WINDOWS) + 7), float(np.log(prior / (1 - prior))))
     return model
 
 

@@ -86,6 +86,32 @@ def test_toxicity_cases(spark):
     assert toxicity.score_toxicity(docs.where("false"), model).collect() == []
 
 
+def held_out_toxicity(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").where("text is not null")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    learnt = docs.join(labels, "doc_id").where(~remainder("doc_id", 5, 0)).select("text").distinct()
+    rows = docs.join(labels, "doc_id").where(remainder("doc_id", 5, 0)).join(learnt, "text", "left_anti").toPandas()
+    model = toxicity.train(docs, labels, ~remainder("doc_id", 5, 0))
+    rows["predicted"] = model.score(list(rows.text)) >= 0.5
+    return rows
+
+
+def test_toxicity_finds_held_out_texts_of_every_language(spark):
+    rows = held_out_toxicity(spark, "/root/testdata/sf0.1")
+    toxic, ordinary = rows[rows.toxic == 1], rows[rows.toxic == 0]
+    assert ordinary.predicted.mean() < 0.02
+    assert all(found > 0.75 for found in toxic.groupby("lang").predicted.mean()), toxic.groupby("lang").predicted.agg(["sum", "count"])
+
+
+def test_toxicity_measures_do_not_depend_on_slabs(monkeypatch):
+    model = toxicity.fit(invented(True, 1, 60) + invented(False, 2, 60), [1] * 60 + [0] * 60, 0.2)
+    texts = ["", "one", " ".join(invented(True, 6, 12)), "two words", " ".join(invented(False, 7, 12)), "  "]
+    whole, _ = model.measures(texts)
+    for slab in (40, 97, 3000):
+        monkeypatch.setattr(toxicity, "SLAB", slab)
+        assert np.allclose(model.measures(texts)[0], whole)
+
+
 def test_toxicity_query_on_the_tables(spark):
     got = op6_toxicity(spark, "/root/testdata/sf0.001").collect()
     assert len(got) == 200 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
