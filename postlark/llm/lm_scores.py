@@ -1,11 +1,11 @@
-"""Language-model scores from a log-frequency Bloom filter.
+"""Language-model scores from log-frequency Bloom filters.
 
 Tokens are words in ASCII lower case and one end per document. Training documents give exact counts of all tokens and of
-all bigrams, gathered in hash buckets (see :mod:`postlark.llm.chunks`). Token counts go back to the chunks that asked.
-Bigram counts are quantised to powers of ``BASE``; a bigram of level q is entered in a Bloom filter once for each level
-from the lowest kept up to q, so its level is read by probing until the first miss. The filter has ``FILTER_BYTES`` at
-most: if the corpus has more bigrams than that holds at ``BITS`` bits an entry, the lowest levels are left out, as few as
-possible; singletons always are. Its bits are set bucket by bucket, then it is broadcast.
+all bigrams, gathered in hash buckets (see :mod:`postlark.llm.chunks`). Bigram counts are quantised to powers of ``BASE``;
+a bigram of level q is entered in its bucket's Bloom filter once for each level from 1 to q, so its level is read by
+probing until the first miss. Every bigram that trains is entered, those seen once too, at ``BITS`` bits an entry. Chunks
+ask the buckets for all their bigrams and get levels back, as they get the counts of tokens; so the filters are as large
+as the corpus wants, and none is broadcast or collected.
 
 The probability of a token after a word of training count n mixes the filter with the base,
 ``MIX * level count / n + (1 - MIX) * base``; after unknown words and at the start it is the base, (c + 1) / (N + V + 1).
@@ -35,7 +35,6 @@ BASE = 2
 MIX = 0.5
 BITS = 12
 PROBES = 8
-FILTER_BYTES = 32 << 20
 SEGMENTS = 64
 _END = H.constants(9000, 1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -114,12 +113,17 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(counts, 1)) / math.log(BASE) + 1e-9).astype(np.int64)
 
 
-def _bigram_totals(received: list[tuple[int, bytes]]) -> list[bytes]:
-    """Keys and levels of the bucket's bigrams that occur more than once; no chunk needs an answer."""
+def _bigram_levels(received: list[tuple[int, bytes]]) -> list[bytes]:
+    """Level of every entry, read from a filter that holds all bigrams of the bucket that train."""
     opened = [_opened(b, 6) for _, b in received]
-    keys, totals, _ = _counted(np.concatenate([k for k, _ in opened]), np.concatenate([c for _, c in opened]))
-    keep = totals > 1
-    return [b""] * len(received) + [_letter(keys[keep], levels(totals[keep]))]
+    keys, totals, number = _counted(np.concatenate([k for k, _ in opened]), np.concatenate([c for _, c in opened]))
+    trained = totals > 0
+    level = levels(totals[trained])
+    bits = -(-int(level.sum()) * BITS // 8) * 8
+    field = segment_bits(bits, 1, keys[trained], np.zeros(len(level), np.int64), level) if bits else b""
+    read = LogFrequencyFilter(bits, 1, 1, {0: field}, 1).levels(keys).astype(np.uint8)
+    cuts = np.cumsum([len(k) for k, _ in opened])[:-1]
+    return [zstandard.compress(x.tobytes(), 3) for x in np.split(read[number], cuts)]
 
 
 def _place(keys: np.ndarray, bucket: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,16 +145,20 @@ def segment_bits(bits: int, first: int, keys: np.ndarray, buckets: np.ndarray, l
 class LogFrequencyFilter:
     """The whole filter: a bit field of equal size for each segment of the bucket range."""
 
-    def __init__(self, bits: int, first: int, buckets: int, fields: dict[int, bytes]):
-        self.bits, self.first, self.buckets = bits, first, buckets
+    def __init__(self, bits: int, first: int, buckets: int, fields: dict[int, bytes], segments: int = SEGMENTS):
+        self.bits, self.first, self.buckets, self.segments = bits, first, buckets, segments
         empty = bytes(bits // 8)
-        self.field = np.frombuffer(b"".join(fields.get(s, empty) for s in range(SEGMENTS)), np.uint8)
+        self.field = np.frombuffer(b"".join(fields.get(s, empty) for s in range(segments)), np.uint8)
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
         """Least count of each bigram's level; 0 for bigrams not in the filter."""
+        return least_counts(self.levels(hashes))
+
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        """Level of each bigram; 0 for bigrams not in the filter."""
         level = np.zeros(len(hashes), np.int64)
         bucket = C.bucket_of(hashes, self.buckets)
-        start = segment_of(bucket, self.buckets) * self.bits
+        start = segment_of(bucket, self.buckets, self.segments) * self.bits
         keys = hashes & np.uint64((1 << 48) - 1)
         inside, j = np.arange(len(hashes)), self.first
         while len(inside) and self.bits:
@@ -161,46 +169,19 @@ class LogFrequencyFilter:
                 inside, a, b = inside[hit], a[hit], b[hit]
             level[inside] = j
             j += 1
-        return np.where(level > 0, float(BASE) ** (level - 1), 0.0)
-
+        return level
 
-def segment_of(bucket: np.ndarray, buckets: int) -> np.ndarray:
-    return bucket * SEGMENTS // buckets
 
+def least_counts(level: np.ndarray) -> np.ndarray:
+    return np.where(level > 0, float(BASE) ** (level - 1), 0.0)
 
-def _filter(grams: DataFrame, buckets: int, filter_bytes: int) -> LogFrequencyFilter:
-    """Choose the lowest level that fits, build the segments on the workers and bring the bounded whole here."""
 
-    def histogram(batches):
-        for batch in batches:
-            for body in batch.column("body").to_pylist():
-                number = np.bincount(_opened(body, 8)[1].astype(np.int64))
-                yield pa.RecordBatch.from_pydict({"level": pa.array(np.arange(len(number)), pa.int64()), "n": pa.array(number, pa.int64())})
+def segment_of(bucket: np.ndarray, buckets: int, segments: int = SEGMENTS) -> np.ndarray:
+    return bucket * segments // buckets
 
-    found = {r["level"]: r["n"] for r in grams.mapInArrow(histogram, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()}
-    size = lambda first: sum(n * (level - first + 1) for level, n in found.items() if level >= first)
-    first = 2
-    while size(first) * BITS > 8 * filter_bytes:
-        first += 1
-    bits = -(-size(first) * BITS // SEGMENTS // 8) * 8
 
-    def build(key, table):
-        opened = [_opened(b, 8) for b in table.column("body").to_pylist()]
-        bucket = np.repeat(np.array(table.column("bucket").to_pylist()), [len(k) for k, _ in opened])
-        keys, level = np.concatenate([k for k, _ in opened]), np.concatenate([c for _, c in opened]).astype(np.int64)
-        field = segment_bits(bits, first, keys, bucket, level) if bits else b""
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "field": pa.array([field], pa.binary())})
-
-    segment = F.floor(F.col("bucket") * SEGMENTS / buckets).cast("long").alias("segment")
-    fields = grams.select(segment, "bucket", "body").groupBy("segment").applyInArrow(build, "segment long, field binary").collect()
-    return LogFrequencyFilter(bits, first, buckets, {r["segment"]: bytes(r["field"]) for r in fields})
-
-
-def lm_scores(
-    docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES
-) -> DataFrame:
+def lm_scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` (log10) of every whole text."""
-    spark = docs.sparkSession
     held = C.Chunks(docs.withColumn("_trains", F.coalesce(trains, F.lit(False))), id_col, text_col, ["_trains"])
     buckets = held.buckets
 
@@ -216,13 +197,10 @@ def lm_scores(
 
     def bigram_messages(chunk: int, docs: pa.Table, got: dict) -> Iterator[dict]:
         tokens = _Tokens(docs)
-        at = tokens.second[tokens.trains[tokens.second]]
-        keys, counts, _ = _counted(tokens.bigrams(at), np.ones(len(at)))
+        keys, counts, _ = _counted(tokens.bigrams(tokens.second), tokens.trains[tokens.second])
         yield _letters(chunk, keys, C.six_bytes(keys), counts, buckets)
 
-    # Keys of the bigrams are widened to eight bytes in the answer, so one bucket's summary is opened like a message.
-    grams = held.ask("bigrams", held.map(bigram_messages, C.MESSAGE), _bigram_totals).where("chunk = -1")
-    sent = spark.sparkContext.broadcast(_filter(grams.select("bucket", "body"), buckets, filter_bytes))
+    grams = held.ask("bigrams", held.map(bigram_messages, C.MESSAGE), _bigram_levels)
 
     def scores(chunk: int, docs: pa.Table, got: dict) -> Iterator[dict]:
         tokens = _Tokens(docs)
@@ -235,7 +213,11 @@ def lm_scores(
         full = base.copy()
         at = tokens.second
         context = c[at - 1]
-        share = np.minimum(sent.value.counts(tokens.bigrams(at)) / np.maximum(context, 1), 1.0)
+        keys, _, number = _counted(tokens.bigrams(at), np.ones(len(at)))
+        level = np.zeros(len(keys), np.int64)
+        for b, s in C.split_by_bucket(keys, buckets):
+            level[s] = np.frombuffer(zstandard.decompress(got["bigrams"][b]), np.uint8)
+        share = np.minimum(least_counts(level)[number] / np.maximum(context, 1), 1.0)
         full[at] = np.where(context > 0, MIX * share + (1 - MIX) * base[at], base[at])
         n = len(tokens.counts)
         yield {
@@ -246,5 +228,5 @@ def lm_scores(
             "score": pa.array(np.bincount(tokens.doc, np.log10(full), n)),
         }
 
-    out = held.map(scores, RESULT, [totals.where("chunk >= 0")])
+    out = held.map(scores, RESULT, [totals.where("chunk >= 0"), grams])
     return out.withColumn("train_tokens", F.lit(length).cast("long"))

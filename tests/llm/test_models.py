@@ -140,6 +140,31 @@ def test_base_scores_equal_brute_force(spark, seed):
     assert all(r.score > r.base_score for r in copies)
 
 
+@pytest.mark.parametrize("seed", [1])
+def test_scores_hold_every_bigram(spark, seed):
+    """Levels of bigrams seen once count too; false positives raise a score, nothing lowers it."""
+    rows = [(i, t) for i, t in corpus(seed=seed)] + [(7001, "solus unicus semel"), (7000, "unicus semel alius")]
+    got = lm_scores.lm_scores(frame(spark, rows), ~remainder("doc_id", 7, 2)).collect()
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "") + ["\n"]
+    trains = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 != 2
+    counts, pairs = Counter(), Counter()
+    for i, t in rows:
+        if trains(i):
+            counts.update(split(t))
+            pairs.update(zip(split(t), split(t)[1:]))
+    total, kinds = sum(counts.values()), len(counts)
+    base = lambda w: (counts[w] + 1) / (total + kinds + 1)
+    level = lambda n: 2 ** (n.bit_length() - 1) if n else 0
+    want = {}
+    for i, t in rows:
+        w = split(t)
+        p = [base(w[0])] + [0.5 * min(level(pairs[a, b]) / counts[a], 1) + 0.5 * base(b) if counts[a] else base(b) for a, b in zip(w, w[1:])]
+        want.setdefault((i, len(w), round(sum(math.log10(base(x)) for x in w), 4)), sum(map(math.log10, p)))
+    gaps = [r.score - want[r.id, r.n_tokens, round(r.base_score, 4)] for r in got]
+    assert min(gaps) > -1e-6 and np.mean(np.array(gaps) < 1e-6) > 0.7
+    assert sum(n == 1 for n in pairs.values()) > 100
+
+
 def test_lm_cases(spark):
     assert lm_scores.lm_scores(frame(spark, []), F.lit(True)).collect() == []
     got = lm_scores.lm_scores(frame(spark, [(1, "a b"), (2, None)]), F.lit(False)).orderBy("id").collect()
