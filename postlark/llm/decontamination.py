@@ -9,6 +9,9 @@ stand for one value throughout the document's copy. Alignments that break this a
 A document leaks an item if an alignment covers ``SHARE`` of the item's windows, or ``RUN`` of them (13 words). Windows
 with fewer than ``LITERALS`` plain words prove nothing and are not used; items under 8 words have no window.
 
+``leaks`` as its SQL defines it passes over copies of items without a window and copies in another case. ``decontaminate`` finds these too if asked for the ``whole`` job: ``literal_leaks`` joins windows of the
+same words whatever their case, an item under 8 words as a whole and scripts without blanks by the character.
+
 The first pass joins window hashes alone, to find the documents with any hit; only these are templated again with their
 slots. The benchmark's windows are broadcast if there are at most ``BROADCAST_ROWS``, else joined by a shuffle, with the
 same result. All of it is DataFrame code.
@@ -31,6 +34,8 @@ RUN = 6
 BROADCAST_ROWS = 500_000
 TOKENS = r"[\p{L}\p{M}]+|[0-9]+(?:[.,][0-9]+)*|[.!?:;\n]"
 ENDS = [".", "!", "?", ":", ";", "\n"]
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+LITERAL_TOKENS = rf"[{UNSPACED}]\p{{M}}*|[\p{{L}}\p{{M}}&&[^{UNSPACED}]]+|[0-9]+(?:[.,][0-9]+)*"
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometers kilometres "
     "mg g kg lb lbs oz t gram grams kilogram kilograms pound pounds ounce ounces ton tons ml l liter liters litre litres "
@@ -138,7 +143,42 @@ def leaks(
     return leaked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that leak no item."""
-    leaked = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("leaked_id")).distinct()
+def _literal_windows(rows: DataFrame, widths: list[int], *keep: str) -> DataFrame:
+    """Windows of these widths over the words of ``text`` without their case, with place and the number of words."""
+    words = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(LITERAL_TOKENS), F.lit(0)), lambda w: F.xxhash64(F.lower(w)))
+    rows = settled(rows.select(*keep, "text"), {"_t": words}).drop("text")
+
+    def windows(width: int) -> Column:
+        last = F.size("_t") - width
+        hashed = lambda i: F.xxhash64(*[F.get(F.col("_t"), i + k) for k in range(width)])
+        window = lambda i: F.struct(i.alias("place"), F.lit(width).alias("width"), hashed(i).alias("hash"))
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), window))
+
+    made = F.filter(F.array(*[windows(w) for w in widths]), lambda x: x.isNotNull())
+    return rows.select(*keep, F.size("_t").alias("n_words"), F.explode(F.flatten(made)).alias("w")).select(*keep, "n_words", "w.*")
+
+
+def literal_leaks(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """Documents and items of which they hold, in one alignment, ``SHARE`` or ``RUN`` of the windows word for word."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).distinct()
+    known = _literal_windows(items, list(range(1, WINDOW + 1)), "item_id").where(F.col("width") == F.least("n_words", F.lit(WINDOW)))
+    known = cut(known.select("item_id", "width", "hash", F.col("place").alias("item_place")))
+    widths = [r["width"] for r in known.select("width").distinct().orderBy("width").collect()]
+    ready = F.broadcast if known.count() <= BROADCAST_ROWS else (lambda df: df)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = _literal_windows(rows, widths or [WINDOW], "doc_id").join(ready(known), ["width", "hash"])
+    counted = found.groupBy("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.count_distinct("item_place").alias("n"))
+    whole = known.groupBy(F.col("item_id").alias("whole_id")).agg(F.count_distinct("item_place").alias("item_windows"))
+    sized = counted.join(whole, F.col("item_id").eqNullSafe(F.col("whole_id")))
+    return sized.where((F.col("n") >= SHARE * F.col("item_windows")) | (F.col("n") >= RUN)).select("doc_id", "item_id").distinct()
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """The documents that leak no item; for the ``whole`` job, also not word for word."""
+    leaked = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("leaked_id"))
+    if whole:
+        leaked = leaked.union(literal_leaks(docs, benchmark, id_col, text_col).select("doc_id"))
+    leaked = leaked.distinct()
     return docs.join(leaked, docs[id_col].eqNullSafe(leaked["leaked_id"]), "left_anti")

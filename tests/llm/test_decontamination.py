@@ -3,7 +3,7 @@ import random
 import pytest
 
 from postlark.llm import decontamination
-from postlark.llm.decontamination import decontaminate, leaks
+from postlark.llm.decontamination import decontaminate, leaks, literal_leaks
 
 ITEM = "A train leaves with 120 passengers and Alice meets Bob after 35 km of track, so how many hours of travel remain for 120 people?"
 AGAIN = "intro text here. A train leaves with 77 passengers and Clara meets Dave after 4.5 km of track, so how many hours of travel remain for 77 people? outro"
@@ -39,3 +39,17 @@ def test_empty_tables(spark):
     assert leaks(docs, bench.where("false")).collect() == []
     assert leaks(docs.where("false"), bench).collect() == []
     assert decontaminate(docs, bench).collect() == []
+
+
+def test_whole_job_finds_literal_copies(spark):
+    thai = "中文句子没有空格所以要按字分开"
+    docs = [
+        (7, ITEM.upper()), (8, "x 1 2 3 4 5 6 7 8 9 10 11 12 y"), (9, "It is Too Short for this."), (10, ITEM.title()), (11, "前" + thai + "后"),
+        (12, "too long, short"), (13, "1 2 3 5 4 6 7 9 8 10 12 11"), (14, None), (15, ITEM[:30]),
+    ]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(10, ITEM), (11, "too short"), (12, None), (13, "1 2 3 4 5 6 7 8 9 10 11 12"), (14, thai)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in literal_leaks(docs, bench).collect()}
+    assert got == {(7, 10), (8, 13), (9, 11), (10, 10), (11, 14)}
+    assert {r.doc_id for r in decontaminate(docs, bench, whole=True).collect()} == {12, 13, 14, 15}
+    assert decontaminate(docs, bench.where("false"), whole=True).count() == 9 and literal_leaks(docs.where("false"), bench).collect() == []
