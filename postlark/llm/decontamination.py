@@ -9,8 +9,10 @@ stand for one value throughout the document's copy. Alignments that break this a
 A document leaks an item if an alignment covers ``SHARE`` of the item's windows, or ``RUN`` of them (13 words). Windows
 with fewer than ``LITERALS`` plain words prove nothing and are not used; items under 8 words have no window.
 
-``leaks`` as its SQL defines it passes over copies of items without a window and copies in another case. ``decontaminate`` finds these too if asked for the ``whole`` job: ``literal_leaks`` joins windows of the
-same words whatever their case, an item under 8 words as a whole and scripts without blanks by the character.
+``leaks`` as its SQL defines it passes over copies of items without a window, copies in another case, and alignments with
+one broken slot. ``decontaminate`` finds these too if asked for the ``whole`` job: ``literal_leaks`` joins windows of the
+same words whatever their case, an item under 8 words as a whole and scripts without blanks by the character, and ``mend``
+drops only the windows at a slot whose value breaks with the others and doesn't equal the benchmark's.
 
 The first pass joins window hashes alone, to find the documents with any hit; only these are templated again with their
 slots. The benchmark's windows are broadcast if there are at most ``BROADCAST_ROWS``, else joined by a shuffle, with the
@@ -108,9 +110,13 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
-) -> DataFrame:
-    """One row per document and item it leaks: ``n_windows``, ``item_windows``, ``n_slots``, ``n_changed`` slots."""
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    mend: bool = False,
+) -> DataFrame:
+    """One row per document and item it leaks: ``n_windows``, ``item_windows``, ``n_slots``, ``n_changed`` slots.
+
+    With ``mend``, ``n_windows`` counts those without an inconsistent slot, and other windows of an alignment don't matter.
+    """
     known = benchmark_windows(benchmark, item_col, item_text_col)
     small = known.count() <= BROADCAST_ROWS
     ready = F.broadcast if small else (lambda df: df)
@@ -131,6 +137,9 @@ def leaks(
         F.sum(F.when(F.col("b") != F.col("least"), F.col("n")).otherwise(0)).alias("n_changed"),
         F.max((F.col("least") != F.col("most")).cast("int")).alias("broken"),
     )
+    if mend:
+        judged = judged.withColumn("broken", F.lit(0))
+        found = _mended(found, slots, key)
     counted = found.groupBy(*key).agg(F.count_distinct("item_place").alias("n_windows"))
     same = [counted[k].eqNullSafe(judged[k]) for k in key]
     whole = known.groupBy(F.col("item_id").alias("whole_id")).agg(F.count_distinct("item_place").alias("item_windows"))
@@ -143,6 +152,19 @@ def leaks(
     return leaked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
+def _mended(found: DataFrame, slots: DataFrame, key: list[str]) -> DataFrame:
+    """Windows without an inconsistent slot. Of several values for one of the benchmark, the most frequent is taken for the copy's."""
+    values = slots.groupBy(*key, "t", "b", "v").agg(F.count("*").alias("n"))
+    taken = values.groupBy(*key, "t", "b").agg(F.max(F.struct("n", F.col("v") == F.col("b"), "v"))["v"].alias("taken"))
+    taken = taken.select(*[F.col(k).alias(f"taken_{k}") for k in (*key, "t", "b")], "taken")
+    same = [F.col(k).eqNullSafe(F.col(f"taken_{k}")) for k in (*key, "t", "b")]
+    odd = slots.join(taken, same).where("v <> taken and v <> b")
+    odd = odd.groupBy(*key).agg(F.collect_set("at").alias("odd")).select(*[F.col(k).alias(f"odd_{k}") for k in key], "odd")
+    there = [F.col(k).eqNullSafe(F.col(f"odd_{k}")) for k in key]
+    holds = F.exists("odd", lambda at: at.between(F.col("item_place"), F.col("item_place") + WINDOW - 1))
+    return found.join(odd, there, "left").where(~F.coalesce(holds, F.lit(False))).select(*found.columns)
+
+
 def _literal_windows(rows: DataFrame, widths: list[int], *keep: str) -> DataFrame:
     """Windows of these widths over the words of ``text`` without their case, with place and the number of words."""
     words = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(LITERAL_TOKENS), F.lit(0)), lambda w: F.xxhash64(F.lower(w)))
@@ -176,8 +198,8 @@ def literal_leaks(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
-    """The documents that leak no item; for the ``whole`` job, also not word for word."""
-    leaked = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("leaked_id"))
+    """The documents that leak no item; for the ``whole`` job, also not word for word or with a broken slot."""
+    leaked = leaks(docs, benchmark, id_col, text_col, mend=whole).select(F.col("doc_id").alias("leaked_id"))
     if whole:
         leaked = leaked.union(literal_leaks(docs, benchmark, id_col, text_col).select("doc_id"))
     leaked = leaked.distinct()

@@ -53,3 +53,14 @@ def test_whole_job_finds_literal_copies(spark):
     assert got == {(7, 10), (8, 13), (9, 11), (10, 10), (11, 14)}
     assert {r.doc_id for r in decontaminate(docs, bench, whole=True).collect()} == {12, 13, 14, 15}
     assert decontaminate(docs, bench.where("false"), whole=True).count() == 9 and literal_leaks(docs.where("false"), bench).collect() == []
+
+
+def test_whole_job_keeps_windows_without_the_broken_slot(spark):
+    typo = ITEM.replace("for 120", "for 121")
+    docs = spark.createDataFrame([(3, BROKEN), (2, AGAIN), (4, typo), (None, BROKEN), (5, "other words")], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
+    assert set(rows_of(leaks(docs, bench))) == {(2, 10)}
+    got = rows_of(leaks(docs, bench, mend=True))
+    assert set(got) == {(3, 10), (2, 10), (4, 10), (None, 10)}
+    assert got[2, 10][0] == got[2, 10][1] and got[4, 10][0] == got[4, 10][1] - 2
+    assert {r.doc_id for r in decontaminate(docs, bench, whole=True).collect()} == {5}
