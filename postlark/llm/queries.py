@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlark.llm import decontamination, language, lm_scores, packing, quality, simhash, toxicity, urls
+from postlark.llm import decontamination, language, lm_scores, manifest, packing, quality, simhash, toxicity, urls
 from postlark.llm.run_index import dedup_byte_runs
 from postlark.llm.substring import dedup_substrings
 
@@ -93,6 +93,19 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return done.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def documents_manifest(docs: DataFrame, depth: int = manifest.DEPTH) -> DataFrame:
+    """The manifest of documents by language; where 3 divides the id's crc32 the text given for checking has no capitals."""
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = manifest.digest([*fields[:4], F.translate("text", capitals, capitals.lower())])
+    return manifest.manifest(docs, "lang", "doc_id", manifest.digest(fields), F.when(remainder("doc_id", 3, 0), tampered), depth)
+
+
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaf, subroot, root, proof and verification of every document."""
+    return documents_manifest(_table(spark, sf, "documents")).drop("grp")
+
+
 def remainder(id_col: str, modulus: int, value: int) -> Column:
     """Whether the crc32 of the id as text has this remainder; a null id has none."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == value, F.lit(False))
@@ -101,6 +114,6 @@ def remainder(id_col: str, modulus: int, value: int) -> Column:
 def queries() -> dict[str, Query]:
     listed = (
         op1_substring_dedup, op2_language_id, op3_packing, op4_url_filters, op5_decontamination, op6_toxicity,
-        op7_lm_scores, op8_run_length_index, op9_quality_rules, op10_simhash,
+        op7_lm_scores, op8_run_length_index, op9_quality_rules, op10_simhash, op11_merkle_manifest,
     )
     return {f.__name__: f for f in listed}

@@ -7,7 +7,7 @@ from postlark.llm import oracles, queries
 @pytest.mark.parametrize("name", sorted(oracles.queries()))
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "labels"):
+    for table in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     got = queries.queries()[name](spark, sf)
     want = con.sql(oracles.queries()[name])
@@ -18,4 +18,4 @@ def test_query_equals_sql(spark, sf, name):
 
 
 def test_every_operator_has_a_query():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 14)]
