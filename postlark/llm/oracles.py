@@ -212,6 +212,44 @@ def _merkle(lower: int = 6, upper: int = 3) -> str:
 
 OP11 = _merkle()
 
+OP12 = """
+WITH e AS (
+    SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+    FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+    SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+    FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 50 = 0
+),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, id NULLS LAST, br) <= 5),
+n AS (
+    SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+           row_number() OVER (PARTITION BY p.ar, p.br ORDER BY s.score DESC, s.id NULLS LAST, s.br)::INTEGER AS rank
+    FROM p JOIN s ON p.ar = s.ar AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+OP13 = """
+WITH RECURSIVE e AS (
+    SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v,
+           label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS there
+    FROM embeddings
+),
+g AS (SELECT r, vec_id, label, v, sqrt(list_inner_product(v, v)) AS size FROM e WHERE there),
+links AS (
+    SELECT a.r AS u, b.r AS v, b.vec_id AS id FROM g a JOIN g b ON a.label = b.label AND a.r <> b.r
+    WHERE list_inner_product(a.v, b.v) / (a.size * b.size) >= 0.98
+),
+reach(u, v) AS (SELECT r, r FROM e UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u),
+least AS (SELECT u, min(vec_id) AS component_id FROM reach JOIN e ON e.r = reach.v GROUP BY u),
+n AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM e JOIN least ON e.r = least.u LEFT JOIN n ON n.u = e.r
+"""
+
 
 def queries() -> dict[str, str]:
     return {
@@ -221,4 +259,6 @@ def queries() -> dict[str, str]:
         "op8_run_length_index": OP8,
         "op9_quality_rules": OP9,
         "op11_merkle_manifest": OP11,
+        "op12_hard_negatives": OP12,
+        "op13_near_embeddings": OP13,
     }

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlark.llm import decontamination, language, lm_scores, manifest, packing, quality, simhash, toxicity, urls
+from postlark.llm import decontamination, language, lm_scores, manifest, packing, quality, simhash, toxicity, urls, vectors
+from postlark.llm.cover_tree import near_vectors
+from postlark.llm.hard_negatives import hard_negatives
 from postlark.llm.run_index import dedup_byte_runs
 from postlark.llm.substring import dedup_substrings
 
@@ -106,6 +108,21 @@ def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return documents_manifest(_table(spark, sf, "documents")).drop("grp")
 
 
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector."""
+    rows = _table(spark, sf, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    counted = F.when(vectors.whole("embedding"), F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * 256)))
+    return hard_negatives(rows.withColumns({"label": shifted, "embedding": counted}), F.col("vec_id") % 50 == 0)
+
+
+def op13_near_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """Links and component of every vector."""
+    done = near_vectors(_table(spark, sf, "embeddings"))
+    kept = F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+    return done.select(F.col("id").alias("vec_id"), "n_links", "component_id", kept)
+
+
 def remainder(id_col: str, modulus: int, value: int) -> Column:
     """Whether the crc32 of the id as text has this remainder; a null id has none."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == value, F.lit(False))
@@ -115,5 +132,6 @@ def queries() -> dict[str, Query]:
     listed = (
         op1_substring_dedup, op2_language_id, op3_packing, op4_url_filters, op5_decontamination, op6_toxicity,
         op7_lm_scores, op8_run_length_index, op9_quality_rules, op10_simhash, op11_merkle_manifest,
+        op12_hard_negatives, op13_near_embeddings,
     )
     return {f.__name__: f for f in listed}
