@@ -28,10 +28,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlark.llm import hashing as H
+from postlark.operators.spread import cut
 from postlark.shipping import ship
 
 SAMPLE = 2500
@@ -224,14 +226,64 @@ def _discount(counts: np.ndarray) -> float:
     return float(np.clip(once / (once + 2 * twice), 0.1, 0.95)) if once + twice else 0.5
 
 
+@dataclass
+class Counted:
+    """What the models need of the sample, by group: twice the fold, plus 1 if toxic."""
+
+    letters: np.ndarray
+    lengths: np.ndarray
+    uses: np.ndarray  # [group, word]: how often the word stands in its texts
+    strings: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: hashes, and [group, string]: the documents that hold it
+    documents: np.ndarray  # [group]
+
+
+GROUPS = 4
+
+
+def count_words(texts: list[bytes], groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters and lengths of the distinct words, and their uses in each group."""
+    _, letters, lengths, number, owner = words(texts)
+    uses = np.bincount(groups[owner] * len(lengths) + number, minlength=GROUPS * len(lengths)).reshape(GROUPS, -1)
+    return letters, lengths, uses
+
+
+def count_strings(texts: list[bytes], groups: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of each length the hashes of the words' strings, and how many documents of each group hold them."""
+    hashes, letters, lengths, number, owner = words(texts)
+    held = np.unique(owner.astype(np.int64) * max(len(hashes), 1) + number)
+    doc, word = held // max(len(hashes), 1), held % max(len(hashes), 1)
+    slabs = np.searchsorted(doc, np.arange(0, len(texts) + DOCUMENTS, DOCUMENTS))
+    out = {}
+    for n in STRINGS:
+        found, made = _strings(letters, lengths, n)
+        keys, string = np.unique(found, return_inverse=True)
+        first = np.cumsum(made) - made
+        held_by = np.zeros((GROUPS, len(keys)), np.int64)
+        for begin, a, b in zip(range(0, len(texts), DOCUMENTS), slabs[:-1], slabs[1:]):
+            many = made[word[a:b]]
+            at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[word[a:b]], many)
+            pair = np.unique(string[at].astype(np.int64) * DOCUMENTS + np.repeat(doc[a:b] - begin, many))
+            np.add.at(held_by, (groups[pair % DOCUMENTS + begin], pair // DOCUMENTS), 1)
+        out[n] = keys, held_by
+    return out
+
+
 def fit_models(toxic: list[str], ordinary: list[str]) -> Model:
-    """Two Kneser-Ney models over the strings of both classes."""
-    n_toxic = len(toxic)
-    _, letters, lengths, number, owner = words([t.encode() for t in (*toxic, *ordinary)])
+    """Two Kneser-Ney models over the strings of both classes, and their telling strings."""
+    texts, groups = [t.encode() for t in (*toxic, *ordinary)], np.array([1] * len(toxic) + [0] * len(ordinary), np.int64)
+    counted = Counted(*count_words(texts, groups), count_strings(texts, groups), np.bincount(groups, minlength=GROUPS))
+    return models_of(counted, (0,))
+
+
+def models_of(counted: Counted, folds: tuple[int, ...]) -> Model:
+    """The models that these folds of the sample give."""
+    uses = [counted.uses[[2 * f + toxic for f in folds]].sum(axis=0) for toxic in (1, 0)]
+    there = uses[0] + uses[1] > 0
+    letters, lengths = counted.letters[np.repeat(there, counted.lengths)], counted.lengths[there]
+    uses = [u[there] for u in uses]
     if not len(lengths):
         return Model({}, {})
     spelled = _Spelled(letters, lengths)
-    uses = [np.bincount(number[owner < n_toxic], minlength=len(lengths)), np.bincount(number[owner >= n_toxic], minlength=len(lengths))]
     # Of each order: its strings, the number of the string without its first byte, and that of the bytes before the last.
     keys, suffix, before, context = {}, {}, {}, {}
     counts: list[dict[int, np.ndarray]] = [{}, {}]
@@ -269,30 +321,16 @@ def fit_models(toxic: list[str], ordinary: list[str]) -> Model:
         if n > SHARED:
             grams[n] = keys[n], np.log(out[0]) - np.log(out[1])
             contexts[n] = before[n], np.log(leaves[0]) - np.log(leaves[1])
-    return Model(grams, contexts, telling_strings(toxic, ordinary))
+    return Model(grams, contexts, telling_strings(counted, folds))
 
 
-def telling_strings(toxic: list[str], ordinary: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def telling_strings(counted: Counted, folds: tuple[int, ...]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Of each length the strings that more toxic documents hold: log ratio of the shares, less ``DOUBT`` standard errors."""
-    hashes, letters, lengths, number, owner = words([t.encode() for t in (*toxic, *ordinary)])
-    n_toxic, n_ordinary = len(toxic), len(ordinary)
-    held = np.unique(owner.astype(np.int64) * max(len(hashes), 1) + number)
-    doc, word = held // max(len(hashes), 1), held % max(len(hashes), 1)
-    slabs = np.searchsorted(doc, np.arange(0, n_toxic + n_ordinary + DOCUMENTS, DOCUMENTS))
+    groups = [[2 * f + toxic for f in folds] for toxic in (1, 0)]
+    n_toxic, n_ordinary = (counted.documents[g].sum() for g in groups)
     out = {}
-    for n in STRINGS:
-        found, made = _strings(letters, lengths, n)
-        keys, string = np.unique(found, return_inverse=True)
-        first = np.cumsum(made) - made
-        in_toxic, in_all = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        for begin, a, b in zip(range(0, n_toxic + n_ordinary, DOCUMENTS), slabs[:-1], slabs[1:]):
-            many = made[word[a:b]]
-            at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[word[a:b]], many)
-            pair = np.unique(string[at].astype(np.int64) * DOCUMENTS + np.repeat(doc[a:b] - begin, many))
-            which, toxic_one = pair // DOCUMENTS, pair % DOCUMENTS + begin < n_toxic
-            in_all += np.bincount(which, minlength=len(keys))
-            in_toxic += np.bincount(which[toxic_one], minlength=len(keys))
-        t, o = in_toxic + 0.5, in_all - in_toxic + 0.5
+    for n, (keys, held_by) in counted.strings.items():
+        t, o = (held_by[g].sum(axis=0) + 0.5 for g in groups)
         value = np.log(t / (n_toxic + 1)) - np.log(o / (n_ordinary + 1)) - DOUBT * np.sqrt(1 / t + 1 / o)
         out[n] = keys[value > 0], value[value > 0]
     return out
@@ -316,42 +354,144 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def fit(texts: list[str], toxic: list[int], prior: float) -> Model:
-    """Models of the whole sample, calibrated on scores each half got from the other half's models."""
-    y = np.array(toxic, bool)
-    if y.all() or not y.any():
-        return Model({}, {})
-    fold = np.zeros(len(y), int)
-    for label in (False, True):
+    """``train`` on texts at hand: models of all, calibrated on measures each half got from the other half's models."""
+    y = np.array(toxic, np.int64)
+    fold = np.zeros(len(y), np.int64)
+    for label in (0, 1):
         fold[np.flatnonzero(y == label)[::2]] = 1
-    pick = lambda mask: [t for t, m in zip(texts, mask) if m]
-    x, seen = None, np.zeros(len(y), bool)
-    for f in (0, 1):
-        learn, test = fold != f, fold == f
-        if (learn & y).any() and (learn & ~y).any():
-            measured, _ = fit_models(pick(learn & y), pick(learn & ~y)).measures(pick(test))
-            x = np.zeros((len(y), measured.shape[1])) if x is None else x
-            x[test], seen[test] = measured, True
-    model = fit_models(pick(y), pick(~y))
-    weight = np.where(y, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9))
-    if seen.any() and y[seen].any() and not y[seen].all():
-        model.weights = _logistic(x[seen], y[seen].astype(float), weight[seen])
+    raw, groups = [t.encode() for t in texts], 2 * fold + y
+    counted = Counted(*count_words(raw, groups), count_strings(raw, groups), np.bincount(groups, minlength=GROUPS))
+    if not _both(counted):
+        return Model({}, {})
+    halves = [models_of(counted, (1 - f,)) for f in (0, 1)]
+    known = [(f, y[fold == f], halves[f].measures([t for t, g in zip(texts, fold) if g == f])[0]) for f in (0, 1) if _both(counted, 1 - f)]
+    return calibrated(counted, np.concatenate([k[1] for k in known] or [y[:0]]), np.concatenate([k[2] for k in known]) if known else None, prior)
+
+
+def _both(counted: Counted, *folds: int) -> bool:
+    """Whether these folds, or else all, hold documents of both classes."""
+    count = counted.documents.reshape(2, 2)[list(folds) or [0, 1]].sum(axis=0)
+    return bool((count > 0).all())
+
+
+def calibrated(counted: Counted, y: np.ndarray, measured: np.ndarray | None, prior: float) -> Model:
+    """The models of the whole sample, with weights fitted to the measures of held-out documents."""
+    model = models_of(counted, (0, 1))
+    share = counted.documents[1::2].sum() / counted.documents.sum()
+    if len(y) and 0 < y.mean() < 1:
+        weight = np.where(y == 1, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9))
+        model.weights = _logistic(measured, y.astype(float), weight)
     else:
         model.weights = (1.0, *[0.0] * (len(WINDOWS) + 7), float(np.log(prior / (1 - prior))))
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on the bounded sample of labelled documents whose id is usable."""
+def _sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str) -> tuple[DataFrame, float]:
+    """The bounded sample ``(text, grp)`` in a written table, and the share of toxic documents among those labelled."""
     known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & usable)
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).withColumn("order", F.xxhash64("id"))
     counts = {r["toxic"]: r["count"] for r in known.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
     prior = counts.get(1, 0) / max(sum(counts.values()), 1)
     part = F.when(F.col("toxic") == 1, min(1.0, SAMPLE / max(counts.get(1, 0), 1))).otherwise(min(1.0, SAMPLE / max(counts.get(0, 0), 1)))
     chosen = known.where("toxic in (0, 1)").where(F.pmod(F.col("order"), F.lit(1 << 30)) < part * (1 << 30)).orderBy("order", "id").limit(3 * SAMPLE)
-    rows = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = rows.join(F.broadcast(chosen.select("id", "toxic", "order")), "id").orderBy("order", "id", "text").limit(3 * SAMPLE)
-    got = sample.select("text", "toxic").collect()
-    return fit([r.text for r in got], [r.toxic for r in got], min(max(prior, 1e-4), 1 - 1e-4))
+    rows = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS)).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.join(F.broadcast(chosen), "id").withColumn("hash", F.xxhash64("text")).dropDuplicates(["id", "hash"])
+    fold = F.pmod(F.shiftright("order", 30), F.lit(2))
+    rows = cut(rows.select("id", "order", "hash", "text", (2 * fold + F.col("toxic")).cast("int").alias("grp")))
+    kept = rows.select("order", "id", "hash").orderBy("order", "id", "hash").limit(3 * SAMPLE)
+    return rows.join(F.broadcast(kept.select("id", "hash")), ["id", "hash"], "left_semi").select("text", "grp"), min(max(prior, 1e-4), 1 - 1e-4)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Texts and groups, a few megabytes at a time."""
+    for batch in batches:
+        held, groups, size = [], [], 0
+        for text, group in zip(batch.column("text").to_pylist(), batch.column("grp").to_pylist()):
+            held.append(text.encode())
+            groups.append(group)
+            size += len(held[-1])
+            if size >= SLAB // 4:
+                yield held, np.array(groups, np.int64)
+                held, groups, size = [], [], 0
+        if held:
+            yield held, np.array(groups, np.int64)
+
+
+_BY_GROUP = [f"g{g}" for g in range(GROUPS)]
+_COUNTS = ", ".join(f"{g} long" for g in _BY_GROUP)
+
+
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for texts, groups in _parts(batches):
+        letters, lengths, uses = count_words(texts, groups)
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        spelled = pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+        yield pa.RecordBatch.from_arrays([spelled, *(pa.array(u.astype(np.int64)) for u in uses)], ["word", *_BY_GROUP])
+
+
+def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for texts, groups in _parts(batches):
+        for n, (keys, held_by) in count_strings(texts, groups).items():
+            size = pa.array(np.full(len(keys), n, np.int32))
+            yield pa.RecordBatch.from_arrays([size, pa.array(keys.view(np.int64)), *(pa.array(h) for h in held_by)], ["size", "string", *_BY_GROUP])
+
+
+def _count(sample: DataFrame) -> Counted:
+    """Word and document counts of the sample, added up by Spark; no text reaches the driver."""
+    added = [F.sum(g).alias(g) for g in _BY_GROUP]
+    documents = np.zeros(GROUPS, np.int64)
+    for r in sample.groupBy("grp").count().collect():
+        documents[r["grp"]] = r["count"]
+    spelled = sample.mapInArrow(_word_rows, f"word binary, {_COUNTS}").groupBy("word").agg(*added).orderBy("word").toArrow()
+    column = spelled.column("word").combine_chunks().cast(pa.binary())
+    lengths = np.asarray(pc.binary_length(column)).astype(np.int64)
+    letters = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+    uses = np.array([np.asarray(spelled.column(g)) for g in _BY_GROUP]).reshape(GROUPS, -1)
+    # Only strings that tell in one of the models are fetched.
+    tells = F.lit(False)
+    for folds in ((0,), (1,), (0, 1)):
+        t, o = (sum((F.col(_BY_GROUP[2 * f + toxic]) for f in folds), F.lit(0.5)) for toxic in (1, 0))
+        n_toxic, n_ordinary = (float(documents[[2 * f + toxic for f in folds]].sum()) for toxic in (1, 0))
+        tells |= F.log(t / (n_toxic + 1)) - F.log(o / (n_ordinary + 1)) - DOUBT * F.sqrt(1 / t + 1 / o) > -1e-9
+    told = sample.mapInArrow(_string_rows, f"size int, string long, {_COUNTS}").groupBy("size", "string").agg(*added).where(tells)
+    told = told.select("size", F.col("string"), *_BY_GROUP).toArrow()
+    size, string = np.asarray(told.column("size")), np.asarray(told.column("string")).astype(np.int64).view(np.uint64)
+    held_by = np.array([np.asarray(told.column(g)) for g in _BY_GROUP]).reshape(GROUPS, -1)
+    strings = {}
+    for n in STRINGS:
+        mine = np.flatnonzero(size == n)
+        mine = mine[np.argsort(string[mine])]
+        strings[n] = string[mine], held_by[:, mine]
+    return Counted(letters, lengths, uses, strings, documents)
+
+
+def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit on the bounded sample of labelled documents whose id is usable.
+
+    The driver gets counts of words and strings and a few measures a document, never a text: words are counted, and the
+    half that a model has not seen is measured with it, by tasks over the written sample.
+    """
+    ship(docs.sparkSession)
+    sample, prior = _sample(docs, labels, usable, id_col, text_col)
+    counted = _count(sample)
+    if not _both(counted):
+        return Model({}, {})
+    halves = [models_of(counted, (1 - f,)) if _both(counted, 1 - f) else None for f in (0, 1)]
+    sent = docs.sparkSession.sparkContext.broadcast(halves)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, groups in _parts(batches):
+            for fold in (0, 1):
+                model, mine = sent.value[fold], np.flatnonzero(groups // 2 == fold)
+                if model is not None and len(mine):
+                    measured = model.measures([texts[k].decode() for k in mine])[0]
+                    yield pa.RecordBatch.from_arrays([pa.array((groups[mine] % 2).astype(np.int32)), pa.array(measured.tolist(), pa.list_(pa.float64()))], ["toxic", "x"])
+
+    known = sample.mapInArrow(measure, "toxic int, x array<double>").toArrow()
+    sent.unpersist()
+    y, x = np.asarray(known.column("toxic")), np.array(known.column("x").to_pylist())
+    order = np.lexsort((*x.T, y)) if len(y) else []
+    return calibrated(counted, y[order], x[order] if len(y) else None, prior)
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
