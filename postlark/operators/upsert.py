@@ -5,7 +5,8 @@ its description is long enough and its content key is known, it counts as a copy
 content. Otherwise it is inserted. Whether a row is inserted depends on which earlier rows were, so membership is
 settled in rounds: a row that is the first undecided one for its source key and (unless short) for its content key
 must be inserted; rows blocked by it drop out; repeat. The first undecided row is always settled, so rounds end, and
-one is the normal number.
+one is the normal number. From the second round on, chains in which each row waits for one other are settled whole by
+pointer jumping, so rounds grow with the logarithm of a chain.
 
 No step gathers a key's rows: firsts are aggregates combined inside tasks, and matches by a possibly hot key go
 through ``attach``.
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlark.operators.spread import attach, cut, dense_rank_of
@@ -46,23 +47,25 @@ def _least(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def membership(fresh: DataFrame) -> tuple[DataFrame, int]:
-    """Rows to insert among rows (seq, dedup_key, content_key, long) that match nothing stored, and the rounds taken."""
+    """Rows to insert among rows (seq, dedup_key, content_key, long) that match nothing stored, and the rounds taken.
+
+    Jumps along chains count as rounds too.
+    """
     # Later copies of the same key, content and length class share the fate of the first one.
     undecided = cut(fresh.groupBy("dedup_key", "content_key", "long").agg(F.min("seq").alias("seq")))
     inserted, rounds = None, 0
     while not undecided.isEmpty():
         rounds += 1
-        first_key = _least(undecided, "dedup_key", "seq").select("seq", F.lit(True).alias("_first_key"))
-        first_content = _least(undecided, "content_key", "seq").select("seq", F.lit(True).alias("_first_content"))
-        marked = undecided.join(first_key, "seq", "left").join(first_content, "seq", "left")
-        unopposed = ~F.col("long") | F.col("content_key").isNull() | F.col("_first_content").isNotNull()
-        marked = marked.withColumn("sure", F.col("_first_key").isNotNull() & unopposed)
-        marked = cut(marked.select(*undecided.columns, "sure"))
+        if rounds == 1:
+            marked = _first_ones(undecided)
+        else:
+            marked, jumps = _chained(undecided)
+            rounds += jumps
         sure = marked.where("sure").drop("sure")
         inserted = sure if inserted is None else inserted.unionByName(sure)
-        by_key = sure.select("dedup_key", F.col("seq").alias("_key_at"))
+        by_key = _least(sure, "dedup_key", "seq").withColumnRenamed("seq", "_key_at")
         by_content = _least(sure, "content_key", "seq").withColumnRenamed("seq", "_content_at")
-        rest = attach(marked.where("not sure"), by_key, "dedup_key")
+        rest = attach(marked.where("sure is null"), by_key, "dedup_key")
         rest = attach(rest, by_content, "content_key")
         blocked = F.coalesce(F.col("_key_at") < F.col("seq"), F.lit(False)) | (
             F.col("long") & F.coalesce(F.col("_content_at") < F.col("seq"), F.lit(False))
@@ -71,6 +74,65 @@ def membership(fresh: DataFrame) -> tuple[DataFrame, int]:
     return (fresh.limit(0) if inserted is None else inserted).select("seq", "dedup_key", "content_key"), rounds
 
 
+def _first_ones(undecided: DataFrame) -> DataFrame:
+    """Add ``sure``: true for rows that nothing undecided can stop, else null."""
+    first_key = _least(undecided, "dedup_key", "seq").select("seq", F.lit(True).alias("_first_key"))
+    first_content = _least(undecided, "content_key", "seq").select("seq", F.lit(True).alias("_first_content"))
+    marked = undecided.join(first_key, "seq", "left").join(first_content, "seq", "left")
+    unopposed = ~F.col("long") | F.col("content_key").isNull() | F.col("_first_content").isNotNull()
+    sure = F.when(F.col("_first_key").isNotNull() & unopposed, True)
+    return cut(marked.select(*undecided.columns, sure.alias("sure")))
+
+
+def _two_least(rows: DataFrame, key: str) -> DataFrame:
+    """The first and second row of each key, as aggregates: a hot key's rows are never brought together."""
+    keyed = rows.where(F.col(key).isNotNull())
+    first = _least(keyed, key, "seq").withColumnRenamed("seq", f"_{key}_1")
+    later = attach(keyed.select(key, "seq"), first, key).where(F.col("seq") > F.col(f"_{key}_1"))
+    return first.join(_least(cut(later), key, "seq").withColumnRenamed("seq", f"_{key}_2"), key, "left")
+
+
+def _chained(undecided: DataFrame) -> tuple[DataFrame, int]:
+    """Add ``sure``: true or false where the row's fate follows from others, else null; and the jumps it took.
+
+    A row with one undecided row before it, by key or by content, is inserted if and only if that one isn't. Such rows form
+    chains that end at a row nothing stops, or at one with several rows before it. Pointers along the chains jump to the
+    pointer's pointer, twice a step, so a chain of n rows takes the logarithm of n to base four; the number of links passed tells the row's fate.
+    """
+    rows = attach(cut(attach(undecided, _two_least(undecided, "dedup_key"), "dedup_key")), _two_least(undecided, "content_key"), "content_key")
+    seq, opposed = F.col("seq"), F.col("long") & F.col("content_key").isNotNull()
+
+    def before(key: str, counts: Column) -> tuple[Column, Column]:
+        """Whether several rows stand before this one, and the only one that does."""
+        first, second = F.col(f"_{key}_1"), F.col(f"_{key}_2")
+        return counts & (seq != first) & (seq != second), F.when(counts & (seq == second), first)
+
+    many_k, one_k = before("dedup_key", F.lit(True))
+    many_c, one_c = before("content_key", opposed)
+    several = F.coalesce(many_k, F.lit(False)) | F.coalesce(many_c, F.lit(False)) | F.coalesce(one_k != one_c, F.lit(False))
+    rows = rows.select(*undecided.columns, several.alias("several"), F.when(~several, F.coalesce(one_k, one_c)).alias("to"))
+    rows = cut(rows.withColumn("odd", F.when(F.col("to").isNotNull(), 1).otherwise(0)))
+    jumps = 0
+    while True:
+        step = rows.select(F.col("seq").alias("to"), F.col("to").alias("_next"), F.col("odd").alias("_odd"), F.col("several").alias("_open"))
+        open_ = attach(rows.where("to is not null"), step, "to")
+        if open_.where("_next is not null").isEmpty():
+            break
+        jumps += 1
+        rows = cut(_jumped(_jumped(rows, step), step))
+    ends = rows.where("to is null").select(F.col("seq").alias("to"), F.col("several").alias("_open"))
+    rows = attach(rows, ends, "to")
+    known = ~F.coalesce("_open", "several")
+    return cut(rows.select(*undecided.columns, F.when(known, F.col("odd") % 2 == 0).alias("sure"))), jumps
+
+
+def _jumped(rows: DataFrame, step: DataFrame) -> DataFrame:
+    """Every pointer moved on by one step, if there is one."""
+    columns = rows.columns
+    moved = attach(rows, step.drop("_open"), "to").withColumns({"odd": F.col("odd") + F.when(F.col("_next").isNotNull(), F.col("_odd")).otherwise(0), "to": F.coalesce("_next", "to")})
+    return moved.select(*columns)
+
+
 def _oldest_with_content(stored: DataFrame, rows: DataFrame) -> DataFrame:
     """Smallest stored id per content key of the batch. Stored rows of one key may be very many, so they are never
     brought together: a batch of checked size filters them in place, a larger one meets their per-key minimum."""

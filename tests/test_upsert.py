@@ -103,6 +103,36 @@ def test_chain_needs_rounds(spark):
     assert check(spark, [], short_first) > 1
 
 
+def test_long_chain_settles_by_jumps(spark):
+    """Ten thousand alternating keys and contents: each row waits for the one before."""
+    n = 20_000
+    rows = spark.range(n).select(
+        F.col("id").alias("seq"), F.concat(F.lit("k"), F.floor((F.col("id") + 1) / 2)).alias("dedup_key"),
+        F.concat(F.lit("c"), F.floor(F.col("id") / 2)).alias("content_key"), F.lit(True).alias("long"),
+    )
+    chosen, rounds = membership(rows)
+    assert rounds < 20 and sorted(r.seq for r in chosen.collect()) == list(range(0, n, 2))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_membership_on_tangled_chains(spark, seed):
+    """Chains that meet, with short rows and rows without content among them."""
+    rng = random.Random(seed)
+    rows = []
+    for seq in range(600):
+        i = seq // 2
+        key, content = f"k{i + seq % 2 - rng.choice([0, 0, 0, 0, 1, 3])}", f"c{i - rng.choice([0, 0, 0, 0, 1, 2])}"
+        rows.append((seq, key, None if rng.random() < 0.05 else content, rng.random() < 0.9))
+    keys, contents, want = set(), set(), []
+    for seq, key, content, long in rows:
+        if key not in keys and not (long and content in contents):
+            want.append(seq)
+            keys.add(key)
+            contents |= {content} - {None}
+    chosen, _ = membership(spark.createDataFrame(rows, "seq bigint, dedup_key string, content_key string, long boolean"))
+    assert sorted(r.seq for r in chosen.collect()) == want
+
+
 @pytest.fixture()
 def small_skew(spark):
     """Let Spark cut even small partitions, so that the test's hot keys count as skewed."""
