@@ -15,8 +15,8 @@ from postlark.functions.pay import comp_display, comp_display_concise, currency_
 from postlark.functions.text import escape, extract_emails, extract_job_types, html_to_text, is_remote, profile_name
 from postlark.operators import dedup, filters, maintenance, scoring, stats
 from postlark.operators.scoring import as_date
-from postlark.operators.spread import cut, sequenced, shared_folder
-from postlark.operators.upsert import Upserted, apply_changes, resolve
+from postlark.operators.spread import cut, numbered, sequenced, shared_folder
+from postlark.operators.upsert import Upserted, apply_changes, membership, resolve
 from postlark.functions.keys import dedup_key, matches_by_content
 from postlark.plans import ingest as ingesting
 from postlark.plans import reports, upkeep
@@ -273,7 +273,7 @@ def existing_keys(spark, sf):
     events = views.table(spark, sf, "events").where("event_type = 'error'").select(F.col("event_id").alias("doc_id"))
     docs = views.table(spark, sf, "documents").select("doc_id", "source")
     keys = events.join(docs, "doc_id").select(dedup_key(F.col("source"), F.col("doc_id").cast("string")).alias("dedup_key"))
-    return filters.existing(views.stored(spark, sf), keys).select("id", "dedup_key")
+    return views.store(spark, sf).by_keys(keys).select("id", "dedup_key")
 
 
 def export_rows(spark, sf):
@@ -551,6 +551,19 @@ def enrich_descriptions(spark, sf):
     return out.select("source_id", F.md5("description").alias("description_md5"), "is_remote")
 
 
+def upsert_chain(spark, sf):
+    """Events as postings whose keys and contents alternate: each waits for the one before, but for some short texts."""
+    rows = numbered(views.table(spark, sf, "events").select("event_id"), ["event_id"], "place").withColumn("seq", F.col("place") - 1)
+    short = (F.col("seq") % 2 == 1) & (F.col("event_id") % 997 == 5)
+    chain = rows.select(
+        "seq",
+        F.concat(F.lit("k"), F.shiftright(F.col("seq") + 1, 1)).alias("dedup_key"),
+        F.concat(F.lit("c"), F.shiftright("seq", 1)).alias("content_key"),
+        (~short).alias("long"),
+    )
+    return membership(cut(chain))[0]
+
+
 # --- digests and reports ---
 
 
@@ -581,9 +594,9 @@ def report_text(spark, sf):
 
 
 def _streamed(spark, sf) -> Store:
-    """The payload pages as files of a landing folder, ingested by the stream one file at a time.
+    """The payload pages as files of a landing folder, dealt by run, ingested by the stream in two batches of many files.
 
-    Files are cut between pages, not runs, so that the run at the border lands in two batches.
+    Batches are cut between pages, not runs, so that the run at the border lands in both.
     """
     folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     pages = views.landed(spark, sf, "indeed")
@@ -591,8 +604,8 @@ def _streamed(spark, sf) -> Store:
     first = (F.col("run_id") < runs // 2) | ((F.col("run_id") == runs // 2) & (F.col("page_no") <= 2))
     store = Store(spark, f"{folder}/store")
     for part in (first, ~first):
-        pages.where(part).coalesce(1).write.mode("append").json(f"{folder}/landing")
-        query = start_ingest(spark, f"{folder}/landing", store, P0, f"{folder}/checkpoint", 1, as_of=AS_OF, sites=["indeed"])
+        pages.where(part).repartition("run_id").write.mode("append").json(f"{folder}/landing")
+        query = start_ingest(spark, f"{folder}/landing", store, P0, f"{folder}/checkpoint", as_of=AS_OF, sites=["indeed"])
         query.awaitTermination()
     return store
 
@@ -811,6 +824,7 @@ def queries() -> dict[str, Query]:
         "route_messages_cut": lambda s, d: route_messages(s, d, 500),
         "upsert_snapshot": upsert_snapshot,
         "upsert_outcomes": upsert_outcomes,
+        "upsert_chain": upsert_chain,
         "alerts": alerts,
         "ingest_postings": ingest_postings,
         "ingest_limited": ingest_limited,
@@ -834,7 +848,7 @@ def queries() -> dict[str, Query]:
         "stream_messages": stream_messages,
         "schema_upgrade": schema_upgrade,
         "export_json": export_json,
-        "point_lookup": lambda s, d: filters.by_id(views.stored(s, d), 7).select(LISTED),
+        "point_lookup": lambda s, d: views.store(s, d).posting(7).select(LISTED),
         "digest_texts": digest_texts,
         "desktop_note": desktop_note,
         "fixed_locations": fixed_locations,

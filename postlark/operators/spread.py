@@ -54,6 +54,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(folder)
 
 
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of the folders that match a path pattern."""
+    folder, files = _folder(spark, pattern)
+    return [f.getPath().getName() for f in files.globStatus(folder) or []]
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Remove the tables cut inside once the block is done: for jobs whose results are written by then."""

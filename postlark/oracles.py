@@ -635,6 +635,10 @@ d AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS rank, count(*) OVER () A
       u AS (SELECT 'postlark (p0): ' || CASE WHEN any_value(n) = 1 THEN any_value(company) ELSE any_value(n) || ' new matches' END AS title, {note} AS body FROM t HAVING count(*) > 0)
       SELECT {escaped("title", "macos")} AS title, {escaped("body", "macos")} AS body FROM u"""
     out["stream_runs"] = out["ingest_run_log"]
+    # A posting is inserted if an even number of links leads back to the last one nothing stops.
+    out["upsert_chain"] = """WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS seq FROM events),
+      b AS (SELECT seq, max(CASE WHEN seq = 0 OR (seq % 2 = 1 AND event_id % 997 = 5) THEN seq END) OVER (ORDER BY seq) AS free FROM e)
+      SELECT seq, 'k' || (seq + 1) // 2 AS dedup_key, 'c' || seq // 2 AS content_key FROM b WHERE (seq - free) % 2 = 0"""
     out["stream_misses"] = out["status_not_found"]
     out["stream_alerts"] = f"{ingested('indeed')} SELECT target AS id, score, title FROM events_of WHERE kind = 'insert' AND NOT broken AND score >= {P0.min_alert_score}"
     out["reissued_ids"] = f"""{J}, t AS (SELECT max(id) AS top FROM j)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -145,7 +146,7 @@ def preview(found: DataFrame, profile: Profile) -> DataFrame:
 
 def ingest(
     payloads: DataFrame,
-    state: DataFrame,
+    state: DataFrame | Callable[[DataFrame], DataFrame],
     profile: Profile,
     as_of,
     dry_run: bool = False,
@@ -159,6 +160,7 @@ def ingest(
 ) -> Ingested | DataFrame:
     """Extract, enrich, score, resolve against the stored postings, and describe every write. A dry run only previews.
 
+    ``state`` are the stored postings, or a function that gives those which the arrivals can meet.
     Without ``sites`` every registered extractor gets its share of the payloads. ``details`` are landed detail pages of
     card postings, whose texts then count in scores and keys. ``hours_old`` drops postings with an older date.
     ``last_id`` is the highest id ever issued, ``seen`` are first sightings (run_id, seen_key) of earlier batches.
@@ -175,7 +177,7 @@ def ingest(
     found = arrivals(written, limits, seen)
     if dry_run:
         return preview(found, profile)
-    resolved = resolve(state, found, last_id)
+    resolved = resolve(state(found) if callable(state) else state, found, last_id)
     chosen = alerts(found, resolved.outcome, profile)
     texts = written.select(*ROW, "description")
     return Ingested(

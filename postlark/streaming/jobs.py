@@ -2,6 +2,7 @@
 
 A batch takes its clock from its own data unless one is given, and reads the store as it was before, so a replay writes
 the same rows to the same partitions. Sightings of earlier batches count, so a run may land in any number of batches.
+A batch opens the buckets of the store that its keys fall in, so its cost follows the batch, not the store.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from postlark.profiles import Profile
 from postlark.sources.payloads import stream_payloads
 from postlark.streaming.store import Store
 
+# The pages of a run land within so many days of each other; older sightings are not looked at and may be deleted.
+RUN_DAYS = 30
 STATUS_EVENTS = "seq bigint, posting_id bigint, status string, notes string, event_date date"
 
 
-def ingest_batch(store: Store, profile: Profile, as_of=None, **options):
+def ingest_batch(store: Store, profile: Profile, as_of=None, run_days: int = RUN_DAYS, **options):
     def run(payloads: DataFrame, batch_id: int) -> None:
         now = as_of or payloads.agg(F.max("fetched_at")).first()[0]
         if now is None:
@@ -32,11 +35,14 @@ def ingest_batch(store: Store, profile: Profile, as_of=None, **options):
             apply(payloads, ("ingest", batch_id), now)
 
     def apply(payloads: DataFrame, own: tuple[str, int], now) -> None:
-        runs = payloads.select("run_id").distinct()
-        seen = store.read("seen", own).join(runs, "run_id", "left_semi")
-        done = ingest(payloads, store.state(own), profile, now, last_id=store.last_id(own), seen=seen, **options)
+        times = payloads.groupBy("run_id").agg(F.min("fetched_at").alias("first"))
+        first = payloads.agg(F.min("fetched_at")).first()[0]
+        since = F.date_sub(F.lit(first).cast("date"), run_days)
+        seen = store.seen(times, since, own)
+        stored = lambda found: store.matching(found, own)
+        done = ingest(payloads, stored, profile, now, last_id=store.last_id(own), seen=seen, **options)
         changed = done.updated.withColumn("updated_at", moment(now))
-        sighted = done.arrivals.select("run_id", "seen_key")
+        sighted = done.arrivals.select("run_id", "seen_key").join(times.select("run_id", F.to_date(F.coalesce("first", F.lit(first))).alias("day")), "run_id")
         store.commit(*own, inserted=done.inserted, changed=changed, runs=done.runs, alerts=done.alerts, seen=sighted)
 
     return run
@@ -49,7 +55,7 @@ def status_batch(store: Store):
         if now is None:
             return
         touched = events.select(F.col("posting_id").alias("id")).distinct()
-        rows = store.state(own).join(touched, "id", "left_semi")
+        rows = store.by_ids(touched, own)
         state, missed = apply_status_events(rows, events, moment(now))
         changed = state.select("id", "status", "notes", "applied_date", "updated_at")
         store.commit(*own, changed=changed, misses=missed)

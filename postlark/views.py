@@ -163,6 +163,15 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written(spark, sf_dir, lambda path: scored(spark, sf_dir).write.parquet(path), lambda path: spark.read.schema(STORED).parquet(path))
 
 
+def store(spark: SparkSession, sf_dir: str):
+    """The scored postings in a store of small buckets, committed once per application."""
+    from postlark.streaming.store import Store
+
+    return _written(
+        spark, f"{sf_dir}#store", lambda path: Store(spark, path, 100).commit("load", 0, inserted=scored(spark, sf_dir)), lambda path: Store(spark, path, 100)
+    )
+
+
 def _written(spark: SparkSession, name: str, write, read) -> DataFrame:
     """A fixture table that this application wrote earlier, or write it first."""
     key = (spark.sparkContext.applicationId, name)

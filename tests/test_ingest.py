@@ -1,9 +1,11 @@
 import json
+import os
 from datetime import datetime, timedelta
 from functools import partial
 
 from pyspark.sql import functions as F
 
+from postlark.operators.spread import cut
 from postlark.operators.upsert import apply_changes
 from postlark.plans import ingest as ingesting
 from postlark.plans.ingest import ingest_counters
@@ -128,6 +130,54 @@ def test_store(spark, tmp_path):
     assert store.state().where("id = 1").first().city == "there" and snapshot(store)[1] == before[1]
 
 
+def test_a_small_batch_reads_its_buckets_only(spark, tmp_path):
+    """As the store doubles, what a batch of ten postings opens stays as it is."""
+    row = ingest(landed(spark, PAGES[0]), spark.createDataFrame([], POSTINGS), PROFILE, NOW).inserted.limit(1)
+    opened, touched = [], []
+    for n in (2_000, 4_000):
+        store = Store(spark, str(tmp_path / str(n)), bucket_rows=50)
+        many = spark.range(1, n + 1).select("id", F.format_string("k%d", "id").alias("dedup_key"), F.format_string("c%d", F.col("id") % 997).alias("content_key"))
+        rows = cut(row.drop("id", "dedup_key", "content_key").crossJoin(many))
+        store.commit("load", 0, inserted=rows)
+        found = cut(many.where(F.col("id") % (n // 10) == 7).withColumn("long", F.lit(True)).drop("id"))
+        got = store.matching(found)
+        want = rows.join(found.select("dedup_key"), "dedup_key", "left_semi").select("id")
+        oldest = rows.join(found, "content_key", "left_semi").groupBy("content_key").agg(F.min("id").alias("id")).select("id")
+        assert {r.id for r in got.select("id").collect()} == {r.id for r in want.union(oldest).collect()}
+        keys = store.touching("keys", found)
+        plan = keys._jdf.queryExecution().toString()
+        assert "PartitionFilters" in plan and "bucket" in plan
+        held = {r.bucket for r in keys.select("bucket").distinct().collect()}
+        assert 0 < len(held) <= 10
+        opened.append(sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(f"{store.root}/keys") for f in files if f.endswith(".parquet") and int(d.rsplit("=", 1)[1]) in held))
+        touched.append(sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(f"{store.root}/keys") for f in files if f.endswith(".parquet")))
+        one = store.posting(7)
+        assert [r.dedup_key for r in one.collect()] == ["k7"] and store.by_keys(spark.createDataFrame([("k9",), ("none",)], "dedup_key string")).first().id == 9
+    assert touched[1] > 1.6 * touched[0] and opened[1] < 1.3 * opened[0]
+
+
+def test_lookups_see_changes_and_removals(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), bucket_rows=1)
+    store.commit("ingest", 0, inserted=ingest(landed(spark, *PAGES), store.state(), PROFILE, NOW).inserted)
+    before = snapshot(store)
+    store.commit("fix", 0, changed=spark.createDataFrame([(1, "there")], "id bigint, city string"))
+    store.commit("fix", 1, changed=spark.createDataFrame([(1, "offer")], "id bigint, status string"))
+    store.commit("dedup", 0, removed=spark.createDataFrame([(2,)], "id bigint"))
+    one = store.posting(1).first()
+    assert (one.city, one.status) == ("there", "offer") and store.posting(2).count() == 0
+    assert {r.id for r in store.by_ids(store.state().select("id")).collect()} == set(before) - {2}
+    assert Store(spark, str(tmp_path / "none")).posting(1).count() == 0
+
+
+def test_old_sightings_are_not_read(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    days = [(1, "a", "2026-01-01"), (1, "b", "2026-02-01"), (2, "a", "2026-02-01")]
+    store.commit("ingest", 0, seen=spark.createDataFrame(days, "run_id bigint, seen_key string, day string"))
+    runs = spark.createDataFrame([(1,)], "run_id bigint")
+    got = store.seen(runs, F.lit("2026-01-15").cast("date"))
+    assert [(r.run_id, r.seen_key) for r in got.collect()] == [(1, "b")]
+
+
 def test_removed_ids_are_never_issued_again(spark, tmp_path):
     store = Store(spark, str(tmp_path / "one"))
     store.commit("ingest", 0, inserted=ingest(landed(spark, PAGES[0]), store.state(), PROFILE, NOW).inserted)
