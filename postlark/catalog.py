@@ -13,14 +13,14 @@ from postlark.functions.dates import age_label, days_before, first_number_age, t
 from postlark.functions.location import split_location
 from postlark.functions.pay import comp_display, comp_display_concise, currency_parser, salary_range
 from postlark.functions.text import escape, extract_emails, extract_job_types, html_to_text, is_remote, profile_name
-from postlark.operators import dedup, filters, maintenance, scoring, stats
+from postlark.operators import dedup, filters, maintenance, scoring, stats, textjoin
 from postlark.operators.scoring import as_date
 from postlark.operators.spread import cut, numbered, sequenced, shared_folder
 from postlark.operators.upsert import Upserted, apply_changes, membership, resolve
 from postlark.functions.keys import dedup_key, matches_by_content
 from postlark.plans import ingest as ingesting
 from postlark.plans import reports, upkeep
-from postlark.profiles import profile_diagnostics
+from postlark.profiles import dimension_tables, profile_diagnostics
 from postlark.schemas import BREAKDOWN, POSTINGS, conform
 from postlark.sources import cards
 from postlark.sources.payloads import (
@@ -87,11 +87,50 @@ def multi_profile_scores(spark, sf):
     return rows.select("profile", "id", "score", b["keyword"].alias("keyword"), b["title"].alias("title_points"))
 
 
+def profile_table_scores(spark, sf):
+    """The same scores from profiles held as tables."""
+    rows = scoring.score_profile_tables(views.postings(spark, sf), dimension_tables(spark, [P0, P1]), AS_OF)
+    b = F.col("score_breakdown")
+    return rows.select("profile", "id", "score", b["keyword"].alias("keyword"), b["company"].alias("company_points"), b["title"].alias("title_points"))
+
+
 def multi_profile_top(spark, sf):
     rows = scoring.score_profiles(views.postings(spark, sf), [P0, P1], AS_OF)
     return stats.top_per(rows, "profile", filters.main_order(), 20).select("profile", "rank", "id", "score")
 
 
+def word_profiles(spark, sf):
+    """Profiles whose keywords and patterns are the words of the benchmark items, as tables."""
+    items = views.table(spark, sf, "benchmark")
+    words = items.select(
+        F.concat(F.lit("p"), F.col("item_id") % 10).alias("profile"), F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("word")
+    ).where("word rlike '^[a-z]{4,}$'")
+    words = cut(words.distinct())
+    tiers = F.array(*[F.lit(t) for t in ("critical", "strong", "moderate", "weak")])
+    empty = lambda columns: spark.createDataFrame([], columns)
+    return {
+        "keywords": words.select("profile", F.element_at(tiers, F.length("word") % 4 + 1).alias("tier"), F.lit(0).alias("pos"), F.col("word").alias("keyword")),
+        "companies": empty("profile string, tier string, name string"),
+        "title_signals": empty("profile string, pattern string, points int"),
+        "dealbreakers": words.where("length(word) >= 7").select("profile", F.lit("title").alias("field"), F.concat(F.lit("(?i)"), "word", F.lit("(s|ed)?[.,]")).alias("pattern")),
+    }
+
+
+def profile_words(spark, sf):
+    """What speaks for or against each posting in profiles of many words."""
+    rows = cut(scoring.prepared(views.postings(spark, sf)).withColumn("row", F.monotonically_increasing_id()))
+    found = scoring.profile_evidence(rows, word_profiles(spark, sf)).join(rows.select("row", "id"), "row")
+    tiers = [F.col(t).alias(f"{t}_hits") for t in ("critical", "strong", "moderate", "weak")]
+    return found.select("profile", "id", *tiers, F.coalesce("broken", F.lit(False)).alias("broken"))
+
+
+def user_pattern_hits(spark, sf):
+    """Documents in which each of many patterns, held as rows, is found."""
+    patterns = word_profiles(spark, sf)["keywords"].where("length(keyword) >= 6").select(F.concat(F.lit("(?i)"), "keyword", F.lit("(s|ed)?[.,]")).alias("pattern"))
+    texts = cut(views.table(spark, sf, "documents").select(F.col("doc_id").alias("row"), "text"))
+    return textjoin.matching(texts, patterns).groupBy("pattern").agg(F.count("*").alias("documents"))
+
+
 def max_achievable(spark, sf):
     """Profiles taken from customers: their nation picks the keyword tier, suppliers and orders add the rest."""
     customer = views.table(spark, sf, "customer")
@@ -763,6 +802,9 @@ def queries() -> dict[str, Query]:
         "recency_bucket": recency_bucket,
         "multi_profile_scores": multi_profile_scores,
         "multi_profile_top": multi_profile_top,
+        "profile_table_scores": profile_table_scores,
+        "profile_words": profile_words,
+        "user_pattern_hits": user_pattern_hits,
         "max_achievable": max_achievable,
         "dedup_key": lambda s, d: views.postings(s, d).select("id", "dedup_key"),
         "content_key_prefix": lambda s, d: views.postings(s, d, 500).select("id", "content_key"),

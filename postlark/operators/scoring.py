@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlark.functions.lookups import any_of
-from postlark.operators.spread import settled
+from postlark.operators import textjoin
+from postlark.operators.spread import attach, cut, settled
 from postlark.profiles import BREAKER_FIELDS, COMPANY_TIERS, KEYWORD_TIERS, Profile, check_patterns
 from postlark.schemas import BREAKDOWN
 
 LONG_LIST = 150
 # User patterns see letters of all scripts, and only \n ends a line.
-FLAGS = "(?Ud)"
+FLAGS = textjoin.FLAGS
 
 
 def prepared(df: DataFrame) -> DataFrame:
@@ -195,3 +196,56 @@ def score_profiles(df: DataFrame, profiles: list[Profile], as_of) -> DataFrame:
 
     out = rows.select(*df.columns, F.inline(F.transform(data, one))).withColumn("score", total("score_breakdown"))
     return out.select("profile", *df.columns, "score_breakdown", "score")
+
+
+def profile_evidence(rows: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
+    """What speaks for or against a posting in a profile: ``(row, profile)`` with hits by tier, best company tier, points and dealbreaker.
+
+    ``rows`` are written, with ``row`` and the texts of ``prepared``; ``dims`` are the profiles as tables of any size. Only
+    pairs with some evidence have a row.
+    """
+    text = lambda column: rows.select("row", F.coalesce(F.col(column), F.lit("")).alias("text"))
+
+    def met(column: str, words: DataFrame) -> DataFrame:
+        return textjoin.containing(text(column), words).join(words, "word")
+
+    keywords = met("_text", dims["keywords"].select("profile", "tier", F.lower("keyword").alias("word")))
+    names = met("_company", dims["companies"].select("profile", F.col("tier").alias("company"), F.lower("name").alias("word")))
+    signals = met("_title", dims["title_signals"].where("points > 0").select("profile", "points", F.lower("pattern").alias("word")))
+    parts = [
+        keywords.groupBy("row", "profile").agg(*[F.count_if(F.col("tier") == t).cast("int").alias(t) for t in KEYWORD_TIERS]),
+        names.groupBy("row", "profile").agg(F.min("company").alias("company")),
+        signals.groupBy("row", "profile").agg(F.max("points").alias("points")),
+    ]
+    for name in BREAKER_FIELDS:
+        patterns = dims["dealbreakers"].where(F.col("field") == name).select("profile", "pattern")
+        parts.append(textjoin.matching(text(name), patterns).join(patterns, "pattern").select("row", "profile", F.lit(True).alias("broken")).distinct())
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    found = [F.coalesce(F.sum(t), F.lit(0)).cast("int").alias(t) for t in KEYWORD_TIERS]
+    return out.groupBy("row", "profile").agg(*found, F.min("company").alias("company"), F.max("points").alias("points"), F.max("broken").alias("broken"))
+
+
+def score_profile_tables(df: DataFrame, dims: dict[str, DataFrame], as_of) -> DataFrame:
+    """``score_profiles`` for profiles held as tables: no list of theirs passes through the driver or a plan.
+
+    Keywords, names, signals and patterns are joined with the texts, so the cost follows what is found. The result is one row for each
+    posting and profile, hit or not.
+    """
+    rows = cut(prepared(df).withColumn("row", F.monotonically_increasing_id()))
+    evidence = cut(profile_evidence(rows, dims))
+    pairs = rows.select("row", "date_posted").crossJoin(dims["thresholds"].select("profile").distinct())
+    rated = pairs.join(evidence, ["row", "profile"], "left")
+    broken, company = F.coalesce("broken", F.lit(False)), F.col("company")
+    parts = {
+        "keyword": keyword_points(*[F.coalesce(F.col(t), F.lit(0)) for t in ("critical", "strong", "moderate", "weak")]),
+        "company": F.when(company == "tier1", 15).when(company == "tier2", 10).when(company == "tier3", 6).otherwise(0),
+        "title": F.least(F.lit(20), F.coalesce("points", F.lit(0))),
+        "recency": recency_points(F.col("date_posted"), as_date(as_of)),
+    }
+    fields = [F.when(~broken, c.cast("int")).alias(n) for n, c in parts.items()]
+    breakdown = F.struct(*fields, F.when(broken, F.lit(True)).alias("dealbreaker")).cast(BREAKDOWN)
+    scored = rated.select("row", "profile", breakdown.alias("score_breakdown")).withColumn("score", total("score_breakdown"))
+    kept = [c for c in df.columns if c not in ("score", "score_breakdown", "profile", "row")]
+    return attach(scored, rows.select("row", *kept), "row").select("profile", *kept, "score_breakdown", "score")

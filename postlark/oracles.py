@@ -634,6 +634,22 @@ d AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS rank, count(*) OVER () A
     out["desktop_note"] = f"""{matches(10)}, t AS (SELECT id, score, company, title, {message("macos")} AS line, count(*) OVER () AS n FROM m ORDER BY score DESC, id LIMIT 3),
       u AS (SELECT 'postlark (p0): ' || CASE WHEN any_value(n) = 1 THEN any_value(company) ELSE any_value(n) || ' new matches' END AS title, {note} AS body FROM t HAVING count(*) > 0)
       SELECT {escaped("title", "macos")} AS title, {escaped("body", "macos")} AS body FROM u"""
+    words = """w AS (SELECT DISTINCT 'p' || item_id % 10 AS profile, word FROM (SELECT item_id, unnest(string_split(lower(text), ' ')) AS word FROM benchmark)
+        WHERE regexp_full_match(word, '[a-z]{4,}'))"""
+    out["profile_words"] = f"""{J}, {words},
+      h AS (SELECT profile, id, length(word) % 4 AS t, contains(lower(title || ' ' || coalesce(description, '')), word) AS hit,
+        length(word) >= 7 AND regexp_matches(title, '(?i)' || word || '(s|ed)?[.,]') AS broken FROM j JOIN w ON true)
+      SELECT profile, id, CAST(count(*) FILTER (hit AND t = 0) AS INTEGER) AS critical_hits, CAST(count(*) FILTER (hit AND t = 1) AS INTEGER) AS strong_hits,
+        CAST(count(*) FILTER (hit AND t = 2) AS INTEGER) AS moderate_hits, CAST(count(*) FILTER (hit AND t = 3) AS INTEGER) AS weak_hits, bool_or(broken) AS broken
+      FROM h GROUP BY profile, id HAVING bool_or(hit) OR bool_or(broken)"""
+    out["user_pattern_hits"] = f"""WITH {words}, p AS (SELECT DISTINCT '(?i)' || word || '(s|ed)?[.,]' AS pattern FROM w WHERE length(word) >= 6)
+      SELECT pattern, count(*) AS documents FROM documents JOIN p ON regexp_matches(text, pattern) GROUP BY pattern"""
+    tables = " UNION ALL ".join(
+        f"SELECT '{p.name}' AS profile, id, score, CASE WHEN NOT broken THEN kw END AS keyword, CASE WHEN NOT broken THEN co END AS company_points,"
+        f" CASE WHEN NOT broken THEN ti END AS title_points FROM s_{p.name}"
+        for p in (P0, P1)
+    )
+    out["profile_table_scores"] = f"WITH RECURSIVE {POSTINGS},{scored(P0, 'postings', 's_p0')},{scored(P1, 'postings', 's_p1')} {tables}"
     out["stream_runs"] = out["ingest_run_log"]
     # A posting is inserted if an even number of links leads back to the last one nothing stops.
     out["upsert_chain"] = """WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS seq FROM events),
