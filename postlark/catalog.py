@@ -13,7 +13,7 @@ from postlark.functions.dates import age_label, days_before, first_number_age, t
 from postlark.functions.location import split_location
 from postlark.functions.pay import comp_display, comp_display_concise, currency_parser, salary_range
 from postlark.functions.text import escape, extract_emails, extract_job_types, html_to_text, is_remote, profile_name
-from postlark.operators import dedup, filters, maintenance, scoring, stats, textjoin
+from postlark.operators import dedup, filters, maintenance, rollups, scoring, stats, textjoin
 from postlark.operators.scoring import as_date
 from postlark.operators.spread import cut, numbered, sequenced, shared_folder
 from postlark.operators.upsert import Upserted, apply_changes, membership, resolve
@@ -745,15 +745,31 @@ def plugged_extractor(spark, sf):
     return rows.select("run_id", "page_no", "pos", "source", "source_id", F.md5("description").alias("description_md5"))
 
 
+def _upkept(spark, sf) -> Store:
+    """A store after rescoring one source and removing duplicates, both as committed jobs; made once per application."""
+
+    def make(root: str) -> None:
+        store = Store(spark, root)
+        store.commit("load", 0, inserted=conform(with_workflow(spark, sf), POSTINGS))
+        upkeep.rescore_store(store, 0, P0_EDITED, AS_OF, source="src3")
+        upkeep.backfill_store(store, 0)
+        upkeep.fix_store_locations(store, 0, AS_OF)
+        upkeep.deduplicate_store(store, 0)
+
+    return views.written(spark, f"{sf}#upkept", make, lambda root: Store(spark, root))
+
+
 def upkept_store(spark, sf):
-    """A store after rescoring one source and removing duplicates, both as committed jobs."""
-    store = Store(spark, f"{shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
-    store.commit("load", 0, inserted=conform(with_workflow(spark, sf), POSTINGS))
-    upkeep.rescore_store(store, 0, P0_EDITED, AS_OF, source="src3")
-    upkeep.backfill_store(store, 0)
-    upkeep.fix_store_locations(store, 0, AS_OF)
-    upkeep.deduplicate_store(store, 0)
-    return store.state().select("id", "score", "status")
+    return _upkept(spark, sf).state().select("id", "score", "status")
+
+
+def rollup(part: str) -> Query:
+    """A statistic of the kept-up store, from the differences its batches left."""
+
+    def run(spark, sf):
+        return getattr(rollups, part)(_upkept(spark, sf).cells())
+
+    return run
 
 
 def _drained(spark, stream: DataFrame, mode: str, folder: str) -> DataFrame:
@@ -896,6 +912,8 @@ def queries() -> dict[str, Query]:
         "fixed_locations": fixed_locations,
         "plugged_extractor": plugged_extractor,
         "upkept_store": upkept_store,
+        "rollup_by_status": rollup("by_status"),
+        "rollup_score_tiers": rollup("score_tiers"),
         "stream_alerts": stream_alerts,
         "stream_runs": stream_runs,
         "stream_misses": stream_misses,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlark.operators.filters import moment, parse_moment, zero_result
@@ -22,15 +22,14 @@ def by_source(df: DataFrame) -> DataFrame:
     return df.groupBy("source").agg(F.count("*").alias("cnt"))
 
 
-def score_tiers(df: DataFrame) -> DataFrame:
+def tier(score: Column) -> Column:
     # Tier names and their lower bounds.
-    tier = (
-        F.when(F.col("score") >= 80, "excellent (80+)")
-        .when(F.col("score") >= 55, "good (55-79)")
-        .when(F.col("score") >= 30, "review (30-54)")
-        .otherwise("low (<30)")
-    )
-    return df.where("score > 0").groupBy(tier.alias("tier")).agg(F.count("*").alias("cnt"))
+    named = F.when(score >= 80, "excellent (80+)").when(score >= 55, "good (55-79)").when(score >= 30, "review (30-54)")
+    return named.otherwise("low (<30)")
+
+
+def score_tiers(df: DataFrame) -> DataFrame:
+    return df.where("score > 0").groupBy(tier(F.col("score")).alias("tier")).agg(F.count("*").alias("cnt"))
 
 
 def by_search_term(df: DataFrame) -> DataFrame:

@@ -617,6 +617,10 @@ d AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS rank, count(*) OVER () A
         CASE WHEN source = 'src3' THEN new_status ELSE status END AS status FROM rs)
       SELECT id, score, status FROM st QUALIFY row_number() OVER (PARTITION BY content_key ORDER BY CASE status WHEN 'offer' THEN 0 WHEN 'interview' THEN 1
         WHEN 'applied' THEN 2 WHEN 'new' THEN 3 WHEN 'filtered' THEN 4 WHEN 'rejected' THEN 5 ELSE 99 END, score DESC, date_scraped, id) = 1"""
+    kept_up = out["upkept_store"]
+    out["rollup_by_status"] = f"SELECT status, count(*) AS cnt FROM ({kept_up}) GROUP BY 1"
+    out["rollup_score_tiers"] = f"""SELECT CASE WHEN score >= 80 THEN 'excellent (80+)' WHEN score >= 55 THEN 'good (55-79)' WHEN score >= 30 THEN 'review (30-54)'
+      ELSE 'low (<30)' END AS tier, count(*) AS cnt FROM ({kept_up}) WHERE score > 0 GROUP BY 1"""
     heads = {"email": "postlark (p0) digest", "telegram": r"*postlark \(p0\) digest*", "slack": "*postlark (p0) digest*",
              "discord": "**postlark (p0) digest**", "macos": "postlark (p0) digest"}
     digests = []

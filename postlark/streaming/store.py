@@ -8,17 +8,22 @@ Inside its batch a row lies in a bucket by the hash of its key, and a batch has
 about ``bucket_rows`` rows each. Two narrow tables, bucketed by source key and by content key, lead to ids. So a lookup, and a batch of a
 stream, opens the buckets that its keys fall in: what it reads follows the batch, not the store. Many small batches are merged
 by ``compacted``.
+
+Batches are numbered as they come. A batch that is written again keeps its number and sees the store as it was then, so it
+writes what it wrote, whatever has come since. Each leaves the difference it makes to the counts of postings
+(``operators.rollups``), so statistics are sums over narrow rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from postlark.operators import rollups
 from postlark.operators.spread import cut, exists, folders
 from postlark.operators.upsert import apply_changes
 from postlark.schemas import POSTINGS, RUNS, column_names, conform
@@ -41,6 +46,7 @@ _PLAIN = {
     "issued": "last_id bigint, version bigint",
     "keys": "dedup_key string, id bigint",
     "contents": "content_key string, id bigint",
+    "cells": "source string, status string, score int, search_term string, day date, n bigint",
 }
 # The key that deals a kind's rows to buckets.
 _DEALT = {"inserted": "id", "changed": "id", "removed": "id", "keys": "dedup_key", "contents": "content_key", "seen": "run_id"}
@@ -63,8 +69,10 @@ class Store:
     root: str
     bucket_rows: int = BUCKET_ROWS
 
-    def read(self, kind: str, without: tuple[str, int] | None = None) -> DataFrame:
-        """All rows of a kind with their job and batch; ``without`` leaves one batch out."""
+    _later: dict = field(default_factory=dict, repr=False)
+
+    def read(self, kind: str, without: tuple[str, int] | None = None, own_too: bool = False) -> DataFrame:
+        """All rows of a kind with their job and batch; ``without`` leaves one batch out, and those numbered after it."""
         layout = f"{layout_of(kind)}, job string, batch_id bigint"
         if kind in _DEALT:
             layout += (", day date" if kind == "seen" else "") + ", depth int, bucket int"
@@ -72,12 +80,28 @@ class Store:
         if not exists(self.spark, path):
             return self.spark.createDataFrame([], layout)
         rows = self.spark.read.schema(layout).parquet(path)
-        return rows if without is None else rows.where((F.col("job") != without[0]) | (F.col("batch_id") != without[1]))
-
-    def touching(self, kind: str, keys: DataFrame, without: tuple[str, int] | None = None) -> DataFrame:
+        for job, batch in self._hidden(without) if without is not None else []:
+            if not own_too or (job, batch) != without:
+                rows = rows.where((F.col("job") != job) | (F.col("batch_id") != batch))
+        return rows
+
+    def _number(self, own: tuple[str, int]) -> int | None:
+        """The number a batch got when it was first written."""
+        noted = self.read("issued").where((F.col("job") == own[0]) & (F.col("batch_id") == own[1]))
+        return noted.agg(F.max("version")).first()[0]
+
+    def _hidden(self, own: tuple[str, int]) -> list[tuple[str, int]]:
+        """This batch and all numbered after it; looked up once until the batch is committed."""
+        if own not in self._later:
+            number = self._number(own)
+            later = self.read("issued").where(F.col("version") >= number).select("job", "batch_id").collect() if number is not None else []
+            self._later[own] = sorted({own, *((r["job"], r["batch_id"]) for r in later)})
+        return self._later[own]
+
+    def touching(self, kind: str, keys: DataFrame, without: tuple[str, int] | None = None, own_too: bool = False) -> DataFrame:
         """Rows of a kind whose key is among ``keys``, a frame with that one column; only their buckets are read."""
         key = _DEALT[kind]
-        rows, keys = self.read(kind, without), keys.select(key).where(F.col(key).isNotNull()).distinct()
+        rows, keys = self.read(kind, without, own_too), keys.select(key).where(F.col(key).isNotNull()).distinct()
         between = "day=*/" if kind == "seen" else ""
         depths = {int(name.split("=")[1]) for name in folders(self.spark, f"{self.root}/{kind}/job=*/batch_id=*/{between}depth=*")}
         if depths:
@@ -91,9 +115,9 @@ class Store:
         """All postings as they stand now."""
         return self._standing(*(self.read(kind, without) for kind in ("inserted", "changed", "removed")))
 
-    def by_ids(self, ids: DataFrame, without: tuple[str, int] | None = None) -> DataFrame:
+    def by_ids(self, ids: DataFrame, without: tuple[str, int] | None = None, own_too: bool = False) -> DataFrame:
         """The postings with these ids as they stand now; other buckets are not read."""
-        return self._standing(*(self.touching(kind, ids, without) for kind in ("inserted", "changed", "removed")))
+        return self._standing(*(self.touching(kind, ids, without, own_too) for kind in ("inserted", "changed", "removed")))
 
     def posting(self, posting_id: int) -> DataFrame:
         """One posting, from the buckets of its id."""
@@ -149,12 +173,13 @@ class Store:
         values. ``seen`` has the day of each sighting."""
         own = (job, batch_id)
         inserted, changed = kinds.get("inserted"), kinds.get("changed")
-        version = None
+        version = self._number(own)
+        if version is None:
+            version = (self.read("issued").agg(F.max("version")).first()[0] or 0) + 1
         if changed is not None:
             kept = [c for c in MUTABLE if c not in changed.columns]
             if kept:
                 changed = changed.join(self.by_ids(changed.select("id"), own).select("id", *kept), "id")
-            version = (self.read("issued", own).agg(F.max("version")).first()[0] or 0) + 1
             kinds["changed"] = changed.withColumn("version", F.lit(version).cast("long"))
         for kind, rows in kinds.items():
             if rows is not None and kind != "issued":
@@ -165,11 +190,30 @@ class Store:
             self._write(own, "contents", reduce(DataFrame.union, filled).where("content_key is not null").distinct())
         if inserted is not None:
             self._write(own, "keys", mine("inserted").select("dedup_key", "id"))
+        self._write(own, "cells", self._difference(own, kinds, mine))
         noted = kinds.get("issued")
         if noted is None:
             top = mine("inserted").agg(F.max("id").alias("last_id")) if inserted is not None else self.spark.range(1).select(F.lit(None).alias("last_id"))
             noted = top.withColumn("version", F.lit(version))
         self._write(own, "issued", noted)
+        self._later.pop(own, None)
+
+    def _difference(self, own: tuple[str, int], kinds: dict, mine) -> DataFrame:
+        """What a batch, already written, adds to and takes from the cells."""
+        ids = [mine(kind).select("id") for kind in ("changed", "removed") if kinds.get(kind) is not None]
+        parts = [self.spark.createDataFrame([], layout_of("cells"))]
+        new = mine("inserted") if kinds.get("inserted") is not None else None
+        if ids:
+            touched = cut(reduce(DataFrame.union, ids).distinct())
+            parts += [rollups.cells(self.by_ids(touched, own, True)), rollups.cells(self.by_ids(touched, own), -1)]
+            new = new.join(touched, "id", "left_anti") if new is not None else None
+        if new is not None:
+            parts.append(rollups.cells(new))
+        return rollups.folded(reduce(DataFrame.unionByName, parts))
+
+    def cells(self) -> DataFrame:
+        """The counts of postings by cell: the sum of all differences."""
+        return rollups.folded(self.read("cells"))
 
     def _write(self, own: tuple[str, int], kind: str, rows: DataFrame) -> None:
         path = f"{self.root}/{kind}/job={own[0]}/batch_id={own[1]}"

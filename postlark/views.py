@@ -160,19 +160,19 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Queries on stored postings read it like any table: filters reach the scan and unused columns are not read.
     """
-    return _written(spark, sf_dir, lambda path: scored(spark, sf_dir).write.parquet(path), lambda path: spark.read.schema(STORED).parquet(path))
+    return written(spark, sf_dir, lambda path: scored(spark, sf_dir).write.parquet(path), lambda path: spark.read.schema(STORED).parquet(path))
 
 
 def store(spark: SparkSession, sf_dir: str):
     """The scored postings in a store of small buckets, committed once per application."""
     from postlark.streaming.store import Store
 
-    return _written(
+    return written(
         spark, f"{sf_dir}#store", lambda path: Store(spark, path, 100).commit("load", 0, inserted=scored(spark, sf_dir)), lambda path: Store(spark, path, 100)
     )
 
 
-def _written(spark: SparkSession, name: str, write, read) -> DataFrame:
+def written(spark: SparkSession, name: str, write, read) -> DataFrame:
     """A fixture table that this application wrote earlier, or write it first."""
     key = (spark.sparkContext.applicationId, name)
     if key not in _STORED or not exists(spark, _STORED[key]):
@@ -428,7 +428,7 @@ def site_payloads(spark: SparkSession, sf_dir: str, site: str) -> DataFrame:
 
 def landed(spark: SparkSession, sf_dir: str, site: str) -> DataFrame:
     """The site's payloads as a landing folder partitioned by site, written once per application."""
-    return _written(
+    return written(
         spark,
         f"{sf_dir}#{site}",
         lambda path: site_payloads(spark, sf_dir, site).write.partitionBy("site").parquet(path),

@@ -5,6 +5,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
+from postlark.operators import rollups, stats
 from postlark.operators.spread import cut
 from postlark.operators.upsert import apply_changes
 from postlark.plans import ingest as ingesting
@@ -169,6 +170,44 @@ def test_lookups_see_changes_and_removals(spark, tmp_path):
     assert Store(spark, str(tmp_path / "none")).posting(1).count() == 0
 
 
+def test_rollups_equal_full_statistics_after_any_order(spark, tmp_path):
+    """Inserts, status changes, removals and late replays, interleaved."""
+    store = Store(spark, str(tmp_path / "store"), bucket_rows=2)
+    ids = lambda *rows: spark.createDataFrame(rows, "id bigint, status string, score int")
+    first = ingest(landed(spark, *PAGES), store.state(), PROFILE, NOW).inserted
+    later = cut(first.withColumns({"id": F.col("id") + 100, "dedup_key": F.concat("dedup_key", F.lit("x")), "score": F.lit(60), "search_term": F.lit("other")}))
+    first = cut(first)
+    steps = {
+        ("ingest", 0): {"inserted": first},
+        ("status", 0): {"changed": ids((1, "applied", 1), (3, "filtered", 85))},
+        ("ingest", 1): {"inserted": later, "changed": ids((1, "new", 44))},
+        ("status", 1): {"changed": ids((1, "offer", 50), (101, "filtered", 60), (102, "new", 30))},
+        ("dedup", 0): {"removed": spark.createDataFrame([(2,), (102,), (999,)], "id bigint")},
+    }
+
+    def check():
+        state, cells = store.state(), store.cells()
+        for full, kept in (
+            (stats.by_status(state), rollups.by_status(cells)), (stats.by_source(state), rollups.by_source(cells)),
+            (stats.score_tiers(state), rollups.score_tiers(cells)), (stats.by_search_term(state), rollups.by_search_term(cells)),
+            (stats.daily_trend(state, NOW, 60, 55), rollups.daily_trend(cells, NOW, 60, 55)),
+        ):
+            assert sorted(map(tuple, kept.collect()), key=repr) == sorted(map(tuple, full.collect()), key=repr)
+
+    for own, kinds in steps.items():
+        store.commit(*own, **kinds)
+    check()
+    before = snapshot(store)
+    assert before[1][3] == "offer" and len(before) == 2 * first.count() - 2
+    for own in (("ingest", 1), ("status", 0)):  # written again after others have come
+        store.commit(*own, **steps[own])
+    assert snapshot(store) == before
+    check()
+    store = store.compacted(str(tmp_path / "two"))
+    assert snapshot(store) == before
+    check()
+
+
 def test_old_sightings_are_not_read(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     days = [(1, "a", "2026-01-01"), (1, "b", "2026-02-01"), (2, "a", "2026-02-01")]
