@@ -551,11 +551,9 @@ def page_prefixes(spark, sf):
 
 def task_fanout(spark, sf):
     def listed(df: DataFrame, column: str, name: str, order: str) -> DataFrame:
-        names = df.select(column, order).distinct()
-        ranked = F.row_number().over(Window.orderBy(order)) - 1
-        return names.select(ranked.alias("pos"), F.col(column).alias(name))
+        names = df.groupBy(column).agg(F.min(order).alias("_order"))
+        return numbered(names, ["_order", column], "place").select((F.col("place") - 1).alias("pos"), F.col(column).alias(name))
 
-    # The distinct sites, terms and places are user settings: a few dozen values at any scale.
     sites = listed(views.table(spark, sf, "documents"), "source", "site", "source")
     terms = listed(views.table(spark, sf, "events"), "event_type", "term", "event_type")
     places = listed(views.table(spark, sf, "region"), "r_name", "location", "r_regionkey")
@@ -635,18 +633,20 @@ def report_text(spark, sf):
 def _streamed(spark, sf) -> Store:
     """The payload pages as files of a landing folder, dealt by run, ingested by the stream in two batches of many files.
 
-    Batches are cut between pages, not runs, so that the run at the border lands in both.
+    Batches are cut between pages, not runs, so that the run at the border lands in both. Made once per application.
     """
-    folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    pages = views.landed(spark, sf, "indeed")
-    runs = pages.agg(F.max("run_id")).first()[0] or 0
-    first = (F.col("run_id") < runs // 2) | ((F.col("run_id") == runs // 2) & (F.col("page_no") <= 2))
-    store = Store(spark, f"{folder}/store")
-    for part in (first, ~first):
-        pages.where(part).repartition("run_id").write.mode("append").json(f"{folder}/landing")
-        query = start_ingest(spark, f"{folder}/landing", store, P0, f"{folder}/checkpoint", as_of=AS_OF, sites=["indeed"])
-        query.awaitTermination()
-    return store
+
+    def make(folder: str) -> None:
+        pages = views.landed(spark, sf, "indeed")
+        runs = pages.agg(F.max("run_id")).first()[0] or 0
+        first = (F.col("run_id") < runs // 2) | ((F.col("run_id") == runs // 2) & (F.col("page_no") <= 2))
+        store = Store(spark, f"{folder}/store")
+        for part in (first, ~first):
+            pages.where(part).repartition("run_id").write.mode("append").json(f"{folder}/landing")
+            query = start_ingest(spark, f"{folder}/landing", store, P0, f"{folder}/checkpoint", as_of=AS_OF, sites=["indeed"])
+            query.awaitTermination()
+
+    return views.written(spark, f"{sf}#streamed", make, lambda folder: Store(spark, f"{folder}/store"))
 
 
 def stream_ingest(spark, sf):
@@ -666,8 +666,7 @@ def stream_runs(spark, sf):
 
 def stream_misses(spark, sf):
     """Ids that status events name and no posting has."""
-    store, _ = _status_streamed(spark, sf)
-    return store.read("misses").select("posting_id").distinct()
+    return _status_streamed(spark, sf).read("misses").select("posting_id").distinct()
 
 
 def reissued_ids(spark, sf):
@@ -687,20 +686,20 @@ def reissued_ids(spark, sf):
     return store.state().select("id", "dedup_key", "source_id")
 
 
-def _status_streamed(spark, sf) -> tuple[Store, str]:
-    """Status events through the stream, onto postings committed before."""
-    folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    store = Store(spark, f"{folder}/store")
-    rows = with_workflow(spark, sf)
-    store.commit("load", 0, inserted=conform(rows, POSTINGS))
-    views.status_events(spark, sf).write.json(f"{folder}/events")
-    start_status(spark, f"{folder}/events", store, f"{folder}/checkpoint").awaitTermination()
-    return store, folder
+def _status_streamed(spark, sf) -> Store:
+    """Status events through the stream, onto postings committed before; made once per application."""
+
+    def make(folder: str) -> None:
+        store = Store(spark, f"{folder}/store")
+        store.commit("load", 0, inserted=conform(with_workflow(spark, sf), POSTINGS))
+        views.status_events(spark, sf).write.json(f"{folder}/events")
+        start_status(spark, f"{folder}/events", store, f"{folder}/checkpoint").awaitTermination()
+
+    return views.written(spark, f"{sf}#status", make, lambda folder: Store(spark, f"{folder}/store"))
 
 
 def stream_status(spark, sf):
-    store, _ = _status_streamed(spark, sf)
-    return store.state().select("id", "status", "notes", "applied_date")
+    return _status_streamed(spark, sf).state().select("id", "status", "notes", "applied_date")
 
 
 # --- shapes, sinks and jobs that need a table of their own ---

@@ -23,6 +23,7 @@ from postlark.operators.spread import attach, cut, dense_rank_of
 
 # A batch of at most this many rows may broadcast its content keys (16 characters each).
 BROADCAST_ROWS = 500_000
+STORED = ["id", "dedup_key", "content_key", "score", "score_breakdown", "status"]
 EVENT = ["seq", "dedup_key", "content_key", "long", "score", "score_breakdown", "status"]
 
 
@@ -173,7 +174,7 @@ def resolve(stored: DataFrame, batch: DataFrame, last_id: int = 0) -> Upserted:
     ``sequenced`` leaves it, with a unique ``seq`` (arrival order, 0 or more), ``long``, and the same columns without
     id. Wide columns take no part.
     """
-    stored = stored.select("id", "dedup_key", "content_key", "score", "score_breakdown", "status")
+    stored = stored.select(*STORED)
     rows = batch.select(*EVENT)
     by_key = stored.join(rows.select("dedup_key").distinct(), "dedup_key", "left_semi")
     by_key = by_key.select("dedup_key", F.col("id").alias("key_id"))

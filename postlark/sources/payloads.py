@@ -54,26 +54,24 @@ def stream_payloads(spark: SparkSession, path: str, fmt: str = "json", max_files
 
 
 def ingest_tasks(sites: DataFrame, terms: DataFrame, locations: DataFrame) -> DataFrame:
-    """Every (site, term, location) with its position, sites first. The inputs are user settings of a few rows.
+    """Every (site, term, location) with its position, sites first. Each list has its places as ``pos``, from 0 without gaps.
 
-    All three lists are gathered in one aggregate and exploded, so nothing is joined.
+    A position is a number in mixed radix whose digits are the places in the three lists: positions are spread as a range,
+    and each list is joined by its digit. No list is gathered, and no task holds more than its range.
     """
-    inputs = {"site": sites, "term": terms, "location": locations}
-    tagged = None
-    for kind, df in inputs.items():
-        part = df.select(F.lit(kind).alias("kind"), "pos", F.col(kind).alias("value"))
-        tagged = part if tagged is None else tagged.unionByName(part)
-
-    def listed(kind: str) -> Column:
-        ordered = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", "value"))))
-        return F.transform(ordered, lambda r: r["value"]).alias(f"{kind}s")
-
-    one = tagged.agg(*[listed(kind) for kind in inputs])
-    out = one.select(F.posexplode("sites").alias("i", "site"), "terms", "locations")
-    out = out.select("i", "site", F.posexplode("terms").alias("j", "term"), F.size("terms").alias("nt"), "locations")
-    out = out.select("i", "site", "j", "term", "nt", F.posexplode("locations").alias("k", "location"), F.size("locations").alias("nl"))
-    position = (F.col("i") * F.col("nt") + F.col("j")) * F.col("nl") + F.col("k")
-    return out.select(position.cast("bigint").alias("position"), "site", "term", "location")
+    spark = sites.sparkSession
+    n_sites, n_terms, n_places = (df.count() for df in (sites, terms, locations))
+    numbers = spark.range(n_sites * n_terms * n_places).withColumnRenamed("id", "position")
+    digits = numbers.select(
+        "position",
+        F.expr(f"position div {max(n_terms * n_places, 1)}").alias("i"),
+        F.expr(f"position div {max(n_places, 1)} % {max(n_terms, 1)}").alias("j"),
+        F.expr(f"position % {max(n_places, 1)}").alias("k"),
+    )
+    out = digits
+    for digit, df, name in (("i", sites, "site"), ("j", terms, "term"), ("k", locations, "location")):
+        out = out.join(df.select(F.col("pos").cast("bigint").alias(digit), name), digit)
+    return out.select("position", "site", "term", "location")
 
 
 def accepted() -> Column:

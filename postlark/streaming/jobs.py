@@ -15,7 +15,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from postlark.operators.filters import moment
 from postlark.operators.maintenance import apply_status_events, route_messages
-from postlark.operators.spread import scratch
+from postlark.operators.spread import cut, scratch
+from postlark.operators.upsert import STORED
 from postlark.plans.ingest import ingest
 from postlark.profiles import Profile
 from postlark.sources.payloads import stream_payloads
@@ -39,7 +40,7 @@ def ingest_batch(store: Store, profile: Profile, as_of=None, run_days: int = RUN
         first = payloads.agg(F.min("fetched_at")).first()[0]
         since = F.date_sub(F.lit(first).cast("date"), run_days)
         seen = store.seen(times, since, own)
-        stored = lambda found: store.matching(found, own)
+        stored = lambda found: cut(store.matching(found, own).select(*STORED))
         done = ingest(payloads, stored, profile, now, last_id=store.last_id(own), seen=seen, **options)
         changed = done.updated.withColumn("updated_at", moment(now))
         sighted = done.arrivals.select("run_id", "seen_key").join(times.select("run_id", F.to_date(F.coalesce("first", F.lit(first))).alias("day")), "run_id")

@@ -306,7 +306,10 @@ def test_tasks(spark):
     df = ingest_tasks(listed("site", "s2", "s1"), listed("term", "t1", "t2"), listed("location", "x", "y"))
     got = [(r.site, r.term, r.location) for r in df.orderBy("position").collect()]
     assert got == [(s, t, p) for s in ("s2", "s1") for t in ("t1", "t2") for p in ("x", "y")]
-    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    plan = df._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and "collect_list" not in plan
+    assert [r.position for r in df.orderBy("position").collect()] == list(range(8))
+    assert ingest_tasks(listed("site"), listed("term", "t"), listed("location", "x")).count() == 0
 
 
 def test_deep_pages_give_no_posting_and_no_error(spark):
