@@ -574,8 +574,8 @@ def extracted(site: str, **limits: int) -> Query:
     return run
 
 
-def enrich_descriptions(spark, sf):
-    """Card postings with their texts from detail pages; every third page redirects to a sign-up."""
+def _card_details(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Card postings and detail pages; every third page redirects to a sign-up."""
     rows = run_rows(extract(views.landed(spark, sf, "linkedin"), AS_OF, ["linkedin"]))
     doc = views.table(spark, sf, "documents")
     details = doc.select(
@@ -584,10 +584,34 @@ def enrich_descriptions(spark, sf):
         F.when(F.col("doc_id") % 3 == 0, "https://linkedin.com/signup").otherwise("https://x.example/").alias("url"),
         F.concat(F.lit('<div class="show-more-less-html__markup">'), views._markup(F.col("text")), F.lit("</div>")).alias("body"),
     )
-    out = cards.enrich_descriptions(rows, details)
+    return rows, details
+
+
+def enrich_descriptions(spark, sf):
+    """Card postings with their texts from detail pages."""
+    out = cards.enrich_descriptions(*_card_details(spark, sf))
     return out.select("source_id", F.md5("description").alias("description_md5"), "is_remote")
 
 
+def stream_details(spark, sf):
+    """The same from two streams: half the pages land before the cards, half after; one later card ends the waiting."""
+    folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    rows, details = _card_details(spark, sf)
+    rows = cut(rows.withColumn("date_scraped", F.lit(AS_OF).cast("timestamp_ntz")))
+    details = cut(details.withColumn("fetched_at", F.lit(AS_OF).cast("timestamp_ntz")))
+    half = F.col("source_id").cast("bigint") % 2 == 0
+    last = F.lit(AS_OF).cast("timestamp_ntz") + F.expr("INTERVAL 30 DAYS")
+    later = {"source_id": F.lit("end"), "fetched_at": last, "url": F.lit("https://x.example/")}
+    ends = rows.limit(1).withColumns({"source_id": F.lit("end"), "date_scraped": last}), details.limit(1).withColumns(later)
+    steps = [(None, details.where(half)), (rows, None), (None, details.where(~half)), ends]
+    for parts in steps:
+        for name, like, part in zip(("cards", "pages"), (rows, details), parts):
+            (like.limit(0) if part is None else part).write.mode("append").parquet(f"{folder}/{name}")
+        streams = [spark.readStream.schema(df.schema).parquet(f"{folder}/{name}") for name, df in (("cards", rows), ("pages", details))]
+        out = _drained(spark, cards.late_descriptions(*streams), "append", folder)
+    return out.where("source_id <> 'end'").select("source_id", F.md5("description").alias("description_md5"), "is_remote")
+
+
 def upsert_chain(spark, sf):
     """Events as postings whose keys and contents alternate: each waits for the one before, but for some short texts."""
     rows = numbered(views.table(spark, sf, "events").select("event_id"), ["event_id"], "place").withColumn("seq", F.col("place") - 1)
@@ -893,6 +917,7 @@ def queries() -> dict[str, Query]:
         "page_prefix": page_prefixes,
         "task_fanout": task_fanout,
         "enrich_descriptions": enrich_descriptions,
+        "stream_details": stream_details,
         "digest_top10": digest_top10,
         "digest_text": digest_text,
         "alert_messages": alert_messages,

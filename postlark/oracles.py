@@ -654,6 +654,7 @@ d AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS rank, count(*) OVER () A
         for p in (P0, P1)
     )
     out["profile_table_scores"] = f"WITH RECURSIVE {POSTINGS},{scored(P0, 'postings', 's_p0')},{scored(P1, 'postings', 's_p1')} {tables}"
+    out["stream_details"] = out["enrich_descriptions"]
     out["stream_runs"] = out["ingest_run_log"]
     # A posting is inserted if an even number of links leads back to the last one nothing stops.
     out["upsert_chain"] = """WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS seq FROM events),

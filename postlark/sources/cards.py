@@ -243,16 +243,39 @@ def bayt(payloads: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def _readable() -> Column:
+    """Detail pages that were answered and don't lead to a sign-up."""
+    return (F.col("status_code") == 200) & ~F.contains(F.coalesce("url", F.lit("")), F.lit("linkedin.com/signup"))
+
+
+def _filled(joined: DataFrame, columns: list[str]) -> DataFrame:
+    """Descriptions from ``_detail`` where there is one; the remote flag is taken again, now with the description."""
+    text = F.coalesce("_detail", "description")
+    shown = location_display(F.col("city"), F.col("state"), F.lit(False))
+    flag = F.col("is_remote") | is_remote(F.col("title"), text, shown)
+    return joined.withColumns({"is_remote": flag, "description": text}).select(*columns)
+
+
 def enrich_descriptions(postings: DataFrame, details: DataFrame) -> DataFrame:
     """Fill descriptions from detail pages (source_id, status_code, url, body, perhaps fetched_at); missing ones and
-    sign-up redirects give ''. The remote flag is taken again, now with the description."""
-    ok = (F.col("status_code") == 200) & ~F.contains(F.coalesce("url", F.lit("")), F.lit("linkedin.com/signup"))
+    sign-up redirects give ''."""
     # Texts are parsed where the pages lie; of repeated pages the latest with a time counts, ties by text.
     at = F.col("fetched_at") if "fetched_at" in details.columns else F.lit(None).cast("timestamp_ntz")
-    read = details.where(ok).select("source_id", F.struct(at.alias("at"), detail_text("body").alias("text")).alias("_page"))
+    read = details.where(_readable()).select("source_id", F.struct(at.alias("at"), detail_text("body").alias("text")).alias("_page"))
     texts = read.groupBy("source_id").agg(F.max("_page").alias("_page")).select("source_id", F.col("_page.text").alias("_detail"))
-    joined = attach(postings, texts, "source_id")
-    text = F.coalesce("_detail", "description")
-    shown = location_display(F.col("city"), F.col("state"), F.lit(False))
-    flag = F.col("is_remote") | is_remote(F.col("title"), text, shown)
-    return joined.withColumns({"is_remote": flag, "description": text}).select(*postings.columns)
+    return _filled(attach(postings, texts, "source_id"), postings.columns)
+
+
+def late_descriptions(postings: DataFrame, details: DataFrame, wait: str = "2 days") -> DataFrame:
+    """``enrich_descriptions`` for streams: a detail page counts whether it lands before, with or after its card.
+
+    Both sides are kept for ``wait`` of event time (``date_scraped``, ``fetched_at``) and no longer; a posting whose page hasn't
+    come by then goes on without a text. Of a posting's pages the first that lands counts.
+    """
+    cards = postings.withColumn("_at", F.col("date_scraped").cast("timestamp")).withWatermark("_at", wait)
+    read = details.where(_readable()).select(
+        F.col("source_id").alias("_of"), F.col("fetched_at").cast("timestamp").alias("_page_at"), detail_text("body").alias("_detail")
+    )
+    pages = read.withWatermark("_page_at", wait).dropDuplicatesWithinWatermark(["_of"])
+    near = F.expr(f"source_id = _of AND _page_at >= _at - INTERVAL {wait} AND _page_at <= _at + INTERVAL {wait}")
+    return _filled(cards.join(pages, near, "left_outer"), postings.columns)

@@ -12,6 +12,7 @@ from postlark.plans import ingest as ingesting
 from postlark.plans.ingest import ingest_counters
 from postlark.profiles import Profile
 from postlark.schemas import PAYLOADS, POSTINGS
+from postlark.sources.cards import late_descriptions
 from postlark.streaming import jobs
 from postlark.streaming.jobs import continuous_trend, merged_messages, start_status, status_batch
 from postlark.streaming.store import Store
@@ -263,6 +264,30 @@ def test_enrichment_and_freshness(spark):
     assert rows["1"].score > rows["2"].score and rows["1"].content_key != rows["2"].content_key
 
 
+def test_detail_pages_may_come_before_with_or_after_their_card(spark, tmp_path):
+    block = "<div class='show-more-less-html__markup'>{}</div>"
+    cards_layout = "source_id string, title string, city string, state string, is_remote boolean, description string, date_scraped timestamp_ntz"
+    pages_layout = "source_id string, status_code int, url string, body string, fetched_at timestamp_ntz"
+    card = lambda k, at=NOW: (k, f"T{k}", None, None, False, "", at)
+    detail = lambda k, at=NOW, url="u": (k, 200, url, block.format(f"text {k}"), at)
+    far = NOW + timedelta(days=30)
+    steps = [
+        ([], [detail("1")]), ([card("1"), card("2"), card("3"), card("4"), card("5")], [detail("2"), detail("5", url="https://linkedin.com/signup")]),
+        ([], [detail("3", NOW + timedelta(hours=20))]), ([card("9", far)], [detail("9", far)]),
+    ]
+    for name in ("cards", "pages"):
+        (tmp_path / name).mkdir()
+    for cards, pages in steps:
+        for name, rows, layout in (("cards", cards, cards_layout), ("pages", pages, pages_layout)):
+            if rows:
+                spark.createDataFrame(rows, layout).write.mode("append").parquet(str(tmp_path / name))
+        streams = [spark.readStream.schema(layout).parquet(str(tmp_path / name)) for name, layout in (("cards", cards_layout), ("pages", pages_layout))]
+        out = late_descriptions(*streams).writeStream.option("checkpointLocation", str(tmp_path / "cp")).format("parquet").option("path", str(tmp_path / "out"))
+        out.trigger(availableNow=True).start().awaitTermination()
+    got = {r.source_id: r.description for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"1": "text 1", "2": "text 2", "3": "text 3", "4": "", "5": "", "9": "text 9"}
+
+
 def test_status_stream(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     store.commit("ingest", 0, inserted=ingest(landed(spark, PAGES[0]), store.state(), PROFILE, NOW).inserted)
