@@ -12,7 +12,7 @@ from postlark import views
 from postlark.functions.dates import age_label, days_before, first_number_age, timestamp_or_age
 from postlark.functions.location import split_location
 from postlark.functions.pay import comp_display, comp_display_concise, currency_parser, salary_range
-from postlark.functions.text import escape, extract_emails, extract_job_types, html_to_text, is_remote, profile_name
+from postlark.functions.text import cap_description, escape, extract_emails, extract_job_types, html_to_text, is_remote, profile_name
 from postlark.operators import dedup, filters, maintenance, rollups, scoring, stats, textjoin
 from postlark.operators.scoring import as_date
 from postlark.operators.spread import cut, numbered, sequenced, shared_folder
@@ -741,6 +741,25 @@ def export_json(spark, sf):
     return spark.read.schema("id bigint, score int, company string, title string, url string, status string").json(path)
 
 
+def export_chosen(spark, sf):
+    """Exports whose format is asked for, told by the name, or neither, read back as lines."""
+    folder = f"{shared_folder(spark).rstrip('/')}/export-{uuid.uuid4().hex}"
+    out = None
+    for name, fmt in (("a.csv", "JSON"), ("b.json", "csv"), ("c.JSON", None), ("d.txt", None)):
+        reports.export_postings(views.stored(spark, sf), f"{folder}/{name}", AS_OF, fmt)
+        lines = spark.read.text(f"{folder}/{name}").agg(F.max(F.col("value").startswith("{")).alias("json"))
+        part = lines.select(F.lit(name).alias("name"), F.when(F.col("json"), "json").otherwise("csv").alias("format"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def capped_descriptions(spark, sf):
+    """Texts written several times over, cut to the collector's limit."""
+    long = F.expr("repeat(text, cast(60000 div greatest(length(text), 1) + 1 as int))")
+    capped = cap_description(long, ingesting.COLLECTOR.description_chars)
+    return views.table(spark, sf, "documents").select("doc_id", F.length(capped).alias("chars"), F.md5(capped.cast("binary")).alias("md5"))
+
+
 def digest_texts(spark, sf):
     """The digest on every channel."""
     parts = [
@@ -930,6 +949,8 @@ def queries() -> dict[str, Query]:
         "stream_messages": stream_messages,
         "schema_upgrade": schema_upgrade,
         "export_json": export_json,
+        "export_chosen": export_chosen,
+        "capped_descriptions": capped_descriptions,
         "point_lookup": lambda s, d: views.store(s, d).posting(7).select(LISTED),
         "digest_texts": digest_texts,
         "desktop_note": desktop_note,

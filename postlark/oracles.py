@@ -44,7 +44,7 @@ raw AS (
     CASE WHEN d.doc_id % 13 = 0 THEN 'applied' WHEN d.doc_id % 17 = 0 THEN 'rejected'
       WHEN d.doc_id % 29 = 0 THEN 'interview' WHEN d.doc_id % 31 = 0 THEN 'offer' ELSE 'new' END AS raw_status
   FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id
-  JOIN supplier s ON s.s_suppkey = d.n_chars % (SELECT count(*) FROM supplier) JOIN nation n ON n.n_nationkey = d.n_chars % 25)"""
+  LEFT JOIN supplier s ON s.s_suppkey = d.n_chars % (SELECT count(*) FROM supplier) LEFT JOIN nation n ON n.n_nationkey = d.n_chars % 25)"""
 
 
 def located(src: str, out: str) -> str:
@@ -608,6 +608,9 @@ d AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS rank, count(*) OVER () A
     out["stream_trend"] = f"""{J} SELECT CAST(date_scraped AS DATE) AS day, count(*) AS total, count(*) FILTER (score >= 55) AS high,
       count(*) FILTER (score >= 40 AND score < 55) AS medium FROM j GROUP BY 1"""
     out["schema_upgrade"] = f"{J} SELECT id, score, CAST(NULL AS VARCHAR) AS notes, CAST(NULL AS TIMESTAMP) AS created_at FROM j"
+    out["export_chosen"] = "SELECT * FROM (VALUES ('a.csv', 'json'), ('b.json', 'csv'), ('c.JSON', 'json'), ('d.txt', 'csv')) AS t(name, format) WHERE (SELECT count(*) FROM documents) > 0"
+    out["capped_descriptions"] = """WITH t AS (SELECT doc_id, substr(repeat(text, 60000 // greatest(length(text), 1) + 1), 1, 50000) AS t FROM documents)
+      SELECT doc_id, CAST(length(coalesce(t, '')) AS INTEGER) AS chars, md5(coalesce(t, '')) AS md5 FROM t"""
     out["export_json"] = f"{J} SELECT id, score, company, title, url, status FROM j"
     out["point_lookup"] = list_sql("WHERE id = 7")
     out["fixed_locations"] = f"WITH {RAW},{located('raw', 'placed')} SELECT id, city, state, country FROM placed"

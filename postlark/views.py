@@ -97,11 +97,11 @@ def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts", "event_type", "value")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    # Spark broadcasts either side if it is small; documents without an event stay.
+    # Spark broadcasts either side if it is small; documents without an event, a length or a supplier stay.
     joined = (
         d.join(e, "doc_id", "left")
-        .join(s, F.col("n_chars") % s.count() == F.col("s_suppkey"))
-        .join(n, F.col("n_chars") % 25 == F.col("n_nationkey"))
+        .join(s, F.col("n_chars") % s.count() == F.col("s_suppkey"), "left")
+        .join(n, F.col("n_chars") % 25 == F.col("n_nationkey"), "left")
     )
     spot = (F.col("n_chars") % 12 + 1).cast("int")
     doc = F.col("doc_id")
