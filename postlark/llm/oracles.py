@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from postlark.llm.decontamination import LITERALS, RUN, SHARE, UNITS, WINDOW
-from postlark.llm.quality import ALPHA, BANDS, DELTA, GRID, MIN_WORDS, RATIOS
+from postlark.llm.quality import ALPHA, BANDS, DELTA, GRID, MIN_WORDS, RATIOS, STEPS, enough
 
 WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
@@ -119,12 +119,26 @@ WHERE coalesce(broken, 0) = 0 AND (n_windows >= {SHARE} * item_windows OR n_wind
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, n_slots DESC, n_changed DESC) = 1
 """
 
-_GRID = ", ".join(f"{c}::DOUBLE" for c in GRID)
-_RATIO_ROWS = " UNION ALL ".join(f"SELECT doc_id, s, '{name}' AS ratio, ({ratio.replace(' / ', '::DOUBLE / ')}) AS x FROM c" for name, ratio in RATIOS.items())
-_REJECTED = " ".join(
-    f"WHEN ({RATIOS[name].replace(' / ', '::DOUBLE / ')}) > cut_{name} THEN '{name}'" for name in sorted(RATIOS)
-)
-_CUTS = ", ".join(f"max(cut) FILTER (ratio = '{name}') AS cut_{name}" for name in RATIOS)
+_RATIO = {name: ratio.replace(" / ", "::DOUBLE / ") for name, ratio in RATIOS.items()}
+_STEPS = ", ".join(f"unnest([{', '.join(f'{c}::DOUBLE' for c in GRID[name])}]) AS cut_{name}" for name in RATIOS)
+_ANY_OVER = " OR ".join(f"{ratio} > cut_{name}" for name, ratio in _RATIO.items())
+_REJECTED = " ".join(f"WHEN {ratio} > cut_{name} THEN '{name}'" for name, ratio in _RATIO.items())
+
+
+def _strata() -> str:
+    """The stratum t of each band s: shorter bands take longer ones in until they have enough good documents."""
+    last, least = len(BANDS), enough(ALPHA, DELTA / (len(BANDS) + 1))
+    counts = ", ".join(f"count(*) FILTER (s = {b}) AS n{b}" for b in range(last + 1))
+    parts = [f"j0 AS (SELECT *, 0 AS g0, n0 AS a0 FROM (SELECT {counts} FROM h))"]
+    for b in range(1, last + 1):
+        grown = f"g{b - 1} + (a{b - 1} >= {least})::INT AS g{b}, CASE WHEN a{b - 1} >= {least} THEN n{b} ELSE a{b - 1} + n{b} END AS a{b}"
+        parts.append(f"j{b} AS (SELECT *, {grown} FROM j{b - 1})")
+    top = f"CASE WHEN a{last} >= {least} THEN g{last} ELSE greatest(g{last} - 1, 0) END"
+    of = ", ".join(f"least(g{b}, {top})" for b in range(last + 1))
+    parts.append(f"bands AS (SELECT unnest(range({last + 1})) AS s, unnest([{of}]) AS t FROM j{last})")
+    return ", ".join(parts)
+
+
 OP9 = f"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {WORDS} AS words FROM documents),
 pos AS (SELECT r, unnest(words) AS w, unnest(generate_series(1, len(words))) AS p FROM t),
@@ -143,21 +157,21 @@ c AS (
     FROM t LEFT JOIN lin USING (r) LEFT JOIN rep USING (r)
 ),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1 HAVING min(quality) = 1),
-ratios AS ({_RATIO_ROWS}),
-grid AS (SELECT unnest([{_GRID}]) AS cut, unnest(generate_series(1, {len(GRID)})) AS j),
-tested AS (
-    SELECT s, ratio, j, cut, count(*) AS n, count(*) FILTER (x > cut) AS k
-    FROM ratios JOIN good USING (doc_id) JOIN c USING (doc_id, s), grid WHERE n_words >= {MIN_WORDS} AND 100 * n_repeat_words <= 30 * n_words GROUP BY ALL
-),
-terms AS (SELECT *, unnest(generate_series(0, k)) AS i FROM tested WHERE k <= n * {ALPHA / len(RATIOS)}),
+h AS (SELECT c.* FROM c JOIN good USING (doc_id) WHERE n_words >= {MIN_WORDS} AND 100 * n_repeat_words <= 30 * n_words),
+{_strata()},
+steps AS (SELECT unnest(range({STEPS})) AS k, {_STEPS}),
+tested AS (SELECT t, k, count(*) AS n, count(*) FILTER ({_ANY_OVER}) AS away FROM h JOIN bands USING (s), steps GROUP BY ALL),
+terms AS (SELECT *, unnest(generate_series(0, away)) AS i FROM tested WHERE away <= n * {ALPHA}),
 tails AS (
-    SELECT s, ratio, j, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA / len(RATIOS)}) + (n - i) * ln(1 - {ALPHA / len(RATIOS)}))) AS tail
+    SELECT t, k, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA}))) AS tail
     FROM terms GROUP BY ALL
 ),
-stops AS (SELECT s, ratio, min(j) FILTER (coalesce(tail, 1) > {DELTA / ((len(BANDS) + 1) * len(RATIOS))}) AS stop FROM tested LEFT JOIN tails USING (s, ratio, j) GROUP BY ALL),
-cuts AS (SELECT s, ratio, min(cut) AS cut FROM tested JOIN stops USING (s, ratio) WHERE j < coalesce(stop, {len(GRID) + 1}) GROUP BY ALL),
-wide AS (SELECT s, {_CUTS} FROM cuts GROUP BY s),
-v AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed, CASE {_REJECTED} END AS rejected_by FROM c LEFT JOIN wide USING (s))
+stops AS (
+    SELECT t, min(k) FILTER (coalesce(tail, 1) > {DELTA} / (SELECT max(t) + 1 FROM bands)) AS stop
+    FROM tested LEFT JOIN tails USING (t, k) GROUP BY ALL
+),
+cuts AS (SELECT s, steps.* FROM bands JOIN stops USING (t) JOIN steps ON k = coalesce(stop, {STEPS}) - 1),
+v AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed, CASE {_REJECTED} END AS rejected_by FROM c LEFT JOIN cuts USING (s))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by IS NULL AS kept, n_lines, n_upper, rejected_by
 FROM v
 """

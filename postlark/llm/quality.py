@@ -1,17 +1,20 @@
 """Quality rules with risk-controlled thresholds.
 
 Per text, DataFrame functions compute counts: words, their characters, symbols, repeated lines, words in repeated 8-word
-windows. Four ratios of these, all "higher is worse", get a cutoff per stratum (a band of text length). A labelled holdout
-of good documents (``quality`` = 1) decides them: a cutoff of the fixed grid is admitted if the exact binomial test rejects
-"it turns away ``ALPHA`` / rules of the good documents or more". The grid is walked from lenient to strict and stops at the
-first failure (fixed-sequence testing), so the error is shared only between strata and rules: each walk gets
-``DELTA`` / (strata x rules). With confidence 1 - ``DELTA`` no stratum loses more than ``ALPHA`` of its good documents.
-
-The grid is fixed in advance, so no label is used for anything but the test. What reaches the driver is one row of counts
-per stratum: strata x rules x grid numbers, whatever the corpus.
-
-Cases: null and empty texts have no words and fail the base rule; a stratum with too few labels gets no cutoff and keeps
-all; labels with a null id or quality are ignored; several labels of one id count once, the lowest quality deciding; the
+windows. Four ratios of these, all "higher is worse", get cutoffs per stratum (a band of text length), decided by a labelled
+holdout of good documents (``quality`` = 1). All four tighten together along one path fixed in advance (``PATH``, ``STEPS``).
+A step is admitted if the exact binomial test rejects "the rules at this step turn away ``ALPHA`` of the good documents or
+more", counting a document that any of them turns away; the path is walked from lenient to strict and stops at the first
+failure (fixed-sequence testing), so a stratum costs one error however many rules and steps there are. Each walk gets
+``DELTA`` / strata. With confidence 1 - ``DELTA`` no stratum loses more than ``ALPHA`` of its good documents.
+
+Bands with too few good documents for any step to pass are joined with the next longer one (the last with the one before),
+so a stratum without cutoffs is left only where all bands together are too few (``enough``: 217 at the defaults, 149 if
+one stratum is left). Joining looks at numbers of good documents alone, not at their ratios, and the path at no label, so
+labels are used for nothing but the test. What reaches the driver is strata x (steps + 1) counts, whatever the corpus.
+
+Cases: null and empty texts have no words and fail the base rule; without enough labels there is no cutoff and the method
+keeps all; labels with a null id or quality are ignored; several labels of one id count once, the lowest quality deciding; the
 input's rows are kept one for one; of clashing column names the operator's win.
 """
 
@@ -37,7 +40,10 @@ RATIOS = {
     "repeat_ratio": "n_repeat_words / greatest(n_words, 1)",
     "upper_ratio": "n_upper / greatest(word_chars, 1)",
 }
-GRID = tuple(round(0.9 - 0.02 * k, 2) for k in range(45))  # lenient to strict: 0.90 ... 0.02
+# Where each ratio's cutoff begins and ends; between them it falls by equal factors.
+PATH = {"symbol_ratio": (1.0, 0.01), "dup_line_ratio": (0.9, 0.1), "repeat_ratio": (0.3, 0.05), "upper_ratio": (0.9, 0.1)}
+STEPS = 60
+GRID = {name: tuple(round(a * (b / a) ** (k / (STEPS - 1)), 4) for k in range(STEPS)) for name, (a, b) in PATH.items()}
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 
 
@@ -100,34 +106,57 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, total)
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA):
-    """{(stratum, ratio): cutoff} from the labelled good documents; a pair without an admitted cutoff is absent."""
+def enough(alpha: float, delta: float) -> int:
+    """Good documents a stratum needs: with fewer, not even a step that turns none away passes."""
+    return math.ceil(math.log(delta) / math.log1p(-alpha))
+
+
+def strata(good: list[int], least: int) -> list[int]:
+    """The stratum of each band: bands are joined from the shortest on until each stratum has ``least`` good documents."""
+    out, held = [0], good[0]
+    for n in good[1:]:
+        full = held >= least
+        out.append(out[-1] + full)
+        held = n if full else held + n
+    return out if held >= least else [min(s, max(out[-1] - 1, 0)) for s in out]
+
+
+def admitted(by_first: list[int], alpha: float, delta: float) -> int | None:
+    """The strictest step reached by a walk; ``by_first[k]`` good documents are turned away from step k on, the last never."""
+    rejected, reached = 0, None
+    for k, more in enumerate(by_first[:-1]):
+        rejected += more
+        if binomial_tail(rejected, sum(by_first), alpha) > delta:
+            break
+        reached = k
+    return reached
+
+
+def _steps_exceeded(ratio: Column, limits: tuple[float, ...]) -> Column:
+    return F.size(F.filter(F.array(*[F.lit(c) for c in limits]), lambda c: ratio > c))
+
+
+def cutoffs(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA) -> list[dict[str, float]]:
+    """For each band of length the cutoffs by ratio, from the labelled good documents; empty without an admitted step."""
     good = (
         labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull())
         .groupBy(id_col).agg(F.min("quality").alias("quality")).where("quality = 1").select(id_col)
     )
-    scores = F.array(*[F.struct(F.lit(n).alias("ratio"), F.expr(r).cast("double").alias("x")) for n, r in RATIOS.items()])
-    exceeded = F.size(F.filter(F.array(*[F.lit(c) for c in GRID]), lambda c: F.col("x") > c))
+    over = [_steps_exceeded(F.expr(r).cast("double"), GRID[name]) for name, r in RATIOS.items()]
     table = (
         measured.where(f"n_words >= {MIN_WORDS} and 100 * n_repeat_words <= 30 * n_words")
         .join(good, id_col, "left_semi")
-        .select(stratum().alias("stratum"), F.inline(scores))
-        .groupBy("stratum", "ratio", (len(GRID) - exceeded).alias("first")).count()
+        .groupBy(stratum().alias("band"), (STEPS - F.greatest(*over)).alias("first")).count()
         .collect()
     )
-    counts: dict = {}
+    counts = [[0] * (STEPS + 1) for _ in range(len(BANDS) + 1)]
     for row in table:
-        counts.setdefault((row["stratum"], row["ratio"]), [0] * (len(GRID) + 1))[row["first"]] += row["count"]
-    each = delta / ((len(BANDS) + 1) * len(RATIOS))
-    out = {}
-    for key, by_first in counts.items():
-        rejected = 0
-        for cut, more in zip(GRID, by_first):
-            rejected += more
-            if binomial_tail(rejected, sum(by_first), alpha / len(RATIOS)) > each:
-                break
-            out[key] = cut
-    return out
+        counts[row["band"]][row["first"]] += row["count"]
+    of = strata([sum(c) for c in counts], enough(alpha, delta / len(counts)))
+    reached = [
+        admitted([sum(c) for c in zip(*(counts[b] for b, t in enumerate(of) if t == s))], alpha, delta / (of[-1] + 1)) for s in range(of[-1] + 1)
+    ]
+    return [{} if reached[s] is None else {name: GRID[name][reached[s]] for name in RATIOS} for s in of]
 
 
 def judge_quality(
@@ -137,6 +166,8 @@ def judge_quality(
     counted = cut(text_counts(docs, text_col).drop(text_col, "base_failed", "rejected_by", "kept"))
     found = cutoffs(counted, labels, id_col, alpha, delta)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    reasons = [F.when((stratum() == s) & (F.expr(RATIOS[name]) > limit), F.lit(name)) for (s, name), limit in sorted(found.items())]
+    reasons = [
+        F.when((stratum() == band) & (F.expr(RATIOS[name]) > limit), F.lit(name)) for band, by_name in enumerate(found) for name, limit in by_name.items()
+    ]
     out = counted.withColumn("base_failed", base).withColumn("rejected_by", F.coalesce(*reasons) if reasons else F.lit(None).cast("string"))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
