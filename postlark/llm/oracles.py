@@ -103,18 +103,18 @@ WITH {_template_windows("documents", "doc_id", "d")},
 b AS (SELECT * FROM e WHERE plain >= {LITERALS}),
 m AS (SELECT d.r AS dr, d.doc_id, d.q AS dq, b.r AS br, b.item_id, b.q AS bq, d.q - b.q AS shift FROM d JOIN b USING (w)),
 slots AS (
-    SELECT DISTINCT m.doc_id, m.item_id, m.shift, bq + o AS at, x.k, x.v, y.v AS b
+    SELECT DISTINCT m.dr, m.item_id, m.shift, bq + o AS at, x.k, x.v, y.v AS b
     FROM m, (SELECT unnest(generate_series(0, {WINDOW - 1})) AS o), d_k x, e_k y
     WHERE x.r = m.dr AND x.q = m.dq + o AND y.r = m.br AND y.q = m.bq + o AND x.k IN ('1', '2', '3')
 ),
 judged AS (
-    SELECT doc_id, item_id, shift, sum(n) AS n_slots, sum(CASE WHEN b <> least THEN n ELSE 0 END) AS n_changed, max((least <> most)::INT) AS broken
-    FROM (SELECT doc_id, item_id, shift, k, b, min(v) AS least, max(v) AS most, count(*) AS n FROM slots GROUP BY ALL) GROUP BY ALL
+    SELECT dr, item_id, shift, sum(n) AS n_slots, sum(CASE WHEN b <> least THEN n ELSE 0 END) AS n_changed, max((least <> most)::INT) AS broken
+    FROM (SELECT dr, item_id, shift, k, b, min(v) AS least, max(v) AS most, count(*) AS n FROM slots GROUP BY ALL) GROUP BY ALL
 ),
-counted AS (SELECT doc_id, item_id, shift, count(DISTINCT bq) AS n_windows FROM m GROUP BY ALL),
+counted AS (SELECT dr, doc_id, item_id, shift, count(DISTINCT bq) AS n_windows FROM m GROUP BY ALL),
 whole AS (SELECT item_id, count(DISTINCT q) AS item_windows FROM b GROUP BY 1)
 SELECT doc_id, item_id, n_windows, item_windows, coalesce(n_slots, 0)::BIGINT AS n_slots, coalesce(n_changed, 0)::BIGINT AS n_changed
-FROM counted LEFT JOIN judged USING (doc_id, item_id, shift) JOIN whole USING (item_id)
+FROM counted LEFT JOIN judged USING (dr, item_id, shift) JOIN whole USING (item_id)
 WHERE coalesce(broken, 0) = 0 AND (n_windows >= {SHARE} * item_windows OR n_windows >= {RUN})
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, n_slots DESC, n_changed DESC) = 1
 """
