@@ -276,6 +276,12 @@ def list_page(spark, sf):
     return filters.list_postings(views.stored(spark, sf), status="all", limit=50, offset=100).select(LISTED)
 
 
+def deep_page(spark, sf):
+    """A page far down the list, found by the order statistics."""
+    stored = views.stored(spark, sf)
+    return filters.deep_page(stored, filters.order_counts(stored), limit=50, offset=600).select(LISTED)
+
+
 def list_view(spark, sf):
     floor = filters.list_threshold("filtered", None, P0.min_display_score)
     return reports.list_view(views.stored(spark, sf), AS_OF, status="filtered", min_score=floor, limit=30)
@@ -882,6 +888,7 @@ def queries() -> dict[str, Query]:
         "age_labels": age_labels,
         "list_filtered": list_filtered,
         "list_page": list_page,
+        "deep_page": deep_page,
         "list_view": list_view,
         "list_view_cut": list_view_cut,
         "posted_range": posted_range,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlark.functions.location import normalise_location, state_code
@@ -28,6 +28,10 @@ def parse_moment(value) -> datetime:
     return datetime.fromisoformat(str(value))
 
 
+# Ids a cell of the order statistics spans, the most postings a page reads before its own.
+ID_BLOCK = 1 << 16
+
+
 def main_order() -> list[Column]:
     return [F.desc("score"), F.col("date_posted").desc_nulls_last(), F.asc("id")]
 
@@ -63,6 +67,72 @@ def list_postings(df: DataFrame, *, limit: int | None = 50, offset: int = 0, **f
     return (out.offset(offset) if offset else out).limit(limit)
 
 
+def order_counts(df: DataFrame) -> DataFrame:
+    """Order statistics of a list: postings per score, day and block of ids.
+
+    To be kept beside the postings: counts of parts of a table add up, and a posting that goes or changes takes -1.
+    """
+    return df.groupBy("score", "date_posted", F.expr(f"id div {ID_BLOCK}").alias("id_block")).agg(F.count("*").alias("n"))
+
+
+def _holding(cells: DataFrame, key: str, order: Column, position: int) -> tuple[object, int] | None:
+    """The value of the key whose postings hold a position, and the number of postings before them."""
+    sums = cells.groupBy(key).agg(F.sum("n").alias("n")).where("n > 0")
+    upto = sums.withColumn("upto", F.sum("n").over(Window.orderBy(order)))
+    row = upto.where(F.col("upto") > position).orderBy("upto").first()
+    return None if row is None else (row[key], row["upto"] - row["n"])
+
+
+def _cell_at(counts: DataFrame, position: int) -> tuple[object, object, int, int] | None:
+    """Score, day and id block of the posting at a position, and the number of postings before that cell.
+
+    Goes down by one key at a time, so what a window orders are the scores, then the days of one score, then the id blocks
+    of one day: a few rows each, whatever the number of postings.
+    """
+    found, before = [], 0
+    for key, order in (("score", F.desc_nulls_last("score")), ("date_posted", F.desc_nulls_last("date_posted")), ("id_block", F.asc("id_block"))):
+        held = _holding(counts, key, order, position - before)
+        if held is None:
+            return None
+        found.append(held[0])
+        before += held[1]
+        counts = counts.where(F.col(key).eqNullSafe(F.lit(held[0])))
+    return *found, before
+
+
+def _past(column: str, value, strictly_before: bool) -> Column:
+    """Whether a value stands before, or after, the given one in descending order with nulls last."""
+    if value is None:
+        return F.col(column).isNotNull() if strictly_before else F.lit(False)
+    if strictly_before:
+        return F.coalesce(F.col(column) > F.lit(value), F.lit(False))
+    return F.coalesce(F.col(column) < F.lit(value), F.lit(True))
+
+
+def deep_page(df: DataFrame, counts: DataFrame, *, limit: int = 50, offset: int = 0) -> DataFrame:
+    """The page of ``list_postings`` at an offset of any depth, read from its own range of the main order.
+
+    ``counts`` are the ``order_counts`` of the same rows; they tell in which cells the page begins and ends. Only rows from
+    the first to the last cell are read and sorted, none of the pages before, and of a score that a third of all postings
+    have only the blocks of ids that the page falls in. Ids must be unique. An offset past the end gives an empty page.
+    """
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    if offset >= total or limit <= 0:
+        return df.where(F.lit(False))
+    first, last = _cell_at(counts, offset), _cell_at(counts, min(offset + limit, total) - 1)
+    same = lambda column, value: F.col(column).eqNullSafe(F.lit(value))
+
+    def beyond(cell, strictly_before: bool, in_block: Column) -> Column:
+        score, day = cell[:2]
+        by_day = _past("date_posted", day, strictly_before) | (same("date_posted", day) & in_block)
+        return _past("score", score, strictly_before) | (same("score", score) & by_day)
+
+    rows = df.where(beyond(first, False, F.col("id") >= first[2] * ID_BLOCK) & beyond(last, True, F.col("id") < (last[2] + 1) * ID_BLOCK))
+    if first[0] is not None and last[0] is not None:
+        rows = rows.where(F.col("score").between(last[0], first[0]))  # plain bounds, which reach the scan
+    return rows.orderBy(*main_order()).offset(offset - first[3]).limit(limit)
+
+
 def list_threshold(status: str, min_score: int | None, min_display_score: int) -> int:
     """Minimum score of a list: what was asked for, else the display threshold, else 0 for filtered postings."""
     if min_score is not None:

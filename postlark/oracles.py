@@ -487,6 +487,7 @@ d AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS rank, count(*) OVER () A
         # filters and lists
         "list_filtered": list_sql("WHERE status = 'new' AND score >= 20 AND company ILIKE '%r#00000000%' AND source = 'src1' AND date_scraped >= TIMESTAMP '2024-01-01 12:00:00'", "LIMIT 50"),
         "list_page": list_sql("", "LIMIT 50 OFFSET 100"),
+        "deep_page": list_sql("", "LIMIT 50 OFFSET 600"),
         "list_view": f"""{J} SELECT id, score, company, title, {PLACE} AS location,
           CASE WHEN date_posted IS NULL THEN '?' WHEN {DAY} - date_posted > 0 THEN ({DAY} - date_posted) || 'd' ELSE 'today' END AS posted,
           source AS src FROM j WHERE status = 'filtered' ORDER BY {ORDER} LIMIT 30""",

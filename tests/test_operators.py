@@ -1,6 +1,7 @@
 import csv
 import glob
 import json
+import random
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -278,3 +279,28 @@ def test_routes(spark):
     (r,) = maintenance.route_messages(said, routes).collect()
     assert (r.profile, len(r.text)) == ("me", 600)
     assert len(maintenance.route_messages(said, routes, 500).first().text) == 500
+
+
+def test_deep_pages_equal_offset_paging_and_read_their_range_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(filters, "ID_BLOCK", 16)
+    rnd = random.Random(3)
+    # a third of all postings share one score and day; scores and days may be missing
+    cells = [(50, date(2024, 1, 1))] + [(s, d) for s in (None, 0, 7, 99) for d in (None, date(2024, 1, 1), date(2024, 1, 1) + timedelta(9))]
+    rows = [(i, *(cells[0] if i % 3 == 0 else rnd.choice(cells))) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, score int, date_posted date")
+    half = df.where("id < 300")
+    counts = filters.order_counts(half).unionByName(filters.order_counts(df.where("id >= 300"))).cache()
+    want = [r.id for r in filters.list_postings(df, status="all", limit=None).collect()]
+    for offset, limit in ((0, 10), (95, 30), (230, 60), (333, 1), (560, 50), (595, 50), (600, 5), (5000, 5)):
+        assert [r.id for r in filters.deep_page(df, counts, limit=limit, offset=offset).collect()] == want[offset : offset + limit]
+    # a removed posting takes one off its cell
+    gone = [r for r in rows if r[0] == want[100]]
+    less = counts.unionByName(filters.order_counts(spark.createDataFrame(gone, df.schema)).selectExpr("score", "date_posted", "id_block", "-n as n"))
+    left = df.where(F.col("id") != want[100])
+    assert [r.id for r in filters.deep_page(left, less, limit=20, offset=300).collect()] == [i for i in want if i != want[100]][300:320]
+    path = str(tmp_path / "postings")
+    df.write.parquet(path)
+    page = filters.deep_page(spark.read.parquet(path), counts, limit=5, offset=200)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(score," in plan and "LessThanOrEqual(score," in plan
+    assert filters.deep_page(df.where("false"), counts.where("false")).collect() == []
