@@ -205,6 +205,14 @@ def test_google(spark):
     assert (r[0].job_type, r[0].has_cursor, r[2].has_cursor) == (["full_time"], True, False)
 
 
+def test_page_parsers_take_plain_rows(spark):
+    """Arrow batches hold ten thousand rows, here whole pages; plain rows come a hundred at a time."""
+    bodies = spark.range(1).select(F.lit("<p></p>").alias("body"))
+    for parse in (cards.linkedin_cards, cards.bayt_cards, cards.detail_text, positional._posting_in):
+        plan = bodies.select(parse("body"))._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "Arrow" not in plan
+
+
 def test_find_by_key(one):
     text = json.dumps({"a": {"520084652": []}, "b": [{"520084652": "no"}, {"520084652": [1, 2]}], "520084652": [3]})
     assert json.loads(one(positional.find_by_key(F.col("t")), t=("string", text))) == [1, 2]
