@@ -17,7 +17,7 @@ writes what it wrote, whatever has come since. Each leaves the difference it mak
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +32,8 @@ BUCKET_ROWS = 50_000
 MAX_DEPTH = 14
 # A set of keys that falls in more buckets than this reads them all; the result is the same.
 MAX_TOUCHED = 2_000
+# So many buckets are opened by name, more by a filter on all.
+MAX_LISTED = 100
 MUTABLE = [
     "city", "state", "country", "score", "score_breakdown", "status", "notes", "applied_date", "content_key",
     "updated_at",
@@ -71,15 +73,20 @@ class Store:
 
     _later: dict = field(default_factory=dict, repr=False)
 
-    def read(self, kind: str, without: tuple[str, int] | None = None, own_too: bool = False) -> DataFrame:
-        """All rows of a kind with their job and batch; ``without`` leaves one batch out, and those numbered after it."""
+    def read(self, kind: str, without: tuple[str, int] | None = None, own_too: bool = False, at: str | list[str] = "") -> DataFrame:
+        """All rows of a kind with their job and batch; ``without`` leaves one batch out, and those numbered after it. With ``at`` only
+        these folders are listed."""
         layout = f"{layout_of(kind)}, job string, batch_id bigint"
         if kind in _DEALT:
             layout += (", day date" if kind == "seen" else "") + ", depth int, bucket int"
         path = f"{self.root}/{kind}"
         if not exists(self.spark, path):
             return self.spark.createDataFrame([], layout)
-        rows = self.spark.read.schema(layout).parquet(path)
+        parts = [at] if isinstance(at, str) else at
+        found = [f"{path}/{p}".rstrip("/") for p in parts if not p or exists(self.spark, f"{path}/{p}")]
+        if not found:
+            return self.spark.createDataFrame([], layout)
+        rows = self.spark.read.schema(layout).option("basePath", path).parquet(*found)
         for job, batch in self._hidden(without) if without is not None else []:
             if not own_too or (job, batch) != without:
                 rows = rows.where((F.col("job") != job) | (F.col("batch_id") != batch))
@@ -101,14 +108,22 @@ class Store:
     def touching(self, kind: str, keys: DataFrame, without: tuple[str, int] | None = None, own_too: bool = False) -> DataFrame:
         """Rows of a kind whose key is among ``keys``, a frame with that one column; only their buckets are read."""
         key = _DEALT[kind]
-        rows, keys = self.read(kind, without, own_too), keys.select(key).where(F.col(key).isNotNull()).distinct()
-        between = "day=*/" if kind == "seen" else ""
-        depths = {int(name.split("=")[1]) for name in folders(self.spark, f"{self.root}/{kind}/job=*/batch_id=*/{between}depth=*")}
-        if depths:
-            found = keys.select(_bucket(key, max(depths)).alias("b")).distinct().limit(MAX_TOUCHED + 1).collect()
-            if len(found) <= MAX_TOUCHED:
-                held = [(F.col("depth") == d) & F.col("bucket").isin(sorted({r["b"] % (1 << d) for r in found})) for d in sorted(depths)]
-                rows = rows.where(reduce(lambda a, b: a | b, held))
+        keys = keys.select(key).where(F.col(key).isNotNull()).distinct()
+        levels = 3 + (kind == "seen")
+        parts = folders(self.spark, f"{self.root}/{kind}/{'*/' * (levels - 1)}depth=*", levels)
+        depths = {p: int(p.rsplit("=", 1)[1]) for p in parts}
+        if not depths:
+            return self.read(kind, without, own_too).join(keys, key, "left_semi")
+        found = [r["b"] for r in keys.select(_bucket(key, max(depths.values())).alias("b")).distinct().limit(MAX_TOUCHED + 1).collect()]
+        if len(found) > MAX_TOUCHED:
+            return self.read(kind, without, own_too).join(keys, key, "left_semi")
+        wanted = {d: sorted({b % (1 << d) for b in found}) for d in set(depths.values())}
+        if sum(len(wanted[d]) for d in depths.values()) <= MAX_LISTED:
+            # Few buckets are opened by name: listing all would cost more than reading these.
+            rows = self.read(kind, without, own_too, [f"{p}/bucket={b}" for p, d in depths.items() for b in wanted[d]])
+        else:
+            held = [(F.col("depth") == d) & F.col("bucket").isin(buckets) for d, buckets in sorted(wanted.items())]
+            rows = self.read(kind, without, own_too).where(reduce(lambda a, b: a | b, held))
         return rows.join(keys, key, "left_semi")
 
     def state(self, without: tuple[str, int] | None = None) -> DataFrame:
@@ -184,7 +199,7 @@ class Store:
         for kind, rows in kinds.items():
             if rows is not None and kind != "issued":
                 self._write(own, kind, rows)
-        mine = lambda kind: self.read(kind).where((F.col("job") == job) & (F.col("batch_id") == batch_id))
+        mine = cache(lambda kind: self.read(kind, at=f"job={job}/batch_id={batch_id}"))
         filled = [mine(kind).select("content_key", "id") for kind in ("inserted", "changed") if kinds.get(kind) is not None]
         if filled:
             self._write(own, "contents", reduce(DataFrame.union, filled).where("content_key is not null").distinct())
