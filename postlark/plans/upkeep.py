@@ -38,7 +38,10 @@ def deduplicate_store(store: Store, batch_id: int) -> DataFrame:
 
 def backfill_store(store: Store, batch_id: int) -> DataFrame:
     """Fill missing content keys; gives the filled ids."""
-    missing = store.state(("backfill", batch_id)).where("content_key is null")
+    # Which ones they are is told by narrow rows; only their texts are read.
+    own = ("backfill", batch_id)
+    ids = cut(store.state(own).where("content_key is null").select("id"))
+    missing = store.by_ids(ids, own).where("content_key is null")
     filled = cut(backfill_content_keys(missing).select("id", "content_key"))
     store.commit("backfill", batch_id, changed=filled)
     return filled.select("id")
